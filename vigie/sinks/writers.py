@@ -16,54 +16,69 @@ from pyspark.sql import types as T
 BOM = "﻿"
 
 
+def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str) -> DataFrame:
+    """Header + one text line per row: text columns quoted (doubled inner quotes)
+    when ``quote_text``, otherwise refused if they contain a separator, quote or newline."""
+    texts, guards = [], []
+    for f in df.schema.fields:
+        v = F.col(f"`{f.name}`").cast("string")
+        if isinstance(f.dataType, T.StringType) and quote_text:
+            v = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
+        elif not quote_text:
+            guards.append(v.contains(sep) | v.contains('"') | v.contains("\n"))
+        texts.append(F.coalesce(v, F.lit(na)))
+    line = F.concat_ws(sep, *texts)
+    if guards:
+        bad = guards[0]
+        for g in guards[1:]:
+            bad = bad | g
+        line = F.when(F.coalesce(bad, F.lit(False)),
+                      F.raise_error(F.lit("sink_csv(quote='none'): value contains a separator or quote"))
+                      ).otherwise(line)
+    names = [f'"{c}"' if quote_text else c for c in df.columns]
+    head = df.sparkSession.range(1).select(F.lit(sep.join(names)).alias("value"))
+    return head.unionAll(df.select(line.alias("value")))
+
+
 def sink_csv(
     df: DataFrame,
     path: str,
     quote: str = "minimal",
     bom: bool = False,
     sep: str = ",",
+    na: str = "NA",
     single_file: bool = True,
     mode: str = "overwrite",
 ) -> None:
-    """Write a headed, UTF-8 CSV table.
-
-    ``quote``: ``"minimal"`` (quote when needed, doubled quotes inside, X1),
-    ``"all"`` (every text value quoted, X3) or ``"none"`` (no quoting at all,
-    X2; refuses rows whose text contains the separator, a quote or a newline,
-    since they could not be read back). ``bom=True`` starts the file with a
-    UTF-8 byte-order mark for spreadsheet programs (X4).
+    """Write a headed, UTF-8 CSV table; missing values are written as ``na``.
+
+    ``quote``: ``"minimal"`` (quote a value only when needed, doubled quotes
+    inside, X1), ``"all"`` (every text value and the header quoted, numbers
+    bare, X3) or ``"none"`` (no quoting, X2; a row whose text contains the
+    separator, a quote or a newline raises, since the file could not be read
+    back). ``bom=True`` starts the file with a UTF-8 byte-order mark (X4).
+    ``single_file`` writes one part file: meant for chart tables, whose size is
+    bounded by areas x days.
     """
-    out = df.coalesce(1) if single_file else df
+    if quote not in ("minimal", "all", "none"):
+        raise ValueError("quote must be 'minimal', 'all' or 'none'")
+    out = df
     if bom:
-        first = out.columns[0]
-        out = out.withColumnRenamed(first, BOM + first)
-    if quote == "none":
-        texts = [F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NA")) for c in out.columns]
-        bad = None
-        for t in texts:
-            b = t.contains(sep) | t.contains('"') | t.contains("\n")
-            bad = b if bad is None else bad | b
-        line = F.when(bad, F.raise_error(F.lit("sink_csv(quote='none'): value contains a separator"))) \
-            .otherwise(F.concat_ws(sep, *texts))
-        header = F.lit(sep.join(out.columns))
-        body = out.select(line.alias("value"))
-        head = out.sparkSession.range(1).select(header.alias("value"))
-        (head.unionAll(body).coalesce(1) if single_file else head.unionAll(body)) \
-            .write.mode(mode).text(path)
+        out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
+    if quote != "minimal":
+        lines = _text_lines(out, sep, quote_text=(quote == "all"), na=na)
+        (lines.coalesce(1) if single_file else lines).write.mode(mode).text(path)
         return
-    writer = (
-        out.write.mode(mode)
+    (
+        (out.coalesce(1) if single_file else out).write.mode(mode)
         .option("header", True)
         .option("sep", sep)
         .option("encoding", "UTF-8")
         .option("escape", '"')
+        .option("nullValue", na)
         .option("dateFormat", "yyyy-MM-dd")
+        .csv(path)
     )
-    if quote == "all":
-        writer = writer.option("quoteAll", True)
-    elif quote != "minimal":
-        raise ValueError("quote must be 'minimal', 'all' or 'none'")
-    writer.csv(path)
 
 
 def geojson_feature(df: DataFrame, geometry: str = "geometry") -> Column:
