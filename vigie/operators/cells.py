@@ -79,8 +79,12 @@ def cell_range(
         & F.col("row").between(r0, r1)
         & F.col("col").between(c0, c1)
     )
-    return block.groupBy(*keys, "row").agg(*[
-        convert(F.max(F.when(F.col("col") == c0 + i, F.col("value"))), t).alias(n)
+    # One map {col: value} per sheet row (hash aggregate; its size is bounded
+    # by the range width). A cell address present twice raises a duplicate-key error.
+    by_row = block.groupBy(*keys, "row").agg(
+        F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("__cells"))
+    return by_row.select(*keys, "row", *[
+        convert(F.try_element_at(F.col("__cells"), F.lit(c0 + i)), t).alias(n)
         for i, (n, t) in enumerate(zip(names, types))
     ])
 

@@ -308,6 +308,12 @@ def age_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
     block k (k = months before the latest) has its date at (6, 8 + 7k), the
     count per band at rows 8-17 col 8 + 7k and the share in percent at rows
     8-17 col 14 + 7k. Sheet 1 holds one note cell.
+
+    Every cell comes out of one (month, band) aggregate through ``inline``;
+    cells that occur once per month / band / workbook are emitted by one
+    designated row (first band of the month, first month of the band, latest
+    month), found with windows over one month (<= 10 rows) or one band
+    (one row per month).
     """
     li = table(spark, sf_dir, "lineitem").select(
         F.trunc(F.to_date("l_shipdate"), "month").alias("m"),
@@ -315,26 +321,40 @@ def age_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
         .cast("int").alias("b"),
     )
     mb = li.groupBy("m", "b").agg(F.count(F.lit(1)).alias("c"))
-    per_month = mb.groupBy("m").agg(F.sum("c").alias("n"))
-    latest_m = per_month.agg(F.max("m")).scalar()
-    months = per_month.select("m", "n", F.months_between(latest_m, "m").cast("int").alias("k"))
-    body = mb.join(months, "m")
-    sheet = "Deaths-Age"
-    dates = months.select(*_cell("age", 2, sheet, 6, F.col("k") * 7 + 8, F.col("m").cast("string")))
-    counts = body.select(*_cell("age", 2, sheet, F.col("b") + 7, F.col("k") * 7 + 8, F.col("c")))
-    shares = body.select(*_cell(
-        "age", 2, sheet, F.col("b") + 7, F.col("k") * 7 + 14,
-        (F.lit(100.0) * F.col("c") / F.col("n")).cast("decimal(9,4)")))
-    bands = mb.select("b").distinct()
-    labels = bands.select(*_cell(
-        "age", 2, sheet, F.col("b") + 7, 1,
-        F.concat((F.col("b") * AGE_BAND - (AGE_BAND - 1)).cast("string"), F.lit("-"),
-                 (F.col("b") * AGE_BAND).cast("string"))))
-    header = bands.agg(F.count(F.lit(1)).alias("x")).select(*_cell("age", 2, sheet, 7, 1, "Age Group"))
-    note = per_month.agg(F.sum("n").alias("x")).select(
-        *_cell("age", 1, "About", 1, 1, F.concat(F.lit("lineitems: "), F.col("x").cast("string"))))
-    return dates.unionByName(counts).unionByName(shares).unionByName(labels) \
-        .unionByName(header).unionByName(note)
+    latest_m = mb.agg(F.max("m")).scalar()
+    total = mb.agg(F.sum("c")).scalar()
+    in_month, in_band = Window.partitionBy("m"), Window.partitionBy("b")
+    t = mb.select(
+        "m", "b", "c",
+        F.sum("c").over(in_month).alias("n"),
+        (F.col("b") == F.min("b").over(in_month)).alias("first_band"),
+        (F.col("m") == F.min("m").over(in_band)).alias("first_month"),
+        F.months_between(latest_m, "m").cast("int").alias("k"),
+    )
+    row, block_col = F.col("b") + 7, F.col("k") * 7
+    label = F.concat((F.col("b") * AGE_BAND - (AGE_BAND - 1)).cast("string"), F.lit("-"),
+                     (F.col("b") * AGE_BAND).cast("string"))
+    share = (F.lit(100.0) * F.col("c") / F.col("n")).cast("decimal(9,4)").cast("string")
+    once = F.col("first_band") & (F.col("m") == latest_m)
+
+    def cell(keep, sheet_index, row_, col_, value):
+        return F.struct(F.lit(sheet_index).alias("sheet_index"), row_.cast("int").alias("row"),
+                        col_.cast("int").alias("col"), F.when(keep, value.cast("string")).alias("value"))
+
+    yes = F.lit(True)
+    cells_ = F.array(
+        cell(yes, 2, row, block_col + 8, F.col("c")),
+        cell(yes, 2, row, block_col + 14, share),
+        cell(F.col("first_band"), 2, F.lit(6), block_col + 8, F.col("m")),
+        cell(F.col("first_month"), 2, row, F.lit(1), label),
+        cell(once, 2, F.lit(7), F.lit(1), F.lit("Age Group")),
+        cell(once, 1, F.lit(1), F.lit(1), F.concat(F.lit("lineitems: "), total.cast("string"))),
+    )
+    out = t.select(F.inline(cells_)).where(F.col("value").isNotNull())
+    return out.select(
+        F.lit("age").alias("workbook"), "sheet_index",
+        F.when(F.col("sheet_index") == 1, F.lit("About")).otherwise(F.lit("Deaths-Age")).alias("sheet"),
+        "row", "col", "value")
 
 
 def deaths_cells(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFrame:
