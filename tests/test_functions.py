@@ -128,3 +128,8 @@ def test_encode_repair(spark):
 def test_rows_helper_orders_nulls_first(spark):
     df = spark.createDataFrame([(2,), (None,), (1,)], "x long")
     assert rows(df) == [(None,), (1,), (2,)]
+
+
+def test_parse_day_month_keeps_a_full_date(spark):
+    out = _one(spark, [("06/04",), ("29/02",), ("31/02",)], "s string", V.parse_day_month("s", 2020))
+    assert out == [dt.date(2020, 4, 6), dt.date(2020, 2, 29), None]

@@ -162,3 +162,11 @@ def test_peak_earliest_on_ties(spark):
                                 (D(2020, 7, 24), 1.0)], "d date, v double")
     r = O.peak(df, "d", "v").first()
     assert (r.peak_value, r.peak_date, r.last_date, r.last_label) == (9.0, D(2020, 4, 1), D(2020, 7, 24), "24 juil.")
+
+
+def test_assert_unique(spark):
+    ok = spark.createDataFrame([("r1", "01", 3), ("r1", None, 1)], "reg string, dep string, lits long")
+    assert O.assert_unique(ok, ["dep"]).count() == 2
+    dup = ok.union(spark.createDataFrame([("r2", "01", 5)], ok.schema))
+    with pytest.raises(Exception, match="duplicate"):
+        O.assert_unique(dup, ["dep"], "department").collect()

@@ -11,6 +11,7 @@ from .dates import (
     month_label,
     month_name,
     parse_date,
+    parse_day_month,
     stamp,
 )
 from .missing import fill, missing, na_sum, pct_change, present, r_divide, safe_ratio, strict_sum
@@ -20,7 +21,7 @@ from .text import encode_repair, join_text, pad_left, recode, sentence, substrin
 __all__ = [
     "TRAFFIC_LIGHT", "classify", "relabel",
     "MONTHS_FR", "MONTHS_FR_SHORT", "as_of_or_now", "date_minus", "day_month",
-    "day_month_year", "month_label", "month_name", "parse_date", "stamp",
+    "day_month_year", "month_label", "month_name", "parse_date", "parse_day_month", "stamp",
     "fill", "missing", "na_sum", "pct_change", "present", "r_divide", "safe_ratio", "strict_sum",
     "finite", "number_text", "round_even", "to_text",
     "encode_repair", "join_text", "pad_left", "recode", "sentence", "substring_between",

@@ -28,6 +28,13 @@ def parse_date(c: Column | str, fmt: str = "yyyy-MM-dd") -> Column:
     return F.try_to_date(col(c).cast("string"), fmt)
 
 
+def parse_day_month(c: Column | str, year: int | Column) -> Column:
+    """``dd/MM`` text to a DATE in ``year`` (D2). The year is explicit: R takes
+    the current year (Q15); pipelines keep the full DATE and format last."""
+    y = year if isinstance(year, Column) else F.lit(year)
+    return F.try_to_date(F.concat(col(c).cast("string"), F.lit("/"), y.cast("string")), "dd/MM/yyyy")
+
+
 def month_name(c: Column | str, short: bool = False) -> Column:
     names = MONTHS_FR_SHORT if short else MONTHS_FR
     return F.element_at(F.array(*[F.lit(m) for m in names]), F.month(col(c)))

@@ -6,7 +6,7 @@ from .cells import (
 )
 from .columns import mutate, mutate_all, mutate_typed, rename, select_as, select_at
 from .panel import (
-    append_total, decumulate, join_on, keep_present, latest, max_of, on_geography, trailing_days,
+    append_total, assert_unique, decumulate, join_on, keep_present, latest, max_of, on_geography, trailing_days,
     with_comparator, with_group_totals,
 )
 from .reshape import pivot_wide, transpose, unnest, unpivot_long
@@ -16,7 +16,7 @@ __all__ = [
     "a1_range", "bind_by_row", "cell", "cell_range", "join_block_header", "sheet_range", "sheets_to_table",
     "strided_blocks",
     "mutate", "mutate_all", "mutate_typed", "rename", "select_as", "select_at",
-    "append_total", "decumulate", "join_on", "keep_present", "latest", "max_of", "on_geography",
+    "append_total", "assert_unique", "decumulate", "join_on", "keep_present", "latest", "max_of", "on_geography",
     "trailing_days", "with_comparator", "with_group_totals",
     "pivot_wide", "transpose", "unnest", "unpivot_long",
 ]

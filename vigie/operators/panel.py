@@ -98,6 +98,19 @@ def join_on(
     return joined.select(*out)
 
 
+def assert_unique(df: DataFrame, keys: Sequence[str], what: str = "key") -> DataFrame:
+    """Pass ``df`` through, failing the job if a key value occurs twice.
+
+    Counted with a partial/final aggregate and joined back (null-safe), so the
+    check stays distributed; meant for dimension tables joined on a key that
+    the data does not declare unique.
+    """
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    checked = join_on(df, counts, list(keys), how="inner", na_matches="na")
+    ok = F.when(F.col("__n") > 1, F.raise_error(F.lit(f"assert_unique: duplicate {what}"))).otherwise(F.lit(True))
+    return checked.where(ok).drop("__n")
+
+
 def on_geography(
     stats: DataFrame,
     geo: DataFrame,

@@ -325,6 +325,7 @@ sj3 AS (SELECT *, {rnd(r_divide('rea_7jrs', 'lits') + ' * 100.0::DOUBLE', 0)} AS
     + f"""SELECT g.insee_dep, g.insee_reg, g.nom_dep, g.geometry, s.reg, s.rea_7jrs, s.lits, s.taux_occup_reg,
        {classify('s.taux_occup_reg', Q.ICU_CUTS, closed='right')} AS statut_rea
 """ + _drawn("sj3", "dep"),
+    "icu_map_layer": "__ICU__",
     "deaths_variation": _with(DEATHS, DEP_GEO, f"""d AS (SELECT * FROM deaths WHERE {present(NEW)}),
 d2 AS (SELECT dep, date, {NEW}, {OLD},
               {rnd(f'(CASE WHEN {OLD} = 0 THEN NULL ELSE ({NEW} - {OLD}) / {OLD} END) * 100.0::DOUBLE', 1)} AS taux_variation
@@ -354,6 +355,8 @@ FROM (SELECT * FROM detail UNION ALL SELECT * FROM total)""",
 FROM shares WHERE k = 0""",
     "sheets_union": _with(DEATHS) + "SELECT 'deaths' AS workbook, dep, date, " + ", ".join(_MEASURES)
     + " FROM deaths",
+    "deaths_sheet_range": _with(DEATHS) + "SELECT dep AS sheet, date, " + ", ".join(_MEASURES)
+    + f" FROM deaths WHERE dep = {_q(Q.DEATH_SHEET)}",
     "peak_of_series": _with(NAT, f"s AS ({_national('tx_incid', 1, 'v')})") + f"""
 SELECT max(v) AS peak_value, (SELECT min(extract_date) FROM s WHERE v = (SELECT max(v) FROM s)) AS peak_date,
        max(extract_date) AS last_date, {month_label('max(extract_date)', short=True)} AS last_label
@@ -371,3 +374,12 @@ FROM capacity GROUP BY reg, dep""",
        {rnd('taux_occupation_sae', 1)} AS taux_occupation_sae, taux_occupation_sae_couleur, n_orders
 FROM dep""",
 }
+
+
+def _icu_map_layer() -> str:
+    fill = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in P.DEPARTMENT_MAP_COLOURS.items())
+    return ("SELECT insee_dep, nom_dep, taux_occup_reg, statut_rea, geometry, "
+            f"(CASE statut_rea {fill} END) AS fill FROM ({ORACLE_SQL['icu_saturation_region']})")
+
+
+ORACLE_SQL["icu_map_layer"] = _icu_map_layer()

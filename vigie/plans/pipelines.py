@@ -25,7 +25,7 @@ from ..operators.cells import (
 )
 from ..operators.columns import select_as, select_at
 from ..operators.panel import (
-    append_total, decumulate, keep_present, latest, on_geography, trailing_days,
+    append_total, assert_unique, decumulate, keep_present, latest, on_geography, trailing_days,
     with_comparator, with_group_totals,
 )
 from ..operators.reshape import pivot_wide
@@ -41,6 +41,10 @@ R_NO_ESTIMATE = "Pas d'estimation disponible pour cette date"
 # current codes.
 CAPACITY_RECODE = {"9A": "971", "9B": "972", "9C": "973", "9D": "974", "9F": "976"}
 
+# Fill colours of the reference's maps, per class.
+INDICATOR_COLOURS = {"vert": "#3DE4B3", "orange": "#FFCCA3", "rouge": "#D1335B"}
+DEPARTMENT_MAP_COLOURS = {"vert": "seagreen1", "orange": "orange", "rouge": "red3"}
+
 # Default class cut-offs of the reference.
 POSITIVITY_CUTS = (5.0, 10.0)
 R_CUTS = (1.0, 1.5)
@@ -185,7 +189,7 @@ def icu_saturation(hosp: DataFrame, capacity: DataFrame, geo: DataFrame, n_days:
     h = trailing_days(hosp.where(F.col("sexe") == total_class), "jour", n_days, anchor=hosp)
     h = select_at(h, 1, 5)
     s = h.groupBy("dep").agg(round_even(strict_sum("rea") / F.lit(float(n_days))).alias("rea_7jrs"))
-    s = s.join(capacity, "dep", "left")
+    s = s.join(assert_unique(capacity, ["dep"], "department in the capacity table"), "dep", "left")
     s = with_group_totals(s, ["reg"], {"rea_7jrs": strict_sum("rea_7jrs"), "lits": strict_sum("lits")})
     s = s.withColumn("taux_occup_reg", round_even(r_divide("rea_7jrs", "lits") * F.lit(100.0)))
     s = s.withColumn("statut_rea", classify("taux_occup_reg", cuts, closed="right"))

@@ -16,7 +16,8 @@ from ..functions.numbers import round_even, to_text
 from ..operators.aggregates import peak
 from ..operators.columns import mutate_typed
 from ..operators.panel import join_on
-from ..sinks.writers import geojson_feature, parse_geojson_feature
+from ..operators.cells import sheet_range
+from ..sinks.writers import geojson_feature, map_layer, parse_geojson_feature
 from ..sources import standins as S
 from . import pipelines as P
 
@@ -130,6 +131,23 @@ def sheets_union(spark: SparkSession, d: str) -> DataFrame:
     return P.deaths_from_sheets(S.cells(spark, d), S.DEATH_YEARS, rows=DEATH_ROWS)
 
 
+def icu_map_layer(spark: SparkSession, d: str) -> DataFrame:
+    layer = icu_saturation_region(spark, d)
+    return map_layer(layer, "statut_rea", P.DEPARTMENT_MAP_COLOURS,
+                     keep=["insee_dep", "nom_dep", "taux_occup_reg", "statut_rea", "geometry"])
+
+
+DEATH_SHEET = "03"
+
+
+def deaths_sheet_range(spark: SparkSession, d: str) -> DataFrame:
+    names = ["date"] + [f"{k}{y}" for y in S.DEATH_YEARS for k in ("dematerialise", "total")]
+    wb = S.cells(spark, d).where(F.col("workbook") == "deaths")
+    out = sheet_range(wb, DEATH_SHEET, f"A{DEATH_ROWS[0]}:G{DEATH_ROWS[1]}", names,
+                      ["date"] + ["numeric"] * 6)
+    return out.drop("workbook", "sheet_index", "row")
+
+
 def peak_of_series(spark: SparkSession, d: str) -> DataFrame:
     series = P.national_series(_nat(spark, d), "tx_incid", 1, "tx_incid_national")
     return peak(series, "extract_date", "tx_incid_national")
@@ -189,6 +207,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "age_share_by_day": age_share_by_day,
     "age_share_latest": age_share_latest,
     "sheets_union": sheets_union,
+    "deaths_sheet_range": deaths_sheet_range,
+    "icu_map_layer": icu_map_layer,
     "peak_of_series": peak_of_series,
     "strict_vs_lenient_sum": strict_vs_lenient_sum,
     "null_safe_join": null_safe_join,
