@@ -23,7 +23,7 @@ from ..operators.aggregates import grouped_sums
 from ..operators.cells import (
     bind_by_row, cell, cell_range, join_block_header, sheets_to_table, strided_blocks,
 )
-from ..operators.columns import select_as, select_at
+from ..operators.columns import select_as
 from ..operators.panel import (
     append_total, assert_unique, decumulate, keep_present, latest, on_geography, trailing_days,
     with_comparator, with_group_totals,
@@ -153,7 +153,9 @@ def er_rate(visits: DataFrame, geo: DataFrame, n_days: int = 7, cuts: Sequence[f
     The window ends at the last date of the all-ages rows (filter first,
     then the maximum, F7). Missing counts are 0; 0/0 gives a rate of 0.
     """
-    v = select_at(visits.where(F.col("sursaud_cl_age_corona") == total_class), 1, 2, 3, 4, 5)
+    # the reference selects positions 1-5 of the feed; resolved to names here
+    v = visits.where(F.col("sursaud_cl_age_corona") == total_class).select(
+        "dep", "date_de_passage", "sursaud_cl_age_corona", "nbre_pass_corona", "nbre_pass_tot")
     v = v.withColumn("nbre_pass_corona", fill("nbre_pass_corona", 0)) \
          .withColumn("nbre_pass_tot", fill("nbre_pass_tot", 0))
     v = trailing_days(v, "date_de_passage", n_days)
@@ -187,7 +189,7 @@ def icu_saturation(hosp: DataFrame, capacity: DataFrame, geo: DataFrame, n_days:
     department codes must be unique.
     """
     h = trailing_days(hosp.where(F.col("sexe") == total_class), "jour", n_days, anchor=hosp)
-    h = select_at(h, 1, 5)
+    h = h.select("dep", "rea")  # positions 1 and 5 of the reference feed
     s = h.groupBy("dep").agg(round_even(strict_sum("rea") / F.lit(float(n_days))).alias("rea_7jrs"))
     s = s.join(assert_unique(capacity, ["dep"], "department in the capacity table"), "dep", "left")
     s = with_group_totals(s, ["reg"], {"rea_7jrs": strict_sum("rea_7jrs"), "lits": strict_sum("lits")})

@@ -16,7 +16,22 @@ from pyspark.sql import types as T
 BOM = "﻿"
 
 
-def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str) -> DataFrame:
+def one_ordered_file(df: DataFrame, lead: DataFrame | None = None) -> DataFrame:
+    """``df`` in one partition, rows in their current order, optionally after ``lead`` rows.
+
+    ``coalesce(1)`` does not promise to keep partition order, so each row is
+    tagged with ``monotonically_increasing_id`` (partition index, then position:
+    it follows a preceding sort), moved to one partition and sorted on the tag.
+    Only for bounded outputs (chart tables).
+    """
+    body = df.select(F.lit(1).alias("__part"), F.monotonically_increasing_id().alias("__pos"), "*")
+    if lead is not None:
+        head = lead.select(F.lit(0).alias("__part"), F.lit(0).cast("long").alias("__pos"), "*")
+        body = head.unionByName(body)
+    return body.repartition(1).sortWithinPartitions("__part", "__pos").drop("__part", "__pos")
+
+
+def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str) -> tuple[DataFrame, DataFrame]:
     """Header + one text line per row: text columns quoted (doubled inner quotes)
     when ``quote_text``, otherwise refused if they contain a separator, quote or newline."""
     texts, guards = [], []
@@ -37,7 +52,7 @@ def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str) -> DataFrame
                       ).otherwise(line)
     names = [f'"{c}"' if quote_text else c for c in df.columns]
     head = df.sparkSession.range(1).select(F.lit(sep.join(names)).alias("value"))
-    return head.unionAll(df.select(line.alias("value")))
+    return head, df.select(line.alias("value"))
 
 
 def sink_csv(
@@ -57,8 +72,9 @@ def sink_csv(
     bare, X3) or ``"none"`` (no quoting, X2; a row whose text contains the
     separator, a quote or a newline raises, since the file could not be read
     back). ``bom=True`` starts the file with a UTF-8 byte-order mark (X4).
-    ``single_file`` writes one part file: meant for chart tables, whose size is
-    bounded by areas x days.
+    ``single_file`` writes one part file that keeps the row order of ``df``
+    (e.g. a final sort): meant for chart tables, whose size is bounded by areas
+    x days. ``quote="all"`` / ``"none"`` always write one file (one header).
     """
     if quote not in ("minimal", "all", "none"):
         raise ValueError("quote must be 'minimal', 'all' or 'none'")
@@ -66,11 +82,11 @@ def sink_csv(
     if bom:
         out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
     if quote != "minimal":
-        lines = _text_lines(out, sep, quote_text=(quote == "all"), na=na)
-        (lines.coalesce(1) if single_file else lines).write.mode(mode).text(path)
+        head, lines = _text_lines(out, sep, quote_text=(quote == "all"), na=na)
+        one_ordered_file(lines, lead=head).write.mode(mode).text(path)
         return
     (
-        (out.coalesce(1) if single_file else out).write.mode(mode)
+        (one_ordered_file(out) if single_file else out).write.mode(mode)
         .option("header", True)
         .option("sep", sep)
         .option("encoding", "UTF-8")
@@ -107,7 +123,7 @@ def sink_geojson(df: DataFrame, path: str, geometry: str = "geometry", single_fi
     Readable back with ``scan_geojson(..., line_delimited=True)``.
     """
     out = df.select(geojson_feature(df, geometry).alias("value"))
-    (out.coalesce(1) if single_file else out).write.mode("overwrite").text(path)
+    (one_ordered_file(out) if single_file else out).write.mode("overwrite").text(path)
 
 
 def map_layer(
