@@ -45,3 +45,22 @@ def test_group_totals_use_aggregate_not_window(spark):
     plan = _plan(E.queries()["icu_saturation_region"](spark, SF_SMALL))
     # the only windows allowed are none: regional totals are an aggregate joined back
     assert "Window" not in plan
+
+
+def test_latest_and_trailing_days_prune_date_partitions(spark, tmpdir_path):
+    from pyspark.sql import functions as F
+
+    from vigie.operators import latest, trailing_days
+
+    src = spark.range(0, 600).select(
+        (F.col("id") % 7).alias("k"),
+        F.date_add(F.lit("2020-07-01").cast("date"), (F.col("id") % 30).cast("int")).alias("jour"),
+        F.col("id").alias("v"))
+    src.write.partitionBy("jour").parquet(tmpdir_path + "/panel")
+    panel = spark.read.parquet(tmpdir_path + "/panel")
+    for df, n in ((latest(panel, "jour"), 20), (trailing_days(panel, "jour", 7), 140)):
+        assert df.count() == n
+        plan = _plan(df)
+        assert "PartitionFilters: [isnotnull(jour" in plan and "Subquery" in plan
+        # the maximum is read from partition values only
+        assert "ReadSchema: struct<>" in plan
