@@ -120,15 +120,15 @@ def hospital_with_total(spark: SparkSession, d: str) -> DataFrame:
 
 
 def age_share_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return P.age_share_by_day(S.cells(spark, d), AGE_GROUPS)
+    return P.age_share_by_day(S.cells(spark, d, ["age"]), AGE_GROUPS)
 
 
 def age_share_latest(spark: SparkSession, d: str) -> DataFrame:
-    return P.age_share_latest(S.cells(spark, d))
+    return P.age_share_latest(S.cells(spark, d, ["age"]))
 
 
 def sheets_union(spark: SparkSession, d: str) -> DataFrame:
-    return P.deaths_from_sheets(S.cells(spark, d), S.DEATH_YEARS, rows=DEATH_ROWS)
+    return P.deaths_from_sheets(S.cells(spark, d, ["deaths"]), S.DEATH_YEARS, rows=DEATH_ROWS)
 
 
 def icu_map_layer(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +142,7 @@ DEATH_SHEET = "03"
 
 def deaths_sheet_range(spark: SparkSession, d: str) -> DataFrame:
     names = ["date"] + [f"{k}{y}" for y in S.DEATH_YEARS for k in ("dematerialise", "total")]
-    wb = S.cells(spark, d).where(F.col("workbook") == "deaths")
+    wb = S.cells(spark, d, ["deaths"]).where(F.col("workbook") == "deaths")
     out = sheet_range(wb, DEATH_SHEET, f"A{DEATH_ROWS[0]}:G{DEATH_ROWS[1]}", names,
                       ["date"] + ["numeric"] * 6)
     return out.drop("workbook", "sheet_index", "row")

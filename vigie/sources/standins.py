@@ -37,8 +37,21 @@ AGE_BAND = 5                # lineitem quantity band width = one "age group"
 AGE_BANDS = 10
 
 
+_TABLES: dict[tuple[str, str], DataFrame] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A driver table, read once per application (like a catalog table).
+
+    The handle is reused by every feed and query, so the file listing and
+    Parquet footers are read once; the driver tables are immutable.
+    """
+    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
+    key = (spark.sparkContext.applicationId, path)
+    df = _TABLES.get(key)
+    if df is None:
+        df = _TABLES[key] = spark.read.parquet(path)
+    return df
 
 
 def _dep_code(nk: Column) -> Column:
@@ -384,6 +397,13 @@ def deaths_cells(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFra
         sheet_cells(per_dep, F.col("nk") + 2, _dep_code(F.col("nk")), ["nk"]))
 
 
-def cells(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Both workbooks as one long cells table."""
-    return age_cells(spark, sf_dir).unionByName(deaths_cells(spark, sf_dir))
+WORKBOOKS = {"age": age_cells, "deaths": deaths_cells}
+
+
+def cells(spark: SparkSession, sf_dir: str, workbooks=("age", "deaths")) -> DataFrame:
+    """The workbooks as one long cells table (only the ones asked for are built)."""
+    parts = [WORKBOOKS[w](spark, sf_dir) for w in workbooks]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
