@@ -26,8 +26,8 @@ def test_query_matches_oracle(spark, con, name):
         assert r["spark_rows"] > 0
 
 
-def test_every_query_but_the_geojson_round_trip_has_sql():
-    assert set(E.queries()) - set(E.oracle_sql()) == {"geojson_features"}
+def test_every_query_has_sql():
+    assert set(E.queries()) == set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

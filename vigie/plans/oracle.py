@@ -383,3 +383,14 @@ def _icu_map_layer() -> str:
 
 
 ORACLE_SQL["icu_map_layer"] = _icu_map_layer()
+
+
+def _geojson_features() -> str:
+    """The variation layer after a GeoJSON text round trip: geometry keys come back sorted."""
+    geom = ("json_object('coordinates', json_extract(geometry, '$.coordinates'), "
+            "'type', json_extract_string(geometry, '$.type'))")
+    return (f"SELECT dep, date, {NEW}, {OLD}, taux_variation, insee_reg, nom_dep, CAST({geom} AS VARCHAR) AS geometry "
+            f"FROM ({ORACLE_SQL['deaths_variation']})")
+
+
+ORACLE_SQL["geojson_features"] = _geojson_features()

@@ -47,7 +47,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Parquet footers are read once; the driver tables are immutable.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (spark.sparkContext.applicationId, path)
+    try:
+        app = spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        app = str(id(spark))
+    key = (app, path)
     df = _TABLES.get(key)
     if df is None:
         df = _TABLES[key] = spark.read.parquet(path)
