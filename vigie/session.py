@@ -20,6 +20,27 @@ RECOMMENDED_CONF = {
 }
 
 
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+    """Partition sizing for a run over ``input_bytes`` of Parquet on ``total_cores`` task slots.
+
+    Initial shuffle partitions are sized so that each holds about
+    ``target_partition_bytes`` of the largest shuffle (bounded by the input
+    size, since every shuffle here reads at most its input once) and are at
+    least twice the cores; AQE then coalesces small ones and splits skewed
+    ones. File splits are capped so scan tasks also stay near the target.
+    E.g. 100 TB on 8000 cores gives 819200 shuffle partitions of ~128 MB.
+    """
+    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    return {
+        **RECOMMENDED_CONF,
+        "spark.sql.shuffle.partitions": str(partitions),
+        "spark.sql.adaptive.coalescePartitions.initialPartitionNum": str(partitions),
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(target_partition_bytes),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(4 * target_partition_bytes),
+    }
+
+
 def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str = "vigie",
                   extra: dict | None = None) -> SparkSession:
     """A local session for tests and the benchmark (UI off)."""
