@@ -28,7 +28,7 @@ def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int
     size, since every shuffle here reads at most its input once) and are at
     least twice the cores; AQE then coalesces small ones and splits skewed
     ones. File splits are capped so scan tasks also stay near the target.
-    E.g. 100 TB on 8000 cores gives 819200 shuffle partitions of ~128 MB.
+    E.g. 100 TB on 8000 cores gives about 745,000 shuffle partitions of 128 MiB.
     """
     partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
     return {
