@@ -3,7 +3,7 @@
 import datetime as dt
 
 from vigie import operators as O
-from vigie.plans import pipelines as P
+from vigie.plans import composed as P
 
 from .conftest import rows
 

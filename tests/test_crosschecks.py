@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from vigie.functions import classify
-from vigie.plans import pipelines as P
+from vigie.plans import composed as P
 from vigie.plans import queries as Q
 from vigie.sources import standins as S
 

@@ -1 +1 @@
-"""Composed pipelines (I1-I16) and the registered queries."""
+"""Composed operators (I1-I16), jobs and the registered queries."""

@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import checkpoint_dir
 from ..sinks.writers import map_layer, sink_csv, sink_geojson
-from . import pipelines as P
+from . import composed as P
 
 
 def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:

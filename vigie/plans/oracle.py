@@ -11,7 +11,7 @@ from __future__ import annotations
 from ..functions.classes import TRAFFIC_LIGHT
 from ..functions.dates import MONTHS_FR, MONTHS_FR_SHORT
 from ..sources import standins as S
-from . import pipelines as P
+from . import composed as P
 from . import queries as Q
 
 

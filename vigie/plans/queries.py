@@ -19,7 +19,7 @@ from ..operators.panel import join_on
 from ..operators.cells import sheet_range
 from ..sinks.writers import geojson_feature, map_layer, parse_geojson_feature
 from ..sources import standins as S
-from . import pipelines as P
+from . import composed as P
 
 
 # Stand-in parameters for the driver tables (the reference's values are the
