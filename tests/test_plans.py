@@ -64,3 +64,15 @@ def test_latest_and_trailing_days_prune_date_partitions(spark, tmpdir_path):
         assert "PartitionFilters: [isnotnull(jour" in plan and "Subquery" in plan
         # the maximum is read from partition values only
         assert "ReadSchema: struct<>" in plan
+
+
+def test_geography_join_builds_on_the_statistics_side(spark):
+    import re
+
+    df = E.queries()["latest_class_geo"](spark, SF_SMALL)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    final = re.search(r"== Final Plan ==(.*?)\+- == Initial Plan ==", plan, re.S).group(1)
+    outer = [line for line in final.splitlines() if "Outer" in line]
+    # the preserved side (every polygon) is never the broadcast build side
+    assert outer and all("RightOuter, BuildLeft" in line or "SortMergeJoin" in line for line in outer)
