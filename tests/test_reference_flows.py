@@ -92,3 +92,58 @@ def test_hospital_table_from_semicolon_feed(spark, tmpdir_path):
     total = [r for r in out if r.dep == "Region total" and r.jour == "18/07/2020"][0]
     assert total.hospitalisations == sum(10 * k for k in range(1, 5))
     assert total.hosp_sans_rea == sum(10 * k - k for k in range(1, 5))
+
+
+def _indicator_files(tmp):
+    nat = ["extract_date,tx_incid,tx_pos,taux_occupation_sae",
+           "2020-07-22,5.04,1.125,3.0", "2020-07-23,5.05,NaN,2.5", "2020-07-24,5.15,1.135,"]
+    dep = ["extract_date,departement,libelle_dep,region,libelle_reg,tx_incid,tx_incid_couleur,tx_pos,R,"
+           "taux_occupation_sae,taux_occupation_sae_couleur"]
+    rows = [("2020-07-23", "22", "Côtes-d'Armor", "53", "Bretagne", "4.0", "vert", "4.99", "0.8", "1.0", "vert"),
+            ("2020-07-24", "22", "Côtes-d'Armor", "53", "Bretagne", "12.5", "orange", "5.0", "1.25", "", ""),
+            ("2020-07-24", "29", "Finistère", "53", "Bretagne", "", "", "10.0", "1.25", "2.0", "vert"),
+            ("2020-07-24", "01", "Ain", "84", "Auvergne-Rhône-Alpes", "60.0", "rouge", "", "", "", ""),
+            ("2020-07-23", "01", "Ain", "84", "Auvergne-Rhône-Alpes", "50.0", "rouge", "3.0", "1.0", "", "")]
+    dep += [",".join(r) for r in rows]
+    regions = 'code,nom,geometry\n53,Bretagne,"{""type"":""Point"",""coordinates"":[1,2]}"\n' \
+              '84,Auvergne-Rhône-Alpes,"{""type"":""Point"",""coordinates"":[3,4]}"\n' \
+              '11,Île-de-France,"{""type"":""Point"",""coordinates"":[5,6]}"\n'
+    p = {k: os.path.join(tmp, k) for k in ("nat.csv", "dep.csv", "reg.csv")}
+    _write(p["nat.csv"], "\n".join(nat) + "\n")
+    with open(p["dep.csv"], "wb") as fh:
+        fh.write(("\n".join(dep) + "\n").encode("latin-1"))
+    _write(p["reg.csv"], regions)
+    return p
+
+
+def test_indicator_script_flow(spark, tmpdir_path):
+    from pyspark.sql import types as T
+
+    f = _indicator_files(tmpdir_path)
+    nat = scan_csv(spark, f["nat.csv"], schemas.INDICATORS_NATIONAL)
+    dep = scan_csv(spark, f["dep.csv"], schemas.INDICATORS_DEPARTMENT, encoding="ISO-8859-1")
+    reg = scan_csv(spark, f["reg.csv"], schemas.REGION_GEO)
+
+    # NaN dropped like NA, half-even on the decimal value
+    pos = {r.extract_date.day: r.p for r in P.national_series(nat, "tx_pos", 2, "p").collect()}
+    assert pos == {22: 1.12, 24: 1.14}
+    # Region 53 with the national comparator of the same date
+    i2 = sorted(tuple(r) for r in P.regional_with_national(dep, nat, "53", "tx_incid", "d", "n", None, 1).collect())
+    assert i2 == [(dt.date(2020, 7, 23), "Côtes-d'Armor", 4.0, 5.0), (dt.date(2020, 7, 24), "Côtes-d'Armor", 12.5, 5.2)]
+    # I4: latest date with positivity (07-24), reference cuts 5 / 10, lower class strict
+    geo = spark.createDataFrame([("22", "g22", "c"), ("29", "g29", "f"), ("35", "g35", "i")],
+                                "insee_dep string, geometry string, nom_minuscules string")
+    i4 = {r.code_dep: r.couleur for r in P.latest_classified(dep, geo, "tx_pos").collect()}
+    assert i4 == {"22": "orange", "29": "rouge", "35": None}
+    # Latest R per region on every region polygon, French date, sentence
+    i5 = {r.nom: r for r in P.latest_commentary(dep, reg, as_of="2020-07-24 18:05:00").collect()}
+    assert i5["Bretagne"].commentaire == ("Facteur de reproduction R de <b>1.25</b> au <b>24 juillet</b>, "
+                                          "ce qui correspond au classement orange")
+    assert i5["Bretagne"].classement_R == "R entre 1 et 1.5" and i5["Bretagne"].date_maj == "24 juillet, 18h"
+    assert i5["Île-de-France"].commentaire == "Pas d'estimation disponible pour cette date"
+    assert i5["Auvergne-Rhône-Alpes"].R is None            # its R is on 07-23, not the latest date
+    # One row per date, one column per region
+    i6 = {r.extract_date.day: (r["Bretagne"], r["Auvergne-Rhône-Alpes"])
+          for r in P.history_wide(dep, ["Bretagne", "Auvergne-Rhône-Alpes"]).collect()}
+    assert i6 == {23: (0.8, 1.0), 24: (1.25, None)}
+    assert isinstance(dep.schema["departement"].dataType, T.StringType)
