@@ -13,11 +13,47 @@ def test_land_feed_is_incremental(spark, tmpdir_path):
     head = "dep;sexe;jour;hosp;rea;rad;dc\n"
     with open(os.path.join(src, "d1.csv"), "w") as f:
         f.write(head + "22;0;2020-03-18;2;0;1;0\n29;0;2020-03-18;3;1;0;0\n")
-    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
+    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";", mode="append")
     assert spark.read.parquet(panel).count() == 2
     with open(os.path.join(src, "d2.csv"), "w") as f:
         f.write(head + "22;0;2020-03-19;4;1;0;0\n")
-    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
+    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";", mode="append")
     df = spark.read.parquet(panel)
     assert df.count() == 3
     assert sorted(os.listdir(panel))[:2] == ["_spark_metadata", "jour=2020-03-18"]
+
+
+def test_land_feed_full_republication_replaces_dates(spark, tmpdir_path):
+    import time
+
+    src = os.path.join(tmpdir_path, "drops")
+    os.makedirs(src)
+    panel, ckpt = os.path.join(tmpdir_path, "panel"), os.path.join(tmpdir_path, "ckpt")
+    head = "dep;sexe;jour;hosp;rea;rad;dc\n"
+    with open(os.path.join(src, "full-1.csv"), "w") as f:
+        f.write(head + "22;0;2020-03-18;2;0;1;0\n22;0;2020-03-19;3;1;0;0\n")
+    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
+    time.sleep(1.1)
+    # next day's full file: history again, a corrected value for 03-19, one new date
+    with open(os.path.join(src, "full-2.csv"), "w") as f:
+        f.write(head + "22;0;2020-03-18;2;0;1;0\n22;0;2020-03-19;4;1;0;0\n22;0;2020-03-20;5;2;0;0\n")
+    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
+    got = sorted((str(r.jour), r.hosp) for r in spark.read.parquet(panel).collect())
+    assert got == [("2020-03-18", 2), ("2020-03-19", 4), ("2020-03-20", 5)]
+
+
+def test_two_drops_in_one_batch_keep_the_newest_per_date(spark, tmpdir_path):
+    import time
+
+    src = os.path.join(tmpdir_path, "drops")
+    os.makedirs(src)
+    panel, ckpt = os.path.join(tmpdir_path, "panel"), os.path.join(tmpdir_path, "ckpt")
+    head = "dep;sexe;jour;hosp;rea;rad;dc\n"
+    with open(os.path.join(src, "a.csv"), "w") as f:
+        f.write(head + "22;0;2020-03-18;1;0;0;0\n29;0;2020-03-18;1;0;0;0\n")
+    time.sleep(1.1)
+    with open(os.path.join(src, "b.csv"), "w") as f:
+        f.write(head + "22;0;2020-03-18;7;0;0;0\n")
+    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
+    got = sorted((r.dep, r.hosp) for r in spark.read.parquet(panel).collect())
+    assert got == [("22", 7)]

@@ -1,19 +1,45 @@
 """Land daily CSV drops as a date-partitioned Parquet panel.
 
 The reference re-reads each full feed on every run. Here new files dropped
-in a directory are appended once to a Parquet panel partitioned by date, so
+in a directory are landed once into a Parquet panel partitioned by date, so
 the panel pipelines read columnar data and the ``latest`` / ``trailing_days``
-filters can prune partitions. The stream runs with ``availableNow`` (process
-what is there, then stop) and keeps its progress in a checkpoint, so a lost
+filters prune partitions. The stream runs with ``availableNow`` (process what
+is there, then stop) and keeps its progress in a checkpoint, so a lost
 executor or a rerun neither loses nor duplicates a file.
+
+Two landing modes:
+
+* ``"append"``: every drop holds new rows only (incremental files).
+* ``"replace_dates"``: every drop is authoritative for the dates it contains
+  (a feed republished in full, with corrections). Each micro-batch overwrites
+  exactly those date partitions (dynamic partition overwrite), which is also
+  idempotent when a batch is retried; when one batch holds several drops, a
+  date is taken from the newest file that contains it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StreamingQuery
 
+from ..operators.panel import join_on
+
+
+def newest_file_per_date(batch: DataFrame, date_col: str) -> DataFrame:
+    """Rows of ``batch`` whose source file is the newest one holding their date.
+
+    ``batch`` carries ``__file_time`` and ``__file``; ties on time go to the
+    larger file name. The newest file per date is an aggregate (one row per
+    date) joined back, so a date with many rows is never gathered in one task.
+    """
+    rank = F.struct("__file_time", "__file")
+    newest = batch.groupBy(date_col).agg(F.max(rank).alias("__newest"))
+    # null-safe: rows whose date did not parse are kept (they land in the default partition)
+    tagged = join_on(batch.withColumn("__rank", rank), newest, [date_col], how="inner", na_matches="na")
+    return tagged.where(F.col("__rank") == F.col("__newest")).drop("__file_time", "__file", "__rank", "__newest")
+
 
 def land_feed(
     spark: SparkSession,
@@ -24,9 +50,12 @@ def land_feed(
     date_col: str,
     sep: str = ",",
     encoding: str = "UTF-8",
+    mode: str = "replace_dates",
     wait: bool = True,
 ) -> StreamingQuery:
-    """Append every new CSV file of ``source_dir`` to ``panel_dir`` (partitioned by ``date_col``)."""
+    """Land every new CSV file of ``source_dir`` into ``panel_dir`` (partitioned by ``date_col``)."""
+    if mode not in ("append", "replace_dates"):
+        raise ValueError("mode must be 'append' or 'replace_dates'")
     stream = (
         spark.readStream.schema(schema)
         .option("header", True)
@@ -35,15 +64,20 @@ def land_feed(
         .option("dateFormat", "yyyy-MM-dd")
         .csv(source_dir)
     )
-    query = (
-        stream.writeStream.format("parquet")
-        .option("path", panel_dir)
-        .option("checkpointLocation", checkpoint_dir)
-        .partitionBy(date_col)
-        .outputMode("append")
-        .trigger(availableNow=True)
-        .start()
-    )
+    writer = stream.writeStream.option("checkpointLocation", checkpoint_dir).trigger(availableNow=True)
+    if mode == "append":
+        writer = writer.format("parquet").option("path", panel_dir).partitionBy(date_col).outputMode("append")
+    else:
+        stream = stream.select("*", F.col("_metadata.file_modification_time").alias("__file_time"),
+                               F.col("_metadata.file_path").alias("__file"))
+
+        def replace(batch: DataFrame, _batch_id: int) -> None:
+            (newest_file_per_date(batch, date_col).write.mode("overwrite")
+             .option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(panel_dir))
+
+        writer = stream.writeStream.option("checkpointLocation", checkpoint_dir) \
+            .trigger(availableNow=True).foreachBatch(replace)
+    query = writer.start()
     if wait:
         query.awaitTermination()
     return query
