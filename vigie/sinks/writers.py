@@ -1,8 +1,9 @@
 """Writers for chart-ready tables.
 
 Files are written by the executors (one part file per task); ``single_file``
-coalesces to one task only for outputs whose size is bounded by the number of
-areas x days, which is what the chart tables are.
+moves the rows to one ordered partition (``one_ordered_file``) and is meant
+only for outputs whose size is bounded by the number of areas x days, which is
+what the chart tables are.
 """
 
 from __future__ import annotations
