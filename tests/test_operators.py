@@ -105,6 +105,12 @@ def test_pivot_wide_and_duplicate_error(spark):
         O.pivot_wide(dup, ["d"], "reg", "r", ["A", "B"]).collect()
 
 
+def test_pivot_wide_discovers_names(spark):
+    df = spark.createDataFrame([(1, "B", 1.0), (2, "A", 3.0)], "d int, reg string, r double")
+    out = O.pivot_wide(df, ["d"], "reg", "r", None)
+    assert out.columns == ["d", "A", "B"] and rows(out) == [(1, None, 1.0), (2, 3.0, None)]
+
+
 def test_unpivot_pivot_round_trip_keeps_nulls(spark):
     wide = spark.createDataFrame([(1, 1.0, None), (2, 3.0, 4.0)], "d int, A double, B double")
     long = O.unpivot_long(wide, ["d"], names_to="reg", values_to="r")

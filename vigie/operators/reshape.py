@@ -13,22 +13,26 @@ def pivot_wide(
     id_cols: Sequence[str],
     names_from: str,
     values_from: str,
-    names: Sequence,
+    names: Sequence | None,
     aliases: Sequence[str] | None = None,
 ) -> DataFrame:
-    """``pivot_wider`` with an explicit list of new columns.
+    """``pivot_wider``.
 
     A cell that would receive two rows raises an error instead of silently
-    keeping one (Q19). The list of names is explicit so that Spark does not
-    run an extra job to discover it and the output schema is stable.
+    keeping one (Q19). Pass the new columns in ``names`` so that the output
+    schema is stable and no extra job runs; ``names=None`` lets Spark list the
+    distinct values first (one more job, at most ``spark.sql.pivotMaxValues``
+    labels, which is meant for label columns such as region names).
     """
-    cells = df.groupBy(*id_cols).pivot(names_from, list(names)).agg(
+    grouped = df.groupBy(*id_cols)
+    pivoted = grouped.pivot(names_from) if names is None else grouped.pivot(names_from, list(names))
+    cells = pivoted.agg(
         F.when(
             F.count(F.lit(1)) > 1,
             F.raise_error(F.lit(f"pivot_wide: several values for one cell of {values_from}")),
         ).otherwise(F.max(values_from))
     )
-    if aliases is not None:
+    if aliases is not None and names is not None:
         cells = cells.withColumnsRenamed({str(n): a for n, a in zip(names, aliases)})
     return cells
 

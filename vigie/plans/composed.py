@@ -132,9 +132,9 @@ def latest_commentary(dep: DataFrame, region_geo: DataFrame, cuts: Sequence[floa
                     "commentaire", "date_maj")
 
 
-def history_wide(dep: DataFrame, areas: Sequence[str], measure: str = "R",
+def history_wide(dep: DataFrame, areas: Sequence[str] | None, measure: str = "R",
                  area_col: str = "libelle_reg", sort: bool = False) -> DataFrame:
-    """One row per date, one column per area (``areas`` lists the columns)."""
+    """One row per date, one column per area (``areas`` lists the columns; None discovers them)."""
     long = keep_present(dep.select("extract_date", area_col, measure), measure).distinct()
     return _sorted(pivot_wide(long, ["extract_date"], area_col, measure, areas), sort, "extract_date")
 
