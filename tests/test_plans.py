@@ -30,7 +30,11 @@ def test_aggregations_are_partial_before_the_shuffle(spark):
 
 
 def test_year_span_reaches_the_orders_scan(spark):
-    df = E.queries()["deaths_variation"](spark, SF_SMALL)
+    from vigie.sources import standins as S
+
+    # asserted on the feed derivation: the registered query reads the feed
+    # from its checkpoint when the session names a checkpoint folder
+    df = S.deaths_cumulative(spark, SF_SMALL)
     plan = df._jdf.queryExecution().sparkPlan().toString()
     assert "GreaterThanOrEqual(o_orderdate" in plan and "LessThan(o_orderdate" in plan
 
@@ -76,3 +80,10 @@ def test_geography_join_builds_on_the_statistics_side(spark):
     outer = [line for line in final.splitlines() if "Outer" in line]
     # the preserved side (every polygon) is never the broadcast build side
     assert outer and all("RightOuter, BuildLeft" in line or "SortMergeJoin" in line for line in outer)
+
+
+def test_reused_feeds_are_checkpointed_when_a_folder_is_named(spark):
+    plan = _plan(E.queries()["combined_indicators"](spark, SF_SMALL))
+    # the three regional tables and their comparator read two checkpointed feeds,
+    # not the orders table
+    assert "orders.parquet" not in plan and "ExistingRDD" in plan

@@ -16,6 +16,7 @@ from ..functions.numbers import round_even, to_text
 from ..operators.aggregates import peak
 from ..operators.columns import mutate_typed
 from ..operators.panel import join_on
+from ..session import reuse
 from ..operators.cells import sheet_range
 from ..sinks.writers import geojson_feature, map_layer, parse_geojson_feature
 from ..sources import standins as S
@@ -38,6 +39,13 @@ AS_OF = "2024-02-01 09:30:00"
 NEW, OLD = f"total{S.DEATH_YEARS[0]}", f"total{S.DEATH_YEARS[1]}"
 
 
+# A derived feed that one plan reads more than once (the latest-date subquery
+# and the rows it filters, the three regional tables, an anchored 7-day
+# window, the three cell-block reads) goes through ``reuse``: computed once and
+# checkpointed when the session names a checkpoint folder. A feed read once
+# stays a lazy plan, so Catalyst keeps pushing filters into its scans.
+
+
 def _nat(spark, d):
     return S.indicators_national(spark, d)
 
@@ -46,6 +54,18 @@ def _dep(spark, d):
     return S.indicators_department(spark, d)
 
 
+def _hosp(spark, d):
+    return S.hospital_daily(spark, d)
+
+
+def _deaths(spark, d):
+    return S.deaths_cumulative(spark, d)
+
+
+def _cells(spark, d, workbooks):
+    return S.cells(spark, d, workbooks)
+
+
 def national_series(spark: SparkSession, d: str) -> DataFrame:
     return P.national_series(_nat(spark, d), "tx_pos", 2, "tx_pos_national")
 
@@ -60,7 +80,7 @@ def regional_with_national(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _regional_three(spark, d):
-    dep, nat = _dep(spark, d), _nat(spark, d)
+    dep, nat = reuse(_dep(spark, d)), reuse(_nat(spark, d))
     incid = P.regional_with_national(dep, nat, REGION, "tx_incid", "tx_incid_departemental",
                                      "tx_incid_national", None, 1)
     pos = P.regional_with_national(dep, nat, REGION, "tx_pos", "tx_pos_departemental", "tx_pos_national", 2, 2)
@@ -74,20 +94,20 @@ def combined_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 
 def latest_snapshot_geo(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest_on_geography(_dep(spark, d), S.department_geo(spark, d), "tx_incid", "tx_incid_couleur")
+    return P.latest_on_geography(reuse(_dep(spark, d)), S.department_geo(spark, d), "tx_incid", "tx_incid_couleur")
 
 
 def latest_occupancy_geo(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest_on_geography(_dep(spark, d), S.department_geo(spark, d), "taux_occupation_sae",
+    return P.latest_on_geography(reuse(_dep(spark, d)), S.department_geo(spark, d), "taux_occupation_sae",
                                  "taux_occupation_sae_couleur")
 
 
 def latest_class_geo(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest_classified(_dep(spark, d), S.department_geo(spark, d), "tx_pos", POSITIVITY_CUTS)
+    return P.latest_classified(reuse(_dep(spark, d)), S.department_geo(spark, d), "tx_pos", POSITIVITY_CUTS)
 
 
 def r_latest_commentary(spark: SparkSession, d: str) -> DataFrame:
-    return P.latest_commentary(_dep(spark, d), S.region_geo(spark, d), as_of=AS_OF)
+    return P.latest_commentary(reuse(_dep(spark, d)), S.region_geo(spark, d), as_of=AS_OF)
 
 
 def r_history_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -95,7 +115,7 @@ def r_history_wide(spark: SparkSession, d: str) -> DataFrame:
 
 
 def er_rate_7d(spark: SparkSession, d: str) -> DataFrame:
-    return P.er_rate(S.er_visits(spark, d), S.department_geo(spark, d), 7, ER_CUTS)
+    return P.er_rate(reuse(S.er_visits(spark, d)), S.department_geo(spark, d), 7, ER_CUTS)
 
 
 def capacity_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -104,31 +124,31 @@ def capacity_clean(spark: SparkSession, d: str) -> DataFrame:
 
 def icu_saturation_region(spark: SparkSession, d: str) -> DataFrame:
     cap = P.clean_capacity(S.icu_capacity(spark, d))
-    return P.icu_saturation(S.hospital_daily(spark, d), cap, S.department_geo(spark, d), 7, ICU_CUTS)
+    return P.icu_saturation(reuse(_hosp(spark, d)), cap, S.department_geo(spark, d), 7, ICU_CUTS)
 
 
 def deaths_variation(spark: SparkSession, d: str) -> DataFrame:
-    return P.year_variation(S.deaths_cumulative(spark, d), S.department_geo(spark, d), NEW, OLD)
+    return P.year_variation(reuse(_deaths(spark, d)), S.department_geo(spark, d), NEW, OLD)
 
 
 def deaths_daily_region(spark: SparkSession, d: str) -> DataFrame:
-    return P.daily_from_cumulative(S.deaths_cumulative(spark, d), REGION_TOTAL_OF, S.DEATH_YEARS)
+    return P.daily_from_cumulative(_deaths(spark, d), REGION_TOTAL_OF, S.DEATH_YEARS)
 
 
 def hospital_with_total(spark: SparkSession, d: str) -> DataFrame:
-    return P.hospital_table(S.hospital_daily(spark, d), REGION_AREAS, REGION_TOTAL_OF, REGION_TOTAL_LABEL)
+    return P.hospital_table(reuse(_hosp(spark, d)), REGION_AREAS, REGION_TOTAL_OF, REGION_TOTAL_LABEL)
 
 
 def age_share_by_day(spark: SparkSession, d: str) -> DataFrame:
-    return P.age_share_by_day(S.cells(spark, d, ["age"]), AGE_GROUPS)
+    return P.age_share_by_day(reuse(_cells(spark, d, ["age"])), AGE_GROUPS)
 
 
 def age_share_latest(spark: SparkSession, d: str) -> DataFrame:
-    return P.age_share_latest(S.cells(spark, d, ["age"]))
+    return P.age_share_latest(reuse(_cells(spark, d, ["age"])))
 
 
 def sheets_union(spark: SparkSession, d: str) -> DataFrame:
-    return P.deaths_from_sheets(S.cells(spark, d, ["deaths"]), S.DEATH_YEARS, rows=DEATH_ROWS)
+    return P.deaths_from_sheets(_cells(spark, d, ["deaths"]), S.DEATH_YEARS, rows=DEATH_ROWS)
 
 
 def icu_map_layer(spark: SparkSession, d: str) -> DataFrame:
@@ -142,7 +162,7 @@ DEATH_SHEET = "03"
 
 def deaths_sheet_range(spark: SparkSession, d: str) -> DataFrame:
     names = ["date"] + [f"{k}{y}" for y in S.DEATH_YEARS for k in ("dematerialise", "total")]
-    wb = S.cells(spark, d, ["deaths"]).where(F.col("workbook") == "deaths")
+    wb = _cells(spark, d, ["deaths"]).where(F.col("workbook") == "deaths")
     out = sheet_range(wb, DEATH_SHEET, f"A{DEATH_ROWS[0]}:G{DEATH_ROWS[1]}", names,
                       ["date"] + ["numeric"] * 6)
     return out.drop("workbook", "sheet_index", "row")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size checks: a join side is broadcast only when
 # the bytes measured after its shuffle stage are under the adaptive threshold,
@@ -73,3 +73,17 @@ def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     spark.conf.set("spark.checkpoint.dir", fallback)
     spark.sparkContext.setCheckpointDir(fallback)
     return fallback
+
+
+def reuse(df: DataFrame) -> DataFrame:
+    """A derived table that a plan reads several times, computed once.
+
+    When the session names a shared ``spark.checkpoint.dir`` (a cluster, or a
+    test that set one), the table is checkpointed there eagerly: later reads
+    hit the written files, lineage is cut, and a lost executor costs a re-read,
+    not a re-derivation. Without one, the lazy plan is returned unchanged
+    (never a machine-local folder, never ``localCheckpoint``).
+    """
+    if not df.sparkSession.conf.get("spark.checkpoint.dir", None):
+        return df
+    return df.checkpoint(eager=True)
