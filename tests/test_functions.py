@@ -133,3 +133,8 @@ def test_rows_helper_orders_nulls_first(spark):
 def test_parse_day_month_keeps_a_full_date(spark):
     out = _one(spark, [("06/04",), ("29/02",), ("31/02",)], "s string", V.parse_day_month("s", 2020))
     assert out == [dt.date(2020, 4, 6), dt.date(2020, 2, 29), None]
+
+
+def test_round_even_large_values_do_not_overflow(spark):
+    out = _one(spark, [(123456789012345.5,), (-2.5e13,), (999999999999.5,)], "x double", V.round_even("x"))
+    assert out == [123456789012346.0, -2.5e13, 1000000000000.0]

@@ -14,9 +14,11 @@ from pyspark.sql import functions as F
 from ._util import col
 
 _INF = float("inf")
-# DECIMAL used as the exact intermediate of round_even; wide enough for rates,
-# counts and averages (|x| < 1e12).
+# DECIMAL used as the exact intermediate of round_even; it holds |x| < 1e12.
+# Larger values keep no meaningful fraction in a double and are rounded as
+# doubles directly.
 ROUND_DECIMAL = "decimal(18,6)"
+DECIMAL_LIMIT = 1e12
 
 
 def finite(c: Column | str) -> Column:
@@ -28,7 +30,11 @@ def round_even(c: Column | str, digits: int = 0) -> Column:
     """Round half to even to ``digits`` decimals; result is DOUBLE."""
     c = col(c).cast("double")
     rounded = F.bround(c.cast(ROUND_DECIMAL), digits).cast("double")
-    return F.when(finite(c), rounded).otherwise(c)
+    return (
+        F.when(~finite(c), c)
+        .when(F.abs(c) < F.lit(DECIMAL_LIMIT), rounded)
+        .otherwise(F.bround(c, digits))
+    )
 
 
 def number_text(c: Column | str, max_digits: int = 10) -> Column:

@@ -25,6 +25,7 @@ def present(x: str) -> str:
 
 def rnd(x: str, digits: int = 0) -> str:
     return (f"(CASE WHEN isnan({x}) OR isinf({x}) THEN {x} "
+            f"WHEN abs({x}) >= 1e12 THEN round_even({x}, {digits}) "
             f"ELSE CAST(round_even(CAST({x} AS DECIMAL(18,6)), {digits}) AS DOUBLE) END)")
 
 
