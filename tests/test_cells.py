@@ -74,3 +74,11 @@ def test_sheets_to_table_skips_first_sheet(spark):
                        ("w", 3, "29", 5, 1, "2020-03-01"), ("w", 3, "29", 5, 2, "4")])
     out = O.sheets_to_table(c, (5, 65), (1, 2), ["date", "total2020"], ["date", "numeric"])
     assert rows(out, "dep", "total2020") == [("22", 3.0), ("29", 4.0)]
+
+
+def test_cell_range_refuses_a_cell_address_given_twice(spark):
+    import pytest
+
+    c = _cells(spark, [("w", 2, "22", 5, 1, "1"), ("w", 2, "22", 5, 1, "2")])
+    with pytest.raises(Exception, match="(?i)duplicate"):
+        O.cell_range(c, (5, 5), (1, 1), ["v"]).collect()
