@@ -89,6 +89,7 @@ def test_hospital_table_from_semicolon_feed(spark, tmpdir_path):
     out = P.hospital_table(hosp, labels, DEPS, "Region total").collect()
     assert len(out) == 8 * 6                                    # 8 days x (5 departments + total)
     assert out[0].jour == "18/07/2020" and out[-1].jour == "25/07/2020"
+    assert [r.dep for r in out[:6]] == ["Region total", "Dep A", "Dep B", "Dep C", "Dep D", "Dep X"]
     total = [r for r in out if r.dep == "Region total" and r.jour == "18/07/2020"][0]
     assert total.hospitalisations == sum(10 * k for k in range(1, 5))
     assert total.hosp_sans_rea == sum(10 * k - k for k in range(1, 5))

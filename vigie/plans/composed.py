@@ -237,7 +237,9 @@ def hospital_table(hosp: DataFrame, labels: Mapping[str, str], total_of: Sequenc
     out = append_total(detail, members, ["jour"], HOSPITAL_MEASURES, "dep", total_label)
     out = select_as(out, {"jour": "jour", "dep": "dep", "hospitalisations": "hosp", "reanimations": "rea",
                           "retours_domicile": "rad", "deces": "dc", "hosp_sans_rea": "hosp_sans_rea"})
-    out = _sorted(out, sort, "jour")
+    if sort:
+        # by day, the total row first (as it is bound first), then departments
+        out = out.orderBy("jour", (F.col("dep") != F.lit(total_label)).alias("detail"), "dep")
     return out.withColumn("jour", day_month_year("jour"))
 
 

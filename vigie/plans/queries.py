@@ -190,7 +190,8 @@ POSITIVITY_LEGEND = [
 
 def null_safe_join(spark: SparkSession, d: str) -> DataFrame:
     layer = latest_class_geo(spark, d)
-    legend = spark.createDataFrame(POSITIVITY_LEGEND, "couleur string, legende string")
+    # a literal of four rows: its size bound is proven, so it is broadcast explicitly
+    legend = F.broadcast(spark.createDataFrame(POSITIVITY_LEGEND, "couleur string, legende string"))
     return join_on(layer, legend, ["couleur"], how="left", na_matches="na")
 
 
