@@ -57,3 +57,17 @@ def test_two_drops_in_one_batch_keep_the_newest_per_date(spark, tmpdir_path):
     land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
     got = sorted((r.dep, r.hosp) for r in spark.read.parquet(panel).collect())
     assert got == [("22", 7)]
+
+
+def test_land_feed_defaults_to_the_shared_checkpoint_folder(spark, tmpdir_path):
+    import glob
+
+    src = os.path.join(tmpdir_path, "drops")
+    os.makedirs(src)
+    panel = os.path.join(tmpdir_path, "panel")
+    with open(os.path.join(src, "d1.csv"), "w") as f:
+        f.write("dep;sexe;jour;hosp;rea;rad;dc\n22;0;2020-03-18;2;0;1;0\n")
+    land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, None, "jour", sep=";")
+    assert spark.read.parquet(panel).count() == 1
+    shared = spark.conf.get("spark.checkpoint.dir")
+    assert glob.glob(os.path.join(shared, "vigie-streams", "*", "offsets"))

@@ -46,16 +46,27 @@ def land_feed(
     source_dir: str,
     schema: T.StructType,
     panel_dir: str,
-    checkpoint_dir: str,
+    checkpoint_dir: str | None,
     date_col: str,
     sep: str = ",",
     encoding: str = "UTF-8",
     mode: str = "replace_dates",
     wait: bool = True,
 ) -> StreamingQuery:
-    """Land every new CSV file of ``source_dir`` into ``panel_dir`` (partitioned by ``date_col``)."""
+    """Land every new CSV file of ``source_dir`` into ``panel_dir`` (partitioned by ``date_col``).
+
+    ``checkpoint_dir=None`` keeps the stream's progress under the session's
+    shared ``spark.checkpoint.dir``, in a folder named after the panel path.
+    """
     if mode not in ("append", "replace_dates"):
         raise ValueError("mode must be 'append' or 'replace_dates'")
+    if checkpoint_dir is None:
+        import hashlib
+
+        from ..session import checkpoint_dir as shared_dir
+
+        key = hashlib.sha1(panel_dir.encode()).hexdigest()[:16]
+        checkpoint_dir = f"{shared_dir(spark).rstrip('/')}/vigie-streams/{key}"
     stream = (
         spark.readStream.schema(schema)
         .option("header", True)
