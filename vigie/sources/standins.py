@@ -37,7 +37,14 @@ AGE_BAND = 5                # lineitem quantity band width = one "age group"
 AGE_BANDS = 10
 
 
-_TABLES: dict[tuple[str, str], DataFrame] = {}
+_TABLES: dict[tuple, DataFrame] = {}
+
+
+def _app(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # sessions without a SparkContext (Spark Connect)
+        return str(id(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -47,17 +54,36 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     Parquet footers are read once; the driver tables are immutable.
     """
     path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # sessions without a SparkContext (Spark Connect)
-        app = str(id(spark))
-    key = (app, path)
+    key = (_app(spark), path)
     df = _TABLES.get(key)
     if df is None:
         df = _TABLES[key] = spark.read.parquet(path)
     return df
 
 
+_FEEDS: dict[tuple, DataFrame] = {}
+
+
+def feed(fn):
+    """Define a feed once per application and tables folder (like a view).
+
+    Only the lazy plan is kept: every query that uses the feed still runs
+    all of its work. Defining it once spares the repeated analysis of its
+    windows and subqueries on the driver.
+    """
+    import functools
+
+    @functools.wraps(fn)
+    def defined(spark: SparkSession, sf_dir: str, *args, **kwargs):
+        key = (_app(spark), sf_dir.rstrip("/"), fn.__name__, args, tuple(sorted(kwargs.items())))
+        df = _FEEDS.get(key)
+        if df is None:
+            df = _FEEDS[key] = fn(spark, sf_dir, *args, **kwargs)
+        return df
+
+    return defined
+
+
 def _dep_code(nk: Column) -> Column:
     """Department code of a nation: two digits, overseas areas on three."""
     out = None
@@ -96,6 +122,7 @@ def _measures() -> list[Column]:
     ]
 
 
+@feed
 def indicators_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     """extract_date, tx_incid, tx_pos, taux_occupation_sae (one row per month)."""
     cells = _orders_month_nation(spark, sf_dir)
@@ -103,6 +130,7 @@ def indicators_national(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nat.select("extract_date", *_measures())
 
 
+@feed
 def indicators_department(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per (month, department) with rates, supplied classes and regional R.
 
@@ -150,6 +178,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@feed
 def er_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dep, date_de_passage, sursaud_cl_age_corona ('0' = all ages), counts.
 
@@ -178,6 +207,7 @@ def er_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@feed
 def hospital_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     """dep, sexe (event type; '0' = all), jour, hosp, rea, rad, dc."""
     ev = _events(spark, sf_dir)
@@ -193,6 +223,7 @@ def hospital_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fine.unionByName(total).select("dep", "sexe", "jour", "hosp", "rea", "rad", "dc")
 
 
+@feed
 def icu_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reg, dep (unpadded, old overseas codes), lits; several rows per department.
 
@@ -266,6 +297,7 @@ def _nation_days(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     return nation.select(F.col("n_nationkey").alias("nk"), F.explode(_year_days(year)).alias("date"))
 
 
+@feed
 def deaths_cumulative(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFrame:
     """dep, date, dematerialise<y>, total<y> per year: running totals per department.
 
@@ -278,6 +310,7 @@ def deaths_cumulative(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> Da
     return cum.select(_dep_code(F.col("nk")).alias("dep"), *[c for c in cum.columns if c != "nk"])
 
 
+@feed
 def department_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """insee_dep, insee_reg, nom_dep, nom_minuscules, geometry (+ a 'separation' line)."""
     nation = table(spark, sf_dir, "nation")
@@ -299,6 +332,7 @@ def department_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.unionByName(separation)
 
 
+@feed
 def region_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, nom, geometry."""
     region = table(spark, sf_dir, "region")
@@ -406,6 +440,11 @@ WORKBOOKS = {"age": age_cells, "deaths": deaths_cells}
 
 def cells(spark: SparkSession, sf_dir: str, workbooks=("age", "deaths")) -> DataFrame:
     """The workbooks as one long cells table (only the ones asked for are built)."""
+    return _cells(spark, sf_dir, tuple(workbooks))
+
+
+@feed
+def _cells(spark: SparkSession, sf_dir: str, workbooks: tuple) -> DataFrame:
     parts = [WORKBOOKS[w](spark, sf_dir) for w in workbooks]
     out = parts[0]
     for p in parts[1:]:
