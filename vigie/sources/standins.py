@@ -40,11 +40,14 @@ AGE_BANDS = 10
 _TABLES: dict[tuple, DataFrame] = {}
 
 
-def _app(spark: SparkSession) -> str:
+def _app(spark: SparkSession) -> tuple:
+    """Cache key of a session: its application and the session object itself
+    (sessions sharing one SparkContext keep separate plans)."""
     try:
-        return spark.sparkContext.applicationId
+        app = spark.sparkContext.applicationId
     except Exception:  # sessions without a SparkContext (Spark Connect)
-        return str(id(spark))
+        app = None
+    return (app, id(spark))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
