@@ -53,16 +53,17 @@ def indicator_job(
         sink_csv(df, f"{out}/{name}", **opts)
         written[name] = f"{out}/{name}"
 
+    # built unsorted and joined unsorted; each table is sorted once, at its sink
     incid = P.regional_with_national(dep, nat, region, "tx_incid", "tx_incid_departemental", "tx_incid_national",
-                                     None, 1, sort=True)
-    pos = P.regional_with_national(dep, nat, region, "tx_pos", "tx_pos_departemental", "tx_pos_national",
-                                   2, 2, sort=True)
+                                     None, 1)
+    pos = P.regional_with_national(dep, nat, region, "tx_pos", "tx_pos_departemental", "tx_pos_national", 2, 2)
     occ = P.regional_with_national(dep, nat, region, "taux_occupation_sae", "taux_occupation_regional",
-                                   "taux_occupation_national", sort=True)
-    put("incidence_region", incid)                                   # readr write_csv
-    put("positivity_region", pos, quote="none")                      # write.csv(quote = FALSE)
-    put("occupancy_region", occ, bom=True)                           # write_excel_csv
-    put("indicators_region", P.combined([incid, pos, occ]))
+                                   "taux_occupation_national")
+    by_date = ("extract_date", "Departement")
+    put("incidence_region", incid.orderBy(*by_date))                   # readr write_csv
+    put("positivity_region", pos.orderBy(*by_date), quote="none")      # write.csv(quote = FALSE)
+    put("occupancy_region", occ.orderBy(*by_date), bom=True)           # write_excel_csv
+    put("indicators_region", P.combined([incid, pos, occ]).orderBy(*by_date))
     put("r_latest_map", P.latest_commentary(dep, region_geo, as_of=as_of))
     put("r_history", P.history_wide(dep, region_names, sort=True), quote="all")   # write.csv(quote = TRUE)
     layers = {
