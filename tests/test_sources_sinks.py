@@ -113,3 +113,10 @@ def test_map_layer(spark):
     out = map_layer(df, "c", {"vert": "#3DE4B3", "rouge": "#D1335B"})
     assert rows(out, "dep", "fill") == [("01", "#3DE4B3"), ("02", None)]
     assert out.where(F.col("fill").isNull()).count() == 1
+
+
+def test_sink_csv_bom_with_all_quoted(spark, tmpdir_path):
+    df = spark.createDataFrame([("a", 1.0)], "k string, v double")
+    sink_csv(df, os.path.join(tmpdir_path, "bq"), quote="all", bom=True)
+    raw = _read_text(os.path.join(tmpdir_path, "bq"), "part-*.txt")
+    assert raw.startswith(b'\xef\xbb\xbf"k","v"') and b'"a",1.0' in raw

@@ -52,6 +52,9 @@ def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str) -> tuple[Dat
                       F.raise_error(F.lit("sink_csv(quote='none'): value contains a separator or quote"))
                       ).otherwise(line)
     names = [f'"{c}"' if quote_text else c for c in df.columns]
+    if quote_text and df.columns[0].startswith(BOM):
+        # the byte-order mark opens the file, before the quoted first name
+        names[0] = BOM + f'"{df.columns[0][len(BOM):]}"'
     head = df.sparkSession.range(1).select(F.lit(sep.join(names)).alias("value"))
     return head, df.select(line.alias("value"))
 
