@@ -47,3 +47,10 @@ def test_department_maps_job(spark, tmpdir_path):
                                    Q.ER_CUTS, Q.ICU_CUTS)
     for p in out.values():
         assert len(_one_file(p).splitlines()) == 26
+
+
+def test_materialize_keeps_types_and_order(spark):
+    df = spark.createDataFrame([("01", 1.5), ("2A", 2.0)], "dep string, v double")
+    back = jobs.materialize(spark, df, "typed_codes", ["dep"])
+    assert back.schema == df.schema
+    assert sorted(tuple(r) for r in back.collect()) == [("01", 1.5), ("2A", 2.0)]

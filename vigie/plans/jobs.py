@@ -27,8 +27,9 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Seq
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
-    # partition columns come back last: restore the input's column order
-    return spark.read.parquet(path).select(*[f"`{c}`" for c in df.columns])
+    # read with the input's schema (no partition-type inference: a code such as
+    # "01" stays text) and in the input's column order (partition columns come back last)
+    return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
 def indicator_job(
