@@ -19,7 +19,7 @@ from ..functions.dates import as_of_or_now, day_month, day_month_year, month_lab
 from ..functions.missing import fill, pct_change, present, r_divide, safe_ratio, strict_sum
 from ..functions.numbers import number_text, round_even
 from ..functions.text import join_text, pad_left, recode, sentence, substring_between
-from ..operators.aggregates import grouped_sums
+from ..operators.aggregates import fixed_window_mean, grouped_sums
 from ..operators.cells import (
     bind_by_row, cell, cell_range, join_block_header, sheets_to_table, strided_blocks,
 )
@@ -190,7 +190,7 @@ def icu_saturation(hosp: DataFrame, capacity: DataFrame, geo: DataFrame, n_days:
     """
     h = trailing_days(hosp.where(F.col("sexe") == total_class), "jour", n_days, anchor=hosp)
     h = h.select("dep", "rea")  # positions 1 and 5 of the reference feed
-    s = h.groupBy("dep").agg(round_even(strict_sum("rea") / F.lit(float(n_days))).alias("rea_7jrs"))
+    s = fixed_window_mean(h, ["dep"], "rea", n_days, "rea_7jrs")
     s = s.join(assert_unique(capacity, ["dep"], "department in the capacity table"), "dep", "left")
     s = with_group_totals(s, ["reg"], {"rea_7jrs": strict_sum("rea_7jrs"), "lits": strict_sum("lits")})
     s = s.withColumn("taux_occup_reg", round_even(r_divide("rea_7jrs", "lits") * F.lit(100.0)))
