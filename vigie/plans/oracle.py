@@ -271,6 +271,9 @@ def _drawn(stats: str, key: str) -> str:
 
 
 NEW, OLD = Q.NEW, Q.OLD
+R_WIDE = "SELECT extract_date, " + ", ".join(
+    f"max(CASE WHEN libelle_reg = {_q(r)} THEN R END) AS \"{r}\"" for r in Q.REGION_NAMES) + (
+    f" FROM (SELECT DISTINCT extract_date, libelle_reg, R FROM dep WHERE {present('R')}) GROUP BY extract_date")
 _STAMP_TS = f"TIMESTAMP '{Q.AS_OF}'"
 _COMMENT = (f"{_q(P.R_SENTENCE[0])} || {number_text('R')} || {_q(P.R_SENTENCE[1])} || "
             f"{month_label('extract_date')} || {_q(P.R_SENTENCE[2])} || {classify('R', P.R_CUTS)}")
@@ -301,9 +304,7 @@ SELECT geometry, {month_label('extract_date')} AS extract_date, libelle_reg, R,
        CASE WHEN {present('R')} THEN {_COMMENT} ELSE {_q(P.R_NO_ESTIMATE)} END AS commentaire,
        {month_label(_STAMP_TS)} || ', ' || strftime({_STAMP_TS}, '%H') || 'h' AS date_maj
 FROM j""",
-    "r_history_wide": _with(DEP) + "SELECT extract_date, " + ", ".join(
-        f"max(CASE WHEN libelle_reg = {_q(r)} THEN R END) AS \"{r}\"" for r in Q.REGION_NAMES)
-    + f" FROM (SELECT DISTINCT extract_date, libelle_reg, R FROM dep WHERE {present('R')}) GROUP BY extract_date",
+    "r_history_wide": _with(DEP) + R_WIDE,
     "er_rate_7d": _with(ER_VISITS, DEP_GEO, """v AS (
   SELECT dep, date_de_passage, coalesce(nbre_pass_corona, 0) AS c, coalesce(nbre_pass_tot, 0) AS t
   FROM er_visits WHERE sursaud_cl_age_corona = '0'),
@@ -395,3 +396,14 @@ def _geojson_features() -> str:
 
 
 ORACLE_SQL["geojson_features"] = _geojson_features()
+
+
+def _r_history_long() -> str:
+    parts = [f"SELECT extract_date, {_q(r)} AS libelle_reg, \"{r}\" AS R FROM w" for r in Q.REGION_NAMES]
+    return _with(DEP, f"w AS ({R_WIDE})") + "\nUNION ALL\n".join(parts)
+
+
+ORACLE_SQL["r_history_long"] = _r_history_long()
+ORACLE_SQL["deaths_daily_department"] = _with(DEATHS) + "SELECT *, " + ", ".join(
+    f"total{y} - lag(total{y}) OVER (PARTITION BY dep ORDER BY date) AS deces_journaliers_{y}" for y in Y
+) + " FROM deaths"

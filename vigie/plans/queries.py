@@ -15,7 +15,8 @@ from ..functions.missing import na_sum, strict_sum
 from ..functions.numbers import round_even, to_text
 from ..operators.aggregates import peak
 from ..operators.columns import mutate_typed
-from ..operators.panel import join_on
+from ..operators.panel import decumulate, join_on
+from ..operators.reshape import unpivot_long
 from ..session import reuse
 from ..operators.cells import sheet_range
 from ..sinks.writers import geojson_feature, map_layer, parse_geojson_feature
@@ -114,6 +115,12 @@ def r_history_wide(spark: SparkSession, d: str) -> DataFrame:
     return P.history_wide(_dep(spark, d), REGION_NAMES)
 
 
+def r_history_long(spark: SparkSession, d: str) -> DataFrame:
+    """R2: the wide R history back to one row per (date, region); empty cells stay as NULL rows."""
+    wide = P.history_wide(_dep(spark, d), REGION_NAMES)
+    return unpivot_long(wide, ["extract_date"], names_to="libelle_reg", values_to="R")
+
+
 def er_rate_7d(spark: SparkSession, d: str) -> DataFrame:
     return P.er_rate(reuse(S.er_visits(spark, d)), S.department_geo(spark, d), 7, ER_CUTS)
 
@@ -135,6 +142,12 @@ def deaths_daily_region(spark: SparkSession, d: str) -> DataFrame:
     return P.daily_from_cumulative(_deaths(spark, d), REGION_TOTAL_OF, S.DEATH_YEARS)
 
 
+def deaths_daily_department(spark: SparkSession, d: str) -> DataFrame:
+    """W1 per area: daily counts from each department's running totals (window per department)."""
+    y = S.DEATH_YEARS
+    return decumulate(_deaths(spark, d), {f"deces_journaliers_{v}": f"total{v}" for v in y}, "date", ["dep"])
+
+
 def hospital_with_total(spark: SparkSession, d: str) -> DataFrame:
     return P.hospital_table(reuse(_hosp(spark, d)), REGION_AREAS, REGION_TOTAL_OF, REGION_TOTAL_LABEL)
 
@@ -218,12 +231,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "latest_class_geo": latest_class_geo,
     "r_latest_commentary": r_latest_commentary,
     "r_history_wide": r_history_wide,
+    "r_history_long": r_history_long,
     "combined_indicators": combined_indicators,
     "er_rate_7d": er_rate_7d,
     "capacity_clean": capacity_clean,
     "icu_saturation_region": icu_saturation_region,
     "deaths_variation": deaths_variation,
     "deaths_daily_region": deaths_daily_region,
+    "deaths_daily_department": deaths_daily_department,
     "hospital_with_total": hospital_with_total,
     "age_share_by_day": age_share_by_day,
     "age_share_latest": age_share_latest,
