@@ -327,7 +327,6 @@ sj3 AS (SELECT *, {rnd(r_divide('rea_7jrs', 'lits') + ' * 100.0::DOUBLE', 0)} AS
     + f"""SELECT g.insee_dep, g.insee_reg, g.nom_dep, g.geometry, s.reg, s.rea_7jrs, s.lits, s.taux_occup_reg,
        {classify('s.taux_occup_reg', Q.ICU_CUTS, closed='right')} AS statut_rea
 """ + _drawn("sj3", "dep"),
-    "icu_map_layer": "__ICU__",
     "deaths_variation": _with(DEATHS, DEP_GEO, f"""d AS (SELECT * FROM deaths WHERE {present(NEW)}),
 d2 AS (SELECT dep, date, {NEW}, {OLD},
               {rnd(f'(CASE WHEN {OLD} = 0 THEN NULL ELSE ({NEW} - {OLD}) / {OLD} END) * 100.0::DOUBLE', 1)} AS taux_variation
@@ -378,15 +377,14 @@ FROM dep""",
 }
 
 
+# Queries defined on top of other twins.
+
 def _icu_map_layer() -> str:
     fill = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in P.DEPARTMENT_MAP_COLOURS.items())
     return ("SELECT insee_dep, nom_dep, taux_occup_reg, statut_rea, geometry, "
             f"(CASE statut_rea {fill} END) AS fill FROM ({ORACLE_SQL['icu_saturation_region']})")
 
 
-ORACLE_SQL["icu_map_layer"] = _icu_map_layer()
-
-
 def _geojson_features() -> str:
     """The variation layer after a GeoJSON text round trip: geometry keys come back sorted."""
     geom = ("json_object('coordinates', json_extract(geometry, '$.coordinates'), "
@@ -395,15 +393,21 @@ def _geojson_features() -> str:
             f"FROM ({ORACLE_SQL['deaths_variation']})")
 
 
-ORACLE_SQL["geojson_features"] = _geojson_features()
-
-
 def _r_history_long() -> str:
+    """UNION ALL per region, so empty cells stay as NULL rows as in Spark's unpivot."""
     parts = [f"SELECT extract_date, {_q(r)} AS libelle_reg, \"{r}\" AS R FROM w" for r in Q.REGION_NAMES]
     return _with(DEP, f"w AS ({R_WIDE})") + "\nUNION ALL\n".join(parts)
 
 
-ORACLE_SQL["r_history_long"] = _r_history_long()
-ORACLE_SQL["deaths_daily_department"] = _with(DEATHS) + "SELECT *, " + ", ".join(
-    f"total{y} - lag(total{y}) OVER (PARTITION BY dep ORDER BY date) AS deces_journaliers_{y}" for y in Y
-) + " FROM deaths"
+def _deaths_daily_department() -> str:
+    lags = ", ".join(f"total{y} - lag(total{y}) OVER (PARTITION BY dep ORDER BY date) AS deces_journaliers_{y}"
+                     for y in Y)
+    return _with(DEATHS) + f"SELECT *, {lags} FROM deaths"
+
+
+ORACLE_SQL.update({
+    "icu_map_layer": _icu_map_layer(),
+    "geojson_features": _geojson_features(),
+    "r_history_long": _r_history_long(),
+    "deaths_daily_department": _deaths_daily_department(),
+})
