@@ -28,7 +28,7 @@ from ..operators.panel import (
     append_total, assert_unique, decumulate, keep_present, latest, on_geography, trailing_days,
     with_comparator, with_group_totals,
 )
-from ..operators.reshape import pivot_wide
+from ..operators.reshape import pivot_wide, transpose
 
 # Texts of the regional R map (class legend, sentence, fallback).
 R_CLASS_LABELS = ("R au-dessous de 1", "R entre 1 et 1.5", "R au-dessus de 1.5")
@@ -265,6 +265,26 @@ def age_share_by_day(cells: DataFrame, groups: Sequence[str], workbook: str = "a
     return _sorted(wide, sort, "workbook", "date").withColumn("date", day_month("date"))
 
 
+def age_share_transposed(cells: DataFrame, groups: Sequence[str], workbook: str = "age", sheet=2,
+                         label_rows: tuple[int, int] = (8, 17), date_cell: tuple[int, int] = (6, 8),
+                         first_value_col: int = 14, stride: int = 7, digits: int = 1) -> DataFrame:
+    """I14 as the reference shapes it: one row per age group and one column per day,
+    then transposed (R3) to one row per day (``date`` as ISO text) and one column per group.
+
+    The day columns are discovered from the data (one per block, so bounded by
+    the number of blocks); prefer ``age_share_by_day``, which pivots once.
+    """
+    wb = cells.where(F.col("workbook") == workbook)
+    header = strided_blocks(wb, (date_cell[0], date_cell[0]), date_cell[1], stride, sheet=sheet)
+    body = strided_blocks(wb, label_rows, first_value_col, stride, sheet=sheet)
+    blocks = join_block_header(body, header, "date", "text")
+    labels = cell_range(wb, label_rows, (1, 1), ["groupe_age"], sheet=sheet)
+    long = bind_by_row(blocks, labels).select(
+        "groupe_age", "date", round_even(F.col("value").try_cast("double"), digits).alias("part"))
+    by_group = pivot_wide(long, ["groupe_age"], "date", "part", None)
+    return transpose(by_group, "groupe_age", "date", groups)
+
+
 def age_share_latest(cells: DataFrame, workbook: str = "age", sheet=2, label_rows: tuple[int, int] = (8, 17),
                      date_cell: tuple[int, int] = (6, 8), value_col: int = 14, digits: int = 1) -> DataFrame:
     """The latest block only: age group, its date as ``dd/MM`` text, share."""

@@ -405,7 +405,13 @@ def _deaths_daily_department() -> str:
     return _with(DEATHS) + f"SELECT *, {lags} FROM deaths"
 
 
+def _age_share_transposed() -> str:
+    cols = ", ".join(f"max(CASE WHEN groupe_age = {_q(g)} THEN part END) AS \"{g}\"" for g in Q.AGE_GROUPS)
+    return _with(AGE) + f"SELECT CAST(m AS VARCHAR) AS date, {cols} FROM shares GROUP BY m"
+
+
 ORACLE_SQL.update({
+    "age_share_transposed": _age_share_transposed(),
     "icu_map_layer": _icu_map_layer(),
     "geojson_features": _geojson_features(),
     "r_history_long": _r_history_long(),

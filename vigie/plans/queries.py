@@ -156,6 +156,10 @@ def age_share_by_day(spark: SparkSession, d: str) -> DataFrame:
     return P.age_share_by_day(reuse(_cells(spark, d, ["age"])), AGE_GROUPS)
 
 
+def age_share_transposed(spark: SparkSession, d: str) -> DataFrame:
+    return P.age_share_transposed(reuse(_cells(spark, d, ["age"])), AGE_GROUPS)
+
+
 def age_share_latest(spark: SparkSession, d: str) -> DataFrame:
     return P.age_share_latest(reuse(_cells(spark, d, ["age"])))
 
@@ -241,6 +245,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "deaths_daily_department": deaths_daily_department,
     "hospital_with_total": hospital_with_total,
     "age_share_by_day": age_share_by_day,
+    "age_share_transposed": age_share_transposed,
     "age_share_latest": age_share_latest,
     "sheets_union": sheets_union,
     "deaths_sheet_range": deaths_sheet_range,
