@@ -410,7 +410,13 @@ def _age_share_transposed() -> str:
     return _with(AGE) + f"SELECT CAST(m AS VARCHAR) AS date, {cols} FROM shares GROUP BY m"
 
 
+def _visits_as_text() -> str:
+    cols = ["dep", "date_de_passage", "sursaud_cl_age_corona", "nbre_pass_corona", "nbre_pass_tot"]
+    return _with(ER_VISITS) + "SELECT " + ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in cols) + " FROM er_visits"
+
+
 ORACLE_SQL.update({
+    "visits_as_text": _visits_as_text(),
     "age_share_transposed": _age_share_transposed(),
     "icu_map_layer": _icu_map_layer(),
     "geojson_features": _geojson_features(),

@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 from ..functions.missing import na_sum, strict_sum
 from ..functions.numbers import round_even, to_text
 from ..operators.aggregates import peak
-from ..operators.columns import mutate_typed
+from ..operators.columns import mutate_all, mutate_typed, select_at
 from ..operators.panel import decumulate, join_on
 from ..operators.reshape import unpivot_long
 from ..session import reuse
@@ -121,6 +121,11 @@ def r_history_long(spark: SparkSession, d: str) -> DataFrame:
     return unpivot_long(wide, ["extract_date"], names_to="libelle_reg", values_to="R")
 
 
+def visits_as_text(spark: SparkSession, d: str) -> DataFrame:
+    """P3 + P9: the first five columns of the visits feed by position, every value as text."""
+    return mutate_all(select_at(S.er_visits(spark, d), 1, 2, 3, 4, 5), to_text)
+
+
 def er_rate_7d(spark: SparkSession, d: str) -> DataFrame:
     return P.er_rate(reuse(S.er_visits(spark, d)), S.department_geo(spark, d), 7, ER_CUTS)
 
@@ -237,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "r_history_wide": r_history_wide,
     "r_history_long": r_history_long,
     "combined_indicators": combined_indicators,
+    "visits_as_text": visits_as_text,
     "er_rate_7d": er_rate_7d,
     "capacity_clean": capacity_clean,
     "icu_saturation_region": icu_saturation_region,
