@@ -71,3 +71,15 @@ def test_land_feed_defaults_to_the_shared_checkpoint_folder(spark, tmpdir_path):
     assert spark.read.parquet(panel).count() == 1
     shared = spark.conf.get("spark.checkpoint.dir")
     assert glob.glob(os.path.join(shared, "vigie-streams", "*", "offsets"))
+
+
+def test_land_feed_backlog_in_bounded_batches(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "drops")
+    os.makedirs(src)
+    panel, ckpt = os.path.join(tmpdir_path, "panel"), os.path.join(tmpdir_path, "ckpt")
+    for i in range(3):
+        with open(os.path.join(src, f"d{i}.csv"), "w") as f:
+            f.write(f"dep;sexe;jour;hosp;rea;rad;dc\n22;0;2020-03-1{i};{i};0;0;0\n")
+    q = land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";", max_files_per_trigger=1)
+    assert len(q.recentProgress) >= 3
+    assert spark.read.parquet(panel).count() == 3

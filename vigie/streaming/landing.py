@@ -51,12 +51,15 @@ def land_feed(
     sep: str = ",",
     encoding: str = "UTF-8",
     mode: str = "replace_dates",
+    max_files_per_trigger: int | None = None,
     wait: bool = True,
 ) -> StreamingQuery:
     """Land every new CSV file of ``source_dir`` into ``panel_dir`` (partitioned by ``date_col``).
 
     ``checkpoint_dir=None`` keeps the stream's progress under the session's
     shared ``spark.checkpoint.dir``, in a folder named after the panel path.
+    ``max_files_per_trigger`` bounds each micro-batch, so a backlog of drops is
+    landed in several batches instead of one.
     """
     if mode not in ("append", "replace_dates"):
         raise ValueError("mode must be 'append' or 'replace_dates'")
@@ -67,8 +70,11 @@ def land_feed(
 
         key = hashlib.sha1(panel_dir.encode()).hexdigest()[:16]
         checkpoint_dir = f"{shared_dir(spark).rstrip('/')}/vigie-streams/{key}"
+    reader = spark.readStream.schema(schema)
+    if max_files_per_trigger:
+        reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     stream = (
-        spark.readStream.schema(schema)
+        reader
         .option("header", True)
         .option("sep", sep)
         .option("encoding", encoding)
