@@ -68,14 +68,17 @@ def _cells(spark, d, workbooks):
 
 
 def national_series(spark: SparkSession, d: str) -> DataFrame:
+    """National positivity per month, NaN/NULL dropped, rounded to 2 digits."""
     return P.national_series(_nat(spark, d), "tx_pos", 2, "tx_pos_national")
 
 
 def national_occupancy(spark: SparkSession, d: str) -> DataFrame:
+    """National occupancy per month, not rounded."""
     return P.national_series(_nat(spark, d), "taux_occupation_sae", None, "taux_occupation_national")
 
 
 def regional_with_national(spark: SparkSession, d: str) -> DataFrame:
+    """I2 (F2 P2 F1 M1 J1): departments of the region with the national value of the same month."""
     return P.regional_with_national(_dep(spark, d), _nat(spark, d), REGION, "tx_pos",
                                     "tx_pos_departemental", "tx_pos_national", 2, 2)
 
@@ -91,27 +94,33 @@ def _regional_three(spark, d):
 
 
 def combined_indicators(spark: SparkSession, d: str) -> DataFrame:
+    """I7 (J2 J3): incidence, positivity and occupancy of the region's departments side by side."""
     return P.combined(_regional_three(spark, d))
 
 
 def latest_snapshot_geo(spark: SparkSession, d: str) -> DataFrame:
+    """I3 (F6 J4): latest incidence per department with the feed's class, on every polygon."""
     return P.latest_on_geography(reuse(_dep(spark, d)), S.department_geo(spark, d), "tx_incid", "tx_incid_couleur")
 
 
 def latest_occupancy_geo(spark: SparkSession, d: str) -> DataFrame:
+    """Latest occupancy per department with the feed's class, on every polygon."""
     return P.latest_on_geography(reuse(_dep(spark, d)), S.department_geo(spark, d), "taux_occupation_sae",
                                  "taux_occupation_sae_couleur")
 
 
 def latest_class_geo(spark: SparkSession, d: str) -> DataFrame:
+    """I4 (F6 K1 J4): latest positivity per department, class computed, on every polygon."""
     return P.latest_classified(reuse(_dep(spark, d)), S.department_geo(spark, d), "tx_pos", POSITIVITY_CUTS)
 
 
 def r_latest_commentary(spark: SparkSession, d: str) -> DataFrame:
+    """I5 (A6 F6 J4 K1 K3 T5 T8 D3 D8): latest R per region with class, legend and sentence."""
     return P.latest_commentary(reuse(_dep(spark, d)), S.region_geo(spark, d), as_of=AS_OF)
 
 
 def r_history_wide(spark: SparkSession, d: str) -> DataFrame:
+    """I6 (A6 R1): one row per month, one R column per region."""
     return P.history_wide(_dep(spark, d), REGION_NAMES)
 
 
@@ -127,23 +136,28 @@ def visits_as_text(spark: SparkSession, d: str) -> DataFrame:
 
 
 def er_rate_7d(spark: SparkSession, d: str) -> DataFrame:
+    """I8 (F3 M6 F7 A1 A5 M2 M7 K2 J5): 7-day emergency-visit share per department."""
     return P.er_rate(reuse(S.er_visits(spark, d)), S.department_geo(spark, d), 7, ER_CUTS)
 
 
 def capacity_clean(spark: SparkSession, d: str) -> DataFrame:
+    """I9 (T4 K4 A2): beds per (region, department) with padded, recoded codes."""
     return P.clean_capacity(S.icu_capacity(spark, d))
 
 
 def icu_saturation_region(spark: SparkSession, d: str) -> DataFrame:
+    """I10 (F8 A3 J6 W2 K2 J5): 7-day ICU occupancy of each region, on its departments."""
     cap = P.clean_capacity(S.icu_capacity(spark, d))
     return P.icu_saturation(reuse(_hosp(spark, d)), cap, S.department_geo(spark, d), 7, ICU_CUTS)
 
 
 def deaths_variation(spark: SparkSession, d: str) -> DataFrame:
+    """I11 (F1 F6 M3 M1 J4): year-on-year change of cumulative deaths at the last date."""
     return P.year_variation(reuse(_deaths(spark, d)), S.department_geo(spark, d), NEW, OLD)
 
 
 def deaths_daily_region(spark: SparkSession, d: str) -> DataFrame:
+    """I12 (F5 A1 W1): regional running totals per date and their daily differences."""
     return P.daily_from_cumulative(_deaths(spark, d), REGION_TOTAL_OF, S.DEATH_YEARS)
 
 
@@ -154,10 +168,12 @@ def deaths_daily_department(spark: SparkSession, d: str) -> DataFrame:
 
 
 def hospital_with_total(spark: SparkSession, d: str) -> DataFrame:
+    """I13 (F2 F5 M4 K5 A1 P7 U1 U3 O2 D5): hospital table with a regional total per day."""
     return P.hospital_table(reuse(_hosp(spark, d)), REGION_AREAS, REGION_TOTAL_OF, REGION_TOTAL_LABEL)
 
 
 def age_share_by_day(spark: SparkSession, d: str) -> DataFrame:
+    """I14 (C3 C4 C5 M1 R1 O2 D4): age-group shares, one row per block date."""
     return P.age_share_by_day(reuse(_cells(spark, d, ["age"])), AGE_GROUPS)
 
 
@@ -166,10 +182,12 @@ def age_share_transposed(spark: SparkSession, d: str) -> DataFrame:
 
 
 def age_share_latest(spark: SparkSession, d: str) -> DataFrame:
+    """I15 (C1 C2 C5 T2 T3 M1): age-group shares of the latest block."""
     return P.age_share_latest(reuse(_cells(spark, d, ["age"])))
 
 
 def sheets_union(spark: SparkSession, d: str) -> DataFrame:
+    """I16 (S6 U2 C1): every department sheet after the first, stacked with its name."""
     return P.deaths_from_sheets(_cells(spark, d, ["deaths"]), S.DEATH_YEARS, rows=DEATH_ROWS)
 
 
@@ -191,11 +209,13 @@ def deaths_sheet_range(spark: SparkSession, d: str) -> DataFrame:
 
 
 def peak_of_series(spark: SparkSession, d: str) -> DataFrame:
+    """Peak and last date of the national incidence series."""
     series = P.national_series(_nat(spark, d), "tx_incid", 1, "tx_incid_national")
     return peak(series, "extract_date", "tx_incid_national")
 
 
 def strict_vs_lenient_sum(spark: SparkSession, d: str) -> DataFrame:
+    """Q3 Q4: sums of beds with and without missing values skipped."""
     cap = S.icu_capacity(spark, d)
     return cap.groupBy("reg", "dep").agg(
         strict_sum("lits").alias("lits_strict"),
@@ -211,6 +231,7 @@ POSITIVITY_LEGEND = [
 
 
 def null_safe_join(spark: SparkSession, d: str) -> DataFrame:
+    """Q10 K3: positivity classes joined to their legend, NULL class matching the NULL row."""
     layer = latest_class_geo(spark, d)
     # a literal of four rows: its size bound is proven, so it is broadcast explicitly
     legend = F.broadcast(spark.createDataFrame(POSITIVITY_LEGEND, "couleur string, legende string"))
@@ -218,12 +239,14 @@ def null_safe_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def typed_mutate(spark: SparkSession, d: str) -> DataFrame:
+    """Every DOUBLE column rounded to 1 digit, every DATE as text."""
     dep = _dep(spark, d)
     dep = mutate_typed(dep, (T.DoubleType,), lambda c: round_even(c, 1))
     return mutate_typed(dep, (T.DateType,), to_text)
 
 
 def geojson_features(spark: SparkSession, d: str) -> DataFrame:
+    """The variation layer written as GeoJSON feature text and parsed back."""
     layer = deaths_variation(spark, d)
     props = T.StructType([f for f in layer.schema.fields if f.name != "geometry"])
     text = layer.select(geojson_feature(layer).alias("feature"))
