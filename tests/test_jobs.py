@@ -2,6 +2,7 @@
 
 import datetime as dt
 import glob
+import json
 import os
 
 from vigie.plans import jobs
@@ -36,8 +37,9 @@ def test_deaths_job_writes_dated_geojson(spark, tmpdir_path):
     out = jobs.deaths_job(spark, S.deaths_cumulative(spark, D), S.department_geo(spark, D), tmpdir_path,
                           S.DEATH_YEARS, Q.REGION_TOTAL_OF, run_date=dt.date(2024, 2, 1))
     assert out["variation"].endswith("deces_variation_2024-02-01.geojson")
-    lines = _one_file(out["variation"]).splitlines()
-    assert len(lines) == S.department_geo(spark, D).count()
+    doc = json.loads(_one_file(out["variation"]))
+    assert doc["type"] == "FeatureCollection"
+    assert len(doc["features"]) == S.department_geo(spark, D).count()
     assert len(_one_file(out["daily"]).splitlines()) == 366
 
 

@@ -96,13 +96,14 @@ def test_geojson_round_trip(spark, tmpdir_path):
     df = spark.createDataFrame([("22", 12.5, '{"type":"Point","coordinates":[1,2]}')],
                                "dep string, taux_variation double, geometry string")
     out = os.path.join(tmpdir_path, "variation")
-    sink_geojson(df, out)
+    sink_geojson(df, out, collection=False)
     props = T.StructType([T.StructField("dep", T.StringType()), T.StructField("taux_variation", T.DoubleType())])
     back = scan_geojson(spark, out, props, line_delimited=True)
     r = back.first()
     assert (r.dep, r.taux_variation) == ("22", 12.5)
     assert json.loads(r.geometry) == {"type": "Point", "coordinates": [1, 2]}
-    line = json.loads(_read_text(out, "part-*.txt").splitlines()[0])
+    lines = [ln for f in sorted(glob.glob(os.path.join(out, "part-*.txt"))) for ln in open(f, "rb").read().splitlines()]
+    line = json.loads(lines[0])
     assert line["type"] == "Feature" and line["properties"]["dep"] == "22"
 
 
@@ -120,3 +121,16 @@ def test_sink_csv_bom_with_all_quoted(spark, tmpdir_path):
     sink_csv(df, os.path.join(tmpdir_path, "bq"), quote="all", bom=True)
     raw = _read_text(os.path.join(tmpdir_path, "bq"), "part-*.txt")
     assert raw.startswith(b'\xef\xbb\xbf"k","v"') and b'"a",1.0' in raw
+
+
+def test_geojson_feature_collection_round_trip(spark, tmpdir_path):
+    rows_in = [(f"{i:02d}", float(i), f'{{"type":"Point","coordinates":[{i},0]}}') for i in range(12)]
+    df = spark.createDataFrame(rows_in, "dep string, v double, geometry string").orderBy("dep")
+    out = os.path.join(tmpdir_path, "fc")
+    sink_geojson(df, out)
+    doc = json.loads(_read_text(out, "part-*.txt"))
+    assert doc["type"] == "FeatureCollection"
+    assert [f["properties"]["dep"] for f in doc["features"]] == [r[0] for r in rows_in]
+    props = T.StructType([T.StructField("dep", T.StringType()), T.StructField("v", T.DoubleType())])
+    back = scan_geojson(spark, out, props)
+    assert sorted((r.dep, r.v) for r in back.collect()) == [(r[0], r[1]) for r in rows_in]

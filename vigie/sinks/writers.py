@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,13 +121,32 @@ def parse_geojson_feature(text: Column, properties: T.StructType) -> Column:
     return F.from_json(text, schema)
 
 
-def sink_geojson(df: DataFrame, path: str, geometry: str = "geometry", single_file: bool = True) -> None:
-    """Newline-delimited GeoJSON features, overwriting ``path``.
+def sink_geojson(df: DataFrame, path: str, geometry: str = "geometry", collection: bool = True) -> None:
+    """GeoJSON of one feature per row, overwriting ``path``.
 
-    Readable back with ``scan_geojson(..., line_delimited=True)``.
+    ``collection=True`` writes one FeatureCollection document (what GIS and
+    chart tools open; read back with ``scan_geojson``), in the frame's row
+    order. ``collection=False`` writes one Feature per line, split across
+    tasks (read back with ``scan_geojson(..., line_delimited=True)``).
     """
-    out = df.select(geojson_feature(df, geometry).alias("value"))
-    (one_ordered_file(out) if single_file else out).write.mode("overwrite").text(path)
+    features = df.select(geojson_feature(df, geometry).alias("value"))
+    if not collection:
+        features.write.mode("overwrite").text(path)
+        return
+    spark = df.sparkSession
+    head = spark.range(1).select(F.lit('{"type":"FeatureCollection","features":[').alias("value"))
+    tail = spark.range(1).select(F.lit("]}").alias("value"))
+    # the order key is a column (tagged once, in the frame's order); the first
+    # feature is found by numbering on it, a one-partition window that suits a
+    # bounded output (one feature per area); every later feature gets a comma
+    tagged = features.select(F.monotonically_increasing_id().alias("__pos"), "value")
+    numbered = tagged.withColumn("__n", F.row_number().over(Window.orderBy("__pos")))
+    body = numbered.select(F.lit(1).alias("__part"), "__pos", F.when(F.col("__n") == 1, F.col("value"))
+                           .otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
+    out = head.select(F.lit(0).alias("__part"), F.lit(0).cast("long").alias("__pos"), "value") \
+        .unionByName(body) \
+        .unionByName(tail.select(F.lit(2).alias("__part"), F.lit(0).cast("long").alias("__pos"), "value"))
+    out.repartition(1).sortWithinPartitions("__part", "__pos").select("value").write.mode("overwrite").text(path)
 
 
 def map_layer(
