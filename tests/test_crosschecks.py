@@ -55,3 +55,14 @@ def test_geography_is_kept_whole(spark):
         assert q(spark, D).count() == geo_rows
     drawn = S.department_geo(spark, D).where("nom_dep <> 'separation'").count()
     assert Q.er_rate_7d(spark, D).count() == drawn == Q.icu_saturation_region(spark, D).count()
+
+
+def test_national_sheet_ends_at_the_year_count(spark):
+    y = S.DEATH_YEARS[-1]
+    cells = S.cells(spark, D, ["deaths"])
+    last_row = 4 + 365                       # 31 December of the axis year
+    col = 2 + 2 * (len(S.DEATH_YEARS) - 1) + 1  # total of the oldest year
+    got = cells.where((F.col("sheet") == "France") & (F.col("row") == last_row) & (F.col("col") == col)) \
+        .select("value").first()[0]
+    orders = S.table(spark, D, "orders")
+    assert int(got) == orders.where(F.year("o_orderdate") == y).count()

@@ -414,15 +414,16 @@ def age_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 def deaths_cells(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFrame:
     """Workbook 'deaths': sheet 1 'France' (all departments), then one sheet per department.
 
-    Data rows start at row 5: col 1 date, cols 2-7 dematerialise/total per year.
+    Data rows start at row 5 (1 January) and follow the days of the year:
+    col 1 date, cols 2-7 dematerialise/total per year. The national sheet sums
+    the departments' running totals per day (an aggregate, no window); row
+    numbers come from the day of the year, every sheet having every day.
     """
-    src = _orders_by_day(spark, sf_dir, years)
     measures = [f"{k}{y}" for y in years for k in ("dematerialise", "total")]
 
-    def sheet_cells(cum: DataFrame, sheet_index: Column, sheet: Column, part: list[str]) -> DataFrame:
-        w = (Window.partitionBy(*part) if part else Window).orderBy("date")
-        rows = cum.select(sheet_index.alias("si"), sheet.alias("sh"),
-                          (F.row_number().over(w) + 4).alias("r"), "date", *measures)
+    def sheet_cells(cum: DataFrame, sheet_index: Column, sheet: Column) -> DataFrame:
+        rows = cum.select(sheet_index.alias("si"), sheet.alias("sh"), (F.dayofyear("date") + 4).alias("r"),
+                          "date", *measures)
         long = rows.select("si", "sh", "r", F.inline(F.array(
             F.struct(F.lit(1).alias("c"), F.col("date").cast("string").alias("v")),
             *[F.struct(F.lit(i + 2).alias("c"), F.col(m).cast("bigint").cast("string").alias("v"))
@@ -431,11 +432,13 @@ def deaths_cells(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFra
         return long.where(F.col("v").isNotNull()).select(
             *_cell("deaths", F.col("si"), F.col("sh"), F.col("r"), F.col("c"), F.col("v")))
 
+    src = _orders_by_day(spark, sf_dir, years)
     per_dep = _cumulate(src, _nation_days(spark, sf_dir, years[0]), ["nk"], years)
-    days = _nation_days(spark, sf_dir, years[0]).select("date").distinct()
-    france = _cumulate(src, days, [], years)
-    return sheet_cells(france, F.lit(1), F.lit("France"), []).unionByName(
-        sheet_cells(per_dep, F.col("nk") + 2, _dep_code(F.col("nk")), ["nk"]))
+    # all departments share the day axis and the cut-off of the current year,
+    # so a day's national running total is the sum of the departments' ones
+    france = per_dep.groupBy("date").agg(*[F.sum(m).alias(m) for m in measures])
+    return sheet_cells(france, F.lit(1), F.lit("France")).unionByName(
+        sheet_cells(per_dep, F.col("nk") + 2, _dep_code(F.col("nk"))))
 
 
 WORKBOOKS = {"age": age_cells, "deaths": deaths_cells}
