@@ -134,3 +134,13 @@ def test_geojson_feature_collection_round_trip(spark, tmpdir_path):
     props = T.StructType([T.StructField("dep", T.StringType()), T.StructField("v", T.DoubleType())])
     back = scan_geojson(spark, out, props)
     assert sorted((r.dep, r.v) for r in back.collect()) == [(r[0], r[1]) for r in rows_in]
+
+
+def test_scan_csv_detects_the_separator(spark, tmpdir_path):
+    from vigie.sources.readers import detect_separator
+
+    p = os.path.join(tmpdir_path, "hosp.csv")
+    _write(p, b"dep;sexe;jour;hosp;rea;rad;dc\n22;0;2020-03-18;2;0;1;0\n")
+    assert detect_separator(spark, p) == ";"
+    df = scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=None)
+    assert rows(df, "dep", "hosp") == [("22", 2)]

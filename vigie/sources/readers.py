@@ -12,11 +12,28 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
+SEPARATORS = (",", ";", "\t", "|")
+
+
+def detect_separator(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> str:
+    """The separator of a delimited file, as ``fread`` guesses it (S3).
+
+    Reads the first line only (one short row to the driver) and picks the
+    candidate that splits the header into the most fields.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    first = spark.read.option("encoding", encoding).text(paths[0]).limit(1).collect()
+    if not first:
+        return ","
+    header = first[0][0]
+    return max(SEPARATORS, key=lambda c: (header.count(c), c == ","))
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
     schema: T.StructType,
-    sep: str = ",",
+    sep: str | None = ",",
     encoding: str = "UTF-8",
     header: bool = True,
     date_format: str = "yyyy-MM-dd",
@@ -25,10 +42,13 @@ def scan_csv(
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
+    ``sep=None`` detects the separator from the first line (``fread``).
     ``path`` may be a file, a directory, a glob or a list of them (S8, S9);
     ``with_file`` adds the source file name as a column (``bind_rows(.id=)``).
     ``encoding`` decodes at the scan (e.g. ``ISO-8859-1``, S2, Q21).
     """
+    if sep is None:
+        sep = detect_separator(spark, path, encoding)
     reader = (
         spark.read.schema(schema)
         .option("header", header)
