@@ -82,3 +82,11 @@ def test_cell_range_refuses_a_cell_address_given_twice(spark):
     c = _cells(spark, [("w", 2, "22", 5, 1, "1"), ("w", 2, "22", 5, 1, "2")])
     with pytest.raises(Exception, match="(?i)duplicate"):
         O.cell_range(c, (5, 5), (1, 1), ["v"]).collect()
+
+
+def test_date_cells_accept_iso_text_and_serial_numbers(spark):
+    c = _cells(spark, [("w", 2, "s", 5, 1, "2020-04-06"), ("w", 2, "s", 6, 1, "43927"),
+                       ("w", 2, "s", 7, 1, "43927.75"), ("w", 2, "s", 8, 1, "n/a")])
+    out = O.cell_range(c, (5, 8), (1, 1), ["d"], ["date"])
+    assert rows(out, "row", "d") == [(5, dt.date(2020, 4, 6)), (6, dt.date(2020, 4, 6)),
+                                     (7, dt.date(2020, 4, 6)), (8, None)]

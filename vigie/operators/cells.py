@@ -27,12 +27,22 @@ def _sheet_filter(sheet) -> Column:
     return F.col("sheet") == sheet
 
 
+# Fixed value: day 0 of spreadsheet date serial numbers (the 1900 date system,
+# exact for every date from 1 March 1900 on).
+SERIAL_EPOCH = "1899-12-30"
+
+
 def convert(value: Column, typ: str) -> Column:
-    """Text cell -> typed value; unconvertible text gives NULL (readxl's NA)."""
+    """Text cell -> typed value; unconvertible text gives NULL (readxl's NA).
+
+    ``"date"`` takes ISO text or a spreadsheet date serial number.
+    """
     if typ == "text":
         return value
     if typ == "date":
-        return parse_date(value)
+        serial = value.try_cast("double")
+        from_serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(serial).cast("int"))
+        return F.coalesce(parse_date(value), F.when(serial.isNotNull(), from_serial))
     if typ in ("numeric", "double"):
         return value.try_cast("double")
     return value.try_cast(typ)
