@@ -56,3 +56,14 @@ def test_materialize_keeps_types_and_order(spark):
     back = jobs.materialize(spark, df, "typed_codes", ["dep"])
     assert back.schema == df.schema
     assert sorted(tuple(r) for r in back.collect()) == [("01", 1.5), ("2A", 2.0)]
+
+
+def test_hospital_and_age_jobs(spark, tmpdir_path):
+    out = jobs.hospital_job(spark, S.hospital_daily(spark, D), Q.REGION_AREAS, Q.REGION_TOTAL_OF,
+                            Q.REGION_TOTAL_LABEL, tmpdir_path)
+    lines = _one_file(out["hospital_table"]).splitlines()
+    assert lines[0].startswith(b"jour,dep,hospitalisations") and lines[1].split(b",")[1] == Q.REGION_TOTAL_LABEL.encode()
+    ages = jobs.age_job(spark, S.cells(spark, D, ["age"]), Q.AGE_GROUPS, tmpdir_path)
+    by_day = _one_file(ages["age_share_by_day"]).splitlines()
+    assert by_day[0].startswith(b"workbook,date,1-5,6-10")
+    assert len(_one_file(ages["age_share_latest"]).splitlines()) >= 2

@@ -14,6 +14,7 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..session import checkpoint_dir
 from ..sinks.writers import map_layer, sink_csv, sink_geojson
@@ -117,3 +118,27 @@ def department_maps_job(
         paths[name] = f"{out_dir.rstrip('/')}/{name}"
         sink_csv(df, paths[name])
     return paths
+
+
+def hospital_job(
+    spark: SparkSession,
+    hosp: DataFrame,
+    labels: dict[str, str],
+    total_of: Sequence[str],
+    total_label: str,
+    out_dir: str,
+) -> dict[str, str]:
+    """Daily hospital table of listed departments with the regional total (one CSV)."""
+    path = f"{out_dir.rstrip('/')}/hospital_table"
+    sink_csv(P.hospital_table(hosp, labels, total_of, total_label, sort=True), path)
+    return {"hospital_table": path}
+
+
+def age_job(spark: SparkSession, cells: DataFrame, groups: Sequence[str], out_dir: str,
+            workbook: str = "age") -> dict[str, str]:
+    """Age-group shares: one row per day, and the latest day alone (two CSVs)."""
+    cells = materialize(spark, cells.where(F.col("workbook") == workbook), f"cells_{workbook}")
+    paths = {name: f"{out_dir.rstrip('/')}/{name}" for name in ("age_share_by_day", "age_share_latest")}
+    sink_csv(P.age_share_by_day(cells, groups, workbook=workbook, sort=True), paths["age_share_by_day"])
+    sink_csv(P.age_share_latest(cells, workbook=workbook).orderBy("groupe_age"), paths["age_share_latest"])
+    return paths
