@@ -175,11 +175,11 @@ hospital AS (
 _OLD = {k: S.OLD_OVERSEAS_CODES[v] for k, v in S.OVERSEAS_CODES.items()}
 CAPACITY = f"""capacity AS (
   SELECT CAST(nn.n_regionkey AS VARCHAR) AS reg,
-         (CASE nn.n_nationkey {' '.join(f'WHEN {k} THEN {_q(v)}' for k, v in _OLD.items())}
+         (CASE nn.n_nationkey WHEN {S.NATION_WITHOUT_CODE} THEN NULL
+          {' '.join(f'WHEN {k} THEN {_q(v)}' for k, v in _OLD.items())}
           ELSE CAST(nn.n_nationkey AS VARCHAR) END) AS dep,
          CASE WHEN s.s_acctbal >= 0 THEN CAST(floor(s.s_acctbal / 1000) AS BIGINT) END AS lits
-  FROM supplier s JOIN nation nn ON s.s_nationkey = nn.n_nationkey
-  WHERE s.s_nationkey <> {S.NATION_WITHOUT_CAPACITY})"""
+  FROM supplier s JOIN nation nn ON s.s_nationkey = nn.n_nationkey)"""
 
 CAPACITY_CLEAN = CAPACITY + f""",
 capacity_clean AS (

@@ -31,7 +31,7 @@ OLD_OVERSEAS_CODES = {"971": "9A", "972": "9B", "973": "9C", "974": "9D", "976":
 N_AREAS = 25                # events are spread over 25 areas by user id
 MIN_ORDERS = {"tx_incid": 3, "taux_occupation_sae": 4, "tx_pos": 5}
 SUPPLIED_CUTS = {"tx_incid": (10.0, 50.0), "taux_occupation_sae": (40.0, 60.0)}
-NATION_WITHOUT_CAPACITY = 19
+NATION_WITHOUT_CODE = 19   # its capacity rows carry no department code
 DEATH_YEARS = (2001, 2000, 1999)
 AGE_BAND = 5                # lineitem quantity band width = one "age group"
 AGE_BANDS = 10
@@ -230,18 +230,16 @@ def hospital_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
 def icu_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reg, dep (unpadded, old overseas codes), lits; several rows per department.
 
-    One supplier = one hospital; beds missing for negative balances; one
-    department has no row at all.
+    One supplier = one hospital; beds missing for negative balances; the rows
+    of one department carry no department code, so that department finds no
+    capacity (every supplier row is kept).
     """
     sup = table(spark, sf_dir, "supplier").select("s_nationkey", "s_acctbal")
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    j = sup.where(F.col("s_nationkey") != NATION_WITHOUT_CAPACITY).join(
-        nation, sup.s_nationkey == nation.n_nationkey)
-    old = None
+    j = sup.join(nation, sup.s_nationkey == nation.n_nationkey)
+    old = F.when(F.col("n_nationkey") == NATION_WITHOUT_CODE, F.lit(None).cast("string"))
     for k, v in OVERSEAS_CODES.items():
-        code = OLD_OVERSEAS_CODES[v]
-        old = F.when(F.col("n_nationkey") == k, F.lit(code)) if old is None else \
-            old.when(F.col("n_nationkey") == k, F.lit(code))
+        old = old.when(F.col("n_nationkey") == k, F.lit(OLD_OVERSEAS_CODES[v]))
     return j.select(
         F.col("n_regionkey").cast("string").alias("reg"),
         old.otherwise(F.col("n_nationkey").cast("string")).alias("dep"),
