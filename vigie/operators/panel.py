@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.missing import present, strict_sum
@@ -44,9 +44,10 @@ def trailing_days(
 ) -> DataFrame:
     """Keep ``d > max(d) - n_days``.
 
-    ``anchor`` is the frame the maximum is taken over: ``None`` means ``df``
-    itself (filters applied before count, F7); pass the unfiltered input to
-    take the maximum over all rows (comma conditions in one filter, F8, Q13).
+    ``anchor`` is the frame the maximum is taken over. ``None`` means ``df``
+    itself, so filters applied before the call also restrict the maximum (F7);
+    pass the unfiltered input to take the maximum over all rows (comma
+    conditions in one filter, F8, Q13).
     """
     bound = max_of(anchor if anchor is not None else df, anchor_col or date_col)
     return df.where(F.col(f"`{date_col}`") > F.date_sub(bound, n_days))
@@ -189,8 +190,6 @@ def decumulate(
     by ``partition_by``; with no partition it must only be used on a table
     with one row per ``order_by`` value (e.g. after grouping by date).
     """
-    from pyspark.sql import Window
-
     w = Window.partitionBy(*partition_by).orderBy(order_by) if partition_by else Window.orderBy(order_by)
     for out, c in cols.items():
         df = df.withColumn(out, F.col(c) - F.lag(c).over(w))
