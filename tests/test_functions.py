@@ -102,6 +102,10 @@ def test_day_month_formats_and_stamp(spark):
 def test_number_text(spark):
     data = [(1.0,), (1.1,), (0.03,), (12.5,), (None,), (float("nan"),), (float("inf"),)]
     assert _one(spark, data, "x double", V.number_text("x")) == ["1", "1.1", "0.03", "12.5", None, "NaN", "Inf"]
+    # as R's as.character: 15 significant digits, scientific only when shorter
+    data = [(100000.0,), (123456.0,), (0.0001,), (0.001,), (1 / 3,), (0.1 + 0.2,), (-2.5,), (1.23e-7,)]
+    assert _one(spark, data, "x double", V.number_text("x")) == [
+        "1e+05", "123456", "1e-04", "0.001", "0.333333333333333", "0.3", "-2.5", "1.23e-07"]
 
 
 def test_sentence_null_propagates_and_join_text_skips(spark):

@@ -59,7 +59,11 @@ def test_classify_twin(spark, xs, closed):
 
 @SETTINGS
 @given(st.lists(st.one_of(st.integers(-10**4, 10**4).map(lambda n: n / 100), st.none(),
-                          st.sampled_from([float("nan"), float("inf")])), min_size=1, max_size=25))
+                          # at most 15 significant digits, any magnitude
+                          st.tuples(st.integers(-10**15 + 1, 10**15 - 1), st.integers(-25, 25))
+                          .map(lambda t: float(f"{t[0]}e{t[1]}")),
+                          st.sampled_from([float("nan"), float("inf"), 1e5, 1e-4, 1e-3])),
+                min_size=1, max_size=25))
 def test_number_text_twin(spark, xs):
     got = _spark(spark, xs, V.number_text("x"))
     want = _duck(xs, O.number_text("x"))

@@ -58,10 +58,19 @@ def month_label(d: str, short: bool = False) -> str:
 
 
 def number_text(x: str) -> str:
-    fixed = f"printf('%.10f', {x})"
-    trimmed = f"regexp_replace(regexp_replace({fixed}, '0+$', ''), '\\.$', '')"
+    s_ = f"printf('%.14e', abs({x}))"
+    e = f"CAST(split_part({s_}, 'e', 2) AS INTEGER)"
+    d = f"regexp_replace(replace(split_part({s_}, 'e', 1), '.', ''), '0+$', '')"
+    n = f"length({d})"
+    fixed = (f"(CASE WHEN {e} >= {n} - 1 THEN {d} || repeat('0', {e} - {n} + 1) "
+             f"WHEN {e} >= 0 THEN substring({d}, 1, {e} + 1) || '.' || substring({d}, {e} + 2, {n}) "
+             f"ELSE '0.' || repeat('0', -{e} - 1) || {d} END)")
+    sci = (f"(substring({d}, 1, 1) || (CASE WHEN {n} > 1 THEN '.' || substring({d}, 2, {n} - 1) ELSE '' END) "
+           f"|| 'e' || (CASE WHEN {e} < 0 THEN '-' ELSE '+' END) || {pad(f'CAST(abs({e}) AS VARCHAR)', 2)})")
+    shortest = f"(CASE WHEN length({fixed}) <= length({sci}) THEN {fixed} ELSE {sci} END)"
     return (f"(CASE WHEN {x} IS NULL THEN NULL WHEN isnan({x}) THEN 'NaN' WHEN {x} = 'inf'::DOUBLE THEN 'Inf' "
-            f"WHEN {x} = '-inf'::DOUBLE THEN '-Inf' ELSE {trimmed} END)")
+            f"WHEN {x} = '-inf'::DOUBLE THEN '-Inf' WHEN {x} = 0 THEN '0' "
+            f"ELSE (CASE WHEN {x} < 0 THEN '-' ELSE '' END) || {shortest} END)")
 
 
 def dep_code(nk: str) -> str:
