@@ -48,7 +48,7 @@ def _files(tmp):
 
 def test_er_rate_from_semicolon_feed(spark, tmpdir_path):
     f = _files(tmpdir_path)
-    visits = scan_csv(spark, f["visits.csv"], schemas.ER_VISITS, sep=";")
+    visits = scan_csv(spark, f["visits.csv"], schemas.ER_VISITS, sep=";", mode="FAILFAST")
     geo = scan_geojson(spark, f["dep.geojson"], schemas.DEPARTMENT_PROPERTIES)
     out = {r.insee_dep: r for r in P.er_rate(visits, geo).collect()}
     assert set(out) == {"22", "29", "35", "56", "971"}          # separation dropped, all polygons kept
@@ -64,8 +64,8 @@ def test_er_rate_from_semicolon_feed(spark, tmpdir_path):
 
 def test_icu_saturation_from_semicolon_feed(spark, tmpdir_path):
     f = _files(tmpdir_path)
-    hosp = scan_csv(spark, f["hosp.csv"], schemas.HOSPITAL_DAILY, sep=";")
-    cap = P.clean_capacity(scan_csv(spark, f["lits.csv"], schemas.ICU_CAPACITY))
+    hosp = scan_csv(spark, f["hosp.csv"], schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST")
+    cap = P.clean_capacity(scan_csv(spark, f["lits.csv"], schemas.ICU_CAPACITY, mode="FAILFAST"))
     geo = scan_geojson(spark, f["dep.geojson"], schemas.DEPARTMENT_PROPERTIES)
     assert {(r.reg, r.dep, r.lits) for r in cap.collect()} == {("53", "22", 10), ("53", "29", 20), ("53", "35", 30),
                                                                 ("01", "971", 4)}
@@ -84,7 +84,7 @@ def test_icu_saturation_from_semicolon_feed(spark, tmpdir_path):
 
 def test_hospital_table_from_semicolon_feed(spark, tmpdir_path):
     f = _files(tmpdir_path)
-    hosp = scan_csv(spark, f["hosp.csv"], schemas.HOSPITAL_DAILY, sep=";")
+    hosp = scan_csv(spark, f["hosp.csv"], schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST")
     labels = {"22": "Dep A", "29": "Dep B", "35": "Dep C", "44": "Dep X", "56": "Dep D"}
     out = P.hospital_table(hosp, labels, DEPS, "Region total").collect()
     assert len(out) == 8 * 6                                    # 8 days x (5 departments + total)
@@ -121,9 +121,9 @@ def test_indicator_script_flow(spark, tmpdir_path):
     from pyspark.sql import types as T
 
     f = _indicator_files(tmpdir_path)
-    nat = scan_csv(spark, f["nat.csv"], schemas.INDICATORS_NATIONAL)
-    dep = scan_csv(spark, f["dep.csv"], schemas.INDICATORS_DEPARTMENT, encoding="ISO-8859-1")
-    reg = scan_csv(spark, f["reg.csv"], schemas.REGION_GEO)
+    nat = scan_csv(spark, f["nat.csv"], schemas.INDICATORS_NATIONAL, mode="FAILFAST")
+    dep = scan_csv(spark, f["dep.csv"], schemas.INDICATORS_DEPARTMENT, encoding="ISO-8859-1", mode="FAILFAST")
+    reg = scan_csv(spark, f["reg.csv"], schemas.REGION_GEO, mode="FAILFAST")
 
     # NaN dropped like NA, half-even on the decimal value
     pos = {r.extract_date.day: r.p for r in P.national_series(nat, "tx_pos", 2, "p").collect()}
@@ -143,6 +143,7 @@ def test_indicator_script_flow(spark, tmpdir_path):
     assert i5["Bretagne"].classement_R == "R entre 1 et 1.5" and i5["Bretagne"].date_maj == "24 juillet, 18h"
     assert i5["Île-de-France"].commentaire == "Pas d'estimation disponible pour cette date"
     assert i5["Auvergne-Rhône-Alpes"].R is None            # its R is on 07-23, not the latest date
+    assert json.loads(i5["Bretagne"].geometry) == {"type": "Point", "coordinates": [1, 2]}  # doubled quotes read
     # One row per date, one column per region
     i6 = {r.extract_date.day: (r["Bretagne"], r["Auvergne-Rhône-Alpes"])
           for r in P.history_wide(dep, ["Bretagne", "Auvergne-Rhône-Alpes"]).collect()}

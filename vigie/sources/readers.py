@@ -39,6 +39,7 @@ def scan_csv(
     date_format: str = "yyyy-MM-dd",
     mode: str = "PERMISSIVE",
     with_file: str | None = None,
+    escape: str = '"',
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
@@ -46,6 +47,8 @@ def scan_csv(
     ``path`` may be a file, a directory, a glob or a list of them (S8, S9);
     ``with_file`` adds the source file name as a column (``bind_rows(.id=)``).
     ``encoding`` decodes at the scan (e.g. ``ISO-8859-1``, S2, Q21).
+    Quotes inside a quoted field are doubled (RFC 4180, as readr, fread and
+    ``sink_csv`` write them); Spark's own default escape is a backslash.
     """
     if sep is None:
         sep = detect_separator(spark, path, encoding)
@@ -55,6 +58,8 @@ def scan_csv(
         .option("sep", sep)
         .option("encoding", encoding)
         .option("dateFormat", date_format)
+        .option("quote", '"')
+        .option("escape", escape)
         .option("mode", mode)
     )
     df = reader.csv(path if isinstance(path, str) else list(path))

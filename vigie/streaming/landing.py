@@ -79,6 +79,7 @@ def land_feed(
         .option("sep", sep)
         .option("encoding", encoding)
         .option("dateFormat", "yyyy-MM-dd")
+        .option("escape", '"')          # doubled quotes inside quoted fields (RFC 4180)
         .csv(source_dir)
     )
     writer = stream.writeStream.option("checkpointLocation", checkpoint_dir).trigger(availableNow=True)
