@@ -32,7 +32,7 @@ def test_scan_csv_latin1_and_string_codes(spark, tmpdir_path):
             "2020-07-24,01,Ain,84,Auvergne-Rhône-Alpes,5.1,vert,1.2,0.9,3.0,vert\n"
             "2020-07-24,22,Côtes-d'Armor,53,Bretagne,,,,1.1,,\n")
     _write(p, text.encode("latin-1"))
-    df = scan_csv(spark, p, schemas.INDICATORS_DEPARTMENT, encoding="ISO-8859-1")
+    df = scan_csv(spark, p, schemas.INDICATORS_DEPARTMENT, encoding="ISO-8859-1", mode="FAILFAST")
     got = rows(df, "departement", "libelle_dep", "tx_incid")
     assert got == [("01", "Ain", 5.1), ("22", "Côtes-d'Armor", None)]
 
@@ -42,7 +42,7 @@ def test_scan_csv_semicolon_many_files_with_origin(spark, tmpdir_path):
     head = "dep;sexe;jour;hosp;rea;rad;dc\n"
     _write(os.path.join(d, "a.csv"), (head + "01;0;2020-03-18;2;0;1;0\n").encode())
     _write(os.path.join(d, "b.csv"), (head + "971;0;2020-03-19;5;1;0;0\n").encode())
-    df = scan_csv(spark, os.path.join(d, "*.csv"), schemas.HOSPITAL_DAILY, sep=";", with_file="file")
+    df = scan_csv(spark, os.path.join(d, "*.csv"), schemas.HOSPITAL_DAILY, sep=";", with_file="file", mode="FAILFAST")
     assert rows(df, "dep", "hosp", "file") == [("01", 2, "a.csv"), ("971", 5, "b.csv")]
     listing = list_files(spark, d, "*.csv")
     assert listing.count() == 2
@@ -142,5 +142,5 @@ def test_scan_csv_detects_the_separator(spark, tmpdir_path):
     p = os.path.join(tmpdir_path, "hosp.csv")
     _write(p, b"dep;sexe;jour;hosp;rea;rad;dc\n22;0;2020-03-18;2;0;1;0\n")
     assert detect_separator(spark, p) == ";"
-    df = scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=None)
+    df = scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=None, mode="FAILFAST")
     assert rows(df, "dep", "hosp") == [("22", 2)]
