@@ -144,3 +144,15 @@ def test_scan_csv_detects_the_separator(spark, tmpdir_path):
     assert detect_separator(spark, p) == ";"
     df = scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=None, mode="FAILFAST")
     assert rows(df, "dep", "hosp") == [("22", 2)]
+
+
+def test_sink_then_scan_round_trip_with_quotes(spark, tmpdir_path):
+    schema = T.StructType([T.StructField("code", T.StringType()), T.StructField("nom", T.StringType()),
+                           T.StructField("geometry", T.StringType())])
+    data = [("53", "Bretagne", '{"type":"Point","coordinates":[1,2]}'), ("11", "Île-de-France, Paris", None),
+            ("01", 'say "hi"', '{"type":"LineString","coordinates":[[0,0],[1,1]]}')]
+    df = spark.createDataFrame(data, schema)
+    out = os.path.join(tmpdir_path, "regions")
+    sink_csv(df, out, na="")
+    back = scan_csv(spark, out, schema, mode="FAILFAST")
+    assert sorted(tuple(r) for r in back.collect()) == sorted(data)
