@@ -156,3 +156,24 @@ def test_sink_then_scan_round_trip_with_quotes(spark, tmpdir_path):
     sink_csv(df, out, na="")
     back = scan_csv(spark, out, schema, mode="FAILFAST")
     assert sorted(tuple(r) for r in back.collect()) == sorted(data)
+
+
+def test_scan_csv_takes_declared_columns_by_name(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "hosp_extra.csv")
+    # more columns than declared, in another order (as later versions of the feed)
+    _write(p, b"jour;dep;HospConv;sexe;rea;hosp;dc;rad\n2020-03-18;01;7;0;1;5;0;2\n")
+    df = scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST")
+    assert df.columns == [f.name for f in schemas.HOSPITAL_DAILY.fields]
+    r = df.first()
+    assert (r.dep, r.sexe, r.hosp, r.rea, r.rad, r.dc) == ("01", "0", 5, 1, 2, 0)
+    assert str(r.jour) == "2020-03-18"
+
+
+def test_scan_csv_failfast_on_a_bad_value(spark, tmpdir_path):
+    import pytest
+
+    p = os.path.join(tmpdir_path, "bad.csv")
+    _write(p, b"dep;sexe;jour;hosp;rea;rad;dc\n22;0;2020-03-18;many;0;1;0\n")
+    assert scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=";").first().hosp is None
+    with pytest.raises(Exception):
+        scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST").collect()

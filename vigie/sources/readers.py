@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,6 +29,17 @@ def detect_separator(spark: SparkSession, path: str | Sequence[str], encoding: s
     return max(SEPARATORS, key=lambda c: (header.count(c), c == ","))
 
 
+def _typed(value: Column, field: T.StructField, date_format: str, strict: bool) -> Column:
+    """Header-named text column -> the declared type (strict: a bad value raises)."""
+    t = field.dataType
+    if isinstance(t, T.StringType):
+        return value
+    if isinstance(t, T.DateType):
+        parsed = F.to_date(value, date_format) if strict else F.try_to_date(value, date_format)
+        return parsed
+    return value.cast(t) if strict else value.try_cast(t)
+
+
 def scan_csv(
     spark: SparkSession,
     path: str | Sequence[str],
@@ -43,6 +54,12 @@ def scan_csv(
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
+    With a header (the default), the declared columns are taken **by name**,
+    as readr does: the file may hold more columns and in any order. Every
+    field is read as text and converted to its declared type (no inference,
+    so codes such as ``01`` stay text); ``mode="FAILFAST"`` makes a value that
+    does not convert raise, otherwise it becomes NULL. Without a header the
+    schema applies by position.
     ``sep=None`` detects the separator from the first line (``fread``).
     ``path`` may be a file, a directory, a glob or a list of them (S8, S9);
     ``with_file`` adds the source file name as a column (``bind_rows(.id=)``).
@@ -53,7 +70,7 @@ def scan_csv(
     if sep is None:
         sep = detect_separator(spark, path, encoding)
     reader = (
-        spark.read.schema(schema)
+        spark.read
         .option("header", header)
         .option("sep", sep)
         .option("encoding", encoding)
@@ -61,8 +78,15 @@ def scan_csv(
         .option("quote", '"')
         .option("escape", escape)
         .option("mode", mode)
+        .option("inferSchema", False)
     )
-    df = reader.csv(path if isinstance(path, str) else list(path))
+    paths = path if isinstance(path, str) else list(path)
+    if header:
+        raw = reader.csv(paths)
+        strict = mode.upper() == "FAILFAST"
+        df = raw.select(*[_typed(F.col(f"`{f.name}`"), f, date_format, strict).alias(f.name) for f in schema.fields])
+    else:
+        df = reader.schema(schema).csv(paths)
     if with_file:
         df = df.withColumn(with_file, F.col("_metadata.file_name"))
     return df

@@ -59,7 +59,9 @@ def land_feed(
     ``checkpoint_dir=None`` keeps the stream's progress under the session's
     shared ``spark.checkpoint.dir``, in a folder named after the panel path.
     ``max_files_per_trigger`` bounds each micro-batch, so a backlog of drops is
-    landed in several batches instead of one.
+    landed in several batches instead of one. A file stream needs its full
+    schema up front, so ``schema`` lists the file's columns in file order
+    (``scan_csv`` on landed batch files matches columns by name instead).
     """
     if mode not in ("append", "replace_dates"):
         raise ValueError("mode must be 'append' or 'replace_dates'")
