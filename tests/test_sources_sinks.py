@@ -120,7 +120,7 @@ def test_sink_csv_bom_with_all_quoted(spark, tmpdir_path):
     df = spark.createDataFrame([("a", 1.0)], "k string, v double")
     sink_csv(df, os.path.join(tmpdir_path, "bq"), quote="all", bom=True)
     raw = _read_text(os.path.join(tmpdir_path, "bq"), "part-*.txt")
-    assert raw.startswith(b'\xef\xbb\xbf"k","v"') and b'"a",1.0' in raw
+    assert raw.startswith(b'\xef\xbb\xbf"k","v"') and b'"a",1\n' in raw
 
 
 def test_geojson_feature_collection_round_trip(spark, tmpdir_path):
@@ -177,3 +177,12 @@ def test_scan_csv_failfast_on_a_bad_value(spark, tmpdir_path):
     assert scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=";").first().hosp is None
     with pytest.raises(Exception):
         scan_csv(spark, p, schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST").collect()
+
+
+def test_sink_csv_writes_numbers_as_r(spark, tmpdir_path):
+    df = spark.createDataFrame([("a", 1234.0, 1e7, 0.5, float("nan"), 3)], "k string, a double, b double, c double, d double, n long")
+    for quote, pattern in (("minimal", "part-*.csv"), ("all", "part-*.txt"), ("none", "part-*.txt")):
+        out = os.path.join(tmpdir_path, f"num_{quote}")
+        sink_csv(df, out, quote=quote)
+        last = _read_text(out, pattern).splitlines()[-1]
+        assert last.endswith(b",1234,1e+07,0.5,NaN,3"), (quote, last)

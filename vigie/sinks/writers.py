@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.numbers import number_text
+
 BOM = "﻿"
 
 
@@ -32,13 +34,16 @@ def one_ordered_file(df: DataFrame, lead: DataFrame | None = None) -> DataFrame:
     return body.repartition(1).sortWithinPartitions("__part", "__pos").drop("__part", "__pos")
 
 
-def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str) -> tuple[DataFrame, DataFrame]:
+def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str,
+                r_numbers: bool = True) -> tuple[DataFrame, DataFrame]:
     """Header + one text line per row: text columns quoted (doubled inner quotes)
     when ``quote_text``, otherwise refused if they contain a separator, quote or newline."""
     texts, guards = [], []
     for f in df.schema.fields:
         v = F.col(f"`{f.name}`").cast("string")
-        if isinstance(f.dataType, T.StringType) and quote_text:
+        if r_numbers and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
+            v = number_text(F.col(f"`{f.name}`"))
+        elif isinstance(f.dataType, T.StringType) and quote_text:
             v = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
         elif not quote_text:
             guards.append(v.contains(sep) | v.contains('"') | v.contains("\n"))
@@ -68,6 +73,7 @@ def sink_csv(
     na: str = "NA",
     single_file: bool = True,
     mode: str = "overwrite",
+    r_numbers: bool = True,
 ) -> None:
     """Write a headed, UTF-8 CSV table; missing values are written as ``na``.
 
@@ -76,6 +82,8 @@ def sink_csv(
     bare, X3) or ``"none"`` (no quoting, X2; a row whose text contains the
     separator, a quote or a newline raises, since the file could not be read
     back). ``bom=True`` starts the file with a UTF-8 byte-order mark (X4).
+    ``r_numbers`` writes doubles as R does (``1234``, ``0.5``, ``1e+07``,
+    ``NaN``) instead of Java's ``1234.0`` / ``1.0E7``.
     ``single_file`` writes one part file that keeps the row order of ``df``
     (e.g. a final sort): meant for chart tables, whose size is bounded by areas
     x days. ``quote="all"`` / ``"none"`` always write one file (one header).
@@ -86,9 +94,13 @@ def sink_csv(
     if bom:
         out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
     if quote != "minimal":
-        head, lines = _text_lines(out, sep, quote_text=(quote == "all"), na=na)
+        head, lines = _text_lines(out, sep, quote_text=(quote == "all"), na=na, r_numbers=r_numbers)
         one_ordered_file(lines, lead=head).write.mode(mode).text(path)
         return
+    if r_numbers:
+        out = out.select(*[
+            number_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
+            else F.col(f"`{f.name}`") for f in out.schema.fields])
     (
         (one_ordered_file(out) if single_file else out).write.mode(mode)
         .option("header", True)
