@@ -186,3 +186,12 @@ def test_sink_csv_writes_numbers_as_r(spark, tmpdir_path):
         sink_csv(df, out, quote=quote)
         last = _read_text(out, pattern).splitlines()[-1]
         assert last.endswith(b",1234,1e+07,0.5,NaN,3"), (quote, last)
+
+
+def test_quoted_line_breaks_round_trip_with_multi_line(spark, tmpdir_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("note", T.StringType())])
+    data = [("a", "first line\nsecond line"), ("b", "plain")]
+    out = os.path.join(tmpdir_path, "notes")
+    sink_csv(spark.createDataFrame(data, schema), out)
+    back = scan_csv(spark, out, schema, mode="FAILFAST", multi_line=True)
+    assert sorted(tuple(r) for r in back.collect()) == sorted(data)

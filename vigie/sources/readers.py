@@ -51,6 +51,7 @@ def scan_csv(
     mode: str = "PERMISSIVE",
     with_file: str | None = None,
     escape: str = '"',
+    multi_line: bool = False,
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
@@ -66,6 +67,8 @@ def scan_csv(
     ``encoding`` decodes at the scan (e.g. ``ISO-8859-1``, S2, Q21).
     Quotes inside a quoted field are doubled (RFC 4180, as readr, fread and
     ``sink_csv`` write them); Spark's own default escape is a backslash.
+    ``multi_line=True`` reads quoted fields that contain line breaks; each
+    file is then parsed by one task, so it is off by default.
     """
     if sep is None:
         sep = detect_separator(spark, path, encoding)
@@ -79,6 +82,7 @@ def scan_csv(
         .option("escape", escape)
         .option("mode", mode)
         .option("inferSchema", False)
+        .option("multiLine", multi_line)
     )
     paths = path if isinstance(path, str) else list(path)
     if header:
