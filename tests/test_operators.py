@@ -176,3 +176,10 @@ def test_assert_unique(spark):
     dup = ok.union(spark.createDataFrame([("r2", "01", 5)], ok.schema))
     with pytest.raises(Exception, match="duplicate"):
         O.assert_unique(dup, ["dep"], "department").collect()
+
+
+def test_join_on_keeps_same_named_columns_with_suffixes(spark):
+    a = spark.createDataFrame([("k1", 1)], "k string, v int")
+    b = spark.createDataFrame([("k1", 2)], "k string, v int")
+    out = O.join_on(a, b, ["k"], "left")
+    assert out.columns == ["k", "v.x", "v.y"] and tuple(out.first()) == ("k1", 1, 2)

@@ -64,6 +64,7 @@ def join_on(
     keys: Sequence[str] | dict,
     how: str = "left",
     na_matches: str = "never",
+    suffix: tuple[str, str] = (".x", ".y"),
 ) -> DataFrame:
     """Equi-join with dplyr key handling.
 
@@ -72,6 +73,7 @@ def join_on(
     carries the right side's value, for a full join the non-NULL one.
     ``na_matches="na"`` lets NULL match NULL (``eqNullSafe``), which is still a
     hashable equi-join key for sort-merge and broadcast-hash joins.
+    Other columns present on both sides are kept, with ``suffix`` appended.
     """
     if not isinstance(keys, dict):
         keys = {k: k for k in keys}
@@ -87,6 +89,8 @@ def join_on(
         c = lc.eqNullSafe(rc) if na_matches == "na" else lc == rc
         cond = c if cond is None else cond & c
     joined = left.join(r2, cond, how)
+    right_rest = [c for c in r2.columns if c not in tmp.values()]
+    both = {c for c in right_rest if c in left.columns and c not in keys}
     out = []
     for name in left.columns:
         if name in keys:
@@ -94,8 +98,12 @@ def join_on(
             key = {"right": rc, "full": F.coalesce(lc, rc)}.get(how, lc)
             out.append(key.alias(name))
         else:
-            out.append(left[f"`{name}`"])
-    out += [r2[f"`{c}`"] for c in r2.columns if c not in tmp.values() and c not in left.columns]
+            out.append(left[f"`{name}`"].alias(name + suffix[0]) if name in both else left[f"`{name}`"])
+    for c in right_rest:
+        if c in both:
+            out.append(r2[f"`{c}`"].alias(c + suffix[1]))
+        elif c not in left.columns:
+            out.append(r2[f"`{c}`"])
     return joined.select(*out)
 
 
