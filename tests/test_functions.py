@@ -142,3 +142,10 @@ def test_parse_day_month_keeps_a_full_date(spark):
 def test_round_even_large_values_do_not_overflow(spark):
     out = _one(spark, [(123456789012345.5,), (-2.5e13,), (999999999999.5,)], "x double", V.round_even("x"))
     assert out == [123456789012346.0, -2.5e13, 1000000000000.0]
+
+
+def test_classify_refuses_unsorted_cuts():
+    import pytest
+
+    with pytest.raises(ValueError):
+        V.classify("x", (10, 5))

@@ -32,6 +32,8 @@ def classify(
         raise ValueError("classify needs len(cuts) + 1 labels")
     if closed not in ("left", "right"):
         raise ValueError("closed must be 'left' or 'right'")
+    if any(b <= a for a, b in zip(cuts, cuts[1:])):
+        raise ValueError("classify needs strictly increasing cuts")
     x = col(c)
     below = (lambda v: x < F.lit(v)) if closed == "left" else (lambda v: x <= F.lit(v))
     out = F.when(~present(x), F.lit(None).cast("string"))
