@@ -183,3 +183,8 @@ def test_join_on_keeps_same_named_columns_with_suffixes(spark):
     b = spark.createDataFrame([("k1", 2)], "k string, v int")
     out = O.join_on(a, b, ["k"], "left")
     assert out.columns == ["k", "v.x", "v.y"] and tuple(out.first()) == ("k1", 1, 2)
+
+
+def test_keep_present_on_text_and_dates(spark):
+    df = spark.createDataFrame([("a", D(2020, 1, 1)), (None, None), ("NaN", D(2020, 1, 2))], "s string, d date")
+    assert rows(O.keep_present(df, "s", "d"), "s") == [("NaN",), ("a",)]

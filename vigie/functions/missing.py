@@ -21,7 +21,7 @@ _NAN = float("nan")
 
 
 def present(c: Column | str) -> Column:
-    """True when the value is neither NULL nor NaN (R ``!is.na``)."""
+    """True when the value is neither NULL nor NaN (R ``!is.na``); for numeric columns."""
     c = col(c)
     return c.isNotNull() & ~F.isnan(c)
 

@@ -12,15 +12,19 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.missing import present, strict_sum
 
 
 def keep_present(df: DataFrame, *cols: str) -> DataFrame:
-    """``filter(!is.na(x))`` for each column (NULL and NaN are dropped)."""
+    """``filter(!is.na(x))`` for each column: NULL is dropped, and NaN too for
+    floating columns (other types have no NaN)."""
+    types = {f.name: f.dataType for f in df.schema.fields}
     cond = None
     for c in cols:
-        p = present(F.col(f"`{c}`"))
+        floating = isinstance(types.get(c), (T.DoubleType, T.FloatType))
+        p = present(F.col(f"`{c}`")) if floating else F.col(f"`{c}`").isNotNull()
         cond = p if cond is None else cond & p
     return df if cond is None else df.where(cond)
 
