@@ -24,7 +24,7 @@ def recode(c: Column | str, mapping: Mapping, keep: bool = True) -> Column:
     """
     c = col(c)
     if not mapping:
-        return c if keep else F.lit(None)
+        return c if keep else F.lit(None).cast("string")
     items = list(mapping.items())
     out = F.when(c == F.lit(items[0][0]), F.lit(items[0][1]))
     for k, v in items[1:]:
