@@ -29,7 +29,7 @@ def test_indicator_job_writes_every_table(spark, tmpdir_path):
     assert _one_file(out["r_history"]).startswith(b'"extract_date","AFRICA"')
     header = _one_file(out["incidence_map"]).splitlines()[0]
     assert header.endswith(b",fill")
-    landed = os.path.join(spark.conf.get("spark.checkpoint.dir"), "vigie-feeds", "indicators_department")
+    landed = os.path.join(spark.conf.get("spark.checkpoint.dir"), "vigie-feeds", jobs.RUN_ID, "indicators_department")
     assert any(n.startswith("extract_date=") for n in os.listdir(landed))
 
 

@@ -11,6 +11,7 @@ uses for it.
 from __future__ import annotations
 
 import datetime as dt
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,9 +22,15 @@ from ..sinks.writers import map_layer, sink_csv, sink_geojson
 from . import composed as P
 
 
-def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = ()) -> DataFrame:
-    """Write ``df`` under ``<spark.checkpoint.dir>/vigie-feeds/<name>`` and read it back."""
-    path = f"{checkpoint_dir(spark).rstrip('/')}/vigie-feeds/{name}"
+# One folder per run of this process, so runs that overlap on a shared
+# checkpoint folder never overwrite each other's landed feeds.
+RUN_ID = uuid.uuid4().hex[:12]
+
+
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Sequence[str] = (),
+                run_id: str | None = None) -> DataFrame:
+    """Write ``df`` under ``<spark.checkpoint.dir>/vigie-feeds/<run>/<name>`` and read it back."""
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vigie-feeds/{run_id or RUN_ID}/{name}"
     w = df.write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
