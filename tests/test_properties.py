@@ -76,3 +76,53 @@ def test_pivot_then_unpivot_gives_back_the_present_cells(spark, cells):
     back = O.unpivot_long(wide, ["d"], names_to="reg", values_to="r").where("r IS NOT NULL")
     got = sorted(tuple(r) for r in back.collect())
     assert got == sorted(c for c in cells if c[2] is not None)
+
+
+keys = st.one_of(st.none(), st.sampled_from(["a", "b", "c"]))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(keys, st.integers(0, 9)), min_size=0, max_size=12),
+       st.lists(st.tuples(keys, st.integers(0, 9)), min_size=0, max_size=12),
+       st.sampled_from(["never", "na"]))
+def test_left_join_matches_dplyr_rules(spark, left, right, na_matches):
+    ldf = spark.createDataFrame(left, "k string, x int")
+    rdf = spark.createDataFrame(right, "k string, y int")
+    got = sorted((tuple(r) for r in O.join_on(ldf, rdf, ["k"], "left", na_matches).collect()), key=repr)
+
+    def match(a, b):
+        return (a is None and b is None) if na_matches == "na" and (a is None or b is None) else \
+            (a is not None and a == b)
+
+    want = []
+    for k, x in left:
+        hits = [y for rk, y in right if match(k, rk)]
+        want += [(k, x, y) for y in hits] if hits else [(k, x, None)]
+    assert got == sorted(want, key=repr)
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.integers(0, 20), keys, st.one_of(st.none(), st.integers(0, 50))),
+                min_size=1, max_size=20, unique_by=lambda t: t[0]))
+def test_group_totals_repeat_the_group_sum(spark, data):
+    from vigie.functions import strict_sum
+
+    df = spark.createDataFrame(data, "id int, g string, v long")
+    out = {r.id: r.v for r in O.with_group_totals(df, ["g"], {"v": strict_sum("v")}).collect()}
+    for i, g, _ in data:
+        members = [v for _, gg, v in data if gg == g]       # NULL keys form one group
+        want = None if any(v is None for v in members) else sum(members)
+        assert out[i] == want
+
+
+@SETTINGS
+@given(st.lists(st.integers(0, 40), min_size=1, max_size=30), st.integers(1, 10))
+def test_trailing_days_keeps_the_last_n_days(spark, offsets, n):
+    import datetime as dt
+
+    base = dt.date(2020, 1, 1)
+    df = spark.createDataFrame([(base + dt.timedelta(days=o),) for o in offsets], "d date")
+    got = sorted(r.d for r in O.trailing_days(df, "d", n).collect())
+    last = base + dt.timedelta(days=max(offsets))
+    assert got == sorted(base + dt.timedelta(days=o) for o in offsets
+                         if base + dt.timedelta(days=o) > last - dt.timedelta(days=n))
