@@ -36,7 +36,8 @@ def sentence(*parts) -> Column:
     """Concatenate literal text and columns without separator (``paste0``).
 
     A NULL part makes the whole sentence NULL (Q9); callers guard with
-    ``when`` the way the reference does.
+    ``when`` the way the reference does. Pass numbers through ``number_text``
+    to print them as R does (a plain cast writes ``1.0`` for 1).
     """
     return F.concat(*[lit_or_col(p).cast("string") for p in parts])
 
