@@ -80,3 +80,28 @@ def test_pad_twin(spark, ns):
     con.executemany("INSERT INTO t VALUES (?, ?)", [(i, str(n)) for i, n in enumerate(ns)])
     want = [r[0] for r in con.execute(f"SELECT {O.pad('s', 3)} FROM t ORDER BY i").fetchall()]
     assert got == want
+
+
+@SETTINGS
+@given(st.lists(st.dates(min_value=__import__("datetime").date(1990, 1, 1),
+                         max_value=__import__("datetime").date(2030, 12, 31)), min_size=1, max_size=25),
+       st.booleans())
+def test_month_label_twin(spark, days, short):
+    df = spark.createDataFrame(list(enumerate(days)), "i int, d date")
+    got = [r[0] for r in df.orderBy("i").select(V.month_label("d", short=short)).collect()]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, d DATE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", list(enumerate(days)))
+    want = [r[0] for r in con.execute(f"SELECT {O.month_label('d', short=short)} FROM t ORDER BY i").fetchall()]
+    assert got == want
+
+
+def test_department_code_twin(spark):
+    from pyspark.sql import functions as F
+
+    from vigie.sources import standins as S
+
+    got = [r[0] for r in spark.range(0, 30).orderBy("id").select(S._dep_code(F.col("id"))).collect()]
+    con = duckdb.connect()
+    want = [r[0] for r in con.execute(f"SELECT {O.dep_code('id')} FROM range(0, 30) t(id) ORDER BY id").fetchall()]
+    assert got == want and got[:3] == ["00", "01", "02"] and got[20] == "971"
