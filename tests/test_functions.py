@@ -149,3 +149,8 @@ def test_classify_refuses_unsorted_cuts():
 
     with pytest.raises(ValueError):
         V.classify("x", (10, 5))
+
+
+def test_r_divide_nan_over_zero_is_nan(spark):
+    out = _one(spark, [(float("nan"), 0.0), (float("nan"), 2.0)], "a double, b double", V.r_divide("a", "b"))
+    assert math.isnan(out[0]) and math.isnan(out[1])

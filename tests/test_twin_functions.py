@@ -105,3 +105,19 @@ def test_department_code_twin(spark):
     con = duckdb.connect()
     want = [r[0] for r in con.execute(f"SELECT {O.dep_code('id')} FROM range(0, 30) t(id) ORDER BY id").fetchall()]
     assert got == want and got[:3] == ["00", "01", "02"] and got[20] == "971"
+
+
+small = st.one_of(st.none(), st.integers(-3, 3).map(float), st.sampled_from([0.0, float("nan")]))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(small, small), min_size=1, max_size=25))
+def test_ratio_twins(spark, pairs):
+    df = spark.createDataFrame([(i, a, b) for i, (a, b) in enumerate(pairs)], "i int, a double, b double")
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(i INTEGER, a DOUBLE, b DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?, ?)", [(i, a, b) for i, (a, b) in enumerate(pairs)])
+    for spark_fn, sql_fn in ((V.r_divide, O.r_divide), (V.safe_ratio, O.safe_ratio)):
+        got = [r[0] for r in df.orderBy("i").select(spark_fn("a", "b")).collect()]
+        want = [r[0] for r in con.execute(f"SELECT {sql_fn('a', 'b')} FROM t ORDER BY i").fetchall()]
+        assert all(_same(x, y) for x, y in zip(got, want)), list(zip(pairs, got, want))

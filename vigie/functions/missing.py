@@ -61,7 +61,8 @@ def r_divide(num: Column | str, den: Column | str) -> Column:
     num = col(num).cast("double")
     den = col(den).cast("double")
     by_zero = (
-        F.when(num > 0, F.lit(_INF))
+        F.when(F.isnan(num), F.lit(_NAN))    # Spark orders NaN above every number
+        .when(num > 0, F.lit(_INF))
         .when(num < 0, F.lit(-_INF))
         .when(num.isNotNull(), F.lit(_NAN))
     )

@@ -44,8 +44,8 @@ def strict_sum(x: str) -> str:
 
 
 def r_divide(a: str, b: str) -> str:
-    return (f"(CASE WHEN {b} = 0 THEN (CASE WHEN {a} > 0 THEN 'inf' WHEN {a} < 0 THEN '-inf' "
-            f"WHEN {a} IS NOT NULL THEN 'nan' END)::DOUBLE ELSE CAST({a} AS DOUBLE) / {b} END)")
+    return (f"(CASE WHEN {b} = 0 THEN (CASE WHEN isnan({a}) THEN 'nan' WHEN {a} > 0 THEN 'inf' "
+            f"WHEN {a} < 0 THEN '-inf' WHEN {a} IS NOT NULL THEN 'nan' END)::DOUBLE ELSE CAST({a} AS DOUBLE) / {b} END)")
 
 
 def safe_ratio(a: str, b: str) -> str:
