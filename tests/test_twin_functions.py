@@ -121,3 +121,21 @@ def test_ratio_twins(spark, pairs):
         got = [r[0] for r in df.orderBy("i").select(spark_fn("a", "b")).collect()]
         want = [r[0] for r in con.execute(f"SELECT {sql_fn('a', 'b')} FROM t ORDER BY i").fetchall()]
         assert all(_same(x, y) for x, y in zip(got, want)), list(zip(pairs, got, want))
+
+
+@SETTINGS
+@given(st.lists(st.tuples(st.sampled_from("abc"), st.one_of(st.none(), st.integers(-5, 5).map(float),
+                                                            st.just(float("nan")))), min_size=1, max_size=25))
+def test_strict_sum_twin(spark, data):
+    from vigie.functions import na_sum, strict_sum
+
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {r.g: (r.s, r.l) for r in df.groupBy("g").agg(strict_sum("v").alias("s"), na_sum("v").alias("l")).collect()}
+    con = duckdb.connect()
+    con.execute("CREATE TABLE t(g VARCHAR, v DOUBLE)")
+    con.executemany("INSERT INTO t VALUES (?, ?)", data)
+    want = {g: (s, l) for g, s, l in con.execute(
+        f"SELECT g, {O.strict_sum('v')}, coalesce(sum(v), 0) FROM t GROUP BY g").fetchall()}
+    assert set(got) == set(want)
+    for g in got:
+        assert _same(got[g][0], want[g][0]) and _same(float(got[g][1]), float(want[g][1])), (g, got[g], want[g])
