@@ -108,10 +108,11 @@ def test_number_text(spark):
         "1e+05", "123456", "1e-04", "0.001", "0.333333333333333", "0.3", "-2.5", "1.23e-07"]
 
 
-def test_sentence_null_propagates_and_join_text_skips(spark):
-    df = spark.createDataFrame([("a", None)], "x string, y string")
+def test_sentence_and_join_text_null_propagates(spark):
+    df = spark.createDataFrame([("a", None, "b")], "x string, y string, z string")
     assert df.select(V.sentence("<", F.col("x"), F.col("y"))).first()[0] is None
-    assert df.select(V.join_text("/", F.col("x"), F.col("y"))).first()[0] == "a"
+    assert df.select(V.join_text("/", F.col("x"), F.col("y"))).first()[0] is None
+    assert df.select(V.join_text("/", F.col("x"), F.col("z"), "c")).first()[0] == "a/b/c"
 
 
 def test_substring_between_and_parse_date(spark):

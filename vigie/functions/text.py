@@ -43,8 +43,14 @@ def sentence(*parts) -> Column:
 
 
 def join_text(sep: str, *parts) -> Column:
-    """Concatenate with a separator (``paste(..., sep=)``); NULL parts are skipped."""
-    return F.concat_ws(sep, *[lit_or_col(p).cast("string") for p in parts])
+    """Concatenate with a separator (``paste(..., sep=)``).
+
+    Like ``sentence``, a NULL part makes the result NULL (Q9) instead of R's
+    literal ``NA`` text.
+    """
+    cols = [lit_or_col(p).cast("string") for p in parts]
+    with_seps = [x for c in cols for x in (F.lit(sep), c)][1:]
+    return F.concat(*with_seps)
 
 
 def substring_between(c: Column | str, first: int, last: int) -> Column:
