@@ -23,7 +23,8 @@ def pivot_wide(
     schema is stable and no extra job runs; ``names=None`` lets Spark list the
     distinct values first (one more job, at most ``spark.sql.pivotMaxValues``
     labels, which is meant for label columns such as region names). Rows whose
-    ``names_from`` is NULL have no column to go to and are left out.
+    ``names_from`` is NULL, or with a label that ``names`` does not list, have
+    no column to go to and are left out (``names=None`` takes every label).
     """
     grouped = df.groupBy(*id_cols)
     pivoted = grouped.pivot(names_from) if names is None else grouped.pivot(names_from, list(names))
