@@ -86,7 +86,8 @@ def test_cell_range_refuses_a_cell_address_given_twice(spark):
 
 def test_date_cells_accept_iso_text_and_serial_numbers(spark):
     c = _cells(spark, [("w", 2, "s", 5, 1, "2020-04-06"), ("w", 2, "s", 6, 1, "43927"),
-                       ("w", 2, "s", 7, 1, "43927.75"), ("w", 2, "s", 8, 1, "n/a")])
-    out = O.cell_range(c, (5, 8), (1, 1), ["d"], ["date"])
-    assert rows(out, "row", "d") == [(5, dt.date(2020, 4, 6)), (6, dt.date(2020, 4, 6)),
-                                     (7, dt.date(2020, 4, 6)), (8, None)]
+                       ("w", 2, "s", 7, 1, "43927.75"), ("w", 2, "s", 8, 1, "n/a"),
+                       ("w", 2, "s", 9, 1, "2020-04-06 00:00:00"), ("w", 2, "s", 10, 1, "2020-04-06T12:00:00")])
+    out = O.cell_range(c, (5, 10), (1, 1), ["d"], ["date"])
+    day = dt.date(2020, 4, 6)
+    assert {r.row: r.d for r in out.collect()} == {5: day, 6: day, 7: day, 8: None, 9: day, 10: day}

@@ -35,14 +35,16 @@ SERIAL_EPOCH = "1899-12-30"
 def convert(value: Column, typ: str) -> Column:
     """Text cell -> typed value; unconvertible text gives NULL (readxl's NA).
 
-    ``"date"`` takes ISO text or a spreadsheet date serial number.
+    ``"date"`` takes ISO text (a time part, as in ``2020-04-06 00:00:00``, is
+    dropped) or a spreadsheet date serial number.
     """
     if typ == "text":
         return value
     if typ == "date":
         serial = value.try_cast("double")
         from_serial = F.date_add(F.lit(SERIAL_EPOCH).cast("date"), F.floor(serial).cast("int"))
-        return F.coalesce(parse_date(value), F.when(serial.isNotNull(), from_serial))
+        with_time = F.when(value.rlike(r"^\d{4}-\d{2}-\d{2}[ T]"), parse_date(F.substring(value, 1, 10)))
+        return F.coalesce(parse_date(value), with_time, F.when(serial.isNotNull(), from_serial))
     if typ in ("numeric", "double"):
         return value.try_cast("double")
     return value.try_cast(typ)
