@@ -195,3 +195,11 @@ def test_quoted_line_breaks_round_trip_with_multi_line(spark, tmpdir_path):
     sink_csv(spark.createDataFrame(data, schema), out)
     back = scan_csv(spark, out, schema, mode="FAILFAST", multi_line=True)
     assert sorted(tuple(r) for r in back.collect()) == sorted(data)
+
+
+def test_bom_file_reads_back_by_name(spark, tmpdir_path):
+    df = spark.createDataFrame([("53", "22", 10)], "reg string, dep string, lits long")
+    out = os.path.join(tmpdir_path, "cap_bom")
+    sink_csv(df, out, bom=True)
+    back = scan_csv(spark, out, schemas.ICU_CAPACITY, mode="FAILFAST")
+    assert [tuple(r) for r in back.collect()] == [("53", "22", 10)]
