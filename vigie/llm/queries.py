@@ -8,13 +8,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination, report
 from .exact_dedup import exact_dedup
+from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
+from .quality import quality
 from .sharding import shard
 from .shared import table
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id(table(spark, sf_dir, "documents"))
+
+
 def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup(table(spark, sf_dir, "documents"))
 
@@ -23,6 +29,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -40,8 +50,10 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
