@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination, report
 from .exact_dedup import exact_dedup
+from .html_extract import extract
 from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix
@@ -29,6 +30,10 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), ["doc_id"]))
 
 
+def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -53,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
     "op4_decontamination": op4_decontamination,
+    "op5_html_extract": op5_html_extract,
     "op6_quality": op6_quality,
     "op7_license_scan": op7_license_scan,
     "op8_sharding": op8_sharding,
