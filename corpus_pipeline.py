@@ -1,29 +1,70 @@
-"""Corpus pipeline: documents through the training-data operators, stage by stage."""
+"""Corpus pipeline: documents through the training-data operators, stage by stage.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows that the stage
+before it kept. The stages before the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from vigie.llm.decontamination import remove_documents
+from vigie.llm.mixing import mix
+from vigie.llm.near_dedup import near_dedup
+from vigie.llm.quality import keep_good
 from vigie.llm.sharding import shard
 from vigie.llm.shared import cut, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
+SHINGLE = 5  # words; pairs of similarity 0.8 or more are linked
+
+
+def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier rejects go."""
+    return keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each near-duplicate group stays; rows without an id stay."""
+    dropped = near_dedup(docs, shingle=SHINGLE).where(~F.col("kept")).select("doc_id").distinct()
+    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+
+
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a window of a benchmark item go."""
+    return remove_documents(docs, table(spark, sf_dir, "benchmark"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix takes it; rows that repeat an id are taken alike."""
+    taken = mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
+    every = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
+    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_number")).select(docs.columns)
+
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The mixed rows in shards of near equal bytes."""
     return shard(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("sharding", sharding)]
+STAGES: list[tuple[str, Stage]] = [
+    ("quality", quality_filter),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("sharding", sharding),
+]
 
-# Iterative search, trained models and byte-exact knapsacks have no SQL form.
+# Trained models and iterative searches have no SQL form; tests hold the result against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written as Parquet and read again."""
+    """All stages over ``documents``; each result but the last is written as Parquet and read again."""
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir))
