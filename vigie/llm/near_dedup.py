@@ -12,9 +12,10 @@
    round every member of a list meets one pivot; the collisions of that pair
    are counted over the whole signatures, and pairs with enough are confirmed
    on the full shingle sets. Texts already in one component need not meet, so
-   lists within one component are skipped in later rounds. After ``ROUNDS`` the
-   lists that still hold several components have their remaining pairs across
-   components counted and confirmed, so that no link between components is lost.
+   lists within one component are skipped in later rounds. Once few pairs are
+   left, or after ``ROUNDS``, the lists that still hold several components have
+   all their remaining pairs across components counted and confirmed, so that no
+   link between components is lost.
 4. Components are found on the confirmed links.
 
 With 64 coordinates and at least 38 matches, a pair of similarity 0.8 or more
@@ -39,6 +40,7 @@ THRESHOLD = 80  # per cent
 COORDINATES = 64
 MATCHES = 38
 ROUNDS = 3
+PAIRS_PER_POST = 8
 SEED = 20261203
 
 
@@ -141,43 +143,60 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, matches:
     return ends(retained, sets, "shingles").where(100 * common >= threshold * union).select("a", "b")
 
 
+def pivots(members: DataFrame, turn: int) -> DataFrame:
+    """One pair per member of each list that holds several components: with the list's pivot, or,
+    for members of the pivot's own component, with a member of another one."""
+    rank = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")  # another pivot in each round
+    lists = members.groupBy("token").agg(
+        F.min(F.struct(rank.alias("rank"), "id", "component")).alias("pivot"),
+        F.min(F.struct("component", "id")).alias("low"), F.max(F.struct("component", "id")).alias("high"),
+    ).where("low.component <> high.component")
+    other = F.when(F.col("pivot.component") == F.col("low.component"), F.col("high.id")).otherwise(F.col("low.id"))
+    partner = F.when(F.col("component") != F.col("pivot.component"), F.col("pivot.id")).otherwise(other)
+    return members.join(lists, "token").select("id", partner.alias("partner"))
+
+
+def across(members: DataFrame) -> DataFrame:
+    """All pairs of a list's members in different components."""
+    theirs = members.select("token", F.col("id").alias("partner"), F.col("component").alias("their"))
+    return members.join(theirs, "token").where("component < their").select("id", "partner")
+
+
+def open_pairs(members: DataFrame) -> int:
+    """How many pairs ``across`` would give."""
+    parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
+    lists = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
+    return lists.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0] or 0
+
+
 def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int, threshold: int, rounds: int) -> DataFrame | None:
-    """Confirmed links (a > b) that connect every component that candidates can connect; None without any."""
+    """Confirmed links (a > b) that connect every component that candidates can connect; None without any.
+
+    Pivot rounds go on while the pairs left across components outnumber
+    ``PAIRS_PER_POST`` times the postings, ``rounds`` at most; then these are met too.
+    """
+    rows = posts.count()
+    if not rows:
+        return None
     tested = found = None
-    spark = posts.sparkSession
     for turn in range(rounds + 1):
-        members = posts
+        members, last = posts.withColumn("component", F.col("id")), False
         if found is not None:
-            members = posts.join(components(found), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component"))
-        else:
-            members = posts.withColumn("component", F.col("id"))
-        # a list's pivot changes with the round; ``other`` is a member of another component
-        rank = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")
-        lists = members.groupBy("token").agg(
-            F.min(F.struct(rank.alias("rank"), "id", "component")).alias("pivot"),
-            F.min("component").alias("low"), F.max(F.struct("component", "id")).alias("high"),
-            F.min(F.struct("component", "id")).alias("low_member"),
-        ).where(F.col("low") != F.col("high.component"))
-        open_members = cut(members.join(lists, "token"))
-        if turn < rounds:
-            other = F.when(F.col("pivot.component") == F.col("low"), F.col("high.id")).otherwise(F.col("low_member.id"))
-            partner = F.when(F.col("component") != F.col("pivot.component"), F.col("pivot.id")).otherwise(other)
-            pairs = open_members.select(F.col("id"), partner.alias("partner"))
-        else:
-            mine = open_members.select("token", "id", "component")
-            theirs = mine.select("token", F.col("id").alias("partner"), F.col("component").alias("their"))
-            pairs = mine.join(theirs, "token").where("component < their").select("id", "partner")
+            members = cut(posts.join(components(found), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component")))
+            left = open_pairs(members)
+            if not left:
+                break
+            last = turn == rounds or left <= PAIRS_PER_POST * rows
+        pairs = across(members) if last else pivots(members, turn)
         pairs = pairs.select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).where("a <> b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        if pairs.isEmpty() and turn < rounds:
-            if open_members.isEmpty():
-                break
-            continue
         new = cut(confirmed(pairs, signatures, sets, matches, threshold))
         tested = pairs if tested is None else tested.unionAll(pairs)
         found = new if found is None else found.unionAll(new)
+        if last:
+            break
     return found
 
 

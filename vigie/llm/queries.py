@@ -13,6 +13,7 @@ from .language_id import language_id
 from .license_scan import license_scan
 from .mixing import mix
 from .near_dedup import near_dedup
+from .oracle import SQL
 from .quality import quality
 from .sharding import shard
 from .shared import table
@@ -72,12 +73,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_exact_dedup": op10_exact_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {
-    "op10_exact_dedup": """
-        WITH n AS (
-          SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t
-          FROM documents
-        ), g AS (SELECT doc_id, t, max(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PARTITION BY t) AS group_size FROM n)
-        SELECT doc_id, keep_id, group_size, doc_id IS NOT DISTINCT FROM keep_id AS kept, sha256(t) AS text_sha256 FROM g
-    """,
-}
+ORACLE_SQL: dict[str, str] = dict(SQL)

@@ -2,7 +2,9 @@
 
 Equal texts form atomic groups, ordered by content digest. The smallest shard
 capacity for which a greedy left-to-right fill needs at most ``shards`` shards
-is found by binary search, and the groups are cut where that greedy fill cuts.
+is found by binary search. The groups are cut where that greedy fill cuts, or
+at the even share before it as long as the rest still fits that capacity, so
+that the last shard is not left short.
 
 The greedy check only asks "which group boundary is the last at or before byte
 x", so the driver never needs the groups themselves: it holds a bounded
@@ -54,9 +56,9 @@ class Boundaries:
             return x
         return self.last_known(x)
 
-    def fill(self, capacity: int, shards: int, last) -> list[int]:
-        """Greedy cuts: where each shard of this capacity ends."""
-        cuts, at = [], 0
+    def fill(self, capacity: int, shards: int, last, at: int = 0) -> list[int]:
+        """Greedy cuts from byte ``at`` on: where each shard of this capacity ends."""
+        cuts = []
         for _ in range(shards):
             at = last(at + capacity)
             cuts.append(at)
@@ -88,7 +90,7 @@ def minimax_cuts(groups: DataFrame, shards: int, summary: int = SUMMARY) -> list
         fits = smallest(lower, upper, lambda c: marks.fill(c, shards, marks.last_known)[-1] >= total)
         may = smallest(lower, fits, lambda c: marks.fill(c, shards, marks.last_possible)[-1] >= total)
         if may == fits:
-            return marks.fill(fits, shards, marks.last_known)
+            return even(marks, fits, shards, total)
         lower, upper = may, fits
         spans = zip(marks.fill(may, shards, marks.last_known), marks.fill(fits, shards, marks.last_possible), strict=True)
         need = sorted((a, b) for a, b in spans if a < b)
@@ -102,6 +104,19 @@ def minimax_cuts(groups: DataFrame, shards: int, summary: int = SUMMARY) -> list
                 stretches.append((a, b))
 
 
+def even(marks: Boundaries, capacity: int, shards: int, total: int) -> list[int]:
+    """Cuts for a feasible capacity: each at the last known boundary before its even share, where the rest
+    still fits; else where the greedy fill cuts. No shard exceeds the capacity."""
+    cuts, at = [], 0
+    for j in range(1, shards + 1):
+        greedy = marks.last_known(at + capacity)
+        share = max(at, marks.last_known(min(total * j // shards, at + capacity)))
+        rest = shards - j
+        at = share if (marks.fill(capacity, rest, marks.last_known, share) or [share])[-1] >= total else greedy
+        cuts.append(at)
+    return cuts
+
+
 def blocks(groups: DataFrame, stretches: list[tuple[int, int]], summary: int) -> list[tuple[int, int, int]]:
     """(count, first, last) boundary of each block; a stretch strictly between its ends is cut into equal blocks."""
     each = max(2, summary // len(stretches))
