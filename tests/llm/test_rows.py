@@ -1,0 +1,245 @@
+"""Decontamination, licence scan, sharding and mixing against brute force."""
+
+import hashlib
+import itertools
+import random
+import re
+import zlib
+from collections import defaultdict
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from vigie.llm.decontamination import contamination, remove_documents, remove_spans, report
+from vigie.llm.license_scan import PHRASES, TEMPLATES, license_blocks, license_scan
+from vigie.llm.mixing import MOST_REPEATS, fit, mix
+from vigie.llm.sharding import Boundaries, even, shard, smallest
+
+from .conftest import edge_rows, lowered
+
+
+def words(t):
+    return re.findall(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lowered(t))
+
+
+def test_contamination_edges(spark, edge):
+    rows = edge_rows()
+    long_text = rows[13][1]
+    items = [(1, " ".join(long_text.split()[5:20])), (2, "two   WORDS"), (10, "one"), (3, ""), (4, None), (None, "three"), (2, "cc by")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    windows = defaultdict(set)
+    for item, t in items:
+        w = words(t)
+        n = min(10, len(w))
+        if n and item is not None:
+            for j in range(len(w) - n + 1):
+                windows[tuple(w[j : j + n])].add(str(item))
+    want = []
+    for i, t, *_ in rows:
+        w, hit, ids = words(t), set(), set()
+        for j, n in itertools.product(range(len(w)), range(1, 11)):
+            if found := windows.get(tuple(w[j : j + n])) if j + n <= len(w) else None:
+                hit |= set(range(j, j + n))
+                ids |= found
+        want.append((i, len(w), len(hit), len(ids), hashlib.sha256(",".join(sorted(ids)).encode()).hexdigest(), bool(hit)))
+    for block_words in (2_000_000, 20):
+        got = report(contamination(edge, bench, ["doc_id"], block_words=block_words)).collect()
+        assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+    clean = remove_documents(edge, bench)
+    assert clean.columns == edge.columns and clean.count() == sum(not w[5] for w in want)
+    spans = {r["doc_id"]: r["text"] for r in remove_spans(edge, bench).collect() if r["doc_id"] is not None}
+    assert spans[5] == "" and spans[3] == "" and spans[6] == "three little words" and spans[0] is None
+    assert len(words(spans[13])) == len(words(long_text)) - 15
+
+
+def test_contamination_empty(spark, edge, empty):
+    bench = spark.createDataFrame([], "item_id long, text string")
+    assert not any(r["contaminated"] for r in report(contamination(edge, bench, ["doc_id"])).collect())
+    assert report(contamination(empty, bench, ["doc_id"])).collect() == []
+
+
+def brute_licence(text):
+    w = [x.decode() for x in words(text)]
+    at = [(j, label) for p, label in PHRASES.items() for j in range(len(w)) if w[j : j + len(p.split())] == p.split()]
+    met = {}
+    for line in lowered(text).decode().split("\n"):
+        own = {x.decode() for x in words(line)}
+        for label, t in TEMPLATES.items():
+            share = len(own & set(t.split())) / len(set(t.split()))
+            if share >= 0.8:
+                met[label] = max(share, met.get(label, 0))
+    base = sorted({x for _, x in at})
+    return (len(w), len(at), min(at)[0] if at else None, max(at)[0] if at else None, ",".join(base), ",".join(sorted({*base, *met})),
+            1.0 if at else max(met.values(), default=0.0))
+
+
+def test_licence_edges(edge):
+    got = {r[0]: tuple(r)[1:] for r in license_scan(edge).collect() if r[0] is not None}
+    assert got == {i: brute_licence(t) for i, t, *_ in edge_rows() if i is not None}
+
+
+def test_licence_cases(spark):
+    texts = ["apache license apache license", "x mit-license,cc by CC BY", "gnu general public license gnu general public license",
+             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and the documentation files",
+             "all\nrights reserved", "All rights reserved.", "licensed under the license version 2 0 apache", "apachelicense mit licenses"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r[0]: tuple(r)[1:] for r in license_scan(df).collect()}
+    assert got == {i: brute_licence(t) for i, t in enumerate(texts)}
+    blocks = {(r["doc_id"], r["block"], r["label"]) for r in license_blocks(df).collect()}
+    assert (3, 0, "mit-permission") in blocks and (5, 0, "all-rights-reserved") in blocks and not any(b[0] == 4 for b in blocks)
+
+
+def test_licence_empty(empty):
+    assert license_scan(empty).collect() == []
+
+
+def test_shard_edges(edge):
+    got = shard(edge).collect()
+    rows = edge_rows()
+    assert sorted((r["doc_id"], r["size"], r["text_crc32"]) for r in got if r["doc_id"] is not None) == sorted(
+        (i, len((t or "").encode()) + 8, zlib.crc32((t or "").encode())) for i, t, *_ in rows if i is not None)
+    text = {i: t for i, t, *_ in rows}
+    shards, slots = defaultdict(set), defaultdict(list)
+    for r in got:
+        if r["doc_id"] is not None:
+            shards[text[r["doc_id"]]].add(r["shard"])
+        slots[r["shard"]].append(r["slot"])
+        assert r["law"] == "bytes" and r["grown_shard"] is None and 0 <= r["shard"] < 24
+    assert all(len(s) == 1 for s in shards.values())
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
+def test_shard_empty(empty):
+    assert shard(empty).collect() == []
+
+
+def capacity_of(sizes, shards):
+    return min(c for c in range(max(sizes), sum(sizes) + 1) if greedy(sizes, c) <= shards)
+
+
+def greedy(sizes, capacity):
+    n, room = 0, 0
+    for s in sizes:
+        if s > room:
+            n, room = n + 1, capacity
+        room -= s
+    return n
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.integers(1, 40), min_size=1, max_size=40), st.integers(1, 6), st.integers(2, 5))
+def test_minimax_from_summaries(sizes, shards, per_block):
+    """The capacity found from block summaries, refined, is the smallest feasible one."""
+    ends = list(itertools.accumulate(sizes))
+    marks, total, stretches = Boundaries(ends[-1]), ends[-1], [(0, ends[-1])]
+    lower, upper = max(-(-total // shards), max(sizes)), -(-total // shards) + max(sizes)
+    for _ in range(100):
+        found = []
+        for a, b in stretches:
+            step = max(1, -(-(b - a) // per_block))
+            inner = [e for e in ends if a < e < b]
+            for _, block in itertools.groupby(inner, key=lambda e: (e - a) // step):
+                block = list(block)
+                found.append((len(block), block[0], block[-1]))
+        marks.replace(stretches, found)
+        fits = smallest(lower, upper, lambda c: marks.fill(c, shards, marks.last_known)[-1] >= total)
+        may = smallest(lower, fits, lambda c: marks.fill(c, shards, marks.last_possible)[-1] >= total)
+        if may == fits:
+            break
+        stretches = [(marks.last_known(a), marks.known[min(np.searchsorted(marks.known, b), len(marks.known) - 1)]) for a, b in marks.hidden] or stretches
+        lower, upper = may, fits
+    best = capacity_of(sizes, shards)
+    assert fits == best
+    cuts = even(marks, fits, shards, total)
+    assert cuts[-1] == total and set(cuts) <= {0, *ends}
+    assert max(b - a for a, b in zip([0, *cuts], cuts)) == best if shards > 1 or best == total else True
+
+
+def test_shard_minimax_in_spark(spark):
+    rng = random.Random(3)
+    rows = [(i, "x" * rng.randint(0, 300) + str(i)) for i in range(400)]
+    got = shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    sizes = [r["size"] for r in sorted(got, key=lambda r: hashlib.sha256(dict(rows)[r["doc_id"]].encode()).hexdigest())]
+    by_shard = defaultdict(int)
+    for r in got:
+        by_shard[r["shard"]] += r["size"]
+    assert max(by_shard.values()) == capacity_of(sizes, 24)
+
+
+def brute_targets(rows):
+    size = defaultdict(int)
+    for _, t, _, s, _ in rows:
+        size[s] += len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))
+    order = sorted(size, key=lambda s: (s is None, s or ""))
+    weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(order)}
+    target, total, fixed = {}, 1.5 * sum(size.values()), set()
+    while True:
+        rest = [s for s in order if s not in fixed]
+        share = total - sum(2 * size[s] for s in fixed)
+        target = {s: 2 * size[s] if s in fixed else share * weight[s] / sum(weight[x] for x in rest) for s in order}
+        over = {s for s in rest if target[s] > 2 * size[s]}
+        if not over:
+            return size, target
+        fixed |= over
+
+
+def test_mix_edges(edge):
+    size, target = brute_targets(edge_rows())
+    got = mix(edge).collect()
+    assert len(got) == len(edge_rows()) and sorted(map(str, got)) == sorted(map(str, mix(edge.repartition(7)).collect()))
+    taken = defaultdict(int)
+    source = {i: s for i, _, _, s, _ in edge_rows()}
+    for r in got:
+        s = source[r["doc_id"]]
+        assert r["source_size"] == size[s] and abs(r["target"] - target[s]) < 1e-6 * max(1, target[s])
+        assert r["taken"] == r["copies"] * r["size"] and r["copies"] <= MOST_REPEATS
+        taken[s] += r["taken"]
+    # the sources with small texts are met to the word
+    assert abs(taken["s2"] - target["s2"]) <= 2 and all(taken[s] <= round(target[s]) for s in taken)
+
+
+def test_mix_docs(docs):
+    rows = [(r["doc_id"], r["text"], None, r["source"], None) for r in docs.collect()]
+    size, target = brute_targets(rows)
+    taken, lengths = defaultdict(int), defaultdict(list)
+    source = {r[0]: r[3] for r in rows}
+    for r in mix(docs).collect():
+        taken[source[r["doc_id"]]] += r["taken"]
+        lengths[source[r["doc_id"]]].append(r["size"])
+    for s in target:
+        budget = round(target[s]) - (size[s] if target[s] >= size[s] else 0)
+        sums = 1
+        for n in lengths[s]:
+            sums |= sums << n
+        best = (sums & ((1 << (budget + 1)) - 1)).bit_length() - 1 + round(target[s]) - budget
+        assert best - 0.005 * target[s] <= taken[s] <= round(target[s])
+
+
+def test_mix_empty(empty):
+    assert mix(empty).collect() == []
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 30), st.integers(1, 6), min_size=1, max_size=8), st.integers(0, 400))
+def test_knapsack(histogram, budget):
+    lengths, counts = np.array(sorted(histogram)), np.array([histogram[k] for k in sorted(histogram)])
+    take = fit(lengths, counts, budget)
+    assert (take >= 0).all() and (take <= counts).all()
+    total = int((take * lengths).sum())
+    assert total <= max(budget, 0)
+    if budget >= (lengths * counts).sum():
+        assert (take == counts).all()
+    sums = {0}
+    for n, c in zip(lengths, counts, strict=True):
+        sums |= {s + int(n) * k for s in sums for k in range(c + 1)}
+    # the knapsack only fills what the proportional part leaves; it must be optimal when that part is empty
+    if all(c * budget // int((lengths * counts).sum()) == 0 for c in counts.tolist()) and budget <= 200_000:
+        assert total == max(s for s in sums if s <= budget)
+
+
+@pytest.mark.parametrize("text", ["", "x"])
+def test_mix_nothing_to_take(spark, text):
+    df = spark.createDataFrame([(1, text, "a"), (2, None, "a")], "doc_id long, text string, source string")
+    assert sum(r["taken"] for r in mix(df).collect()) == (2 if text else 0)

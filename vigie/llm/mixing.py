@@ -22,6 +22,7 @@ WEIGHTS = (3, 1, 2)
 SHARE = 1.5
 MOST_REPEATS = 2
 SEED = 20261203
+KNAPSACK_WORDS = 200_000  # sums that the dynamic programme covers
 CELLS = 256  # hash ranges per (source, length); a hot length is ranked range by range
 
 
@@ -38,8 +39,8 @@ def fit(lengths: np.ndarray, counts: np.ndarray, budget: int) -> np.ndarray:
         return counts.copy()
     take = np.array([int(c) * budget // words for c in counts], dtype=np.int64)
     rest = budget - int((take * lengths).sum())
-    # Longest first while the rest is large; the knapsack closes what remains.
-    limit = 2 * int(lengths.max())
+    # Longest first while the rest is beyond the knapsack's table; the knapsack closes what remains.
+    limit = max(KNAPSACK_WORDS, 2 * int(lengths.max()))
     for j in np.argsort(-lengths, kind="stable"):
         if rest <= limit:
             break
