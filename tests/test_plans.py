@@ -4,6 +4,7 @@ partial aggregation before shuffles, no cartesian products."""
 import pytest
 
 import __spark_entry__ as E
+from vigie.plans.queries import QUERIES
 
 from .conftest import SF_SMALL
 
@@ -12,7 +13,7 @@ def _plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_no_cartesian_product_or_python_udf(spark, name):
     plan = _plan(E.queries()[name](spark, SF_SMALL))
     assert "CartesianProduct" not in plan and "BroadcastNestedLoopJoin" not in plan

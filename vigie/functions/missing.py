@@ -2,11 +2,11 @@
 
 * ``present``: NA test that is also true for NaN (Q1).
 * ``strict_sum``: a sum that is NULL as soon as one input is NULL (Q3).
-* ``na_sum``: a sum that skips NULL and gives 0 for an all-NULL group (Q4).
+* ``na_sum``: a sum that skips NULL and NaN and gives 0 for a group without a value (Q4).
 * ``r_divide``: IEEE division, ``x/0 = +-Infinity``, ``0/0 = NaN`` (Q6),
   without tripping ANSI mode's division-by-zero error.
 * ``safe_ratio``: ``r_divide`` where ``0/0`` becomes 0 (M7).
-* ``pct_change``: ``(new - old) / old * 100``, NULL when ``old`` is 0 (M3).
+* ``pct_change``: ``(new - old) / old * 100`` with the results of ``r_divide`` (M3).
 """
 
 from __future__ import annotations
@@ -32,8 +32,8 @@ def missing(c: Column | str) -> Column:
 
 
 def fill(c: Column | str, value=0) -> Column:
-    """Replace NULL by ``value`` (``nafill`` / ``replace_na``)."""
-    return F.coalesce(col(c), F.lit(value))
+    """Replace NULL and NaN by ``value`` (``nafill`` / ``replace_na``); for numeric columns."""
+    return F.when(present(c), col(c)).otherwise(F.lit(value))
 
 
 def _over(agg: Column, window: WindowSpec | None) -> Column:
@@ -52,8 +52,8 @@ def strict_sum(c: Column | str, window: WindowSpec | None = None) -> Column:
 
 
 def na_sum(c: Column | str, window: WindowSpec | None = None) -> Column:
-    """Sum skipping NULL; an all-NULL (or empty) group sums to 0."""
-    return F.coalesce(_over(F.sum(col(c)), window), F.lit(0))
+    """Sum skipping NULL and NaN; a group with nothing else sums to 0."""
+    return F.coalesce(_over(F.sum(F.when(present(c), col(c))), window), F.lit(0))
 
 
 def r_divide(num: Column | str, den: Column | str) -> Column:
@@ -77,7 +77,7 @@ def safe_ratio(num: Column | str, den: Column | str) -> Column:
 
 
 def pct_change(new: Column | str, old: Column | str) -> Column:
-    """Percent change ``(new - old) / old * 100``; NULL when ``old`` is 0."""
+    """Percent change ``(new - old) / old * 100``; infinite or NaN when ``old`` is 0, as ``r_divide``."""
     new = col(new).cast("double")
     old = col(old).cast("double")
-    return F.try_divide(new - old, old) * F.lit(100.0)
+    return r_divide(new - old, old) * F.lit(100.0)

@@ -1,9 +1,7 @@
 """Rounding and number formatting.
 
-R rounds half to even (Q7). Rounding a double directly is exposed to its
-binary expansion, so the value is first taken as a DECIMAL (its shortest
-decimal text) and then rounded with ``bround``. NaN and infinities pass
-through unchanged (a DECIMAL cannot hold them and ANSI mode would raise).
+R rounds half to even (Q7). ``bround`` rounds a double on its shortest decimal
+text, of any size and precision. NaN and infinities pass through unchanged.
 """
 
 from __future__ import annotations
@@ -15,11 +13,6 @@ from ._util import col
 from .text import pad_left
 
 _INF = float("inf")
-# DECIMAL used as the exact intermediate of round_even; it holds |x| < 1e12.
-# Larger values keep no meaningful fraction in a double and are rounded as
-# doubles directly.
-ROUND_DECIMAL = "decimal(18,6)"
-DECIMAL_LIMIT = 1e12
 
 
 def finite(c: Column | str) -> Column:
@@ -30,12 +23,7 @@ def finite(c: Column | str) -> Column:
 def round_even(c: Column | str, digits: int = 0) -> Column:
     """Round half to even to ``digits`` decimals; result is DOUBLE."""
     c = col(c).cast("double")
-    rounded = F.bround(c.cast(ROUND_DECIMAL), digits).cast("double")
-    return (
-        F.when(~finite(c), c)
-        .when(F.abs(c) < F.lit(DECIMAL_LIMIT), rounded)
-        .otherwise(F.bround(c, digits))
-    )
+    return F.when(~finite(c), c).otherwise(F.bround(c, digits))
 
 
 def number_text(c: Column | str) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.dates import month_label
-from ..functions.missing import na_sum, strict_sum
+from ..functions.missing import na_sum, present, strict_sum
 from ..functions.numbers import round_even
 
 
@@ -37,13 +37,14 @@ def fixed_window_mean(df: DataFrame, by: Sequence[str], measure: str, n_days: in
 def peak(df: DataFrame, date_col: str, value_col: str) -> DataFrame:
     """Peak and last date of a series in one global aggregate.
 
-    Returns one row: ``peak_value``, ``peak_date`` (earliest date on ties),
+    Missing values (NULL, NaN) are skipped. Returns one row: ``peak_value``,
+    ``peak_date`` (earliest date on ties),
     ``last_date`` and ``last_label`` (``%d %b`` in French).
     """
-    d, v = F.col(date_col), F.col(value_col)
+    d, v = F.col(date_col), F.when(present(value_col), F.col(value_col))
     out = df.agg(
         F.max(v).alias("peak_value"),
-        F.min_by(d, F.struct(-v, d)).alias("peak_date"),
+        F.min_by(d, F.when(v.isNotNull(), F.struct(-v, d))).alias("peak_date"),
         F.max(d).alias("last_date"),
     )
     return out.withColumn("last_label", month_label("last_date", short=True))

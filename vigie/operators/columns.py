@@ -15,6 +15,9 @@ FLOATING = (T.FloatType, T.DoubleType)
 def select_at(df: DataFrame, *positions: int) -> DataFrame:
     """Select columns by 1-based position, resolved to names at plan time."""
     names = df.columns
+    outside = [i for i in positions if not 1 <= i <= len(names)]
+    if outside:
+        raise ValueError(f"select_at: positions {outside} are not among 1..{len(names)}")
     return df.select(*[F.col(f"`{names[i - 1]}`") for i in positions])
 
 

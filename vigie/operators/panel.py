@@ -57,9 +57,10 @@ def trailing_days(
     return df.where(F.col(f"`{date_col}`") > F.date_sub(bound, n_days))
 
 
-def with_comparator(df: DataFrame, comparator: DataFrame, on: str | Sequence[str] = "extract_date") -> DataFrame:
-    """Left join a comparator series (one row per key) onto detail rows."""
-    return df.join(comparator, on=on, how="left")
+def with_comparator(df: DataFrame, comparator: DataFrame, on: str | Sequence[str] = "extract_date",
+                    na_matches: str = "na") -> DataFrame:
+    """Left join a comparator series (one row per key) onto detail rows (J1); NULL keys match unless told otherwise."""
+    return join_on(df, comparator, [on] if isinstance(on, str) else on, "left", na_matches)
 
 
 def join_on(
@@ -131,6 +132,7 @@ def on_geography(
     geo_key: str,
     geo_cols: Sequence[str] | None = None,
     how: str = "right",
+    na_matches: str = "na",
 ) -> DataFrame:
     """Attach statistics to every geography row (J4 ``right_join``, J5 ``left_join``).
 
@@ -138,14 +140,15 @@ def on_geography(
     geography (under ``stats_key``), then the other geography columns.
     ``how="left"``: geography first (key under ``geo_key``), then statistics.
     Geography is the preserved side either way, so only the statistics side
-    is a broadcast candidate.
+    is a broadcast candidate. NULL keys match each other, as in the reference's
+    joins, unless ``na_matches="never"``.
     """
     if geo_cols is not None:
         geo = geo.select(geo_key, *[c for c in geo_cols if c != geo_key])
     if how == "right":
-        return join_on(stats, geo, {stats_key: geo_key}, how="right")
+        return join_on(stats, geo, {stats_key: geo_key}, "right", na_matches)
     if how == "left":
-        return join_on(geo, stats, {geo_key: stats_key}, how="left")
+        return join_on(geo, stats, {geo_key: stats_key}, "left", na_matches)
     raise ValueError("how must be 'right' or 'left'")
 
 

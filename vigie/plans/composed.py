@@ -25,7 +25,7 @@ from ..operators.cells import (
 )
 from ..operators.columns import select_as
 from ..operators.panel import (
-    append_total, assert_unique, decumulate, keep_present, latest, on_geography, trailing_days,
+    append_total, assert_unique, decumulate, join_on, keep_present, latest, on_geography, trailing_days,
     with_comparator, with_group_totals,
 )
 from ..operators.reshape import pivot_wide, transpose
@@ -139,9 +139,10 @@ def history_wide(dep: DataFrame, areas: Sequence[str] | None, measure: str = "R"
     return _sorted(pivot_wide(long, ["extract_date"], area_col, measure, areas), sort, "extract_date")
 
 
-def combined(tables: Sequence[DataFrame], on: Sequence[str] = ("extract_date", "Departement")) -> DataFrame:
-    """Left-join chain of indicator tables on (date, department)."""
-    return reduce(lambda a, b: a.join(b, list(on), "left"), tables)
+def combined(tables: Sequence[DataFrame], on: Sequence[str] = ("extract_date", "Departement"),
+             na_matches: str = "na") -> DataFrame:
+    """Left-join chain of indicator tables on (date, department); NULL keys match as in the reference."""
+    return reduce(lambda a, b: join_on(a, b, list(on), "left", na_matches), tables)
 
 
 # ---------------------------------------------------------------- 7-day maps
@@ -191,7 +192,7 @@ def icu_saturation(hosp: DataFrame, capacity: DataFrame, geo: DataFrame, n_days:
     h = trailing_days(hosp.where(F.col("sexe") == total_class), "jour", n_days, anchor=hosp)
     h = h.select("dep", "rea")  # positions 1 and 5 of the reference feed
     s = fixed_window_mean(h, ["dep"], "rea", n_days, "rea_7jrs")
-    s = s.join(assert_unique(capacity, ["dep"], "department in the capacity table"), "dep", "left")
+    s = join_on(s, assert_unique(capacity, ["dep"], "department in the capacity table"), ["dep"], "left", "na")
     s = with_group_totals(s, ["reg"], {"rea_7jrs": strict_sum("rea_7jrs"), "lits": strict_sum("lits")})
     s = s.withColumn("taux_occup_reg", round_even(r_divide("rea_7jrs", "lits") * F.lit(100.0)))
     s = s.withColumn("statut_rea", classify("taux_occup_reg", cuts, closed="right"))

@@ -2,7 +2,7 @@
 
 Each query is written independently in SQL over the driver's tables: the
 stand-in feed as CTEs, then the pipeline. Helpers below spell out the same
-rules as ``vigie.functions`` (half-even rounding on a DECIMAL, classes with
+rules as ``vigie.functions`` (half-even rounding of the decimal text, classes with
 NULL/NaN guards, non-truncating pads, French month names).
 """
 
@@ -24,9 +24,9 @@ def present(x: str) -> str:
 
 
 def rnd(x: str, digits: int = 0) -> str:
-    return (f"(CASE WHEN isnan({x}) OR isinf({x}) THEN {x} "
-            f"WHEN abs({x}) >= 1e12 THEN round_even({x}, {digits}) "
-            f"ELSE CAST(round_even(CAST({x} AS DECIMAL(18,6)), {digits}) AS DOUBLE) END)")
+    """Half to even on the exact decimal text of the double; from 2**53 on a double has no fraction."""
+    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) >= 9007199254740992 THEN {x} "
+            f"ELSE CAST(round_even(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE) END)")
 
 
 def pad(x: str, width: int = 2) -> str:
@@ -260,7 +260,7 @@ def _national(measure: str, digits, out: str) -> str:
 def _regional(measure: str, out_dep: str, out_nat: str, dd, dn) -> str:
     vd = rnd(f"d.{measure}", dd) if dd is not None else f"d.{measure}"
     return f"""SELECT d.extract_date, d.libelle_dep AS "Departement", {vd} AS {out_dep}, n.{out_nat}
-FROM dep d LEFT JOIN ({_national(measure, dn, out_nat)}) n ON d.extract_date = n.extract_date
+FROM dep d LEFT JOIN ({_national(measure, dn, out_nat)}) n ON d.extract_date IS NOT DISTINCT FROM n.extract_date
 WHERE d.region = {_q(Q.REGION)} AND {present(f'd.{measure}')}"""
 
 
@@ -271,11 +271,11 @@ def _snapshot_geo(measure: str, class_sql: str) -> str:
 snap2 AS (SELECT * FROM snap WHERE extract_date = (SELECT max(extract_date) FROM snap)),
 layer AS (
   SELECT s.extract_date, g.insee_dep AS code_dep, s."Departement", s.{measure}, s.couleur, g.geometry, g.nom_minuscules
-  FROM snap2 s RIGHT JOIN dep_geo g ON s.code_dep = g.insee_dep)"""
+  FROM snap2 s RIGHT JOIN dep_geo g ON s.code_dep IS NOT DISTINCT FROM g.insee_dep)"""
 
 
 def _drawn(stats: str, key: str) -> str:
-    return (f"FROM dep_geo g LEFT JOIN {stats} s ON g.insee_dep = s.{key} "
+    return (f"FROM dep_geo g LEFT JOIN {stats} s ON g.insee_dep IS NOT DISTINCT FROM s.{key} "
             f"WHERE g.nom_dep <> 'separation'")
 
 
@@ -296,9 +296,9 @@ SELECT a.extract_date, a."Departement", a.tx_incid_departemental, a.tx_incid_nat
        b.tx_pos_departemental, b.tx_pos_national, c.taux_occupation_regional, c.taux_occupation_national
 FROM ({_regional('tx_incid', 'tx_incid_departemental', 'tx_incid_national', None, 1)}) a
 LEFT JOIN ({_regional('tx_pos', 'tx_pos_departemental', 'tx_pos_national', 2, 2)}) b
-  ON a.extract_date = b.extract_date AND a."Departement" = b."Departement"
+  ON a.extract_date IS NOT DISTINCT FROM b.extract_date AND a."Departement" IS NOT DISTINCT FROM b."Departement"
 LEFT JOIN ({_regional('taux_occupation_sae', 'taux_occupation_regional', 'taux_occupation_national', None, None)}) c
-  ON a.extract_date = c.extract_date AND a."Departement" = c."Departement\"""",
+  ON a.extract_date IS NOT DISTINCT FROM c.extract_date AND a."Departement" IS NOT DISTINCT FROM c."Departement\"""",
     "latest_snapshot_geo": _with(DEP, DEP_GEO, _snapshot_geo("tx_incid", "tx_incid_couleur")) + "SELECT * FROM layer",
     "latest_occupancy_geo": _with(DEP, DEP_GEO, _snapshot_geo("taux_occupation_sae", "taux_occupation_sae_couleur"))
     + "SELECT * FROM layer",
@@ -307,7 +307,7 @@ LEFT JOIN ({_regional('taux_occupation_sae', 'taux_occupation_regional', 'taux_o
     "r_latest_commentary": _with(DEP, REGION_GEO, f"""r AS (SELECT DISTINCT extract_date, region, libelle_reg, R FROM dep WHERE {present('R')}),
 r2 AS (SELECT * FROM r WHERE extract_date = (SELECT max(extract_date) FROM r)),
 j AS (SELECT r2.extract_date, g.code AS region, r2.libelle_reg, r2.R, g.nom, g.geometry
-      FROM r2 RIGHT JOIN region_geo g ON r2.region = g.code)""") + f"""
+      FROM r2 RIGHT JOIN region_geo g ON r2.region IS NOT DISTINCT FROM g.code)""") + f"""
 SELECT geometry, {month_label('extract_date')} AS extract_date, libelle_reg, R,
        {classify('R', P.R_CUTS)} AS "couleur_R", {classify('R', P.R_CUTS, P.R_CLASS_LABELS)} AS "classement_R", nom,
        CASE WHEN {present('R')} THEN {_COMMENT} ELSE {_q(P.R_NO_ESTIMATE)} END AS commentaire,
@@ -328,7 +328,7 @@ s2 AS (SELECT *, {rnd(safe_ratio('nbre_pass_corona', 'nbre_pass_tot') + ' * 100.
     "icu_saturation_region": _with(HOSPITAL, CAPACITY_CLEAN, DEP_GEO, f"""h AS (
   SELECT dep, rea FROM hospital WHERE sexe = '0' AND jour > (SELECT max(jour) FROM hospital) - 7),
 s1 AS (SELECT dep, {rnd(strict_sum('rea') + ' / 7.0::DOUBLE', 0)} AS rea_7jrs FROM h GROUP BY dep),
-sj AS (SELECT s1.dep, s1.rea_7jrs, c.reg, c.lits FROM s1 LEFT JOIN capacity_clean c ON s1.dep = c.dep),
+sj AS (SELECT s1.dep, s1.rea_7jrs, c.reg, c.lits FROM s1 LEFT JOIN capacity_clean c ON s1.dep IS NOT DISTINCT FROM c.dep),
 tot AS (SELECT reg, {strict_sum('rea_7jrs')} AS rea_7jrs, CAST({strict_sum('lits')} AS BIGINT) AS lits
         FROM sj GROUP BY reg),
 sj2 AS (SELECT sj.dep, sj.reg, tot.rea_7jrs, tot.lits FROM sj LEFT JOIN tot ON sj.reg IS NOT DISTINCT FROM tot.reg),
@@ -338,10 +338,10 @@ sj3 AS (SELECT *, {rnd(r_divide('rea_7jrs', 'lits') + ' * 100.0::DOUBLE', 0)} AS
 """ + _drawn("sj3", "dep"),
     "deaths_variation": _with(DEATHS, DEP_GEO, f"""d AS (SELECT * FROM deaths WHERE {present(NEW)}),
 d2 AS (SELECT dep, date, {NEW}, {OLD},
-              {rnd(f'(CASE WHEN {OLD} = 0 THEN NULL ELSE ({NEW} - {OLD}) / {OLD} END) * 100.0::DOUBLE', 1)} AS taux_variation
+              {rnd(r_divide(f'({NEW} - {OLD})', OLD) + ' * 100.0::DOUBLE', 1)} AS taux_variation
        FROM d WHERE date = (SELECT max(date) FROM d))""")
     + f"""SELECT g.insee_dep AS dep, d2.date, d2.{NEW}, d2.{OLD}, d2.taux_variation, g.insee_reg, g.nom_dep, g.geometry
-FROM d2 RIGHT JOIN dep_geo g ON d2.dep = g.insee_dep""",
+FROM d2 RIGHT JOIN dep_geo g ON d2.dep IS NOT DISTINCT FROM g.insee_dep""",
     "deaths_daily_region": _with(DEATHS, "s AS (SELECT date, " + ", ".join(
         f"{strict_sum(m)} AS {m}" for m in _MEASURES)
         + f" FROM deaths WHERE {in_list('dep', Q.REGION_TOTAL_OF)} GROUP BY date)")

@@ -5,6 +5,7 @@ pipeline over all of it. The SQL twin of every query is in ``oracle.py``.
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,7 +16,7 @@ from ..functions.missing import na_sum, strict_sum
 from ..functions.numbers import round_even, to_text
 from ..operators.aggregates import peak
 from ..operators.columns import mutate_all, mutate_typed, select_at
-from ..operators.panel import decumulate, join_on
+from ..operators.panel import decumulate, join_on, keep_present
 from ..operators.reshape import unpivot_long
 from ..session import reuse
 from ..operators.cells import sheet_range
@@ -40,11 +41,13 @@ AS_OF = "2024-02-01 09:30:00"
 NEW, OLD = f"total{S.DEATH_YEARS[0]}", f"total{S.DEATH_YEARS[1]}"
 
 
-# A derived feed that one plan reads more than once (the latest-date subquery
-# and the rows it filters, the three regional tables, an anchored 7-day
-# window, the three cell-block reads) goes through ``reuse``: computed once and
-# checkpointed when the session names a checkpoint folder. A feed read once
-# stays a lazy plan, so Catalyst keeps pushing filters into its scans.
+# Latest-month and 7-day queries first ask for the last order or event (one
+# value) and read only what can matter, as a range on the raw column. What one
+# plan then reads more than once is small (counts per month and nation, cell
+# blocks) and goes through ``reuse``: computed once, as an eager job, when the
+# session names a checkpoint folder. Everything else stays a lazy plan.
+
+LATEST_MONTHS = (3, 36)  # months read for the latest one; a longer span only if the shorter one has no value
 
 
 def _nat(spark, d):
@@ -55,6 +58,30 @@ def _dep(spark, d):
     return S.indicators_department(spark, d)
 
 
+def _recent_dep(spark, d, measure):
+    """The department panel from a month before its latest one with a value on."""
+    last = S.last_order(spark, d)
+    for months in (LATEST_MONTHS if last is not None else ()):
+        start = (last.replace(day=1, hour=0, minute=0, second=0, microsecond=0) - dt.timedelta(days=31 * months - 15)).replace(day=1)
+        dep = S.indicators_department(spark, d, reuse(S.orders_month_nation(spark, d, since=start)))
+        # R of the first month lacks the month before
+        whole = dep.where(F.col("extract_date") > F.lit(start.date()))
+        if not keep_present(whole, measure).isEmpty():
+            return whole
+    return S.indicators_department(spark, d, reuse(S.orders_month_nation(spark, d)))
+
+
+def _week(spark, d):
+    """Start of the last seven days of events, None for an empty table."""
+    last = S.last_event(spark, d)
+    return None if last is None else last.replace(hour=0, minute=0, second=0, microsecond=0) - dt.timedelta(days=6)
+
+
+def _dep_and_nat(spark, d):
+    cells = reuse(S.orders_month_nation(spark, d))
+    return S.indicators_department(spark, d, cells), S.indicators_national(spark, d, cells)
+
+
 def _hosp(spark, d):
     return S.hospital_daily(spark, d)
 
@@ -79,12 +106,12 @@ def national_occupancy(spark: SparkSession, d: str) -> DataFrame:
 
 def regional_with_national(spark: SparkSession, d: str) -> DataFrame:
     """I2 (F2 P2 F1 M1 J1): departments of the region with the national value of the same month."""
-    return P.regional_with_national(_dep(spark, d), _nat(spark, d), REGION, "tx_pos",
+    return P.regional_with_national(*_dep_and_nat(spark, d), REGION, "tx_pos",
                                     "tx_pos_departemental", "tx_pos_national", 2, 2)
 
 
 def _regional_three(spark, d):
-    dep, nat = reuse(_dep(spark, d)), reuse(_nat(spark, d))
+    dep, nat = _dep_and_nat(spark, d)
     incid = P.regional_with_national(dep, nat, REGION, "tx_incid", "tx_incid_departemental",
                                      "tx_incid_national", None, 1)
     pos = P.regional_with_national(dep, nat, REGION, "tx_pos", "tx_pos_departemental", "tx_pos_national", 2, 2)
@@ -100,23 +127,23 @@ def combined_indicators(spark: SparkSession, d: str) -> DataFrame:
 
 def latest_snapshot_geo(spark: SparkSession, d: str) -> DataFrame:
     """I3 (F6 J4): latest incidence per department with the feed's class, on every polygon."""
-    return P.latest_on_geography(reuse(_dep(spark, d)), S.department_geo(spark, d), "tx_incid", "tx_incid_couleur")
+    return P.latest_on_geography(_recent_dep(spark, d, "tx_incid"), S.department_geo(spark, d), "tx_incid", "tx_incid_couleur")
 
 
 def latest_occupancy_geo(spark: SparkSession, d: str) -> DataFrame:
     """Latest occupancy per department with the feed's class, on every polygon."""
-    return P.latest_on_geography(reuse(_dep(spark, d)), S.department_geo(spark, d), "taux_occupation_sae",
+    return P.latest_on_geography(_recent_dep(spark, d, "taux_occupation_sae"), S.department_geo(spark, d), "taux_occupation_sae",
                                  "taux_occupation_sae_couleur")
 
 
 def latest_class_geo(spark: SparkSession, d: str) -> DataFrame:
     """I4 (F6 K1 J4): latest positivity per department, class computed, on every polygon."""
-    return P.latest_classified(reuse(_dep(spark, d)), S.department_geo(spark, d), "tx_pos", POSITIVITY_CUTS)
+    return P.latest_classified(_recent_dep(spark, d, "tx_pos"), S.department_geo(spark, d), "tx_pos", POSITIVITY_CUTS)
 
 
 def r_latest_commentary(spark: SparkSession, d: str) -> DataFrame:
     """I5 (A6 F6 J4 K1 K3 T5 T8 D3 D8): latest R per region with class, legend and sentence."""
-    return P.latest_commentary(reuse(_dep(spark, d)), S.region_geo(spark, d), as_of=AS_OF)
+    return P.latest_commentary(_recent_dep(spark, d, "R"), S.region_geo(spark, d), as_of=AS_OF)
 
 
 def r_history_wide(spark: SparkSession, d: str) -> DataFrame:
@@ -137,7 +164,7 @@ def visits_as_text(spark: SparkSession, d: str) -> DataFrame:
 
 def er_rate_7d(spark: SparkSession, d: str) -> DataFrame:
     """I8 (F3 M6 F7 A1 A5 M2 M7 K2 J5): 7-day emergency-visit share per department."""
-    return P.er_rate(reuse(S.er_visits(spark, d)), S.department_geo(spark, d), 7, ER_CUTS)
+    return P.er_rate(S.er_visits(spark, d, _week(spark, d)), S.department_geo(spark, d), 7, ER_CUTS)
 
 
 def capacity_clean(spark: SparkSession, d: str) -> DataFrame:
@@ -148,12 +175,12 @@ def capacity_clean(spark: SparkSession, d: str) -> DataFrame:
 def icu_saturation_region(spark: SparkSession, d: str) -> DataFrame:
     """I10 (F8 A3 J6 W2 K2 J5): 7-day ICU occupancy of each region, on its departments."""
     cap = P.clean_capacity(S.icu_capacity(spark, d))
-    return P.icu_saturation(reuse(_hosp(spark, d)), cap, S.department_geo(spark, d), 7, ICU_CUTS)
+    return P.icu_saturation(S.hospital_daily(spark, d, _week(spark, d)), cap, S.department_geo(spark, d), 7, ICU_CUTS)
 
 
 def deaths_variation(spark: SparkSession, d: str) -> DataFrame:
     """I11 (F1 F6 M3 M1 J4): year-on-year change of cumulative deaths at the last date."""
-    return P.year_variation(reuse(_deaths(spark, d)), S.department_geo(spark, d), NEW, OLD)
+    return P.year_variation(_deaths(spark, d), S.department_geo(spark, d), NEW, OLD)
 
 
 def deaths_daily_region(spark: SparkSession, d: str) -> DataFrame:
@@ -203,8 +230,9 @@ DEATH_SHEET = "03"
 def deaths_sheet_range(spark: SparkSession, d: str) -> DataFrame:
     names = ["date"] + [f"{k}{y}" for y in S.DEATH_YEARS for k in ("dematerialise", "total")]
     wb = _cells(spark, d, ["deaths"]).where(F.col("workbook") == "deaths")
-    out = sheet_range(wb, DEATH_SHEET, f"A{DEATH_ROWS[0]}:G{DEATH_ROWS[1]}", names,
-                      ["date"] + ["numeric"] * 6)
+    last_col = chr(ord("A") + len(names) - 1)
+    out = sheet_range(wb, DEATH_SHEET, f"A{DEATH_ROWS[0]}:{last_col}{DEATH_ROWS[1]}", names,
+                      ["date"] + ["numeric"] * (len(names) - 1))
     return out.drop("workbook", "sheet_index", "row")
 
 

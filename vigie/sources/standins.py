@@ -21,70 +21,29 @@ from pyspark.sql import functions as F
 from ..functions.classes import classify
 from ..functions.numbers import round_even
 from ..functions.text import pad_left
+from ..plans.composed import CAPACITY_RECODE
+from ..session import reuse
 
 # Overseas department codes used by the hospital, indicator and
-# geography feeds, and the older codes the capacity file uses for them.
+# geography feeds.
 OVERSEAS_CODES = {20: "971", 21: "972", 22: "973", 23: "974", 24: "976"}
-OLD_OVERSEAS_CODES = {"971": "9A", "972": "9B", "973": "9C", "974": "9D", "976": "9F"}
+
+# The codes that the capacity file uses for them.
+OLD_OVERSEAS_CODES = {new: old for old, new in CAPACITY_RECODE.items()}
 
 # Stand-in parameters (chosen for these tables, not taken from the reference).
 N_AREAS = 25                # events are spread over 25 areas by user id
 MIN_ORDERS = {"tx_incid": 3, "taux_occupation_sae": 4, "tx_pos": 5}
 SUPPLIED_CUTS = {"tx_incid": (10.0, 50.0), "taux_occupation_sae": (40.0, 60.0)}
 NATION_WITHOUT_CODE = 19   # its capacity rows carry no department code
-DEATH_YEARS = (2001, 2000, 1999)
+DEATH_YEARS = (2001, 2000, 1999, 1998, 1997, 1996, 1995)  # newest first: every year of orders
 AGE_BAND = 5                # lineitem quantity band width = one "age group"
 AGE_BANDS = 10
 
 
-_TABLES: dict[tuple, DataFrame] = {}
-
-
-def _app(spark: SparkSession) -> tuple:
-    """Cache key of a session: its application and the session object itself
-    (sessions sharing one SparkContext keep separate plans)."""
-    try:
-        app = spark.sparkContext.applicationId
-    except Exception:  # sessions without a SparkContext (Spark Connect)
-        app = None
-    return (app, id(spark))
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A driver table, read once per application (like a catalog table).
-
-    The handle is reused by every feed and query, so the file listing and
-    Parquet footers are read once; the driver tables are immutable.
-    """
-    path = f"{sf_dir.rstrip('/')}/{name}.parquet"
-    key = (_app(spark), path)
-    df = _TABLES.get(key)
-    if df is None:
-        df = _TABLES[key] = spark.read.parquet(path)
-    return df
-
-
-_FEEDS: dict[tuple, DataFrame] = {}
-
-
-def feed(fn):
-    """Define a feed once per application and tables folder (like a view).
-
-    Only the lazy plan is kept: every query that uses the feed still runs
-    all of its work. Defining it once spares the repeated analysis of its
-    windows and subqueries on the driver.
-    """
-    import functools
-
-    @functools.wraps(fn)
-    def defined(spark: SparkSession, sf_dir: str, *args, **kwargs):
-        key = (_app(spark), sf_dir.rstrip("/"), fn.__name__, args, tuple(sorted(kwargs.items())))
-        df = _FEEDS.get(key)
-        if df is None:
-            df = _FEEDS[key] = fn(spark, sf_dir, *args, **kwargs)
-        return df
-
-    return defined
+    """A driver table."""
+    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _dep_code(nk: Column) -> Column:
@@ -99,22 +58,42 @@ def _rate(count: str, n: str, min_n: int) -> Column:
     return F.when(F.col(n) >= min_n, F.lit(100.0) * F.col(count) / F.col(n))
 
 
-def _orders_month_nation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders counted per (month, customer nation): the indicator panel's cells."""
-    orders = table(spark, sf_dir, "orders").select(
-        "o_custkey",
-        F.trunc(F.to_date("o_orderdate"), "month").alias("extract_date"),
-        "o_orderstatus",
-        "o_orderpriority",
-    )
-    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
-    joined = orders.join(customer, orders.o_custkey == customer.c_custkey)
-    return joined.groupBy("extract_date", F.col("c_nationkey").alias("nk")).agg(
+COUNTS = ("n", "n_f", "n_o", "n_u")
+
+
+def _orders_by_month(orders: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """Orders with their month, and the counts taken of a group of them."""
+    rows = orders.withColumn("extract_date", F.trunc(F.to_date("o_orderdate"), "month"))
+    return rows, [
         F.count(F.lit(1)).alias("n"),
         F.count_if(F.col("o_orderstatus") == "F").alias("n_f"),
         F.count_if(F.col("o_orderstatus") == "O").alias("n_o"),
         F.count_if(F.col("o_orderpriority") == "1-URGENT").alias("n_u"),
-    )
+    ]
+
+
+def orders_month_nation(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """Orders counted per (month, customer nation): the indicator panel's cells.
+
+    ``since`` (a timestamp) bounds the raw order date, so that the scan prunes.
+    """
+    orders = table(spark, sf_dir, "orders")
+    if since is not None:
+        orders = orders.where(F.col("o_orderdate") >= F.lit(since).cast("timestamp_ntz"))
+    rows, counts = _orders_by_month(orders)
+    customer = table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey")
+    joined = rows.join(customer, rows.o_custkey == customer.c_custkey)
+    return joined.groupBy("extract_date", F.col("c_nationkey").alias("nk")).agg(*counts)
+
+
+def last_order(spark: SparkSession, sf_dir: str):
+    """The latest order date (one value), None for an empty table."""
+    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
+
+
+def last_event(spark: SparkSession, sf_dir: str):
+    """The latest event time (one value), None for an empty table."""
+    return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
 
 
 def _measures() -> list[Column]:
@@ -125,22 +104,30 @@ def _measures() -> list[Column]:
     ]
 
 
-@feed
-def indicators_national(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """extract_date, tx_incid, tx_pos, taux_occupation_sae (one row per month)."""
-    cells = _orders_month_nation(spark, sf_dir)
-    nat = cells.groupBy("extract_date").agg(*[F.sum(c).alias(c) for c in ("n", "n_f", "n_o", "n_u")])
+def indicators_national(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
+    """extract_date, tx_incid, tx_pos, taux_occupation_sae (one row per month).
+
+    Without ``cells`` the orders are counted by month directly: every order has
+    a customer (``o_custkey`` is a foreign key) and every customer a nation, so
+    no join is needed. With ``cells`` their counts are summed.
+    """
+    if cells is None:
+        rows, counts = _orders_by_month(table(spark, sf_dir, "orders"))
+        nat = rows.groupBy("extract_date").agg(*counts)
+    else:
+        nat = cells.groupBy("extract_date").agg(*[F.sum(c).alias(c) for c in COUNTS])
     return nat.select("extract_date", *_measures())
 
 
-@feed
-def indicators_department(spark: SparkSession, sf_dir: str) -> DataFrame:
+def indicators_department(spark: SparkSession, sf_dir: str, cells: DataFrame | None = None) -> DataFrame:
     """One row per (month, department) with rates, supplied classes and regional R.
 
+    ``cells`` are the counts of ``orders_month_nation``, when a query has them already.
+
     R = orders of the region this month / orders of the region the calendar
     month before, repeated on each department of the region.
     """
-    cells = _orders_month_nation(spark, sf_dir)
+    cells = orders_month_nation(spark, sf_dir) if cells is None else cells
     nation = table(spark, sf_dir, "nation").select(
         F.col("n_nationkey").alias("nk"), "n_name", F.col("n_regionkey").alias("rk"))
     region = table(spark, sf_dir, "region").select(F.col("r_regionkey").alias("rk"), "r_name")
@@ -171,8 +158,10 @@ def indicators_department(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _events(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
     ev = table(spark, sf_dir, "events")
+    if since is not None:  # a range on the raw time reaches the scan
+        ev = ev.where(F.col("ts") >= F.lit(since).cast(ev.schema["ts"].dataType))
     return ev.select(
         _dep_code(F.pmod(F.col("user_id"), F.lit(N_AREAS))).alias("dep"),
         F.to_date("ts").alias("day"),
@@ -181,14 +170,13 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@feed
-def er_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dep, date_de_passage, sursaud_cl_age_corona ('0' = all ages), counts.
+def er_visits(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """dep, date_de_passage, sursaud_cl_age_corona ('0' = all ages), counts; of events from ``since`` on.
 
     Age class from the event value; 'corona' visits are error events and a
     zero count is stored as missing, as in the real feed.
     """
-    ev = _events(spark, sf_dir).select(
+    ev = _events(spark, sf_dir, since).select(
         "dep", F.col("day").alias("date_de_passage"),
         F.when(F.col("value") < 10, "1").when(F.col("value") < 50, "2").otherwise("3")
         .alias("sursaud_cl_age_corona"),
@@ -210,10 +198,9 @@ def er_visits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@feed
-def hospital_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """dep, sexe (event type; '0' = all), jour, hosp, rea, rad, dc."""
-    ev = _events(spark, sf_dir)
+def hospital_daily(spark: SparkSession, sf_dir: str, since=None) -> DataFrame:
+    """dep, sexe (event type; '0' = all), jour, hosp, rea, rad, dc; of events from ``since`` on."""
+    ev = _events(spark, sf_dir, since)
     fine = ev.groupBy("dep", F.col("event_type").alias("sexe"), F.col("day").alias("jour")).agg(
         F.count(F.lit(1)).alias("hosp"),
         F.count_if(F.col("value") >= 50).alias("rea"),
@@ -226,7 +213,6 @@ def hospital_daily(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fine.unionByName(total).select("dep", "sexe", "jour", "hosp", "rea", "rad", "dc")
 
 
-@feed
 def icu_capacity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """reg, dep (unpadded, old overseas codes), lits; several rows per department.
 
@@ -274,17 +260,19 @@ def _year_days(year: int) -> Column:
 def _cumulate(daily_src: DataFrame, axis: DataFrame, part: list[str], years) -> DataFrame:
     """Running totals per ``part`` on every day of ``axis`` (days without orders add 0)."""
     counts = [x for y in years for x in (f"m{y}", f"t{y}")]
-    daily = daily_src.groupBy(*part, "date").agg(*[
+    # per area and day, so small; read twice (rows and cut-off), derived once
+    daily = reuse(daily_src.groupBy(*part, "date").agg(*[
         x for y in years for x in (
             F.count_if((F.col("y") == y) & F.col("is_f")).alias(f"m{y}"),
             F.count_if(F.col("y") == y).alias(f"t{y}"),
         )
-    ])
+    ]))
     full = axis.join(daily, [*part, "date"], "left").select(
         *part, "date", *[F.coalesce(F.col(c), F.lit(0)).alias(c) for c in counts])
     w = (Window.partitionBy(*part) if part else Window).orderBy("date").rowsBetween(
         Window.unboundedPreceding, Window.currentRow)
-    last_new = daily_src.where(F.col("y") == years[0]).agg(F.max("d")).scalar()
+    # on the axis of the first year its own days keep their dates
+    last_new = daily.where(F.col(f"t{years[0]}") > 0).agg(F.max("date")).scalar()
     cols = []
     for i, y in enumerate(years):
         for name, src in ((f"dematerialise{y}", f"m{y}"), (f"total{y}", f"t{y}")):
@@ -298,7 +286,6 @@ def _nation_days(spark: SparkSession, sf_dir: str, year: int) -> DataFrame:
     return nation.select(F.col("n_nationkey").alias("nk"), F.explode(_year_days(year)).alias("date"))
 
 
-@feed
 def deaths_cumulative(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFrame:
     """dep, date, dematerialise<y>, total<y> per year: running totals per department.
 
@@ -311,7 +298,6 @@ def deaths_cumulative(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> Da
     return cum.select(_dep_code(F.col("nk")).alias("dep"), *[c for c in cum.columns if c != "nk"])
 
 
-@feed
 def department_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """insee_dep, insee_reg, nom_dep, nom_minuscules, geometry (+ a 'separation' line)."""
     nation = table(spark, sf_dir, "nation")
@@ -333,7 +319,6 @@ def department_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     return areas.unionByName(separation)
 
 
-@feed
 def region_geo(spark: SparkSession, sf_dir: str) -> DataFrame:
     """code, nom, geometry."""
     region = table(spark, sf_dir, "region")
@@ -447,7 +432,6 @@ def cells(spark: SparkSession, sf_dir: str, workbooks=("age", "deaths")) -> Data
     return _cells(spark, sf_dir, tuple(workbooks))
 
 
-@feed
 def _cells(spark: SparkSession, sf_dir: str, workbooks: tuple) -> DataFrame:
     parts = [WORKBOOKS[w](spark, sf_dir) for w in workbooks]
     out = parts[0]
