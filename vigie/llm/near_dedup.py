@@ -8,14 +8,13 @@
    Then it also collides in one of the ``COORDINATES - MATCHES + 1`` pairs that
    are rarest in the corpus (prefix filter), so only these postings are kept.
    A text whose prefix holds only pairs of its own is skipped altogether.
-3. Posting lists are merged without writing out all pairs of a list: in each
-   round every member of a list meets one pivot; the collisions of that pair
-   are counted over the whole signatures, and pairs with enough are confirmed
-   on the full shingle sets. Texts already in one component need not meet, so
-   lists within one component are skipped in later rounds. Once few pairs are
-   left, or after ``ROUNDS``, the lists that still hold several components have
-   all their remaining pairs across components counted and confirmed, so that no
-   link between components is lost.
+3. Posting lists are merged without writing out all pairs of a list: in each of
+   ``ROUNDS`` rounds every member of a list meets one pivot; the collisions of
+   that pair are counted over the whole signatures, and pairs with enough are
+   confirmed on the full shingle sets. Texts already in one component need not
+   meet, so lists within one component are skipped. The lists that still hold
+   several components then have all their possible links across components found
+   by an exact prefix join on the full sets (``across``), so that none is lost.
 4. Components are found on the confirmed links.
 
 With 64 coordinates and at least 38 matches, a pair of similarity 0.8 or more
@@ -39,8 +38,7 @@ SHINGLE = 4
 THRESHOLD = 80  # per cent
 COORDINATES = 64
 MATCHES = 38
-ROUNDS = 3
-PAIRS_PER_POST = 8
+ROUNDS = 2
 SEED = 20261203
 
 
@@ -145,8 +143,9 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, matches:
 
 def pivots(members: DataFrame, turn: int) -> DataFrame:
     """One pair per member of each list that holds several components: with the list's pivot, or,
-    for members of the pivot's own component, with a member of another one."""
-    rank = F.xxhash64(F.lit(turn), "id") if turn else F.col("id")  # another pivot in each round
+    for members of the pivot's own component, with a member of another one. Lists choose their
+    pivots by hash, so a text that is in many lists meets many others."""
+    rank = F.xxhash64(F.lit(turn), "token", "id")
     lists = members.groupBy("token").agg(
         F.min(F.struct(rank.alias("rank"), "id", "component")).alias("pivot"),
         F.min(F.struct("component", "id")).alias("low"), F.max(F.struct("component", "id")).alias("high"),
@@ -156,38 +155,40 @@ def pivots(members: DataFrame, turn: int) -> DataFrame:
     return members.join(lists, "token").select("id", partner.alias("partner"))
 
 
-def across(members: DataFrame) -> DataFrame:
-    """All pairs of a list's members in different components."""
-    theirs = members.select("token", F.col("id").alias("partner"), F.col("component").alias("their"))
-    return members.join(theirs, "token").where("component < their").select("id", "partner")
+def across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Pairs of texts of open lists, in different components, that can reach the threshold.
 
-
-def open_pairs(members: DataFrame) -> int:
-    """How many pairs ``across`` would give."""
-    parts = members.groupBy("token", "component").agg(F.count(F.lit(1)).alias("n"))
-    lists = parts.groupBy("token").agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.col("n")).alias("within"))
-    return lists.agg(F.sum((F.col("n") * F.col("n") - F.col("within")) / 2)).first()[0] or 0
+    An exact prefix join on the shingle sets of these texts: with its shingles
+    rarest first, a text shares one of its first n - ceil(n * threshold) + 1 with
+    every text it is linked to; sizes and the places of the common shingle must
+    leave room for the overlap. Shingles of one text alone only take up places.
+    """
+    spread = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    texts_ = cut(members.join(spread, "token").select("id", "component").distinct())
+    rows = cut(sets.join(texts_, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
+    shared = cut(rows.join(counts, "shingle"))
+    inside = Window.partitionBy("id")  # one text's shingles
+    place = F.col("n") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("times", "shingle"))
+    kept = F.ceil(F.col("n") * threshold / F.lit(100.0))
+    posts = cut(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - kept + 1).select("shingle", "id", "component", "n", "place"))
+    theirs = posts.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")])
+    overlap = F.ceil((F.col("n") + F.col("n2")) * threshold / F.lit(100.0 + threshold) - 1e-9)
+    room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
+    sizes = 100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")
+    return posts.join(theirs, "shingle").where((F.col("component") < F.col("component2")) & sizes & (room >= overlap)).select("id", F.col("id2").alias("partner"))
 
 
 def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int, threshold: int, rounds: int) -> DataFrame | None:
-    """Confirmed links (a > b) that connect every component that candidates can connect; None without any.
-
-    Pivot rounds go on while the pairs left across components outnumber
-    ``PAIRS_PER_POST`` times the postings, ``rounds`` at most; then these are met too.
-    """
-    rows = posts.count()
-    if not rows:
+    """Confirmed links (a > b) that connect every component that candidates can connect; None without any."""
+    if posts.isEmpty():
         return None
     tested = found = None
     for turn in range(rounds + 1):
-        members, last = posts.withColumn("component", F.col("id")), False
+        members = posts.withColumn("component", F.col("id"))
         if found is not None:
             members = cut(posts.join(components(found), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component")))
-            left = open_pairs(members)
-            if not left:
-                break
-            last = turn == rounds or left <= PAIRS_PER_POST * rows
-        pairs = across(members) if last else pivots(members, turn)
+        pairs = pivots(members, turn) if turn < rounds else across(members, sets, threshold)
         pairs = pairs.select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).where("a <> b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
@@ -195,8 +196,6 @@ def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int
         new = cut(confirmed(pairs, signatures, sets, matches, threshold))
         tested = pairs if tested is None else tested.unionAll(pairs)
         found = new if found is None else found.unionAll(new)
-        if last:
-            break
     return found
 
 
