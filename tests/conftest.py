@@ -12,10 +12,10 @@ SF_ORACLE = "/root/testdata/sf0.01"
 
 @pytest.fixture(scope="session")
 def spark():
-    from vigie.session import checkpoint_dir, local_session
+    from vigie.session import local_session
 
-    s = local_session("*", shuffle_partitions=8, app="vigie-tests")
-    checkpoint_dir(s, fallback=tempfile.mkdtemp(prefix="vigie-ckpt-"))
+    folder = {"spark.checkpoint.dir": tempfile.mkdtemp(prefix="vigie-ckpt-")}
+    s = local_session("*", shuffle_partitions=8, app="vigie-tests", extra=folder)
     yield s
     s.stop()
 

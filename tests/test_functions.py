@@ -41,9 +41,9 @@ def test_safe_ratio_and_r_divide(spark):
     assert math.isnan(raw[0]) and raw[1] == math.inf
 
 
-def test_pct_change_zero_base_is_null(spark):
+def test_pct_change_zero_base_follows_division(spark):
     out = _one(spark, [(110.0, 100.0), (5.0, 0.0)], "a double, b double", V.pct_change("a", "b"))
-    assert out[0] == (110.0 - 100.0) / 100.0 * 100.0 and out[1] is None
+    assert out[0] == (110.0 - 100.0) / 100.0 * 100.0 and out[1] == float("inf")
 
 
 def test_present_drops_null_and_nan(spark):
@@ -155,3 +155,15 @@ def test_classify_refuses_unsorted_cuts():
 def test_r_divide_nan_over_zero_is_nan(spark):
     out = _one(spark, [(float("nan"), 0.0), (float("nan"), 2.0)], "a double, b double", V.r_divide("a", "b"))
     assert math.isnan(out[0]) and math.isnan(out[1])
+
+
+def test_round_even_is_exact_beyond_six_decimals(spark):
+    for x, digits, want in ((0.5000004, 0, 1.0), (2.5000001, 0, 3.0), (1.0050003, 2, 1.01), (0.2500004, 1, 0.3), (0.123456789, 8, 0.12345679)):
+        assert _one(spark, [(x,)], "x double", V.round_even("x", digits)) == [want]
+
+
+def test_nan_is_missing_for_fill_and_na_sum(spark):
+    nan = float("nan")
+    assert _one(spark, [(nan,), (None,), (2.0,)], "x double", V.fill("x")) == [0.0, 0.0, 2.0]
+    df = spark.createDataFrame([(1.0,), (nan,), (None,)], "x double")
+    assert df.agg(V.na_sum("x")).first()[0] == 1.0

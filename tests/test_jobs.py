@@ -67,3 +67,12 @@ def test_hospital_and_age_jobs(spark, tmpdir_path):
     by_day = _one_file(ages["age_share_by_day"]).splitlines()
     assert by_day[0].startswith(b"workbook,date,1-5,6-10")
     assert len(_one_file(ages["age_share_latest"]).splitlines()) >= 2
+
+
+def test_run_folder_is_removed(spark):
+    df = spark.createDataFrame([("01", 1.5)], "dep string, v double")
+    jobs.materialize(spark, df, "gone", run_id="run-to-remove")
+    folder = os.path.join(spark.conf.get("spark.checkpoint.dir"), "vigie-feeds", "run-to-remove")
+    assert os.path.isdir(folder)
+    jobs.remove_run(spark, "run-to-remove")
+    assert not os.path.isdir(folder)

@@ -188,3 +188,34 @@ def test_join_on_keeps_same_named_columns_with_suffixes(spark):
 def test_keep_present_on_text_and_dates(spark):
     df = spark.createDataFrame([("a", D(2020, 1, 1)), (None, None), ("NaN", D(2020, 1, 2))], "s string, d date")
     assert rows(O.keep_present(df, "s", "d"), "s") == [("NaN",), ("a",)]
+
+
+def test_peak_skips_missing_values(spark):
+    df = spark.createDataFrame([("2020-01-01", None), ("2020-01-02", 5.0), ("2020-01-03", float("nan")), ("2020-01-04", 5.0)],
+                               "d string, v double").selectExpr("CAST(d AS DATE) d", "v")
+    r = O.peak(df, "d", "v").first()
+    assert (r.peak_value, str(r.peak_date), str(r.last_date)) == (5.0, "2020-01-02", "2020-01-04")
+
+
+def test_pivot_wide_refuses_an_unlisted_label(spark):
+    import pytest
+
+    df = spark.createDataFrame([(1, "A", 1.0), (2, "C", 2.0), (3, None, 3.0)], "id int, k string, v double")
+    with pytest.raises(Exception, match="label not listed: C"):
+        O.pivot_wide(df, ["id"], "k", "v", ["A", "B"]).collect()
+    assert O.pivot_wide(df.where("id <> 2"), ["id"], "k", "v", ["A", "B"]).count() == 2
+
+
+def test_select_at_refuses_positions_outside(spark):
+    import pytest
+
+    for i in (0, 3, -1):
+        with pytest.raises(ValueError):
+            O.select_at(spark.range(1).selectExpr("id a", "id b"), i)
+
+
+def test_joins_match_missing_keys_by_default(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2)], "k string, x int")
+    right = spark.createDataFrame([(None, 10), ("a", 20)], "k string, y int")
+    assert {tuple(r) for r in O.with_comparator(left, right, "k").collect()} == {(None, 1, 10), ("a", 2, 20)}
+    assert {tuple(r) for r in O.with_comparator(left, right, "k", na_matches="never").collect()} == {(None, 1, None), ("a", 2, 20)}

@@ -3,7 +3,8 @@ from vigie.session import RECOMMENDED_CONF, cluster_conf
 
 def test_cluster_conf_sizes_partitions_from_input():
     conf = cluster_conf(100 * 10**12, 8000)
-    assert int(conf["spark.sql.shuffle.partitions"]) == -(-100 * 10**12 // (128 << 20))
+    assert conf["spark.sql.shuffle.partitions"] == "16000"  # two per core, for 2 TB of shuffle
+    assert cluster_conf(100 * 10**12, 8000, shuffle_bytes=10**13)["spark.sql.shuffle.partitions"] == str(-(-10**13 // (128 << 20)))
     assert conf["spark.sql.adaptive.enabled"] == "true"
     small = cluster_conf(10 << 20, 16)
     assert small["spark.sql.shuffle.partitions"] == "32"

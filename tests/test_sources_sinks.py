@@ -69,15 +69,15 @@ def test_scan_geojson_feature_collection(spark, tmpdir_path):
 
 def test_sink_csv_modes(spark, tmpdir_path):
     df = spark.createDataFrame([("a", 'x,"y"', 1.5), ("b", "z", None)], "k string, g string, v double")
-    sink_csv(df, os.path.join(tmpdir_path, "min"))
+    sink_csv(df, os.path.join(tmpdir_path, "min"), single_file=True)
     assert b'"x,""y"""' in _read_text(os.path.join(tmpdir_path, "min"), "part-*.csv")
     assert _read_text(os.path.join(tmpdir_path, "min"), "part-*.csv").splitlines()[-1] == b"b,z,NA"
-    sink_csv(df, os.path.join(tmpdir_path, "all"), quote="all")
-    lines = _read_text(os.path.join(tmpdir_path, "all"), "part-*.txt").splitlines()
+    sink_csv(df, os.path.join(tmpdir_path, "all"), quote="all", single_file=True)
+    lines = _read_text(os.path.join(tmpdir_path, "all"), "part-*.csv").splitlines()
     assert lines[0] == b'"k","g","v"' and b'"a","x,""y""",1.5' in lines and b'"b","z",NA' in lines
-    sink_csv(df.where("k = 'b'"), os.path.join(tmpdir_path, "none"), quote="none")
-    assert _read_text(os.path.join(tmpdir_path, "none"), "part-*.txt").splitlines()[-1] == b"b,z,NA"
-    sink_csv(df, os.path.join(tmpdir_path, "bom"), bom=True)
+    sink_csv(df.where("k = 'b'"), os.path.join(tmpdir_path, "none"), quote="none", single_file=True)
+    assert _read_text(os.path.join(tmpdir_path, "none"), "part-*.csv").splitlines()[-1] == b"b,z,NA"
+    sink_csv(df, os.path.join(tmpdir_path, "bom"), bom=True, single_file=True)
     raw = _read_text(os.path.join(tmpdir_path, "bom"), "part-*.csv")
     assert raw.startswith(b"\xef\xbb\xbfk,g,v")
     back = spark.read.option("header", True).csv(os.path.join(tmpdir_path, "bom"))
@@ -118,8 +118,8 @@ def test_map_layer(spark):
 
 def test_sink_csv_bom_with_all_quoted(spark, tmpdir_path):
     df = spark.createDataFrame([("a", 1.0)], "k string, v double")
-    sink_csv(df, os.path.join(tmpdir_path, "bq"), quote="all", bom=True)
-    raw = _read_text(os.path.join(tmpdir_path, "bq"), "part-*.txt")
+    sink_csv(df, os.path.join(tmpdir_path, "bq"), quote="all", bom=True, single_file=True)
+    raw = _read_text(os.path.join(tmpdir_path, "bq"), "part-*.csv")
     assert raw.startswith(b'\xef\xbb\xbf"k","v"') and b'"a",1\n' in raw
 
 
@@ -127,7 +127,7 @@ def test_geojson_feature_collection_round_trip(spark, tmpdir_path):
     rows_in = [(f"{i:02d}", float(i), f'{{"type":"Point","coordinates":[{i},0]}}') for i in range(12)]
     df = spark.createDataFrame(rows_in, "dep string, v double, geometry string").orderBy("dep")
     out = os.path.join(tmpdir_path, "fc")
-    sink_geojson(df, out)
+    sink_geojson(df, out, collection=True)
     doc = json.loads(_read_text(out, "part-*.txt"))
     assert doc["type"] == "FeatureCollection"
     assert [f["properties"]["dep"] for f in doc["features"]] == [r[0] for r in rows_in]
@@ -181,9 +181,9 @@ def test_scan_csv_failfast_on_a_bad_value(spark, tmpdir_path):
 
 def test_sink_csv_writes_numbers_as_r(spark, tmpdir_path):
     df = spark.createDataFrame([("a", 1234.0, 1e7, 0.5, float("nan"), 3)], "k string, a double, b double, c double, d double, n long")
-    for quote, pattern in (("minimal", "part-*.csv"), ("all", "part-*.txt"), ("none", "part-*.txt")):
+    for quote, pattern in (("minimal", "part-*.csv"), ("all", "part-*.csv"), ("none", "part-*.csv")):
         out = os.path.join(tmpdir_path, f"num_{quote}")
-        sink_csv(df, out, quote=quote)
+        sink_csv(df, out, quote=quote, single_file=True)
         last = _read_text(out, pattern).splitlines()[-1]
         assert last.endswith(b",1234,1e+07,0.5,NaN,3"), (quote, last)
 
@@ -203,3 +203,66 @@ def test_bom_file_reads_back_by_name(spark, tmpdir_path):
     sink_csv(df, out, bom=True)
     back = scan_csv(spark, out, schemas.ICU_CAPACITY, mode="FAILFAST")
     assert [tuple(r) for r in back.collect()] == [("53", "22", 10)]
+
+
+def test_scan_csv_reads_na_as_missing(spark, tmpdir_path):
+    p = os.path.join(tmpdir_path, "cap.csv")
+    _write(p, b'reg,dep,lits\n1,NA,5\nNA,"",NA\n2, a ,\n')
+    assert rows(scan_csv(spark, p, schemas.ICU_CAPACITY, mode="FAILFAST")) == [(None, None, None), ("1", None, 5), ("2", " a ", None)]
+    kept = scan_csv(spark, p, schemas.ICU_CAPACITY, na=("NA",))
+    assert sorted(r["dep"] or "" for r in kept.collect()) == ["", "", " a "] and kept.where("dep = ''").count() == 1
+
+
+def test_sink_to_scan_keeps_blanks_empty_and_null_text(spark, tmpdir_path):
+    schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.StringType())])
+    data = [("1", " a "), ("2", ""), ("3", None), ("4", "NB"), ("5", 'q"q')]
+    for quote in ("minimal", "all"):
+        out = os.path.join(tmpdir_path, f"blanks_{quote}")
+        sink_csv(spark.createDataFrame(data, schema).repartition(3), out, quote=quote)
+        back = scan_csv(spark, out, schema, mode="FAILFAST", na=("NA",))
+        assert sorted((tuple(r) for r in back.collect()), key=str) == sorted(data, key=str)
+
+
+def test_files_with_another_column_order(spark, tmpdir_path):
+    import pytest
+
+    d = os.path.join(tmpdir_path, "drops")
+    _write(os.path.join(d, "a.csv"), b"dep,lits\n22,5\n")
+    _write(os.path.join(d, "b.csv"), b"lits,dep\n7,29\n")
+    _write(os.path.join(d, "c.csv"), b"dep,reg\n35,53\n")
+    two = [os.path.join(d, "a.csv"), os.path.join(d, "b.csv")]
+    schema = T.StructType([T.StructField("dep", T.StringType()), T.StructField("lits", T.LongType())])
+    with pytest.raises(Exception):
+        scan_csv(spark, two, schema, mode="FAILFAST").collect()
+    assert rows(scan_csv(spark, two, schema, mode="FAILFAST", align=True)) == [("22", 5), ("29", 7)]
+    every = scan_csv(spark, d, schemas.ICU_CAPACITY, mode="FAILFAST", align=True, with_file="file")
+    assert rows(every, "reg", "dep", "lits", "file") == [(None, "22", 5, "a.csv"), (None, "29", 7, "b.csv"), ("53", "35", None, "c.csv")]
+
+
+def test_separator_detection_looks_outside_quotes_and_at_every_file(spark, tmpdir_path):
+    import pytest
+
+    from vigie.sources.readers import detect_separator
+
+    a, b = os.path.join(tmpdir_path, "a.csv"), os.path.join(tmpdir_path, "b.csv")
+    _write(a, b'"a,b,c,d";x\n1;2\n')
+    _write(b, b"k,x\n1,2\n")
+    assert detect_separator(spark, a) == ";"
+    with pytest.raises(ValueError, match="different separators"):
+        detect_separator(spark, [a, b])
+
+
+def test_split_files_each_have_a_header(spark, tmpdir_path):
+    df = spark.range(0, 40, numPartitions=4).select(F.col("id").cast("string").alias("k"), (F.col("id") / 4).alias("v"))
+    for quote in ("minimal", "all", "none"):
+        out = os.path.join(tmpdir_path, f"split_{quote}")
+        sink_csv(df, out, quote=quote)
+        assert len(glob.glob(os.path.join(out, "part-*.csv"))) == 4
+        schema = T.StructType([T.StructField("k", T.StringType()), T.StructField("v", T.DoubleType())])
+        assert sorted((int(r.k), r.v) for r in scan_csv(spark, out, schema, mode="FAILFAST").collect()) == [(i, i / 4) for i in range(40)]
+
+
+def test_latin1_sink(spark, tmpdir_path):
+    df = spark.createDataFrame([("août", 1), ("février", 2)], "m string, v long")
+    sink_csv(df, os.path.join(tmpdir_path, "l1"), encoding="ISO-8859-1", single_file=True)
+    assert "août,1".encode("latin-1") in _read_text(os.path.join(tmpdir_path, "l1"), "part-*.csv")

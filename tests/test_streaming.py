@@ -83,3 +83,28 @@ def test_land_feed_backlog_in_bounded_batches(spark, tmpdir_path):
     q = land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";", max_files_per_trigger=1)
     assert len(q.recentProgress) >= 3
     assert spark.read.parquet(panel).count() == 3
+
+
+def test_undated_rows_are_kept_apart(spark, tmpdir_path):
+    src = os.path.join(tmpdir_path, "drops")
+    os.makedirs(src)
+    panel, ckpt = os.path.join(tmpdir_path, "panel"), os.path.join(tmpdir_path, "ckpt")
+    head = "dep;sexe;jour;hosp;rea;rad;dc\n"
+    for i in (1, 2):
+        with open(os.path.join(src, f"d{i}.csv"), "w") as f:
+            f.write(head + f"22;0;2020-03-1{i};{i};0;0;0\n29;0;bad;{i};0;0;0\n")
+        land_feed(spark, src, schemas.HOSPITAL_DAILY, panel, ckpt, "jour", sep=";")
+    assert spark.read.parquet(panel).count() == 2
+    lost = spark.read.parquet(panel + "-rejected")
+    assert sorted(r.hosp for r in lost.collect()) == [1, 2] and "file" in lost.columns
+
+
+def test_a_differing_header_fails_the_stream(spark, tmpdir_path):
+    import pytest
+
+    src = os.path.join(tmpdir_path, "drops")
+    os.makedirs(src)
+    with open(os.path.join(src, "d.csv"), "w") as f:
+        f.write("dep;jour;sexe;hosp;rea;rad;dc\n22;2020-03-11;0;1;0;0;0\n")
+    with pytest.raises(Exception):
+        land_feed(spark, src, schemas.HOSPITAL_DAILY, os.path.join(tmpdir_path, "p"), os.path.join(tmpdir_path, "c"), "jour", sep=";")

@@ -91,14 +91,15 @@ def cell_range(
         & F.col("row").between(r0, r1)
         & F.col("col").between(c0, c1)
     )
-    # One map {col: value} per sheet row (hash aggregate; its size is bounded
-    # by the range width). A cell address present twice raises a duplicate-key error.
-    by_row = block.groupBy(*keys, "row").agg(
-        F.map_from_entries(F.collect_list(F.struct("col", "value"))).alias("__cells"))
-    return by_row.select(*keys, "row", *[
-        convert(F.try_element_at(F.col("__cells"), F.lit(c0 + i)), t).alias(n)
-        for i, (n, t) in enumerate(zip(names, types))
-    ])
+    # One conditional maximum per column (partial before the shuffle). A cell
+    # address that occurs twice raises.
+    def at(i: int) -> Column:
+        here = F.col("col") == c0 + i
+        twice = F.raise_error(F.lit(f"cell_range: several values for one cell of {names[i]}")).cast("string")
+        return F.when(F.count_if(here) > 1, twice).otherwise(F.max(F.when(here, F.col("value"))))
+
+    by_row = block.groupBy(*keys, "row").agg(*[at(i).alias(f"__c{i}") for i in range(len(names))])
+    return by_row.select(*keys, "row", *[convert(F.col(f"__c{i}"), t).alias(n) for i, (n, t) in enumerate(zip(names, types))])
 
 
 def cell(cells: DataFrame, row: int, col: int, name: str = "value", typ: str = "text",
@@ -137,13 +138,14 @@ def strided_blocks(
 
 
 def join_block_header(body: DataFrame, header: DataFrame, name: str, typ: str = "text",
-                      keys: Sequence[str] = SHEET_KEYS) -> DataFrame:
+                      keys: Sequence[str] = SHEET_KEYS, keep_unheaded: bool = False) -> DataFrame:
     """Attach each block's header cell to the block's rows (C4).
 
-    Blocks without a header are dropped (a day without a date is no day).
+    Blocks without a header are dropped (a day without a date is no day);
+    ``keep_unheaded`` keeps them, with a NULL header.
     """
     h = header.select(*keys, "block", convert(F.col("value"), typ).alias(name)).where(F.col(name).isNotNull())
-    return body.join(h, on=[*keys, "block"], how="inner")
+    return body.join(h, on=[*keys, "block"], how="left" if keep_unheaded else "inner")
 
 
 def bind_by_row(left: DataFrame, right: DataFrame, keys: Sequence[str] = (*SHEET_KEYS, "row"),

@@ -22,10 +22,15 @@ def pivot_wide(
     keeping one (Q19). Pass the new columns in ``names`` so that the output
     schema is stable and no extra job runs; ``names=None`` lets Spark list the
     distinct values first (one more job, at most ``spark.sql.pivotMaxValues``
-    labels, which is meant for label columns such as region names). Rows whose
-    ``names_from`` is NULL, or with a label that ``names`` does not list, have
-    no column to go to and are left out (``names=None`` takes every label).
+    labels, which is meant for label columns such as region names). A label that
+    ``names`` does not list raises. Rows whose ``names_from`` is NULL have no
+    column to go to; they only keep their ``id_cols`` in the result.
     """
+    if names is not None:
+        label = F.col(f"`{names_from}`")
+        refuse = F.raise_error(F.concat(F.lit("pivot_wide: label not listed: "), label.cast("string")))
+        df = df.withColumn(names_from, F.when(label.isNull() | label.isin(list(names)), label)
+                           .otherwise(refuse.cast(df.schema[names_from].dataType)))
     grouped = df.groupBy(*id_cols)
     pivoted = grouped.pivot(names_from) if names is None else grouped.pivot(names_from, list(names))
     cells = pivoted.agg(

@@ -17,7 +17,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, remove_folder
 from ..sinks.writers import map_layer, sink_csv, sink_geojson
 from . import composed as P
 
@@ -31,7 +31,8 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Seq
                 run_id: str | None = None) -> DataFrame:
     """Write ``df`` under ``<spark.checkpoint.dir>/vigie-feeds/<run>/<name>`` and read it back."""
     path = f"{checkpoint_dir(spark).rstrip('/')}/vigie-feeds/{run_id or RUN_ID}/{name}"
-    w = df.write.mode("overwrite")
+    # clustered by the partition columns: one file per value, not one per task and value
+    w = (df.repartition(*partition_by) if partition_by else df).write.mode("overwrite")
     if partition_by:
         w = w.partitionBy(*partition_by)
     w.parquet(path)
@@ -40,6 +41,11 @@ def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: Seq
     return spark.read.schema(df.schema).parquet(path).select(*[f"`{c}`" for c in df.columns])
 
 
+def remove_run(spark: SparkSession, run_id: str | None = None) -> None:
+    """Remove the landed feeds of a run, once its outputs are written."""
+    remove_folder(spark, f"{checkpoint_dir(spark).rstrip('/')}/vigie-feeds/{run_id or RUN_ID}")
+
+
 def indicator_job(
     spark: SparkSession,
     nat: DataFrame,
@@ -59,7 +65,7 @@ def indicator_job(
     written = {}
 
     def put(name: str, df: DataFrame, **opts) -> None:
-        sink_csv(df, f"{out}/{name}", **opts)
+        sink_csv(df, f"{out}/{name}", single_file=True, **opts)  # chart tables: areas x days
         written[name] = f"{out}/{name}"
 
     # built unsorted and joined unsorted; each table is sorted once, at its sink
@@ -99,9 +105,9 @@ def deaths_job(
     day = (run_date or dt.date.today()).isoformat()
     variation = P.year_variation(deaths, dep_geo, f"total{years[0]}", f"total{years[1]}")
     geo_path = f"{out_dir.rstrip('/')}/deces_variation_{day}.geojson"
-    sink_geojson(variation, geo_path)
+    sink_geojson(variation, geo_path, collection=True)
     daily_path = f"{out_dir.rstrip('/')}/deaths_daily_region"
-    sink_csv(P.daily_from_cumulative(deaths, areas, years).orderBy("date"), daily_path)
+    sink_csv(P.daily_from_cumulative(deaths, areas, years).orderBy("date"), daily_path, single_file=True)
     return {"variation": geo_path, "daily": daily_path}
 
 
@@ -123,7 +129,7 @@ def department_maps_job(
     paths = {}
     for name, df in (("er_visits_map", er), ("icu_saturation_map", icu)):
         paths[name] = f"{out_dir.rstrip('/')}/{name}"
-        sink_csv(df, paths[name])
+        sink_csv(df, paths[name], single_file=True)
     return paths
 
 
@@ -137,7 +143,7 @@ def hospital_job(
 ) -> dict[str, str]:
     """Daily hospital table of listed departments with the regional total (one CSV)."""
     path = f"{out_dir.rstrip('/')}/hospital_table"
-    sink_csv(P.hospital_table(hosp, labels, total_of, total_label, sort=True), path)
+    sink_csv(P.hospital_table(hosp, labels, total_of, total_label, sort=True), path, single_file=True)
     return {"hospital_table": path}
 
 
@@ -146,6 +152,6 @@ def age_job(spark: SparkSession, cells: DataFrame, groups: Sequence[str], out_di
     """Age-group shares: one row per day, and the latest day alone (two CSVs)."""
     cells = materialize(spark, cells.where(F.col("workbook") == workbook), f"cells_{workbook}")
     paths = {name: f"{out_dir.rstrip('/')}/{name}" for name in ("age_share_by_day", "age_share_latest")}
-    sink_csv(P.age_share_by_day(cells, groups, workbook=workbook, sort=True), paths["age_share_by_day"])
-    sink_csv(P.age_share_latest(cells, workbook=workbook).orderBy("groupe_age"), paths["age_share_latest"])
+    sink_csv(P.age_share_by_day(cells, groups, workbook=workbook, sort=True), paths["age_share_by_day"], single_file=True)
+    sink_csv(P.age_share_latest(cells, workbook=workbook).orderBy("groupe_age"), paths["age_share_latest"], single_file=True)
     return paths

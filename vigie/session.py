@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import os
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Runtime re-planning does the size checks: a join side is broadcast only when
@@ -22,17 +20,19 @@ RECOMMENDED_CONF = {
 }
 
 
-def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20) -> dict[str, str]:
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 128 << 20,
+                 shuffle_bytes: int | None = None) -> dict[str, str]:
     """Partition sizing for a run over ``input_bytes`` of Parquet on ``total_cores`` task slots.
 
-    Initial shuffle partitions are sized so that each holds about
-    ``target_partition_bytes`` of the largest shuffle (bounded by the input
-    size, since every shuffle here reads at most its input once) and are at
-    least twice the cores; AQE then coalesces small ones and splits skewed
-    ones. File splits are capped so scan tasks also stay near the target.
-    E.g. 100 TB on 8000 cores gives about 745,000 shuffle partitions of 128 MiB.
+    Shuffles are sized by what they move, not by what is scanned: the
+    aggregates here are partial before their shuffle, so ``shuffle_bytes``
+    defaults to a fiftieth of the input. Each initial partition then holds about
+    ``target_partition_bytes``, with at least two per core; AQE coalesces small
+    ones and splits skewed ones. E.g. 100 TB on 8000 cores gives 16,000 shuffle
+    partitions. Pass ``shuffle_bytes`` for joins that move whole tables.
     """
-    partitions = max(2 * total_cores, -(-input_bytes // target_partition_bytes))
+    shuffle_bytes = input_bytes // 50 if shuffle_bytes is None else shuffle_bytes
+    partitions = max(2 * total_cores, -(-shuffle_bytes // target_partition_bytes))
     return {
         **RECOMMENDED_CONF,
         "spark.sql.shuffle.partitions": str(partitions),
@@ -60,21 +60,18 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
     return spark
 
 
-def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``.
-
-    A cluster names it; only when it is unset (local tests) is ``fallback``
-    set as the session's checkpoint folder.
-    """
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared folder named by ``spark.checkpoint.dir``; without one this raises."""
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if d:
-        return d
-    if fallback is None:
+    if not d:
         raise RuntimeError("spark.checkpoint.dir is not set")
-    os.makedirs(fallback, exist_ok=True)
-    spark.conf.set("spark.checkpoint.dir", fallback)
-    spark.sparkContext.setCheckpointDir(fallback)
-    return fallback
+    return d
+
+
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared store, through the store's own client."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def reuse(df: DataFrame) -> DataFrame:

@@ -1,9 +1,9 @@
 """Writers for chart-ready tables.
 
-Files are written by the executors (one part file per task); ``single_file``
-moves the rows to one ordered partition (``one_ordered_file``) and is meant
-only for outputs whose size is bounded by the number of areas x days, which is
-what the chart tables are.
+Files are written by the executors (one part file per task). ``single_file``
+and ``collection`` ask for one file; they move the rows to one ordered
+partition and are meant only for outputs whose size is bounded by the number of
+areas x days, which is what the chart tables are.
 """
 
 from __future__ import annotations
@@ -19,25 +19,22 @@ from ..functions.numbers import number_text
 BOM = "﻿"
 
 
-def one_ordered_file(df: DataFrame, lead: DataFrame | None = None) -> DataFrame:
-    """``df`` in one partition, rows in their current order, optionally after ``lead`` rows.
+def one_ordered_file(df: DataFrame) -> DataFrame:
+    """``df`` in one partition, rows in their current order.
 
     ``coalesce(1)`` does not promise to keep partition order, so each row is
     tagged with ``monotonically_increasing_id`` (partition index, then position:
     it follows a preceding sort), moved to one partition and sorted on the tag.
     Only for bounded outputs (chart tables).
     """
-    body = df.select(F.lit(1).alias("__part"), F.monotonically_increasing_id().alias("__pos"), "*")
-    if lead is not None:
-        head = lead.select(F.lit(0).alias("__part"), F.lit(0).cast("long").alias("__pos"), "*")
-        body = head.unionByName(body)
-    return body.repartition(1).sortWithinPartitions("__part", "__pos").drop("__part", "__pos")
+    body = df.select(F.monotonically_increasing_id().alias("__pos"), *[F.col(f"`{c}`") for c in df.columns])
+    return body.repartition(1).sortWithinPartitions("__pos").drop("__pos")
 
 
-def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str,
-                r_numbers: bool = True) -> tuple[DataFrame, DataFrame]:
-    """Header + one text line per row: text columns quoted (doubled inner quotes)
-    when ``quote_text``, otherwise refused if they contain a separator, quote or newline."""
+def _lines(df: DataFrame, sep: str, quote_text: bool, na: str, r_numbers: bool = True) -> DataFrame:
+    """One text line per row, in a column named by the header line: text columns
+    quoted (doubled inner quotes) when ``quote_text``, otherwise refused if they
+    contain a separator, quote or newline."""
     texts, guards = [], []
     for f in df.schema.fields:
         v = F.col(f"`{f.name}`").cast("string")
@@ -60,8 +57,7 @@ def _text_lines(df: DataFrame, sep: str, quote_text: bool, na: str,
     if quote_text and df.columns[0].startswith(BOM):
         # the byte-order mark opens the file, before the quoted first name
         names[0] = BOM + f'"{df.columns[0][len(BOM):]}"'
-    head = df.sparkSession.range(1).select(F.lit(sep.join(names)).alias("value"))
-    return head, df.select(line.alias("value"))
+    return df.select(line.alias(sep.join(names)))
 
 
 def sink_csv(
@@ -71,22 +67,24 @@ def sink_csv(
     bom: bool = False,
     sep: str = ",",
     na: str = "NA",
-    single_file: bool = True,
+    single_file: bool = False,
     mode: str = "overwrite",
     r_numbers: bool = True,
+    encoding: str = "UTF-8",
 ) -> None:
-    """Write a headed, UTF-8 CSV table; missing values are written as ``na``.
+    """Write a headed CSV table; missing values are written as ``na``.
 
     ``quote``: ``"minimal"`` (quote a value only when needed, doubled quotes
     inside, X1), ``"all"`` (every text value and the header quoted, numbers
     bare, X3) or ``"none"`` (no quoting, X2; a row whose text contains the
     separator, a quote or a newline raises, since the file could not be read
     back). ``bom=True`` starts the file with a UTF-8 byte-order mark (X4).
+    Blanks around text are kept; the empty text is written ``""``.
     ``r_numbers`` writes doubles as R does (``1234``, ``0.5``, ``1e+07``,
     ``NaN``) instead of Java's ``1234.0`` / ``1.0E7``.
-    ``single_file`` writes one part file that keeps the row order of ``df``
-    (e.g. a final sort): meant for chart tables, whose size is bounded by areas
-    x days. ``quote="all"`` / ``"none"`` always write one file (one header).
+    Every task writes a file with its own header. ``single_file`` asks for one
+    file that keeps the row order of ``df`` (e.g. a final sort): meant for chart
+    tables, whose size is bounded by areas x days.
     """
     if quote not in ("minimal", "all", "none"):
         raise ValueError("quote must be 'minimal', 'all' or 'none'")
@@ -94,23 +92,23 @@ def sink_csv(
     if bom:
         out = out.withColumnRenamed(out.columns[0], BOM + out.columns[0])
     if quote != "minimal":
-        head, lines = _text_lines(out, sep, quote_text=(quote == "all"), na=na, r_numbers=r_numbers)
-        one_ordered_file(lines, lead=head).write.mode(mode).text(path)
-        return
-    if r_numbers:
+        out = _lines(out, sep, quote_text=(quote == "all"), na=na, r_numbers=r_numbers)
+    elif r_numbers:
         out = out.select(*[
             number_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`") for f in out.schema.fields])
-    (
+    writer = (
         (one_ordered_file(out) if single_file else out).write.mode(mode)
         .option("header", True)
-        .option("sep", sep)
-        .option("encoding", "UTF-8")
-        .option("escape", '"')
-        .option("nullValue", na)
-        .option("dateFormat", "yyyy-MM-dd")
-        .csv(path)
+        .option("encoding", encoding)
+        .option("ignoreLeadingWhiteSpace", False)
+        .option("ignoreTrailingWhiteSpace", False)
     )
+    if quote == "minimal":
+        writer = writer.option("sep", sep).option("escape", '"').option("nullValue", na).option("dateFormat", "yyyy-MM-dd")
+    else:  # whole lines as the only column: nothing may be quoted or escaped again
+        writer = writer.option("sep", "\u0001").option("quote", "").option("escape", "\u0002").option("emptyValue", "")
+    writer.csv(path)
 
 
 def geojson_feature(df: DataFrame, geometry: str = "geometry") -> Column:
@@ -133,13 +131,13 @@ def parse_geojson_feature(text: Column, properties: T.StructType) -> Column:
     return F.from_json(text, schema)
 
 
-def sink_geojson(df: DataFrame, path: str, geometry: str = "geometry", collection: bool = True) -> None:
+def sink_geojson(df: DataFrame, path: str, geometry: str = "geometry", collection: bool = False) -> None:
     """GeoJSON of one feature per row, overwriting ``path``.
 
-    ``collection=True`` writes one FeatureCollection document (what GIS and
-    chart tools open; read back with ``scan_geojson``), in the frame's row
-    order. ``collection=False`` writes one Feature per line, split across
-    tasks (read back with ``scan_geojson(..., line_delimited=True)``).
+    One Feature per line, split across tasks (read back with
+    ``scan_geojson(..., line_delimited=True)``). ``collection=True`` asks for
+    one FeatureCollection document (what GIS and chart tools open; read back
+    with ``scan_geojson``), in the frame's row order, written by one task.
     """
     features = df.select(geojson_feature(df, geometry).alias("value"))
     if not collection:

@@ -5,7 +5,9 @@ Every reader takes a declared schema; nothing is inferred.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,18 +17,30 @@ from pyspark.sql import types as T
 SEPARATORS = (",", ";", "\t", "|")
 
 
+def headers(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> dict[str, str]:
+    """The first line of every file, by file path; one line per file comes back."""
+    paths = [path] if isinstance(path, str) else list(path)
+    lines = spark.read.option("encoding", encoding).text(paths).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"),
+        F.monotonically_increasing_id().alias("at"), "value").where("start = 0")
+    first = lines.groupBy("file").agg(F.min_by("value", "at").alias("header")).collect()
+    return {r["file"]: r["header"].removeprefix("\ufeff") for r in first}
+
+
 def detect_separator(spark: SparkSession, path: str | Sequence[str], encoding: str = "UTF-8") -> str:
-    """The separator of a delimited file, as ``fread`` guesses it (S3).
+    """The separator of delimited files, as ``fread`` guesses it (S3).
 
-    Reads the first line only (one short row to the driver) and picks the
-    candidate that splits the header into the most fields.
+    Looks at the header line of every file, outside of quotes, and takes the
+    candidate that splits it into the most fields. Files that disagree raise.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    first = spark.read.option("encoding", encoding).text(paths[0]).limit(1).collect()
-    if not first:
-        return ","
-    header = first[0][0]
-    return max(SEPARATORS, key=lambda c: (header.count(c), c == ","))
+    def of(header: str) -> str:
+        bare = re.sub(r'"(?:[^"]|"")*"', "", header)
+        return max(SEPARATORS, key=lambda c: (bare.count(c), c == ","))
+
+    found = {of(h) for h in headers(spark, path, encoding).values()}
+    if len(found) > 1:
+        raise ValueError(f"the files use different separators: {sorted(found)}")
+    return found.pop() if found else ","
 
 
 def _typed(value: Column, field: T.StructField, date_format: str, strict: bool) -> Column:
@@ -52,6 +66,9 @@ def scan_csv(
     with_file: str | None = None,
     escape: str = '"',
     multi_line: bool = False,
+    na: Sequence[str] = ("", "NA"),
+    align: bool = False,
+    full_path: bool = False,
 ) -> DataFrame:
     """Delimited text with a declared schema.
 
@@ -61,9 +78,14 @@ def scan_csv(
     so codes such as ``01`` stay text); ``mode="FAILFAST"`` makes a value that
     does not convert raise, otherwise it becomes NULL. Without a header the
     schema applies by position.
-    ``sep=None`` detects the separator from the first line (``fread``).
+    ``na`` lists the texts that mean missing, as readr's and fread's defaults
+    do; with ``na=("NA",)`` a quoted empty text stays the empty text.
+    ``sep=None`` detects the separator from the headers (``fread``).
     ``path`` may be a file, a directory, a glob or a list of them (S8, S9);
-    ``with_file`` adds the source file name as a column (``bind_rows(.id=)``).
+    ``with_file`` adds the source file's name (its path with ``full_path``) as
+    a column (``bind_rows(.id=)``). Files must share one header, else the scan
+    raises; with ``align`` files with different headers are matched by name,
+    and a column that a file lacks is NULL in its rows (``bind_rows``).
     ``encoding`` decodes at the scan (e.g. ``ISO-8859-1``, S2, Q21).
     Quotes inside a quoted field are doubled (RFC 4180, as readr, fread and
     ``sink_csv`` write them); Spark's own default escape is a backslash.
@@ -72,6 +94,7 @@ def scan_csv(
     """
     if sep is None:
         sep = detect_separator(spark, path, encoding)
+    paths = [path] if isinstance(path, str) else list(path)
     reader = (
         spark.read
         .option("header", header)
@@ -83,17 +106,39 @@ def scan_csv(
         .option("mode", mode)
         .option("inferSchema", False)
         .option("multiLine", multi_line)
+        .option("nullValue", "\u0000")  # the texts of ``na`` are told from quoted ones below
     )
-    paths = path if isinstance(path, str) else list(path)
-    if header:
-        raw = reader.csv(paths)
-        strict = mode.upper() == "FAILFAST"
-        df = raw.select(*[_typed(F.col(f"`{f.name}`"), f, date_format, strict).alias(f.name) for f in schema.fields])
-    else:
-        df = reader.schema(schema).csv(paths)
-    if with_file:
-        df = df.withColumn(with_file, F.col("_metadata.file_name"))
-    return df
+
+    def value(f: T.StructField, present: bool) -> Column:
+        if not present:
+            return F.lit(None).cast(f.dataType).alias(f.name)
+        text = F.col(f"`{f.name}`")
+        text = F.when(~text.isin(list(na)), text) if na else text
+        return _typed(text, f, date_format, mode.upper() == "FAILFAST").alias(f.name)
+
+    def scan(files: list[str], lenient: bool = False) -> DataFrame:
+        if not header:
+            names = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
+            raw = reader.schema(names).csv(files)
+        else:
+            # the header of every file is checked against the first one's
+            raw = reader.option("enforceSchema", False).csv(files)
+        held = set(raw.columns)
+        if not lenient and not {f.name for f in schema.fields} <= held:
+            raise ValueError(f"columns {sorted({f.name for f in schema.fields} - held)} are not in the header")
+        out = [value(f, f.name in held) for f in schema.fields]
+        origin = F.col("_metadata.file_path" if full_path else "_metadata.file_name")
+        return raw.select(*out, *([origin.alias(with_file)] if with_file else []))
+
+    if not (align and header):
+        return scan(paths)
+    groups: dict[str, list[str]] = {}
+    for file, line in sorted(headers(spark, paths, encoding).items()):
+        groups.setdefault(line, []).append(file)
+    parts = [scan(files, lenient=True) for files in groups.values()]
+    if not parts:
+        return scan(paths)
+    return reduce(DataFrame.unionByName, parts)
 
 
 def geojson_schema(properties: T.StructType) -> T.StructType:

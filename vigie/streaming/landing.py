@@ -36,7 +36,6 @@ def newest_file_per_date(batch: DataFrame, date_col: str) -> DataFrame:
     """
     rank = F.struct("__file_time", "__file")
     newest = batch.groupBy(date_col).agg(F.max(rank).alias("__newest"))
-    # null-safe: rows whose date did not parse are kept (they land in the default partition)
     tagged = join_on(batch.withColumn("__rank", rank), newest, [date_col], how="inner", na_matches="na")
     return tagged.where(F.col("__rank") == F.col("__newest")).drop("__file_time", "__file", "__rank", "__newest")
 
@@ -53,11 +52,16 @@ def land_feed(
     mode: str = "replace_dates",
     max_files_per_trigger: int | None = None,
     wait: bool = True,
+    reject_dir: str | None = None,
 ) -> StreamingQuery:
     """Land every new CSV file of ``source_dir`` into ``panel_dir`` (partitioned by ``date_col``).
 
     ``checkpoint_dir=None`` keeps the stream's progress under the session's
     shared ``spark.checkpoint.dir``, in a folder named after the panel path.
+    In ``replace_dates`` mode rows whose date does not parse belong to no date:
+    they go to ``reject_dir`` (``<panel_dir>-rejected`` by default), one folder
+    per batch, so that no later batch replaces them. A file whose header
+    differs from ``schema`` fails the stream.
     ``max_files_per_trigger`` bounds each micro-batch, so a backlog of drops is
     landed in several batches instead of one. A file stream needs its full
     schema up front, so ``schema`` lists the file's columns in file order
@@ -82,6 +86,7 @@ def land_feed(
         .option("encoding", encoding)
         .option("dateFormat", "yyyy-MM-dd")
         .option("escape", '"')          # doubled quotes inside quoted fields (RFC 4180)
+        .option("enforceSchema", False)
         .csv(source_dir)
     )
     writer = stream.writeStream.option("checkpointLocation", checkpoint_dir).trigger(availableNow=True)
@@ -91,9 +96,15 @@ def land_feed(
         stream = stream.select("*", F.col("_metadata.file_modification_time").alias("__file_time"),
                                F.col("_metadata.file_path").alias("__file"))
 
-        def replace(batch: DataFrame, _batch_id: int) -> None:
-            (newest_file_per_date(batch, date_col).write.mode("overwrite")
+        rejected = reject_dir or f"{panel_dir.rstrip('/')}-rejected"
+
+        def replace(batch: DataFrame, batch_id: int) -> None:
+            dated = F.col(f"`{date_col}`").isNotNull()
+            (newest_file_per_date(batch.where(dated), date_col).repartition(date_col).write.mode("overwrite")
              .option("partitionOverwriteMode", "dynamic").partitionBy(date_col).parquet(panel_dir))
+            undated = batch.where(~dated).drop("__file_time")
+            if not undated.isEmpty():  # a retried batch overwrites its own folder
+                undated.withColumnRenamed("__file", "file").write.mode("overwrite").parquet(f"{rejected}/batch={batch_id}")
 
         writer = stream.writeStream.option("checkpointLocation", checkpoint_dir) \
             .trigger(availableNow=True).foreachBatch(replace)
