@@ -5,6 +5,7 @@ import os
 import pytest
 
 import __spark_entry__ as E
+from vigie.plans.oracle import ORACLE_SQL
 from tools.oracle_check import compare, duck_connect
 
 from .conftest import SF_ORACLE
@@ -17,17 +18,17 @@ def con():
     return duck_connect(SF_ORACLE)
 
 
-@pytest.mark.parametrize("name", sorted(E.queries()))
+@pytest.mark.parametrize("name", sorted(E.QUERIES))
 def test_query_matches_oracle(spark, con, name):
-    sql = E.oracle_sql().get(name)
-    r = compare(spark, con, name, E.queries()[name], sql, SF_ORACLE)
+    sql = ORACLE_SQL.get(name)
+    r = compare(spark, con, name, E.QUERIES[name], sql, SF_ORACLE)
     assert r["status"] in ("ok", "rows-only"), r
     if sql is None:
         assert r["spark_rows"] > 0
 
 
 def test_every_query_has_sql():
-    assert set(E.queries()) == set(E.oracle_sql())
+    assert set(E.QUERIES) == set(ORACLE_SQL) and set(ORACLE_SQL) <= set(E.oracle_sql())
 
 
 def test_entry_smoke(spark):

@@ -432,3 +432,33 @@ ORACLE_SQL.update({
     "r_history_long": _r_history_long(),
     "deaths_daily_department": _deaths_daily_department(),
 })
+
+
+def _older(dep: str) -> str:
+    """The older workbook's sheet of a department: January, eight columns."""
+    a, b, c = Y[:3]
+    return _with(DEATHS) + (
+        f"SELECT dep AS sheet, date, dematerialise{a}, total{a}, "
+        f"CASE WHEN total{a} > 0 THEN dematerialise{a} / total{a} * 100.0::DOUBLE END AS taux_dematerialisation{a}, "
+        f"dematerialise{b}, total{b}, dematerialise{c}, total{c} "
+        f"FROM deaths WHERE dep = {_q(dep)} AND dayofyear(date) <= 31")
+
+
+_DROP_OF = "(CASE sexe WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN '0' THEN 2 END)"
+
+ORACLE_SQL.update({
+    "file_capacity": _with(CAPACITY) + "SELECT reg, dep, lits FROM capacity",
+    "file_regional_unquoted": ORACLE_SQL["regional_with_national"],
+    "file_history_quoted": ORACLE_SQL["r_history_wide"],
+    "file_series_bom": ORACLE_SQL["national_series"],
+    "file_commentary_latin1": ORACLE_SQL["r_latest_commentary"],
+    "file_commentary_repaired": ORACLE_SQL["r_latest_commentary"],
+    "file_features": ORACLE_SQL["geojson_features"],
+    "file_feature_lines": ORACLE_SQL["geojson_features"],
+    "file_drops_by_name": _with(HOSPITAL) + f"SELECT *, {_DROP_OF} AS drop FROM hospital WHERE {_DROP_OF} IS NOT NULL",
+    "file_listing": _with(HOSPITAL) + f"SELECT DISTINCT {_DROP_OF} AS drop FROM hospital WHERE {_DROP_OF} IS NOT NULL",
+    "unnested_days": _with(HOSPITAL) + "SELECT dep, jour, hosp, rea FROM hospital WHERE sexe = '0'",
+    "shares_with_date": _with(AGE) + "SELECT groupe_age, make_date(2020, month(m), day(m)) AS date, part FROM shares WHERE k = 0",
+    "older_sheet_by_index": _older("00"),
+    "older_sheet_by_name": _older("03"),
+})

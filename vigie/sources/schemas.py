@@ -41,6 +41,14 @@ def deaths_cumulative(years=(2020, 2019, 2018)) -> T.StructType:
     return _schema(*fields)
 
 
+def deaths_older_sheet(years=(2020, 2019, 2018)) -> T.StructType:
+    """A sheet of the older workbook (range A5:H35): the newest year also has its paperless rate."""
+    fields = [("date", DT)]
+    for i, y in enumerate(years):
+        fields += [(f"dematerialise{y}", D), (f"total{y}", D)] + ([(f"taux_dematerialisation{y}", D)] if i == 0 else [])
+    return _schema(*fields)
+
+
 CELLS = T.StructType([
     T.StructField("workbook", S, True),
     T.StructField("sheet_index", T.IntegerType(), True),

@@ -424,7 +424,31 @@ def deaths_cells(spark: SparkSession, sf_dir: str, years=DEATH_YEARS) -> DataFra
         sheet_cells(per_dep, F.col("nk") + 2, _dep_code(F.col("nk"))))
 
 
-WORKBOOKS = {"age": age_cells, "deaths": deaths_cells}
+def older_deaths_cells(spark: SparkSession, sf_dir: str, years=DEATH_YEARS[:3]) -> DataFrame:
+    """Workbook 'older': one sheet per department from sheet 2 on, eight columns from row 5:
+    date, then per year the paperless and all deaths, the newest year also with its rate."""
+    cum = deaths_cumulative(spark, sf_dir)
+    sheet = cum.select("dep", "date", *[f"{k}{y}" for y in years for k in ("dematerialise", "total")])
+    m, t = F.col(f"dematerialise{years[0]}"), F.col(f"total{years[0]}")
+    values = [F.col("date")]
+    for i, y in enumerate(years):
+        values += [F.col(f"dematerialise{y}"), F.col(f"total{y}")]
+        if i == 0:
+            values.append(F.when(t > 0, m / t * 100.0))
+    rows = sheet.select((F.coalesce(_sheet_of(F.col("dep")), F.lit(0)) + 2).alias("si"), "dep", (F.dayofyear("date") + 4).alias("r"), F.inline(F.array(*[
+        F.struct(F.lit(i + 1).alias("c"), v.cast("string").alias("v")) for i, v in enumerate(values)])))
+    return rows.where(F.col("v").isNotNull()).select(*_cell("older", F.col("si"), F.col("dep"), F.col("r"), F.col("c"), F.col("v")))
+
+
+def _sheet_of(dep: Column) -> Column:
+    """The nation number behind a department code."""
+    code = dep.cast("int")
+    for k, v in OVERSEAS_CODES.items():
+        code = F.when(dep == v, F.lit(k)).otherwise(code)
+    return code
+
+
+WORKBOOKS = {"age": age_cells, "deaths": deaths_cells, "older": older_deaths_cells}
 
 
 def cells(spark: SparkSession, sf_dir: str, workbooks=("age", "deaths")) -> DataFrame:
