@@ -19,3 +19,19 @@ def test_bench_prints_one_json_line():
     assert {"metric", "value", "unit", "queries", "sf"} <= set(out)
     assert out["unit"] == "sec" and out["sf"] == 0.001
     assert set(out["queries"]) == {"national_series", "capacity_clean"} and "failed" not in out
+
+
+def test_entry_without_the_training_data_subpackage():
+    code = """
+import sys
+class Gone:
+    def find_spec(self, name, path=None, target=None):
+        if name == "corpus_pipeline" or name.startswith("vigie.llm"):
+            raise ModuleNotFoundError(name, name=name)
+sys.meta_path.insert(0, Gone())
+import __spark_entry__ as E
+names = set(E.queries())
+assert names == set(E.oracle_sql()) == set(E.QUERIES) and "national_series" in names
+"""
+    res = subprocess.run([sys.executable, "-c", code], cwd=ROOT, capture_output=True, text=True, timeout=120)
+    assert res.returncode == 0, res.stderr[-2000:]
