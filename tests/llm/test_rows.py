@@ -243,3 +243,20 @@ def test_knapsack(histogram, budget):
 def test_mix_nothing_to_take(spark, text):
     df = spark.createDataFrame([(1, text, "a"), (2, None, "a")], "doc_id long, text string, source string")
     assert sum(r["taken"] for r in mix(df).collect()) == (2 if text else 0)
+
+
+def test_cut_tables_are_removed(spark):
+    import os
+
+    from vigie.llm import shared
+
+    assert shared.cut(spark.range(5)).count() == 5
+    folder = shared.run_dir(spark)
+    assert folder.startswith(spark.conf.get("spark.checkpoint.dir")) and os.path.isdir(folder)
+    kept, shared.RUN = shared.RUN, "test-run"
+    try:
+        shared.cut(spark.range(3))
+        shared.remove_run(spark)
+        assert not os.path.isdir(shared.run_dir(spark)) and os.path.isdir(folder)
+    finally:
+        shared.RUN = kept

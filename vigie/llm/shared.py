@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import remove_folder
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 # Words of runs that are not ASCII white space / not ASCII non-alphanumerics.
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
@@ -32,6 +34,19 @@ def scratch_dir(spark: SparkSession) -> str:
     return folder
 
 
+RUN = uuid.uuid4().hex[:12]
+
+
+def run_dir(spark: SparkSession) -> str:
+    """This process's folder of written tables."""
+    return f"{scratch_dir(spark).rstrip('/')}/vigie-llm-{RUN}"
+
+
+def remove_run(spark: SparkSession) -> None:
+    """Remove the tables that ``cut`` wrote, once the results that read them are written."""
+    remove_folder(spark, run_dir(spark))
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Write a table to the shared folder and read it back.
 
@@ -40,7 +55,7 @@ def cut(df: DataFrame) -> DataFrame:
     that adaptive execution can split skewed keys on both of its sides.
     """
     spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/llm-{uuid.uuid4().hex}"
+    path = f"{run_dir(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
