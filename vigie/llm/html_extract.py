@@ -155,8 +155,7 @@ def traits(node: Node) -> list[str]:
     """What the node potential looks at."""
     out = [f"tag:{node.tag}"]
     if node.attrs:
-        for m in NAMES.finditer(node.attrs):
-            out += [f"name:{x.lower()}" for x in PARTS.findall(m[1] or m[2] or m[3] or "")]
+        out += [f"name:{x}" for x in names_of(node)]
         if re.search(r"(?:^|\s)hidden(?=[\s=]|$)|display\s*:\s*none", node.attrs, re.I):
             out.append("hidden")
     share = node.link_chars / node.chars if node.chars else 0.0
@@ -178,16 +177,6 @@ KINDS = ("text", "plain", "part")
 BOILERPLATE = {"nav", "aside", "footer", "header", "form", "fieldset", "address"}
 
 
-def mark(nodes: list[Node]) -> bool:
-    """Label a page from its own markup: inside ``article`` or ``main``, outside of boilerplate elements. False without either."""
-    any_content = False
-    for node in nodes[1:]:
-        up = nodes[node.parent].label
-        node.label = 1 if node.tag in ("article", "main") else 0 if node.tag in BOILERPLATE else up
-        any_content |= node.label == 1
-    return any_content
-
-
 # Names that layouts give to content and to boilerplate parts.
 CONTENT_NAMES = ("article", "article-body", "content", "post-content", "entry-content", "post", "story", "main", "main-content", "text", "body-text", "entry")
 PARTS_OUT = (
@@ -204,6 +193,26 @@ PARTS_OUT = (
 )
 FILLER = "the of and to in that it was for on are as with his they at be this from have or by one had not but what all were when".split()
 
+# Single words of the names above that name a boilerplate part wherever they stand.
+OUT_WORDS = {w for _, name in PARTS_OUT for w in name.split("-")} - {w for name in CONTENT_NAMES for w in name.split("-")} - {
+    "", "bar", "list", "posts", "section", "side", "site", "skip", "top", "tags", "legal", "contact", "discussion"}
+
+
+def names_of(node: Node) -> set[str]:
+    """The words of its class, id and role."""
+    return {x.lower() for m in NAMES.finditer(node.attrs) for x in PARTS.findall(m[1] or m[2] or m[3] or "")}
+
+
+def mark(nodes: list[Node]) -> bool:
+    """Label a page from its own markup: inside ``article`` or ``main``, outside of elements that are
+    boilerplate by tag or name. False without any content."""
+    any_content = False
+    for node in nodes[1:]:
+        out = node.tag in BOILERPLATE or bool(names_of(node) & OUT_WORDS)
+        node.label = 0 if out else 1 if node.tag in ("article", "main") else nodes[node.parent].label
+        any_content |= node.label == 1
+    return any_content
+
 
 def layouts(count: int = 400, seed: int = SEED) -> Iterator[list[Node]]:
     """Written pages with known labels: content containers of many names, boilerplate before, inside and after them."""
@@ -227,8 +236,10 @@ def layouts(count: int = 400, seed: int = SEED) -> Iterator[list[Node]]:
 
     def paragraph() -> str:
         form = rng.random()
-        if form < 0.7:
+        if form < 0.65:
             return f"<p>{words(1, 120)}</p>"
+        if form < 0.7:
+            return f"<p><a href='/z'>{words(1, 9)}</a></p>"
         if form < 0.78:
             level = rng.randint(2, 6)
             return f"<h{level}>{words(1, 8)}</h{level}>"
