@@ -1,18 +1,45 @@
 """DuckDB SQL twins of the registered queries (the correctness oracle).
 
 Each query is written independently in SQL over the driver's tables: the
-stand-in feed as CTEs, then the pipeline. Helpers below spell out the same
+stand-in feed as CTEs, then the pipeline; nothing is imported from the package. Helpers below spell out the same
 rules as ``vigie.functions`` (half-even rounding of the decimal text, classes with
 NULL/NaN guards, non-truncating pads, French month names).
 """
 
 from __future__ import annotations
 
-from ..functions.classes import TRAFFIC_LIGHT
-from ..functions.dates import MONTHS_FR, MONTHS_FR_SHORT
-from ..sources import standins as S
-from . import composed as P
-from . import queries as Q
+# Fixed values, written out here and not imported, so that a wrong one in the package shows.
+TRAFFIC_LIGHT = ("vert", "orange", "rouge")
+MONTHS_FR = ("janvier", "février", "mars", "avril", "mai", "juin", "juillet", "août", "septembre", "octobre", "novembre", "décembre")
+MONTHS_FR_SHORT = ("janv.", "févr.", "mars", "avr.", "mai", "juin", "juil.", "août", "sept.", "oct.", "nov.", "déc.")
+OVERSEAS_CODES = {20: "971", 21: "972", 22: "973", 23: "974", 24: "976"}
+OLD_OVERSEAS_CODES = {"971": "9A", "972": "9B", "973": "9C", "974": "9D", "976": "9F"}
+CAPACITY_RECODE = {"9A": "971", "9B": "972", "9C": "973", "9D": "974", "9F": "976"}
+DEPARTMENT_MAP_COLOURS = {"vert": "seagreen1", "orange": "orange", "rouge": "red3"}
+HOSPITAL_MEASURES = ("hosp", "rea", "rad", "dc", "hosp_sans_rea")
+R_CUTS = (1.0, 1.5)
+R_CLASS_LABELS = ("R au-dessous de 1", "R entre 1 et 1.5", "R au-dessus de 1.5")
+R_SENTENCE = ("Facteur de reproduction R de <b>", "</b> au <b>", "</b>, ce qui correspond au classement ")
+R_NO_ESTIMATE = "Pas d'estimation disponible pour cette date"
+
+# Parameters of the stand-in feeds and queries.
+N_AREAS = 25
+MIN_ORDERS = {"tx_incid": 3, "taux_occupation_sae": 4, "tx_pos": 5}
+SUPPLIED_CUTS = {"tx_incid": (10.0, 50.0), "taux_occupation_sae": (40.0, 60.0)}
+NATION_WITHOUT_CODE = 19
+DEATH_YEARS = (2001, 2000, 1999, 1998, 1997, 1996, 1995)
+AGE_BAND, AGE_BANDS = 5, 10
+AGE_GROUPS = ("1-5", "6-10", "11-15", "16-20", "21-25", "26-30", "31-35", "36-40", "41-45", "46-50")
+REGION = "03"
+REGION_AREAS = {"03": "NATION_3", "08": "NATION_8", "13": "NATION_13", "18": "NATION_18", "973": "NATION_23"}
+REGION_TOTAL_OF = ("03", "08", "13", "18")
+REGION_TOTAL_LABEL = "EUROPE administrative"
+REGION_NAMES = ("AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST")
+POSITIVITY_CUTS, ER_CUTS, ICU_CUTS = (30.0, 36.0), (15.0, 25.0), (30.0, 50.0)
+POSITIVITY_LEGEND = (("vert", "moins de 30 %"), ("orange", "entre 30 et 36 %"), ("rouge", "plus de 36 %"), (None, "pas de donnée"))
+DEATH_SHEET = "03"
+AS_OF = "2024-02-01 09:30:00"
+NEW, OLD = "total2001", "total2000"
 
 
 def _q(s: str) -> str:
@@ -74,7 +101,7 @@ def number_text(x: str) -> str:
 
 
 def dep_code(nk: str) -> str:
-    whens = " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in S.OVERSEAS_CODES.items())
+    whens = " ".join(f"WHEN {k} THEN {_q(v)}" for k, v in OVERSEAS_CODES.items())
     return f"(CASE {nk} {whens} ELSE {pad(f'CAST({nk} AS VARCHAR)')} END)"
 
 
@@ -94,7 +121,7 @@ def _rate(k: str, n: str, min_n: int) -> str:
 
 
 def _measures() -> str:
-    m = S.MIN_ORDERS
+    m = MIN_ORDERS
     return (f"{_rate('n_u', 'n', m['tx_incid'])} AS tx_incid, {_rate('n_f', 'n', m['tx_pos'])} AS tx_pos, "
             f"{_rate('n_o', 'n', m['taux_occupation_sae'])} AS taux_occupation_sae")
 
@@ -129,9 +156,9 @@ dep_m AS (
   FROM geo_cells g LEFT JOIN rr ON g.rk = rr.rk AND g.extract_date = rr.extract_date),
 dep AS (
   SELECT extract_date, departement, libelle_dep, region, libelle_reg,
-         tx_incid, {classify('tx_incid', S.SUPPLIED_CUTS['tx_incid'])} AS tx_incid_couleur,
+         tx_incid, {classify('tx_incid', SUPPLIED_CUTS['tx_incid'])} AS tx_incid_couleur,
          tx_pos, R, taux_occupation_sae,
-         {classify('taux_occupation_sae', S.SUPPLIED_CUTS['taux_occupation_sae'])} AS taux_occupation_sae_couleur,
+         {classify('taux_occupation_sae', SUPPLIED_CUTS['taux_occupation_sae'])} AS taux_occupation_sae_couleur,
          n_orders
   FROM dep_m)"""
 
@@ -149,7 +176,7 @@ REGION_GEO = f"""region_geo AS (
   FROM region)"""
 
 EV = f"""ev AS (
-  SELECT {dep_code(f'(user_id % {S.N_AREAS})')} AS dep, CAST(ts AS DATE) AS day, event_type, value FROM events)"""
+  SELECT {dep_code(f'(user_id % {N_AREAS})')} AS dep, CAST(ts AS DATE) AS day, event_type, value FROM events)"""
 
 ER_VISITS = EV + """,
 er_fine AS (
@@ -181,10 +208,10 @@ hospital AS (
          CAST(sum(dc) AS BIGINT)
   FROM h_fine GROUP BY dep, jour)"""
 
-_OLD = {k: S.OLD_OVERSEAS_CODES[v] for k, v in S.OVERSEAS_CODES.items()}
+_OLD = {k: OLD_OVERSEAS_CODES[v] for k, v in OVERSEAS_CODES.items()}
 CAPACITY = f"""capacity AS (
   SELECT CAST(nn.n_regionkey AS VARCHAR) AS reg,
-         (CASE nn.n_nationkey WHEN {S.NATION_WITHOUT_CODE} THEN NULL
+         (CASE nn.n_nationkey WHEN {NATION_WITHOUT_CODE} THEN NULL
           {' '.join(f'WHEN {k} THEN {_q(v)}' for k, v in _OLD.items())}
           ELSE CAST(nn.n_nationkey AS VARCHAR) END) AS dep,
          CASE WHEN s.s_acctbal >= 0 THEN CAST(floor(s.s_acctbal / 1000) AS BIGINT) END AS lits
@@ -193,10 +220,10 @@ CAPACITY = f"""capacity AS (
 CAPACITY_CLEAN = CAPACITY + f""",
 capacity_clean AS (
   SELECT reg, dep, CAST(coalesce(sum(lits), 0) AS BIGINT) AS lits
-  FROM (SELECT reg, {recode(pad('dep'), P.CAPACITY_RECODE, keep=True)} AS dep, lits FROM capacity)
+  FROM (SELECT reg, {recode(pad('dep'), CAPACITY_RECODE, keep=True)} AS dep, lits FROM capacity)
   GROUP BY reg, dep)"""
 
-Y = S.DEATH_YEARS
+Y = DEATH_YEARS
 _MEASURES = [f"{k}{y}" for y in Y for k in ("dematerialise", "total")]
 
 
@@ -234,14 +261,14 @@ deaths AS (
 
 AGE = f"""li AS (
   SELECT CAST(date_trunc('month', l_shipdate) AS DATE) AS m,
-         CAST(least(greatest(ceil(l_quantity / {S.AGE_BAND}), 1), {S.AGE_BANDS}) AS INTEGER) AS b
+         CAST(least(greatest(ceil(l_quantity / {AGE_BAND}), 1), {AGE_BANDS}) AS INTEGER) AS b
   FROM lineitem),
 mb AS (SELECT m, b, count(*) AS c FROM li GROUP BY 1, 2),
 pm AS (SELECT m, sum(c) AS n FROM mb GROUP BY 1),
 months AS (SELECT m, n, CAST(datediff('month', m, (SELECT max(m) FROM pm)) AS INTEGER) AS k FROM pm),
 shares AS (
   SELECT mb.m, months.k, mb.b,
-         CAST(CAST(b * {S.AGE_BAND} - {S.AGE_BAND - 1} AS VARCHAR) || '-' || CAST(b * {S.AGE_BAND} AS VARCHAR) AS VARCHAR) AS groupe_age,
+         CAST(CAST(b * {AGE_BAND} - {AGE_BAND - 1} AS VARCHAR) || '-' || CAST(b * {AGE_BAND} AS VARCHAR) AS VARCHAR) AS groupe_age,
          {rnd('CAST(CAST(100.0::DOUBLE * mb.c / months.n AS DECIMAL(9,4)) AS DOUBLE)', 1)} AS part
   FROM mb JOIN months ON mb.m = months.m)"""
 
@@ -261,7 +288,7 @@ def _regional(measure: str, out_dep: str, out_nat: str, dd, dn) -> str:
     vd = rnd(f"d.{measure}", dd) if dd is not None else f"d.{measure}"
     return f"""SELECT d.extract_date, d.libelle_dep AS "Departement", {vd} AS {out_dep}, n.{out_nat}
 FROM dep d LEFT JOIN ({_national(measure, dn, out_nat)}) n ON d.extract_date IS NOT DISTINCT FROM n.extract_date
-WHERE d.region = {_q(Q.REGION)} AND {present(f'd.{measure}')}"""
+WHERE d.region = {_q(REGION)} AND {present(f'd.{measure}')}"""
 
 
 def _snapshot_geo(measure: str, class_sql: str) -> str:
@@ -279,13 +306,12 @@ def _drawn(stats: str, key: str) -> str:
             f"WHERE g.nom_dep <> 'separation'")
 
 
-NEW, OLD = Q.NEW, Q.OLD
 R_WIDE = "SELECT extract_date, " + ", ".join(
-    f"max(CASE WHEN libelle_reg = {_q(r)} THEN R END) AS \"{r}\"" for r in Q.REGION_NAMES) + (
+    f"max(CASE WHEN libelle_reg = {_q(r)} THEN R END) AS \"{r}\"" for r in REGION_NAMES) + (
     f" FROM (SELECT DISTINCT extract_date, libelle_reg, R FROM dep WHERE {present('R')}) GROUP BY extract_date")
-_STAMP_TS = f"TIMESTAMP '{Q.AS_OF}'"
-_COMMENT = (f"{_q(P.R_SENTENCE[0])} || {number_text('R')} || {_q(P.R_SENTENCE[1])} || "
-            f"{month_label('extract_date')} || {_q(P.R_SENTENCE[2])} || {classify('R', P.R_CUTS)}")
+_STAMP_TS = f"TIMESTAMP '{AS_OF}'"
+_COMMENT = (f"{_q(R_SENTENCE[0])} || {number_text('R')} || {_q(R_SENTENCE[1])} || "
+            f"{month_label('extract_date')} || {_q(R_SENTENCE[2])} || {classify('R', R_CUTS)}")
 
 ORACLE_SQL: dict[str, str] = {
     "national_series": _with(NAT) + _national("tx_pos", 2, "tx_pos_national"),
@@ -302,15 +328,15 @@ LEFT JOIN ({_regional('taux_occupation_sae', 'taux_occupation_regional', 'taux_o
     "latest_snapshot_geo": _with(DEP, DEP_GEO, _snapshot_geo("tx_incid", "tx_incid_couleur")) + "SELECT * FROM layer",
     "latest_occupancy_geo": _with(DEP, DEP_GEO, _snapshot_geo("taux_occupation_sae", "taux_occupation_sae_couleur"))
     + "SELECT * FROM layer",
-    "latest_class_geo": _with(DEP, DEP_GEO, _snapshot_geo("tx_pos", classify("tx_pos", Q.POSITIVITY_CUTS)))
+    "latest_class_geo": _with(DEP, DEP_GEO, _snapshot_geo("tx_pos", classify("tx_pos", POSITIVITY_CUTS)))
     + "SELECT * FROM layer",
     "r_latest_commentary": _with(DEP, REGION_GEO, f"""r AS (SELECT DISTINCT extract_date, region, libelle_reg, R FROM dep WHERE {present('R')}),
 r2 AS (SELECT * FROM r WHERE extract_date = (SELECT max(extract_date) FROM r)),
 j AS (SELECT r2.extract_date, g.code AS region, r2.libelle_reg, r2.R, g.nom, g.geometry
       FROM r2 RIGHT JOIN region_geo g ON r2.region IS NOT DISTINCT FROM g.code)""") + f"""
 SELECT geometry, {month_label('extract_date')} AS extract_date, libelle_reg, R,
-       {classify('R', P.R_CUTS)} AS "couleur_R", {classify('R', P.R_CUTS, P.R_CLASS_LABELS)} AS "classement_R", nom,
-       CASE WHEN {present('R')} THEN {_COMMENT} ELSE {_q(P.R_NO_ESTIMATE)} END AS commentaire,
+       {classify('R', R_CUTS)} AS "couleur_R", {classify('R', R_CUTS, R_CLASS_LABELS)} AS "classement_R", nom,
+       CASE WHEN {present('R')} THEN {_COMMENT} ELSE {_q(R_NO_ESTIMATE)} END AS commentaire,
        {month_label(_STAMP_TS)} || ', ' || strftime({_STAMP_TS}, '%H') || 'h' AS date_maj
 FROM j""",
     "r_history_wide": _with(DEP) + R_WIDE,
@@ -322,7 +348,7 @@ s1 AS (SELECT dep, CAST(sum(c) AS BIGINT) AS nbre_pass_corona, CAST(sum(t) AS BI
        FROM v7 GROUP BY dep)""" + f""",
 s2 AS (SELECT *, {rnd(safe_ratio('nbre_pass_corona', 'nbre_pass_tot') + ' * 100.0::DOUBLE', 0)} AS taux_pass FROM s1)""")
     + f"""SELECT g.insee_dep, g.insee_reg, g.nom_dep, g.geometry, s.nbre_pass_corona, s.nbre_pass_tot, s.taux_pass,
-       {classify('s.taux_pass', Q.ER_CUTS, closed='right')} AS statut_passages
+       {classify('s.taux_pass', ER_CUTS, closed='right')} AS statut_passages
 """ + _drawn("s2", "dep"),
     "capacity_clean": _with(CAPACITY_CLEAN) + "SELECT reg, dep, lits FROM capacity_clean",
     "icu_saturation_region": _with(HOSPITAL, CAPACITY_CLEAN, DEP_GEO, f"""h AS (
@@ -334,7 +360,7 @@ tot AS (SELECT reg, {strict_sum('rea_7jrs')} AS rea_7jrs, CAST({strict_sum('lits
 sj2 AS (SELECT sj.dep, sj.reg, tot.rea_7jrs, tot.lits FROM sj LEFT JOIN tot ON sj.reg IS NOT DISTINCT FROM tot.reg),
 sj3 AS (SELECT *, {rnd(r_divide('rea_7jrs', 'lits') + ' * 100.0::DOUBLE', 0)} AS taux_occup_reg FROM sj2)""")
     + f"""SELECT g.insee_dep, g.insee_reg, g.nom_dep, g.geometry, s.reg, s.rea_7jrs, s.lits, s.taux_occup_reg,
-       {classify('s.taux_occup_reg', Q.ICU_CUTS, closed='right')} AS statut_rea
+       {classify('s.taux_occup_reg', ICU_CUTS, closed='right')} AS statut_rea
 """ + _drawn("sj3", "dep"),
     "deaths_variation": _with(DEATHS, DEP_GEO, f"""d AS (SELECT * FROM deaths WHERE {present(NEW)}),
 d2 AS (SELECT dep, date, {NEW}, {OLD},
@@ -344,29 +370,29 @@ d2 AS (SELECT dep, date, {NEW}, {OLD},
 FROM d2 RIGHT JOIN dep_geo g ON d2.dep IS NOT DISTINCT FROM g.insee_dep""",
     "deaths_daily_region": _with(DEATHS, "s AS (SELECT date, " + ", ".join(
         f"{strict_sum(m)} AS {m}" for m in _MEASURES)
-        + f" FROM deaths WHERE {in_list('dep', Q.REGION_TOTAL_OF)} GROUP BY date)")
+        + f" FROM deaths WHERE {in_list('dep', REGION_TOTAL_OF)} GROUP BY date)")
     + "SELECT *, " + ", ".join(
         f"total{y} - lag(total{y}) OVER (ORDER BY date) AS deces_journaliers_{y}" for y in Y) + " FROM s",
     "hospital_with_total": _with(HOSPITAL, f"""hd AS (SELECT *, hosp - rea AS hosp_sans_rea FROM hospital WHERE sexe = '0'),
 detail AS (
-  SELECT jour, {recode('dep', Q.REGION_AREAS, keep=False)} AS dep, hosp, rea, rad, dc, hosp_sans_rea
-  FROM hd WHERE {in_list('dep', Q.REGION_AREAS)}),
+  SELECT jour, {recode('dep', REGION_AREAS, keep=False)} AS dep, hosp, rea, rad, dc, hosp_sans_rea
+  FROM hd WHERE {in_list('dep', REGION_AREAS)}),
 total AS (
-  SELECT jour, {_q(Q.REGION_TOTAL_LABEL)} AS dep, """ + ", ".join(
-        f"CAST({strict_sum(m)} AS BIGINT) AS {m}" for m in P.HOSPITAL_MEASURES)
-        + f" FROM hd WHERE {in_list('dep', Q.REGION_TOTAL_OF)} GROUP BY jour)")
+  SELECT jour, {_q(REGION_TOTAL_LABEL)} AS dep, """ + ", ".join(
+        f"CAST({strict_sum(m)} AS BIGINT) AS {m}" for m in HOSPITAL_MEASURES)
+        + f" FROM hd WHERE {in_list('dep', REGION_TOTAL_OF)} GROUP BY jour)")
     + """SELECT strftime(jour, '%d/%m/%Y') AS jour, dep, hosp AS hospitalisations, rea AS reanimations,
        rad AS retours_domicile, dc AS deces, hosp_sans_rea
 FROM (SELECT * FROM detail UNION ALL SELECT * FROM total)""",
     "age_share_by_day": _with(AGE) + "SELECT 'age' AS workbook, strftime(m, '%d/%m') AS date, " + ", ".join(
-        f"max(CASE WHEN groupe_age = {_q(g)} THEN part END) AS \"{g}\"" for g in Q.AGE_GROUPS)
+        f"max(CASE WHEN groupe_age = {_q(g)} THEN part END) AS \"{g}\"" for g in AGE_GROUPS)
     + " FROM shares GROUP BY m",
     "age_share_latest": _with(AGE) + """SELECT 'age' AS workbook, groupe_age, strftime(m, '%d/%m') AS date, part
 FROM shares WHERE k = 0""",
     "sheets_union": _with(DEATHS) + "SELECT 'deaths' AS workbook, dep, date, " + ", ".join(_MEASURES)
     + " FROM deaths",
     "deaths_sheet_range": _with(DEATHS) + "SELECT dep AS sheet, date, " + ", ".join(_MEASURES)
-    + f" FROM deaths WHERE dep = {_q(Q.DEATH_SHEET)}",
+    + f" FROM deaths WHERE dep = {_q(DEATH_SHEET)}",
     "peak_of_series": _with(NAT, f"s AS ({_national('tx_incid', 1, 'v')})") + f"""
 SELECT max(v) AS peak_value, (SELECT min(extract_date) FROM s WHERE v = (SELECT max(v) FROM s)) AS peak_date,
        max(extract_date) AS last_date, {month_label('max(extract_date)', short=True)} AS last_label
@@ -374,9 +400,9 @@ FROM s""",
     "strict_vs_lenient_sum": _with(CAPACITY) + f"""SELECT reg, dep, CAST({strict_sum('lits')} AS BIGINT) AS lits_strict,
        CAST(coalesce(sum(lits), 0) AS BIGINT) AS lits_lenient, count(*) AS n_rows
 FROM capacity GROUP BY reg, dep""",
-    "null_safe_join": _with(DEP, DEP_GEO, _snapshot_geo("tx_pos", classify("tx_pos", Q.POSITIVITY_CUTS)),
+    "null_safe_join": _with(DEP, DEP_GEO, _snapshot_geo("tx_pos", classify("tx_pos", POSITIVITY_CUTS)),
                             "legend(couleur, legende) AS (VALUES " + ", ".join(
-                                f"({_q(c) if c is not None else 'NULL'}, {_q(l)})" for c, l in Q.POSITIVITY_LEGEND)
+                                f"({_q(c) if c is not None else 'NULL'}, {_q(l)})" for c, l in POSITIVITY_LEGEND)
                             + ")")
     + """SELECT layer.*, legend.legende FROM layer LEFT JOIN legend ON layer.couleur IS NOT DISTINCT FROM legend.couleur""",
     "typed_mutate": _with(DEP) + f"""SELECT CAST(extract_date AS VARCHAR) AS extract_date, departement, libelle_dep, region, libelle_reg,
@@ -389,7 +415,7 @@ FROM dep""",
 # Queries defined on top of other twins.
 
 def _icu_map_layer() -> str:
-    fill = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in P.DEPARTMENT_MAP_COLOURS.items())
+    fill = " ".join(f"WHEN {_q(k)} THEN {_q(v)}" for k, v in DEPARTMENT_MAP_COLOURS.items())
     return ("SELECT insee_dep, nom_dep, taux_occup_reg, statut_rea, geometry, "
             f"(CASE statut_rea {fill} END) AS fill FROM ({ORACLE_SQL['icu_saturation_region']})")
 
@@ -404,7 +430,7 @@ def _geojson_features() -> str:
 
 def _r_history_long() -> str:
     """UNION ALL per region, so empty cells stay as NULL rows as in Spark's unpivot."""
-    parts = [f"SELECT extract_date, {_q(r)} AS libelle_reg, \"{r}\" AS R FROM w" for r in Q.REGION_NAMES]
+    parts = [f"SELECT extract_date, {_q(r)} AS libelle_reg, \"{r}\" AS R FROM w" for r in REGION_NAMES]
     return _with(DEP, f"w AS ({R_WIDE})") + "\nUNION ALL\n".join(parts)
 
 
@@ -415,7 +441,7 @@ def _deaths_daily_department() -> str:
 
 
 def _age_share_transposed() -> str:
-    cols = ", ".join(f"max(CASE WHEN groupe_age = {_q(g)} THEN part END) AS \"{g}\"" for g in Q.AGE_GROUPS)
+    cols = ", ".join(f"max(CASE WHEN groupe_age = {_q(g)} THEN part END) AS \"{g}\"" for g in AGE_GROUPS)
     return _with(AGE) + f"SELECT CAST(m AS VARCHAR) AS date, {cols} FROM shares GROUP BY m"
 
 
