@@ -125,6 +125,13 @@ def test_repeats_brute_force(docs):
     assert sorted(map(tuple, suffix_dedup(docs).collect()), key=str) == brute_repeats(rows)
 
 
+def test_repeats_in_pieces_of_long_texts(edge, monkeypatch):
+    from vigie.llm import anchors
+
+    monkeypatch.setattr(anchors, "PIECE", 97)
+    assert sorted(map(tuple, suffix_dedup(edge).collect()), key=str) == brute_repeats([(i, t) for i, t, *_ in edge_rows()])
+
+
 def test_repeats_kept_bytes(edge):
     for r in suffix_dedup(edge, keep_text=True).collect():
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]

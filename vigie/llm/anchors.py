@@ -13,6 +13,7 @@ import numpy as np
 from .ragged import prefix_hash, substring_hash
 
 LOW = np.uint64((1 << 22) - 1)  # positions within a piece
+PIECE = 1 << 21  # window starts of a long text that are handled at a time
 
 
 def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
@@ -29,8 +30,18 @@ def runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     """Of one text of at least ``window`` bytes: (name, position, first window start, last window start, context hash).
 
     The context is the bytes from the first window's start to the last one's
-    end; its hash also tells where in it the position lies.
+    end; its hash also tells where in it the position lies. A long text is
+    handled in pieces, whose borders may part the windows of a position in two.
     """
+    starts = range(0, len(data) - window + 1, PIECE)
+    parts = [piece_runs(data[a : a + PIECE + window - 1], window, gram) for a in starts]
+    if len(parts) == 1:
+        return parts[0]
+    shifted = [(n, p + a, f + a, z + a, c) for a, (n, p, f, z, c) in zip(starts, parts, strict=True)]
+    return tuple(np.concatenate(x) for x in zip(*shifted, strict=True))
+
+
+def piece_runs(data: np.ndarray, window: int, gram: int) -> tuple[np.ndarray, ...]:
     prefix = prefix_hash(data)
     n = len(data) - gram + 1
     starts = np.arange(n)
