@@ -39,6 +39,7 @@ THRESHOLD = 80  # per cent
 COORDINATES = 64
 MATCHES = 38
 ROUNDS = 2
+MEETINGS = 8
 SEED = 20261203
 
 
@@ -144,7 +145,8 @@ def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, matches:
 def pivots(members: DataFrame, turn: int) -> DataFrame:
     """One pair per member of each list that holds several components: with the list's pivot, or,
     for members of the pivot's own component, with a member of another one. Lists choose their
-    pivots by hash, so a text that is in many lists meets many others."""
+    pivots by hash, so a text that is in many lists meets different others, ``MEETINGS`` of them
+    in a round; the rest is not lost but left to ``across``."""
     rank = F.xxhash64(F.lit(turn), "token", "id")
     lists = members.groupBy("token").agg(
         F.min(F.struct(rank.alias("rank"), "id", "component")).alias("pivot"),
@@ -152,7 +154,9 @@ def pivots(members: DataFrame, turn: int) -> DataFrame:
     ).where("low.component <> high.component")
     other = F.when(F.col("pivot.component") == F.col("low.component"), F.col("high.id")).otherwise(F.col("low.id"))
     partner = F.when(F.col("component") != F.col("pivot.component"), F.col("pivot.id")).otherwise(other)
-    return members.join(lists, "token").select("id", partner.alias("partner"))
+    met = members.join(lists, "token").select("id", partner.alias("partner")).distinct()
+    turn_of = F.row_number().over(Window.partitionBy("id").orderBy(F.xxhash64(F.lit(turn), "id", "partner")))  # of at most a text's postings
+    return met.withColumn("turn_of", turn_of).where(F.col("turn_of") <= MEETINGS).select("id", "partner")
 
 
 def across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
