@@ -47,7 +47,7 @@ def test_hot_customer_is_split_and_results_hold(spark, tmpdir_path):
     customer.write.parquet(f"{d}/customer.parquet")
 
     def run():
-        df = S.indicators_national(spark, d)
+        df = S.orders_month_nation(spark, d)
         rows = sorted(df.collect())
         return rows, df._jdf.queryExecution().executedPlan().toString()
 
