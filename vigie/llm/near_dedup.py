@@ -39,7 +39,7 @@ THRESHOLD = 80  # per cent
 COORDINATES = 64
 MATCHES = 38
 ROUNDS = 2
-MEETINGS = 8
+MEETINGS = 6
 SEED = 20261203
 
 
@@ -133,13 +133,17 @@ def ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
     return pairs.join(left, "b").join(right, "a")
 
 
-def confirmed(pairs: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int, threshold: int) -> DataFrame:
-    """The pairs with enough collisions whose full sets reach the threshold."""
+def retained(pairs: DataFrame, signatures: DataFrame, matches: int) -> DataFrame:
+    """The pairs whose signatures collide often enough."""
     collisions = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same))
-    retained = cut(ends(pairs, signatures, "signature").where(collisions >= matches).select("a", "b"))
+    return ends(pairs, signatures, "signature").where(collisions >= matches).select("a", "b")
+
+
+def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """The pairs whose full sets reach the threshold."""
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return ends(retained, sets, "shingles").where(100 * common >= threshold * union).select("a", "b")
+    return ends(pairs, sets, "shingles").where(100 * common >= threshold * union).select("a", "b")
 
 
 def pivots(members: DataFrame, turn: int) -> DataFrame:
@@ -197,7 +201,9 @@ def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        new = cut(confirmed(pairs, signatures, sets, matches, threshold))
+        # the prefix join on the sets has no need of signatures
+        likely = cut(retained(pairs, signatures, matches)) if turn < rounds else pairs
+        new = cut(confirmed(likely, sets, threshold))
         tested = pairs if tested is None else tested.unionAll(pairs)
         found = new if found is None else found.unionAll(new)
     return found
