@@ -39,7 +39,7 @@ THRESHOLD = 80  # per cent
 COORDINATES = 64
 MATCHES = 38
 ROUNDS = 2
-MEETINGS = 6
+MEETINGS = 8
 SEED = 20261203
 
 
@@ -126,24 +126,15 @@ def posted(tokens: DataFrame, prefix: int, coordinates: int) -> DataFrame:
     return shared.withColumn("place", own + F.row_number().over(order)).where(F.col("place") <= prefix).select("token", "id")
 
 
-def ends(pairs: DataFrame, table: DataFrame, column: str) -> DataFrame:
-    """``pairs`` (a, b) with ``column`` of both ends, as x and y."""
-    left = table.select(F.col("id").alias("b"), F.col(column).alias("y"))
-    right = table.select(F.col("id").alias("a"), F.col(column).alias("x"))
-    return pairs.join(left, "b").join(right, "a")
-
-
-def retained(pairs: DataFrame, signatures: DataFrame, matches: int) -> DataFrame:
-    """The pairs whose signatures collide often enough."""
-    collisions = F.size(F.filter(F.zip_with("x", "y", lambda x, y: x == y), lambda same: same))
-    return ends(pairs, signatures, "signature").where(collisions >= matches).select("a", "b")
-
-
-def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
-    """The pairs whose full sets reach the threshold."""
+def confirmed(pairs: DataFrame, known: DataFrame, matches: int, threshold: int) -> DataFrame:
+    """The pairs (a, b) that collide in at least ``matches`` coordinates and whose full sets reach the threshold."""
+    left = known.select(F.col("id").alias("b"), F.col("signature").alias("v"), F.col("shingles").alias("y"))
+    right = known.select(F.col("id").alias("a"), F.col("signature").alias("u"), F.col("shingles").alias("x"))
+    collisions = F.size(F.filter(F.zip_with("u", "v", lambda u, v: u == v), lambda same: same))
     common = F.size(F.array_intersect("x", "y"))
     union = F.size("x") + F.size("y") - common
-    return ends(pairs, sets, "shingles").where(100 * common >= threshold * union).select("a", "b")
+    both = pairs.join(left, "b").join(right, "a")
+    return both.where(collisions >= matches).where(100 * common >= threshold * union).select("a", "b")
 
 
 def pivots(members: DataFrame, turn: int) -> DataFrame:
@@ -163,7 +154,7 @@ def pivots(members: DataFrame, turn: int) -> DataFrame:
     return met.withColumn("turn_of", turn_of).where(F.col("turn_of") <= MEETINGS).select("id", "partner")
 
 
-def across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def across(members: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
     """Pairs of texts of open lists, in different components, that can reach the threshold.
 
     An exact prefix join on the shingle sets of these texts: with its shingles
@@ -173,7 +164,7 @@ def across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """
     spread = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     texts_ = cut(members.join(spread, "token").select("id", "component").distinct())
-    rows = cut(sets.join(texts_, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
+    rows = cut(known.join(texts_, "id").select("id", "component", F.size("shingles").alias("n"), F.explode("shingles").alias("shingle")))
     counts = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("times")).where("times > 1")
     shared = cut(rows.join(counts, "shingle"))
     inside = Window.partitionBy("id")  # one text's shingles
@@ -187,7 +178,7 @@ def across(members: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return posts.join(theirs, "shingle").where((F.col("component") < F.col("component2")) & sizes & (room >= overlap)).select("id", F.col("id2").alias("partner"))
 
 
-def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int, threshold: int, rounds: int) -> DataFrame | None:
+def links(posts: DataFrame, known: DataFrame, matches: int, threshold: int, rounds: int) -> DataFrame | None:
     """Confirmed links (a > b) that connect every component that candidates can connect; None without any."""
     if posts.isEmpty():
         return None
@@ -196,14 +187,13 @@ def links(posts: DataFrame, signatures: DataFrame, sets: DataFrame, matches: int
         members = posts.withColumn("component", F.col("id"))
         if found is not None:
             members = cut(posts.join(components(found), "id", "left").select("token", "id", F.coalesce("component", "id").alias("component")))
-        pairs = pivots(members, turn) if turn < rounds else across(members, sets, threshold)
+        pairs = pivots(members, turn) if turn < rounds else across(members, known, threshold)
         pairs = pairs.select(F.greatest("id", "partner").alias("a"), F.least("id", "partner").alias("b")).where("a <> b").distinct()
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         pairs = cut(pairs)
-        # the prefix join on the sets has no need of signatures
-        likely = cut(retained(pairs, signatures, matches)) if turn < rounds else pairs
-        new = cut(confirmed(likely, sets, threshold))
+        # the prefix join on the sets has no need of collisions
+        new = cut(confirmed(pairs, known, matches if turn < rounds else 0, threshold))
         tested = pairs if tested is None else tested.unionAll(pairs)
         found = new if found is None else found.unionAll(new)
     return found
@@ -231,9 +221,9 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     tokens = signatures.select("id", F.explode("signature").alias("token"))
     posts = cut(posted(tokens, coordinates - matches + 1, coordinates))
     nodes = posts.select("id").distinct()
-    signatures = cut(signatures.join(nodes, "id", "left_semi"))
-    sets = cut(rows.join(nodes, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(set_maker(shingle), "id long, shingles array<long>"))
-    found = links(posts, signatures, sets, matches, threshold, rounds)
+    sets = rows.join(nodes, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(set_maker(shingle), "id long, shingles array<long>")
+    known = cut(sets.join(signatures.join(nodes, "id", "left_semi"), "id"))
+    found = links(posts, known, matches, threshold, rounds)
     linked = classes.withColumn("component", F.col("rep"))
     if found is not None:
         linked = classes.join(components(found), F.col("rep") == F.col("id"), "left").select(
