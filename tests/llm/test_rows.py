@@ -91,6 +91,46 @@ def test_licence_cases(spark):
     assert (3, 0, "mit-permission") in blocks and (5, 0, "all-rights-reserved") in blocks and not any(b[0] == 4 for b in blocks)
 
 
+def brute_wrapped(text):
+    """As ``brute_licence``, with every window of a template's length in words as a block of that template."""
+    own, out = [x.decode() for x in words(text)], brute_licence(text)
+    labels, score = {x for x in out[5].split(",") if x}, out[6]
+    for label, t in TEMPLATES.items():
+        n, goal = len(t.split()), set(t.split())
+        share = max((len(set(own[j : j + n]) & goal) / len(goal) for j in range(len(own))), default=0)
+        if share >= 0.8:
+            labels.add(label)
+            score = max(score, share)
+    return (*out[:5], ",".join(sorted(labels)), score)
+
+
+WRAPPED = {
+    "mit-permission": "Permission is hereby granted, free of charge, to any person obtaining a copy\n"
+    'of this software and associated documentation files (the "Software"), to deal\nin the Software without restriction.',
+    "bsd-conditions": "# Redistribution and use in source and binary forms, with or without\n"
+    "# modification, are permitted provided that the following conditions are\n# met:",
+    "mpl-2": " * This Source Code Form is subject to the terms of the Mozilla Public\r\n * License, v. 2.0. If a copy of the MPL was not\r\n * distributed",
+    "all-rights-reserved": "All\nrights\nreserved",
+}
+
+
+def test_licence_wrapped(spark, edge, tmp_path):
+    from vigie.llm.queries import QUERIES
+
+    texts = {label: f"words before\n\n{t}\nwords after" for label, t in WRAPPED.items()}
+    texts |= {"": "all of this stands\nfar\nfrom rights that are\nlong since reserved", "none": None}
+    rows = list(enumerate(texts.values()))
+    path = f"{tmp_path}/documents.parquet"
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(path)
+    got = {r[0]: tuple(r)[1:] for r in QUERIES["op7_license_scan"](spark, str(tmp_path)).collect()}
+    assert got == {i: brute_wrapped(t) for i, t in rows}
+    assert [got[i][5] for i in range(6)] == [*WRAPPED, "", ""] and all(got[i][6] >= 0.8 for i in range(4))
+    everywhere = {r[0]: tuple(r)[1:] for r in license_scan(edge, wrapped=True).collect() if r[0] is not None}
+    assert everywhere == {i: brute_wrapped(t) for i, t, *_ in edge_rows() if i is not None}
+    blocks = {(r["doc_id"], r["label"], r["window_of"]) for r in license_blocks(spark.read.parquet(path), wrapped=True).collect()}
+    assert blocks == {(i, label, label) for i, label in enumerate(WRAPPED)}
+
+
 def test_licence_empty(empty):
     assert license_scan(empty).collect() == []
 

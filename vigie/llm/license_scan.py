@@ -1,6 +1,8 @@
 """Licence scan by an exact set-similarity join, in DataFrame operations only.
 
-Every line of every text is a block. A template is a set of words; a block
+Every line of every text is a block. For notices that wrap over lines, so is on
+request (``wrapped``) every stretch of as many words as a template has, anywhere
+in the text, for that template. A template is a set of words; a block
 meets it when it holds at least ``threshold`` of the template's words. The join
 follows the prefix-filter scheme:
 
@@ -75,7 +77,8 @@ def word_order(blocks: DataFrame, vocabulary: list[str]) -> list[str]:
 def block_matches(blocks: DataFrame, templates: dict[str, set[str]], threshold: float) -> DataFrame:
     """(every column of ``blocks``, label, overlap share) of the blocks that meet a template.
 
-    ``blocks`` has ``held``: the distinct template words of the block.
+    ``blocks`` has ``held``: the distinct template words of the block, and
+    ``window_of``: the only template that it may meet, NULL for any.
     """
     vocabulary = sorted(set().union(*templates.values()))
     order = word_order(blocks, vocabulary)
@@ -94,7 +97,8 @@ def block_matches(blocks: DataFrame, templates: dict[str, set[str]], threshold:
         left_in_block = F.size(held) - F.array_position(held, first).cast("int") + 1
         left_in_template = F.lit(len(ids) + 1) - F.array_position(F.array(*[F.lit(i) for i in ids]), first).cast("int")
         candidate = (
-            (F.size(held) >= least)
+            (F.col("window_of").isNull() | (F.col("window_of") == label))
+            & (F.size(held) >= least)
             & F.arrays_overlap(held, F.array(*[F.lit(i) for i in prefix]))
             & (F.least(left_in_block, left_in_template) >= least)
         )
@@ -107,17 +111,48 @@ def block_matches(blocks: DataFrame, templates: dict[str, set[str]], threshold:
     )
 
 
-def license_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-                   templates: dict[str, str] | None = None, threshold: float = THRESHOLD) -> DataFrame:
-    """(``id_col``, block, held, label, share): every line that meets a template, by its number from 0."""
-    sets = {k: set(v.split()) for k, v in (TEMPLATES if templates is None else templates).items()}
+def license_blocks(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: dict[str, str] | None = None,
+                   threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
+    """(``id_col``, block, held, window_of, label, share): every line that meets a template, by its number from 0.
+
+    With ``wrapped`` also every window that does, across line ends: ``block`` is
+    then its first word's number from 0, and ``window_of`` is its template.
+    """
+    templates = TEMPLATES if templates is None else templates
+    sets = {k: set(v.split()) for k, v in templates.items()}
     vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*sets.values()))])
     least = min(need(t, threshold) for t in sets.values())
     lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(words_by_line(F.col(text_col)), "\n")).alias("block", "line"))
     blocks = lines.select("id", "block", F.array_intersect(F.split("line", " "), vocabulary).alias("held")).where(F.size("held") >= least)
+    blocks = blocks.withColumn("window_of", F.lit(None).cast("string"))
+    if wrapped:
+        blocks = blocks.unionByName(word_windows(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), templates, threshold))
     return block_matches(blocks, sets, threshold).withColumnRenamed("id", id_col)
 
 
+def word_windows(texts: DataFrame, templates: dict[str, str], threshold: float) -> DataFrame:
+    """(id, block, held, window_of): the windows of a template's length that hold enough of its words.
+
+    A window is taken where a template word begins it: any other holds no more
+    than the one from its first template word on. Only texts that hold enough
+    of a template's words as a whole are searched for it.
+    """
+    sets = {k: set(v.split()) for k, v in templates.items()}
+    vocabulary = F.array(*[F.lit(w) for w in sorted(set().union(*sets.values()))])
+    known = F.array(*[
+        F.struct(F.lit(k).alias("label"), F.lit(len(v.split())).alias("length"), F.lit(need(sets[k], threshold)).alias("least"),
+                 F.array(*[F.lit(w) for w in sorted(sets[k])]).alias("words")) for k, v in sorted(templates.items())])
+    # Each explode of one element keeps what it holds from being computed again by the filters and projections above it.
+    words = texts.select("id", F.explode(F.array(F.split(F.trim(words_of(F.col("text"))), " "))).alias("words"))
+    own = words.select("id", "words", F.explode(F.array(F.array_intersect("words", vocabulary))).alias("own"))
+    met = own.select("id", "words", F.explode(F.filter(known, lambda t: F.size(F.array_intersect("own", t["words"])) >= t["least"])).alias("t"))
+    places = F.filter(F.transform("words", lambda w, i: F.when(F.array_contains("t.words", w), i)), lambda i: i.isNotNull())
+    windows = F.transform(places, lambda i: F.struct(
+        i.alias("block"), F.array_intersect(F.slice("words", i + 1, F.col("t.length")), F.col("t.words")).alias("held")))
+    found = met.select("id", F.col("t.label").alias("window_of"), F.col("t.least").alias("least"), F.explode(windows).alias("b"))
+    return found.where(F.size("b.held") >= F.col("least")).select("id", "b.block", "b.held", "window_of")
+
+
 def words_by_line(text: Column) -> Column:
     """As ``words_of``, keeping line breaks between blocks."""
     return F.regexp_replace(ascii_lower(text), r"[\x00-\x09\x0B-\x2F\x3A-\x60\x7B-\x7F]+", " ")
@@ -125,15 +160,15 @@ def words_by_line(text: Column) -> Column:
 
 def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                  phrases: dict[str, str] | None = None, templates: dict[str, str] | None = None,
-                 threshold: float = THRESHOLD) -> DataFrame:
+                 threshold: float = THRESHOLD, wrapped: bool = False) -> DataFrame:
     """One row per input row: ``id_col``, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     ``n_base`` counts all places of the phrases, ``first_word`` and
     ``last_word`` are the smallest and largest word at which one starts (NULL
-    without any). ``labels`` adds the templates that some line meets; both
-    label lists are distinct, sorted and comma-joined, empty without any.
+    without any). ``labels`` adds the templates that some line meets
+    or, with ``wrapped``, some window of a template's length in words; both label lists are distinct, sorted and comma-joined, empty without any.
     ``score`` is 1 where a phrase stands, else the best share of a template
-    that a line holds (at least ``threshold``), else 0. NULL counts as the
+    that such a block holds (at least ``threshold``), else 0. NULL counts as the
     empty text. Rows that repeat an id are reported each, with the template
     labels of all of them. Other columns are ignored, whatever their names.
     """
@@ -155,7 +190,7 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         last.cast("long").alias("last_word"),
         F.when(has, labels).otherwise(F.array().cast("array<string>")).alias("base"),
     )
-    met = license_blocks(df, id_col, text_col, templates, threshold).groupBy(F.col(id_col).alias("met_id")).agg(
+    met = license_blocks(df, id_col, text_col, templates, threshold, wrapped).groupBy(F.col(id_col).alias("met_id")).agg(
         F.collect_set("label").alias("met"), F.max("share").alias("share"))  # as many labels as there are templates, at most
     none = F.array().cast("array<string>")
     return base.join(met, F.col("id").eqNullSafe(F.col("met_id")), "left").select(

@@ -45,7 +45,7 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scan(table(spark, sf_dir, "documents"))
+    return license_scan(table(spark, sf_dir, "documents"), wrapped=True)
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
