@@ -54,6 +54,29 @@ def test_contamination_edges(spark, edge):
     assert len(words(spans[13])) == len(words(long_text)) - 15
 
 
+def test_contamination_null_items(spark, tmp_path):
+    import corpus_pipeline as P
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tools.oracle_check import compare, duck_connect
+    from vigie.llm.queries import ORACLE_SQL, QUERIES
+
+    texts = ["a leaked passage here", "a named one", "both: leaked passage, named one", "clean", None]
+    items = [(None, "leaked passage"), (None, "passage here"), (7, "named one"), (8, None), (None, "")]
+    pq.write_table(pa.table({"doc_id": list(range(5)), "text": texts}), tmp_path / "documents.parquet")
+    pq.write_table(pa.table({"item_id": pa.array([i for i, _ in items], pa.int64()), "text": [t for _, t in items]}), tmp_path / "benchmark.parquet")
+    name = "op4_decontamination"
+    r = compare(spark, duck_connect(str(tmp_path)), name, QUERIES[name], ORACLE_SQL[name], str(tmp_path))
+    assert r["status"] == "ok", r
+    got = {r["doc_id"]: (r["n_hit"], r["n_items"]) for r in QUERIES[name](spark, str(tmp_path)).collect()}
+    assert got == {0: (3, 1), 1: (2, 1), 2: (4, 2), 3: (0, 0), 4: (0, 0)}
+    docs, bench = (P.table(spark, str(tmp_path), t) for t in ("documents", "benchmark"))
+    blocks = report(contamination(docs, bench, ["doc_id"], block_words=2, null_items=True)).collect()
+    assert sorted(map(tuple, blocks)) == sorted(map(tuple, QUERIES[name](spark, str(tmp_path)).collect()))
+    assert sorted(r["doc_id"] for r in P.decontamination(spark, docs, str(tmp_path)).collect()) == [3, 4]
+
+
 def test_contamination_empty(spark, edge, empty):
     bench = spark.createDataFrame([], "item_id long, text string")
     assert not any(r["contaminated"] for r in report(contamination(edge, bench, ["doc_id"])).collect())

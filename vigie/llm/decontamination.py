@@ -29,9 +29,9 @@ BLOCK_WORDS = 2_000_000
 FOUND = "n_words long, spans array<struct<first:int,last:int>>, items array<string>, kept_text string"
 
 
-def window_set(items: list[tuple[str, str | None]], window: int = WINDOW) -> list[tuple]:
+def window_set(items: list[tuple[str | None, str | None]], window: int = WINDOW) -> list[tuple]:
     """The windows of a block of items, per length: hashes, a bit filter over them, and their words with item ids."""
-    by_length: dict[int, dict[bytes, set[str]]] = {}
+    by_length: dict[int, dict[bytes, set[str | None]]] = {}
     hashes: dict[int, set[int]] = {}
     for item, text in items:
         raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
@@ -47,11 +47,15 @@ def window_set(items: list[tuple[str, str | None]], window: int = WINDOW) -> lis
         known = np.array(sorted(hashes[n]), dtype=np.uint64)
         bits = np.zeros(1 << 20, dtype=bool)
         bits[known >> np.uint64(44)] = True
-        out.append((n, known, bits, {k: sorted(v) for k, v in found.items()}))
+        out.append((n, known, bits, {k: ordered(v) for k, v in found.items()}))
     return out
 
 
-def hits(index: list[tuple], words: Words) -> Iterator[tuple[int, int, list[str]]]:
+def ordered(items: set[str | None]) -> list[str | None]:
+    return sorted(items, key=lambda x: (x is None, x or ""))
+
+
+def hits(index: list[tuple], words: Words) -> Iterator[tuple[int, int, list[str | None]]]:
     """(first word, window length, items) of every verified occurrence."""
     for n, known, bits, found in index:
         starts, _ = window_rows(words.first, n)
@@ -97,7 +101,7 @@ def scanner(block, keep_text: bool):
                     first = int(words.first[r])
                     own = merged([(i - first, i - first + n) for i, n, _ in own_hits])
                     spans[r0 + r] = [{"first": a, "last": b - 1} for a, b in own]
-                    items[r0 + r] = sorted({x for _, _, hit in own_hits for x in hit})
+                    items[r0 + r] = ordered({x for _, _, hit in own_hits for x in hit})
                     if keep_text:
                         kept[r0 + r] = without(data[offsets[r0 + r] : offsets[r0 + r + 1]], words, first, own, int(offsets[r0 + r] - base))
             yield pa.RecordBatch.from_arrays(
@@ -117,28 +121,33 @@ def without(raw: np.ndarray, words: Words, first: int, spans: list[tuple[int, in
     return raw[keep].tobytes().decode()
 
 
-def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int) -> Iterator[list[tuple]]:
+def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int, null_items: bool) -> Iterator[list[tuple]]:
     """The benchmark in blocks of bounded size, read one block at a time."""
-    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text")).where("item is not null")
+    items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
+    if not null_items:
+        items = items.where("item is not null")
     # at most one window, of WINDOW words, per character
     size = F.coalesce(F.length("text"), F.lit(0))
     total = items.agg(F.sum(size)).first()[0] or 0
     n = -(-total // (2 * block_words)) or 1
     for b in range(n):
-        part = items.where(F.pmod(F.xxhash64("item"), F.lit(n)) == b) if n > 1 else items
+        part = items.where(F.pmod(F.xxhash64(F.coalesce("item", "text")), F.lit(n)) == b) if n > 1 else items
         yield window_set([(r["item"], r["text"]) for r in part.toLocalIterator()], window)
 
 
 def contamination(df: DataFrame, benchmark: DataFrame, carry: list[str], text_col: str = "text", item_col: str = "item_id",
-                  item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False) -> DataFrame:
+                  item_text_col: str = "text", window: int = WINDOW, block_words: int = BLOCK_WORDS, keep_text: bool = False,
+                  null_items: bool = False) -> DataFrame:
     """(row: struct of ``carry``, n_words, spans, items, kept_text), one row per input row.
 
     ``spans`` are the maximal runs of hit words (numbers from 0, both ends
     included), ``items`` the item ids (as strings) with an occurring window,
     and ``kept_text`` the text without its spans, where it has any and
     ``keep_text`` is set. NULL and empty texts have no words; items without
-    words have no window, items of the same id share one; repeated rows are
-    each reported. An empty benchmark hits nothing, an empty table gives no
+    words have no window, items of the same id share one. Items without an id
+    are left out unless ``null_items`` is set: then their windows count like any
+    other, and together they are one item, NULL, which stands last. Repeated
+    rows are each reported. An empty benchmark hits nothing, an empty table gives no
     rows.
     """
     spark = df.sparkSession
@@ -146,7 +155,7 @@ def contamination(df: DataFrame, benchmark: DataFrame, carry: list[str], text_co
     rows = df.select(F.struct(*carry, F.xxhash64(text_col).alias("__text")).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(FOUND).fields])
     scans = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(block), keep_text), schema)
-             for block in blocks(benchmark, item_col, item_text_col, window, block_words)]
+             for block in blocks(benchmark, item_col, item_text_col, window, block_words, null_items)]
     if len(scans) == 1:
         return scans[0].withColumn("row", F.col("row").dropFields("__text"))
     if keep_text:
@@ -176,7 +185,7 @@ def merge_spans(spans):
 
 
 def report(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The digest columns of ``contamination`` (which carried ``id_col``)."""
+    """The digest columns of ``contamination`` (which carried ``id_col``); a NULL item counts, but adds no id to the digest."""
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"] + 1)
     return found.select(
         F.col("row")[id_col].alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
