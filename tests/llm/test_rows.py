@@ -11,6 +11,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from vigie.llm.decontamination import contamination, remove_documents, remove_spans, report
 from vigie.llm.license_scan import PHRASES, TEMPLATES, license_blocks, license_scan
@@ -54,6 +55,20 @@ def test_contamination_edges(spark, edge):
     assert len(words(spans[13])) == len(words(long_text)) - 15
 
 
+def test_spans_of_several_blocks(spark, edge):
+    long_text = edge_rows()[13][1]
+    # overlapping passages of different items, so that blocks' spans must be merged before they are cut
+    items = [(k, " ".join(long_text.split()[a:b])) for k, (a, b) in enumerate([(5, 20), (12, 30), (30, 42), (50, 51)])] + [(9, "two   WORDS"), (10, "é")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    one = remove_spans(edge, bench)
+    several = remove_spans(edge, bench, block_words=5)
+    assert several.columns == edge.columns
+    rows = sorted(map(str, several.collect()))
+    assert rows == sorted(map(str, one.collect())) and rows != sorted(map(str, edge.collect()))
+    found = contamination(edge.select("doc_id", "text"), bench, ["doc_id"], block_words=5, keep_text=True)
+    assert found.schema["row"].dataType.names == ["doc_id"] and found.where((F.size("spans") > 0) != F.col("kept_text").isNotNull()).count() == 0
+
+
 def test_contamination_null_items(spark, tmp_path):
     import corpus_pipeline as P
     import pyarrow as pa

@@ -8,7 +8,7 @@ have been compared. Hit words, spans and items come out per document.
 The set is broadcast in blocks of at most ``BLOCK_WORDS`` benchmark words (a
 larger single item is a block of its own). One block serves any usual
 benchmark; beyond it the documents are scanned once per block and the blocks'
-spans are merged per document.
+spans are merged per document, and cut from the texts last.
 """
 
 from __future__ import annotations
@@ -121,6 +121,19 @@ def without(raw: np.ndarray, words: Words, first: int, spans: list[tuple[int, in
     return raw[keep].tobytes().decode()
 
 
+def span_cutter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: (row, n_words, spans, items, text) with the text, where it has spans, cut to ``kept_text``."""
+    for batch in batches:
+        data, offsets = texts(batch.column(4))
+        kept: list = [None] * batch.num_rows
+        for r, spans in enumerate(batch.column(2).to_pylist()):
+            if spans:
+                raw = data[offsets[r] : offsets[r + 1]]
+                words = Words(raw, np.array([0, len(raw)]), ALNUM)
+                kept[r] = without(raw, words, 0, [(s["first"], s["last"] + 1) for s in spans], 0)
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(kept, pa.string())], names=["row", "n_words", "spans", "items", "kept_text"])
+
+
 def blocks(benchmark: DataFrame, item_col: str, text_col: str, window: int, block_words: int, null_items: bool) -> Iterator[list[tuple]]:
     """The benchmark in blocks of bounded size, read one block at a time."""
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(text_col).alias("text"))
@@ -151,15 +164,14 @@ def contamination(df: DataFrame, benchmark: DataFrame, carry: list[str], text_co
     rows.
     """
     spark = df.sparkSession
-    # the text's hash keeps repeated ids of different texts apart when blocks are merged
-    rows = df.select(F.struct(*carry, F.xxhash64(text_col).alias("__text")).alias("row"), F.col(text_col).alias("text"))
+    sets = [spark.sparkContext.broadcast(block) for block in blocks(benchmark, item_col, item_text_col, window, block_words, null_items)]
+    # the text's hash keeps repeated ids of different texts apart when blocks are merged; spans are cut from the text itself
+    body = [F.col(text_col).alias("__body")] if keep_text and len(sets) > 1 else []
+    rows = df.select(F.struct(*carry, F.xxhash64(text_col).alias("__text"), *body).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(FOUND).fields])
-    scans = [rows.mapInArrow(scanner(spark.sparkContext.broadcast(block), keep_text), schema)
-             for block in blocks(benchmark, item_col, item_text_col, window, block_words, null_items)]
+    scans = [rows.mapInArrow(scanner(block, keep_text and not body), schema) for block in sets]
     if len(scans) == 1:
         return scans[0].withColumn("row", F.col("row").dropFields("__text"))
-    if keep_text:
-        raise ValueError("spans are removed from one block at a time: raise block_words, or remove documents")
     every = scans[0]
     for scan in scans[1:]:
         every = every.unionAll(scan)
@@ -168,8 +180,10 @@ def contamination(df: DataFrame, benchmark: DataFrame, carry: list[str], text_co
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         (F.count(F.lit(1)) / len(scans)).cast("int").alias("copies"),
     )
-    return together.select(F.col("row").dropFields("__text").alias("row"), "n_words", merge_spans(F.col("spans")).alias("spans"), "items",
-                           F.lit(None).cast("string").alias("kept_text"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    kept_text = F.col("row")["__body"] if body else F.lit(None).cast("string")
+    out = together.select(F.col("row").dropFields("__text", *["__body"] * len(body)).alias("row"), "n_words", merge_spans(F.col("spans")).alias("spans"), "items",
+                          kept_text.alias("kept_text"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
+    return out.mapInArrow(span_cutter, out.schema) if body else out
 
 
 def merge_spans(spans):
