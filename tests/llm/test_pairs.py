@@ -137,5 +137,14 @@ def test_repeats_kept_bytes(edge):
         assert hashlib.sha256(r["kept"]).hexdigest() == r["kept_sha256"] and len(r["kept"]) == r["n_bytes"] - r["n_removed"]
 
 
+def test_repeats_of_other_windows(spark, edge):
+    with pytest.raises(ValueError, match="gram of at least 33"):
+        suffix_dedup(edge, window=288)
+    text = "".join(f"{i:04x}" for i in range(400))
+    rows = [(1, "head" + text), (2, text + "tail"), (3, text[:280])]
+    got = sorted(map(tuple, suffix_dedup(spark.createDataFrame(rows, "doc_id long, text string"), window=287).collect()))
+    assert got == brute_repeats(rows, 287)
+
+
 def test_repeats_empty(empty):
     assert suffix_dedup(empty).collect() == []

@@ -40,7 +40,9 @@ GRAM = 32
 HOT = 2000
 BUCKET_ROWS = 2000
 
-# ``place`` packs (first window's start, sample's distance from it, windows - 1, 16 bits of the text's hash)
+# ``place`` packs (first window's start, sample's distance from it, windows - 1, 16 bits of the text's hash);
+# distance and windows - 1 have eight bits each and reach window - gram
+MOST_BEYOND_GRAM = 255
 
 
 def packed(first, distance, more, tag: int):
@@ -234,11 +236,14 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per input row: ``id_col``, n_bytes, n_removed, n_spans, kept_sha256 (and ``kept``, the bytes, on request).
 
     Strings are judged on the input, over all rows and within each, as UTF-8
-    bytes; they never cross rows. NULL is the empty text; texts shorter than
+    bytes; they never cross rows. A window may be at most 255 bytes longer than
+    the gram; beyond that a ValueError is raised. NULL is the empty text; texts shorter than
     the window stay whole. Rows that repeat id and text lose all that a window
     covers, as copies do. Other columns are ignored, whatever their names. An
     empty table gives no rows.
     """
+    if window - gram > MOST_BEYOND_GRAM:
+        raise ValueError(f"a window of {window} bytes needs a gram of at least {window - MOST_BEYOND_GRAM}, not {gram}")
     tag = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 16)).cast("int")
     docs = df.select(F.col(id_col).alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
     id_type = docs.schema["id"].dataType.simpleString()
