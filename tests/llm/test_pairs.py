@@ -4,12 +4,13 @@ import hashlib
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from vigie.llm.components import components
 from vigie.llm.exact_dedup import exact_dedup
 from vigie.llm.near_dedup import near_dedup
-from vigie.llm.suffix_dedup import suffix_dedup
+from vigie.llm.suffix_dedup import suffix_dedup, window_rows_of
 
 from .conftest import edge_rows, lowered
 
@@ -146,5 +147,16 @@ def test_repeats_of_other_windows(spark, edge):
     assert got == brute_repeats(rows, 287)
 
 
+def test_hot_windows_have_two_hashes():
+    """A Thue-Morse string and its complement meet in any polynomial hash modulo 2**64; the second hash tells them apart."""
+    a = bytes(97 + i.bit_count() % 2 for i in range(2048))
+    b = a.translate(bytes.maketrans(b"ab", b"ba"))
+    part = pa.RecordBatch.from_pydict({"name": [1, 1, 1], "n": [1, 1, 1], "id": [1, 2, 3], "place": [0, 0, 0], "bytes": pa.array([a, b, a], pa.binary())})
+    (out,) = window_rows_of(2048)(iter([part]))
+    h1, h2 = out["h1"].to_pylist(), out["h2"].to_pylist()
+    assert h1[0] == h1[1] == h1[2]
+    assert h2[0] == h2[2] != h2[1]
+
+
 def test_repeats_empty(empty):
     assert suffix_dedup(empty).collect() == []

@@ -16,7 +16,8 @@ at depth ``WINDOW``:
    name occurs again. They are represented by (sample, distance) and compared
    with the windows of the same name at the same distance: sorted, then
    neighbours compared byte by byte. Names with more than ``HOT`` different
-   contexts have their windows dealt out one by one instead of by name.
+   contexts have their windows dealt out one by one instead of by name; those
+   are compared by two independent 64-bit hashes, not byte by byte.
 
 Only anchors, and the few contexts of step 4, are shuffled; texts travel once.
 """
@@ -116,6 +117,12 @@ def window_hashes(data: np.ndarray, start: np.ndarray, window: int) -> np.ndarra
     return substring_hash(prefix_hash(data), start, start + window)
 
 
+def window_digests(data: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """64 bits of each window's BLAKE2b digest: evidence that ``window_hashes``, a polynomial, does not give."""
+    raw = memoryview(np.ascontiguousarray(data))
+    return np.frombuffer(b"".join(hashlib.blake2b(raw[a : a + window], digest_size=8).digest() for a in start.tolist()), dtype=np.int64)
+
+
 def merger(window: int):
     """applyInArrow function on a bucket of whole names: the repeated windows of contexts that occur once."""
 
@@ -164,7 +171,7 @@ def window_rows_of(window: int):
                 take = lambda c: part[c].take(pa.array(row))  # noqa: E731, B023
                 yield pa.RecordBatch.from_arrays(
                     [take("name"), pa.array(distance), pa.array(window_hashes(data, start, window).view(np.int64)),
-                     pa.array(window_hashes(255 - data, start, window).view(np.int64)), take("id"), take("place"), pa.array(number), take("n")],
+                     pa.array(window_digests(data, start, window)), take("id"), take("place"), pa.array(number), take("n")],
                     names=["name", "distance", "h1", "h2", "id", "place", "number", "n"])
 
     return explode
