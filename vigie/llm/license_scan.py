@@ -15,6 +15,10 @@ follows the prefix-filter scheme:
   template must still reach ``need``.
 * The pairs that pass are verified on their whole sets.
 
+The join is unrolled: each block meets each template in one expression, and the
+filters guard the verification. The plan grows with the templates' number and
+words, which suits short notices, not a library of full licence texts.
+
 Phrases are templates whose words must stand consecutively; their places are
 found by scanning the whole text.
 """
