@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .decontamination import contamination, report
 from .exact_dedup import exact_dedup
+from .fill_in_middle import fim_report
 from .html_extract import extract
 from .language_id import language_id
 from .license_scan import license_scan
@@ -18,6 +19,7 @@ from .quality import quality
 from .sharding import shard
 from .shared import table
 from .suffix_dedup import suffix_dedup
+from .warc import warc_report
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +62,14 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim_report(table(spark, sf_dir, "documents"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc_report(table(spark, sf_dir, "pages"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language_id": op1_language_id,
     "op2_near_dedup": op2_near_dedup,
@@ -71,6 +81,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_sharding": op8_sharding,
     "op9_mixing": op9_mixing,
     "op10_exact_dedup": op10_exact_dedup,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_warc": op12_warc,
 }
 
 ORACLE_SQL: dict[str, str] = dict(SQL)
