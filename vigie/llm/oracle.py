@@ -10,6 +10,23 @@ SPACE_WORDS = f"regexp_extract_all({LOWERED}, '[^\\x20\\x09-\\x0D]+')"
 
 _TEMPLATES = ", ".join(f"('{label}', string_split('{words}', ' '))" for label, words in sorted(TEMPLATES.items()))
 
+# the table-free CRC-32 of an ASCII key
+_CRC = """xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, [ord(x)::BIGINT FOR x IN string_split(key, '')]),
+  lambda c, b: list_reduce(list_prepend(xor(c, b), [x::BIGINT FOR x IN range(8)]), lambda k, i: xor(k >> 1, 3988292384 * (k & 1)))))"""
+# states of a repaired conversation: 0 nothing yet, 1 after system, 2 after user, 3 after assistant
+_NEEDED = "(CASE q WHEN 2 THEN 3 ELSE 2 END)"
+_KEPT = """(CASE WHEN q = 0 AND ini = 's' THEN 1 WHEN q = 0 AND ini = 'u' THEN 2 WHEN q = 1 AND ini = 'u' THEN 2
+  WHEN q = 2 AND ini = 'a' THEN 3 WHEN q = 3 AND ini = 'u' THEN 2 END)"""
+
+
+def _own(q: int) -> str:
+    """Least cost of a row's own edits in state q, from the costs v behind the row."""
+    keep = {0: "WHEN 's' THEN v[2] WHEN 'u' THEN v[3]", 1: "WHEN 'u' THEN v[3]", 2: "WHEN 'a' THEN v[4]", 3: "WHEN 'u' THEN v[3]"}[q]
+    late = "(fault = 'truncated')::INT"
+    return (f"least(3 + v[{q + 1}], CASE WHEN fault IN ('fine', 'truncated') THEN least({late} + coalesce(CASE ini {keep} END, 1000000000000), "
+            f"2 + {late} + v[{4 if q == 2 else 3}]) ELSE 1000000000000 END)")
+
+
 SQL: dict[str, str] = {
     "op2_near_dedup": f"""
         WITH RECURSIVE w AS (SELECT doc_id, {SPACE_WORDS} AS w FROM documents),
@@ -99,4 +116,53 @@ SQL: dict[str, str] = {
                CASE WHEN k = 1 THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN k > 1 THEN top END AS refers_to
         FROM g
     """,
+    "op13_conversation_repair": f"""
+        WITH RECURSIVE raw AS (
+          SELECT dense_rank() OVER (ORDER BY conv_id NULLS FIRST) AS c, conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS t,
+                 coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key FROM conversations
+        ), kinds AS (SELECT *, {_CRC} % 20 AS k FROM raw),
+        dm AS (
+          SELECT c, turn, CASE WHEN k = 4 THEN 'user' ELSE role END AS role,
+                 CASE k WHEN 1 THEN '' WHEN 2 THEN regexp_replace(t, '[.!?]', '', 'g') ELSE t END AS text,
+                 unnest(range(CASE k WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds
+        ), od AS (
+          SELECT *, row_number() OVER (PARTITION BY c ORDER BY turn NULLS FIRST, sha256(length(role) || ':' || role || text)) AS i,
+                 rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS bare FROM dm
+        ), ft AS (
+          SELECT *, left(role, 1) AS ini, CASE WHEN bare = '' THEN 'blank'
+                 WHEN row_number() OVER (PARTITION BY c, role, text ORDER BY i) > 1 THEN 'duplicate'
+                 WHEN right(bare, 1) IN ('.', '!', '?') THEN 'fine' ELSE 'truncated' END AS fault,
+                 lag(left(role, 1)) OVER (PARTITION BY c ORDER BY i) AS before FROM od
+        ), st AS (
+          SELECT c, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+                 count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+                 count(*) FILTER (i > 1 AND before || ini NOT IN ('su', 'ua', 'au')) AS illegal FROM ft GROUP BY c
+        ), ids AS (SELECT DISTINCT c, conv_id FROM raw),
+        al AS (SELECT ids.c, conv_id, coalesce(n, 0) AS n, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+                      coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal FROM ids LEFT JOIN st ON st.c = ids.c),
+        bw AS (
+          SELECT c, n AS i, [0, 4, 2, 0]::BIGINT[] AS v FROM al
+          UNION ALL
+          SELECT c, i, [least(w[1], 2 + w[3], 4 + w[4]), least(w[2], 2 + w[3], 4 + w[4]), least(w[3], 2 + w[4]), least(w[4], 2 + w[3])]::BIGINT[]
+          FROM (SELECT bw.c, bw.i - 1 AS i, [{_own(0)}, {_own(1)}, {_own(2)}, {_own(3)}]::BIGINT[] AS w FROM bw JOIN ft ON ft.c = bw.c AND ft.i = bw.i)
+        ), fw AS (
+          SELECT c, 0::BIGINT AS i, 0 AS q, '' AS audit, []::VARCHAR[] AS lines FROM al
+          UNION ALL
+          SELECT c, CASE WHEN e = 'I' THEN i ELSE i + 1 END, CASE e WHEN 'D' THEN q WHEN 'K' THEN {_KEPT} ELSE {_NEEDED} END, audit || e,
+                 CASE e WHEN 'D' THEN lines WHEN 'K' THEN list_append(lines, role || ':' || text)
+                   ELSE list_append(lines, (CASE q WHEN 2 THEN 'assistant:' ELSE 'user:' END) || CASE WHEN e = 'R' THEN text ELSE '' END) END
+          FROM (
+            SELECT fw.c, fw.i, q, audit, lines, role, text, ini, CASE
+              WHEN fault IS NOT NULL AND 3 + b.v[q + 1] = a.v[q + 1] THEN 'D'
+              WHEN 2 + a.v[{_NEEDED} + 1] = a.v[q + 1] THEN 'I'
+              WHEN fault IN ('fine', 'truncated') AND (fault = 'truncated')::INT + b.v[{_KEPT} + 1] = a.v[q + 1] THEN 'K'
+              WHEN fault IN ('fine', 'truncated') THEN 'R' END AS e
+            FROM fw JOIN al ON al.c = fw.c JOIN bw a ON a.c = fw.c AND a.i = fw.i LEFT JOIN bw b ON b.c = fw.c AND b.i = fw.i + 1
+            LEFT JOIN ft ON ft.c = fw.c AND ft.i = fw.i + 1 WHERE fw.i < n OR q IN (1, 2)
+          )
+        )
+        SELECT conv_id, gaps, blank, duplicate, truncated, illegal, bw.v[1] AS cost, audit,
+               sha256(coalesce(array_to_string(lines, chr(10)), '')) AS repaired_sha256
+        FROM al JOIN bw ON bw.c = al.c AND bw.i = 0 JOIN fw ON fw.c = al.c AND fw.i = n AND fw.q IN (0, 3)
+    """,
 }
