@@ -54,7 +54,8 @@ def test_present_drops_null_and_nan(spark):
 def test_round_even_ties_and_specials(spark):
     out = _one(spark, [(0.5,), (1.5,), (2.5,), (-0.5,), (None,)], "x double", V.round_even("x"))
     assert out == [0.0, 2.0, 2.0, -0.0, None]
-    assert _one(spark, [(0.15,), (0.25,)], "x double", V.round_even("x", 1)) == [0.2, 0.2]
+    assert _one(spark, [(0.15,), (0.25,)], "x double", V.round_even("x", 1)) == [0.1, 0.2]
+    assert _one(spark, [(2.675,), (1.005,), (1.015,), (0.125,)], "x double", V.round_even("x", 2)) == [2.67, 1.0, 1.01, 0.12]
     sp = _one(spark, [(float("inf"),), (float("nan"),)], "x double", V.round_even("x", 1))
     assert sp[0] == math.inf and math.isnan(sp[1])
 

@@ -13,7 +13,8 @@ from .conftest import SF_SMALL as D
 
 
 def _one_file(path, pattern="part-*"):
-    files = [f for f in glob.glob(os.path.join(path, pattern)) if not f.endswith(".crc")]
+    assert os.path.isfile(path)  # the very name asked for
+    files = [path] if os.path.isfile(path) else [f for f in glob.glob(os.path.join(path, pattern)) if not f.endswith(".crc")]
     assert len(files) == 1, files
     with open(files[0], "rb") as f:
         return f.read()

@@ -20,7 +20,8 @@ def _write(path, data: bytes):
 
 
 def _read_text(dir_path, pattern):
-    (f,) = glob.glob(os.path.join(dir_path, pattern))
+    # one file of that name, or a folder's only part
+    (f,) = [dir_path] if os.path.isfile(dir_path) else glob.glob(os.path.join(dir_path, pattern))
     with open(f, "rb") as fh:
         return fh.read()
 

@@ -5,6 +5,7 @@ from .cells import (
     a1_range, bind_by_row, cell, cell_range, join_block_header, sheet_range, sheets_to_table, strided_blocks,
 )
 from .columns import mutate, mutate_all, mutate_typed, rename, select_as, select_at
+from .ordered import Ordered, differences, with_row_number
 from .panel import (
     append_total, assert_unique, decumulate, join_on, keep_present, latest, max_of, on_geography, trailing_days,
     with_comparator, with_group_totals,
@@ -12,6 +13,7 @@ from .panel import (
 from .reshape import pivot_wide, transpose, unnest, unpivot_long
 
 __all__ = [
+    "Ordered", "differences", "with_row_number",
     "fixed_window_mean", "grouped_sums", "peak",
     "a1_range", "bind_by_row", "cell", "cell_range", "join_block_header", "sheet_range", "sheets_to_table",
     "strided_blocks",

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import present, strict_sum
+from .ordered import differences
 
 
 def keep_present(df: DataFrame, *cols: str) -> DataFrame:
@@ -198,13 +199,18 @@ def decumulate(
     cols: dict[str, str],
     order_by: str,
     partition_by: Sequence[str] = (),
+    bounded: bool = False,
 ) -> DataFrame:
     """Daily values from running totals: ``x - lag(x)``.
 
-    ``cols`` maps output name -> cumulative column. The window is partitioned
-    by ``partition_by``; with no partition it must only be used on a table
-    with one row per ``order_by`` value (e.g. after grouping by date).
+    ``cols`` maps output name -> cumulative column. With ``partition_by`` the
+    lag runs within each group's window. Without, it runs over the order of the
+    whole table, range by range (``Ordered``, which checkpoints it). A table
+    whose size is bounded, such as one row per date, may ask with ``bounded``
+    for the plain window, which is one task and no job ahead.
     """
+    if not partition_by and not bounded:
+        return differences(df, cols, [order_by])
     w = Window.partitionBy(*partition_by).orderBy(order_by) if partition_by else Window.orderBy(order_by)
     for out, c in cols.items():
         df = df.withColumn(out, F.col(c) - F.lag(c).over(w))

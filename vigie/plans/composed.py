@@ -24,6 +24,7 @@ from ..operators.cells import (
     bind_by_row, cell, cell_range, join_block_header, sheets_to_table, strided_blocks,
 )
 from ..operators.columns import select_as
+from ..operators.ordered import with_row_number
 from ..operators.panel import (
     append_total, assert_unique, decumulate, join_on, keep_present, latest, on_geography, trailing_days,
     with_comparator, with_group_totals,
@@ -215,7 +216,8 @@ def daily_from_cumulative(deaths: DataFrame, areas: Sequence[str], years: Sequen
     """
     measures = [f"{k}{y}" for y in years for k in ("dematerialise", "total")]
     d = grouped_sums(deaths.where(F.col("dep").isin(list(areas))), ["date"], measures)
-    return decumulate(d, {f"deces_journaliers_{y}": f"total{y}" for y in years}, "date")
+    # one row per date: a century has 36,525
+    return decumulate(d, {f"deces_journaliers_{y}": f"total{y}" for y in years}, "date", bounded=True)
 
 
 # ---------------------------------------------------------------- hospital
@@ -224,11 +226,12 @@ HOSPITAL_MEASURES = ("hosp", "rea", "rad", "dc", "hosp_sans_rea")
 
 
 def hospital_table(hosp: DataFrame, labels: Mapping[str, str], total_of: Sequence[str], total_label: str,
-                   total_class: str = "0", sort: bool = True) -> DataFrame:
+                   total_class: str = "0", sort: bool = True, number: str | None = None) -> DataFrame:
     """Daily hospital counts of listed departments (relabelled) plus a total row per day.
 
     The total covers ``total_of``, which need not equal the listed departments.
     The date is formatted ``dd/MM/yyyy`` after sorting on the real date.
+    ``number`` names a column for each row's place in that order.
     """
     with_diff = hosp.withColumn("hosp_sans_rea", F.col("hosp") - F.col("rea"))
     day_all = with_diff.where(F.col("sexe") == total_class)
@@ -238,9 +241,12 @@ def hospital_table(hosp: DataFrame, labels: Mapping[str, str], total_of: Sequenc
     out = append_total(detail, members, ["jour"], HOSPITAL_MEASURES, "dep", total_label)
     out = select_as(out, {"jour": "jour", "dep": "dep", "hospitalisations": "hosp", "reanimations": "rea",
                           "retours_domicile": "rad", "deces": "dc", "hosp_sans_rea": "hosp_sans_rea"})
-    if sort:
-        # by day, the total row first (as it is bound first), then departments
-        out = out.orderBy("jour", (F.col("dep") != F.lit(total_label)).alias("detail"), "dep")
+    # by day, the total row first (as it is bound first), then departments
+    order = ["jour", F.col("dep") != F.lit(total_label), "dep"]
+    if number:
+        out = with_row_number(out, order, number, ties=False)
+    elif sort:
+        out = out.orderBy(*order)
     return out.withColumn("jour", day_month_year("jour"))
 
 

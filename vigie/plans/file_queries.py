@@ -16,7 +16,7 @@ from ..functions.dates import parse_day_month
 from ..functions.text import encode_repair
 from ..operators.cells import sheet_range
 from ..operators.reshape import unnest
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, reuse
 from ..sinks.writers import sink_csv, sink_geojson
 from ..sources import schemas
 from ..sources import standins as S
@@ -68,6 +68,22 @@ def file_commentary_repaired(spark: SparkSession, d: str) -> DataFrame:
     return back.select(*[encode_repair(f.name).alias(f.name) if isinstance(f.dataType, T.StringType) else F.col(f.name) for f in back.schema.fields])
 
 
+def file_texts_multiline(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts with line breaks and quotes inside quoted fields, files read split by split."""
+    texts = S.table(spark, d, "documents").select("doc_id", "lang", "text", "source")
+    path = _folder(spark, "texts")
+    sink_csv(texts, path)
+    return scan_csv(spark, path, texts.schema, multi_line=True, mode="FAILFAST", na=NA_ONLY)
+
+
+def file_hospital_single(spark: SparkSession, d: str) -> DataFrame:
+    """The hospital table as one committed file in its order."""
+    table = Q.hospital_table_numbered(spark, d)
+    path = _folder(spark, "hospital.csv")
+    sink_csv(table.orderBy("place"), path, single_file=True)
+    return scan_csv(spark, path, table.schema, mode="FAILFAST", na=NA_ONLY)
+
+
 def file_features(spark: SparkSession, d: str) -> DataFrame:
     """One FeatureCollection document."""
     return _through_geojson(spark, Q.deaths_variation(spark, d), True)
@@ -85,30 +101,28 @@ def _through_geojson(spark, layer: DataFrame, collection: bool) -> DataFrame:
     return scan_geojson(spark, path, properties, line_delimited=not collection)
 
 
-DROPS = ("error", "purchase", "0")  # event classes, one drop each
-
-
-def _drops(spark, d) -> str:
-    """Daily hospital files, one drop per class, each with its columns in another order."""
+def _drops(spark, d) -> tuple[str, int]:
+    """Daily hospital files, one drop per event class found, each with its columns in another order."""
     root = _folder(spark, "drops")
-    feed = S.hospital_daily(spark, d)
-    for i, sexe in enumerate(DROPS):
-        columns = feed.columns[i:] + feed.columns[:i]
-        sink_csv(feed.where(F.col("sexe") == sexe).select(*columns), f"{root}/drop={i}", sep=";")
-    return root
+    feed = reuse(S.hospital_daily(spark, d))
+    classes = sorted(r["sexe"] for r in feed.select("sexe").distinct().collect())  # the feed's classes: a handful of codes
+    for i, sexe in enumerate(classes):
+        k = i % len(feed.columns)
+        sink_csv(feed.where(F.col("sexe") == sexe).select(*feed.columns[k:], *feed.columns[:k]), f"{root}/drop={i}", sep=";")
+    return root, len(classes)
 
 
 def file_drops_by_name(spark: SparkSession, d: str) -> DataFrame:
     """Many files whose headers differ, matched by name, with their origin."""
-    root = _drops(spark, d)
-    every = scan_csv(spark, [f"{root}/drop={i}" for i in range(len(DROPS))], schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST",
+    root, n = _drops(spark, d)
+    every = scan_csv(spark, [f"{root}/drop={i}" for i in range(n)], schemas.HOSPITAL_DAILY, sep=";", mode="FAILFAST",
                      na=NA_ONLY, align=True, with_file="file", full_path=True)
     return every.withColumn("drop", F.regexp_extract("file", r"drop=(\d+)", 1).cast("int")).drop("file")
 
 
 def file_listing(spark: SparkSession, d: str) -> DataFrame:
     """The drops of a folder that hold data, from its listing."""
-    files = list_files(spark, f"{_drops(spark, d)}/drop=*", "*.csv").where("length > 0")
+    files = list_files(spark, f"{_drops(spark, d)[0]}/drop=*", "*.csv").where("length > 0")
     return files.select(F.regexp_extract("path", r"drop=(\d+)", 1).cast("int").alias("drop")).distinct()
 
 
@@ -150,7 +164,7 @@ def older_sheet_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        file_capacity, file_regional_unquoted, file_history_quoted, file_series_bom, file_commentary_latin1,
+        file_texts_multiline, file_hospital_single, file_capacity, file_regional_unquoted, file_history_quoted, file_series_bom, file_commentary_latin1,
         file_commentary_repaired, file_features, file_feature_lines, file_drops_by_name, file_listing, unnested_days,
         shares_with_date, older_sheet_by_index, older_sheet_by_name)
 }

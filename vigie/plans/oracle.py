@@ -2,7 +2,7 @@
 
 Each query is written independently in SQL over the driver's tables: the
 stand-in feed as CTEs, then the pipeline; nothing is imported from the package. Helpers below spell out the same
-rules as ``vigie.functions`` (half-even rounding of the decimal text, classes with
+rules as ``vigie.functions`` (half-even rounding of the stored value, classes with
 NULL/NaN guards, non-truncating pads, French month names).
 """
 
@@ -51,9 +51,16 @@ def present(x: str) -> str:
 
 
 def rnd(x: str, digits: int = 0) -> str:
-    """Half to even on the exact decimal text of the double; from 2**53 on a double has no fraction."""
-    return (f"(CASE WHEN {x} IS NULL OR isnan({x}) OR abs({x}) >= 9007199254740992 THEN {x} "
-            f"ELSE CAST(round_even(CAST(CAST(CAST({x} AS DOUBLE) AS VARCHAR) AS DECIMAL(38,20)), {digits}) AS DOUBLE) END)")
+    """Half to even on the stored value, from its whole decimal expansion; from 2**53 units on a double has no such fraction.
+
+    100 decimals hold every double that does not round to 0 to at most 8 digits.
+    """
+    text = "printf('%.100f', abs(v))"
+    kept = f"CAST(replace(left({text}, length({text}) - {100 - digits}), '.', '') AS HUGEINT)"
+    rest, half = f"right({text}, {100 - digits})", f"'5{'0' * (99 - digits)}'"
+    up = f"(CASE WHEN {rest} > {half} OR ({rest} = {half} AND {kept} % 2 = 1) THEN 1 ELSE 0 END)"
+    return (f"list_transform([CAST({x} AS DOUBLE)], lambda v: CASE WHEN v IS NULL OR isnan(v) OR abs(v) >= {2**53} / {float(10**digits)} THEN v "
+            f"ELSE sign(v) * CAST(CAST({kept} + {up} AS VARCHAR) || 'e-{digits}' AS DOUBLE) + 0.0 END)[1]")
 
 
 def pad(x: str, width: int = 2) -> str:
@@ -470,7 +477,7 @@ def _older(dep: str) -> str:
         f"FROM deaths WHERE dep = {_q(dep)} AND dayofyear(date) <= 31")
 
 
-_DROP_OF = "(CASE sexe WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN '0' THEN 2 END)"
+_DROP_OF = "(dense_rank() OVER (ORDER BY sexe) - 1)"
 
 ORACLE_SQL.update({
     "file_capacity": _with(CAPACITY) + "SELECT reg, dep, lits FROM capacity",
@@ -481,10 +488,19 @@ ORACLE_SQL.update({
     "file_commentary_repaired": ORACLE_SQL["r_latest_commentary"],
     "file_features": ORACLE_SQL["geojson_features"],
     "file_feature_lines": ORACLE_SQL["geojson_features"],
-    "file_drops_by_name": _with(HOSPITAL) + f"SELECT *, {_DROP_OF} AS drop FROM hospital WHERE {_DROP_OF} IS NOT NULL",
-    "file_listing": _with(HOSPITAL) + f"SELECT DISTINCT {_DROP_OF} AS drop FROM hospital WHERE {_DROP_OF} IS NOT NULL",
+    "file_drops_by_name": _with(HOSPITAL) + f"SELECT *, {_DROP_OF} AS drop FROM hospital",
+    "file_listing": _with(HOSPITAL) + f"SELECT DISTINCT {_DROP_OF} AS drop FROM hospital",
+    "file_texts_multiline": "SELECT doc_id, lang, text, source FROM documents",
+    "orders_numbered": """SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day, o_totalprice,
+        row_number() OVER (ORDER BY o_orderdate::DATE, o_totalprice DESC, o_orderkey) AS place FROM orders""",
+    "event_changes": "SELECT event_id, value, value - lag(value) OVER (ORDER BY ts, event_id) AS change FROM events",
+    "prices_rounded": "WITH r AS (SELECT " + ", ".join(f"{rnd('l_quantity * (1 + l_tax) / 2', n)} AS x{n}" for n in (0, 1, 2))
+        + " FROM lineitem) SELECT x0, x1, x2, count(*) AS rows FROM r GROUP BY ALL",
+    "hospital_table_numbered": f"""SELECT *, row_number() OVER (ORDER BY strptime(jour, '%d/%m/%Y'), dep <> {_q(REGION_TOTAL_LABEL)}, dep) AS place
+        FROM ({ORACLE_SQL['hospital_with_total']})""",
     "unnested_days": _with(HOSPITAL) + "SELECT dep, jour, hosp, rea FROM hospital WHERE sexe = '0'",
     "shares_with_date": _with(AGE) + "SELECT groupe_age, make_date(2020, month(m), day(m)) AS date, part FROM shares WHERE k = 0",
     "older_sheet_by_index": _older("00"),
     "older_sheet_by_name": _older("03"),
 })
+ORACLE_SQL["file_hospital_single"] = ORACLE_SQL["hospital_table_numbered"]

@@ -16,6 +16,7 @@ from ..functions.missing import na_sum, strict_sum
 from ..functions.numbers import round_even, to_text
 from ..operators.aggregates import peak
 from ..operators.columns import mutate_all, mutate_typed, select_at
+from ..operators.ordered import differences, with_row_number
 from ..operators.panel import decumulate, join_on, keep_present
 from ..operators.reshape import unpivot_long
 from ..session import reuse
@@ -282,6 +283,33 @@ def geojson_features(spark: SparkSession, d: str) -> DataFrame:
     return back.select("f.properties.*", "f.geometry")
 
 
+def hospital_table_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """O2: the hospital table with each row's place in the order it is written in."""
+    return P.hospital_table(reuse(_hosp(spark, d)), REGION_AREAS, REGION_TOTAL_OF, REGION_TOTAL_LABEL, number="place")
+
+
+def orders_numbered(spark: SparkSession, d: str) -> DataFrame:
+    """O1: every order's place by date, dearest first within a day."""
+    orders = S.table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"), "o_totalprice")
+    return with_row_number(orders, ["day", F.col("o_totalprice").desc(), "o_orderkey"], "place", ties=False)
+
+
+def event_changes(spark: SparkSession, d: str) -> DataFrame:
+    """Every event's value less that of the event before it, over all events."""
+    events = S.table(spark, d, "events").select("event_id", "ts", "value")
+    return differences(events, {"change": "value"}, ["ts", "event_id"], ties=False).drop("ts")
+
+
+ROUNDED_DIGITS = (0, 1, 2)
+
+
+def prices_rounded(spark: SparkSession, d: str) -> DataFrame:
+    """M1 Q7: values whose texts end in halves (.5, .25, .845, ...) rounded on the stored value, how often to each result."""
+    lines = S.table(spark, d, "lineitem").select((F.col("l_quantity") * (1 + F.col("l_tax")) / 2).alias("x"))
+    return lines.select(*[round_even("x", n).alias(f"x{n}") for n in ROUNDED_DIGITS]) \
+        .groupBy(*[f"x{n}" for n in ROUNDED_DIGITS]).agg(F.count(F.lit(1)).alias("rows"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "national_series": national_series,
     "national_occupancy": national_occupancy,
@@ -312,4 +340,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "null_safe_join": null_safe_join,
     "typed_mutate": typed_mutate,
     "geojson_features": geojson_features,
+    "hospital_table_numbered": hospital_table_numbered,
+    "orders_numbered": orders_numbered,
+    "event_changes": event_changes,
+    "prices_rounded": prices_rounded,
 }

@@ -1,36 +1,24 @@
 """Writers for chart-ready tables.
 
-Files are written by the executors (one part file per task). ``single_file``
-and ``collection`` ask for one file; they move the rows to one ordered
-partition and are meant only for outputs whose size is bounded by the number of
-areas x days, which is what the chart tables are.
+Files are written by the executors, one part file per task. ``single_file`` and
+``collection`` make one file of the parts, under the very name asked for, in
+the frame's order (``single.commit_file``).
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.numbers import number_text
+from .single import commit_file
 
 BOM = "﻿"
 
 
-def one_ordered_file(df: DataFrame) -> DataFrame:
-    """``df`` in one partition, rows in their current order.
-
-    ``coalesce(1)`` does not promise to keep partition order, so each row is
-    tagged with ``monotonically_increasing_id`` (partition index, then position:
-    it follows a preceding sort), moved to one partition and sorted on the tag.
-    Only for bounded outputs (chart tables).
-    """
-    body = df.select(F.monotonically_increasing_id().alias("__pos"), *[F.col(f"`{c}`") for c in df.columns])
-    return body.repartition(1).sortWithinPartitions("__pos").drop("__pos")
-
-
 def _lines(df: DataFrame, sep: str, quote_text: bool, na: str, r_numbers: bool = True) -> DataFrame:
     """One text line per row, in a column named by the header line: text columns
     quoted (doubled inner quotes) when ``quote_text``, otherwise refused if they
@@ -82,9 +70,9 @@ def sink_csv(
     Blanks around text are kept; the empty text is written ``""``.
     ``r_numbers`` writes doubles as R does (``1234``, ``0.5``, ``1e+07``,
     ``NaN``) instead of Java's ``1234.0`` / ``1.0E7``.
-    Every task writes a file with its own header. ``single_file`` asks for one
-    file that keeps the row order of ``df`` (e.g. a final sort): meant for chart
-    tables, whose size is bounded by areas x days.
+    Every task writes a file with its own header into a folder at ``path``.
+    ``single_file`` makes one file at ``path`` of them, with one header and the
+    row order of ``df`` (e.g. a final sort).
     """
     if quote not in ("minimal", "all", "none"):
         raise ValueError("quote must be 'minimal', 'all' or 'none'")
@@ -97,18 +85,21 @@ def sink_csv(
         out = out.select(*[
             number_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
             else F.col(f"`{f.name}`") for f in out.schema.fields])
-    writer = (
-        (one_ordered_file(out) if single_file else out).write.mode(mode)
-        .option("header", True)
-        .option("encoding", encoding)
-        .option("ignoreLeadingWhiteSpace", False)
-        .option("ignoreTrailingWhiteSpace", False)
-    )
-    if quote == "minimal":
-        writer = writer.option("sep", sep).option("escape", '"').option("nullValue", na).option("dateFormat", "yyyy-MM-dd")
-    else:  # whole lines as the only column: nothing may be quoted or escaped again
-        writer = writer.option("sep", "\u0001").option("quote", "").option("escape", "\u0002").option("emptyValue", "")
-    writer.csv(path)
+
+    def writer(frame: DataFrame, header: bool) -> DataFrameWriter:
+        w = (frame.write.option("header", header).option("encoding", encoding)
+             .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False))
+        if quote == "minimal":
+            return w.option("sep", sep).option("escape", '"').option("nullValue", na).option("dateFormat", "yyyy-MM-dd")
+        # whole lines as the only column: nothing may be quoted or escaped again
+        return w.option("sep", "\u0001").option("quote", "").option("escape", "\u0002").option("emptyValue", "")
+
+    if not single_file:
+        writer(out, True).mode(mode).csv(path)
+        return
+    spark = df.sparkSession
+    only_header = spark.createDataFrame([], out.schema)
+    commit_file(spark, path, [writer(only_header, True).csv, writer(out, False).csv], mode=mode)
 
 
 def geojson_feature(df: DataFrame, geometry: str = "geometry") -> Column:
@@ -135,28 +126,17 @@ def sink_geojson(df: DataFrame, path: str, geometry: str = "geometry", collectio
     """GeoJSON of one feature per row, overwriting ``path``.
 
     One Feature per line, split across tasks (read back with
-    ``scan_geojson(..., line_delimited=True)``). ``collection=True`` asks for
-    one FeatureCollection document (what GIS and chart tools open; read back
-    with ``scan_geojson``), in the frame's row order, written by one task.
+    ``scan_geojson(..., line_delimited=True)``). ``collection=True`` makes one
+    FeatureCollection document at ``path`` (what GIS and chart tools open; read
+    back with ``scan_geojson``) of what the tasks write, in the frame's row order.
     """
     features = df.select(geojson_feature(df, geometry).alias("value"))
     if not collection:
         features.write.mode("overwrite").text(path)
         return
-    spark = df.sparkSession
-    head = spark.range(1).select(F.lit('{"type":"FeatureCollection","features":[').alias("value"))
-    tail = spark.range(1).select(F.lit("]}").alias("value"))
-    # the order key is a column (tagged once, in the frame's order); the first
-    # feature is found by numbering on it, a one-partition window that suits a
-    # bounded output (one feature per area); every later feature gets a comma
-    tagged = features.select(F.monotonically_increasing_id().alias("__pos"), "value")
-    numbered = tagged.withColumn("__n", F.row_number().over(Window.orderBy("__pos")))
-    body = numbered.select(F.lit(1).alias("__part"), "__pos", F.when(F.col("__n") == 1, F.col("value"))
-                           .otherwise(F.concat(F.lit(","), F.col("value"))).alias("value"))
-    out = head.select(F.lit(0).alias("__part"), F.lit(0).cast("long").alias("__pos"), "value") \
-        .unionByName(body) \
-        .unionByName(tail.select(F.lit(2).alias("__part"), F.lit(0).cast("long").alias("__pos"), "value"))
-    out.repartition(1).sortWithinPartitions("__part", "__pos").select("value").write.mode("overwrite").text(path)
+    # every feature brings the comma before it; the first one's is left out
+    lines = features.select(F.concat(F.lit(","), "value").alias("value"))
+    commit_file(df.sparkSession, path, [lines.write.text], head=b'{"type":"FeatureCollection","features":[\n', tail=b"]}\n", skip=1)
 
 
 def map_layer(

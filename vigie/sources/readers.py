@@ -8,11 +8,13 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .quoted import count_quotes, quoted_records
 
 SEPARATORS = (",", ";", "\t", "|")
 
@@ -89,12 +91,18 @@ def scan_csv(
     ``encoding`` decodes at the scan (e.g. ``ISO-8859-1``, S2, Q21).
     Quotes inside a quoted field are doubled (RFC 4180, as readr, fread and
     ``sink_csv`` write them); Spark's own default escape is a backslash.
-    ``multi_line=True`` reads quoted fields that contain line breaks; each
-    file is then parsed by one task, so it is off by default.
+    ``multi_line=True`` reads quoted fields that contain line breaks (``\\n``, or
+    ``\\r\\n``, which stays as it is within a field). Files are split over tasks
+    all the same (``quoted_records``), which takes a pass more over them, so it
+    is off by default; encodings have to keep ASCII bytes as they are.
     """
     if sep is None:
         sep = detect_separator(spark, path, encoding)
     paths = [path] if isinstance(path, str) else list(path)
+    if multi_line and encoding.upper().startswith(("UTF-16", "UTF-32")):
+        raise ValueError("multi_line needs an encoding that keeps ASCII bytes")
+    if multi_line and escape != '"':
+        raise ValueError("multi_line needs doubled quotes")
     reader = (
         spark.read
         .option("header", header)
@@ -105,7 +113,6 @@ def scan_csv(
         .option("escape", escape)
         .option("mode", mode)
         .option("inferSchema", False)
-        .option("multiLine", multi_line)
         .option("nullValue", "\u0000")  # the texts of ``na`` are told from quoted ones below
     )
 
@@ -117,7 +124,9 @@ def scan_csv(
         return _typed(text, f, date_format, mode.upper() == "FAILFAST").alias(f.name)
 
     def scan(files: list[str], lenient: bool = False) -> DataFrame:
-        if not header:
+        if multi_line:
+            raw = _multi_line(spark, files, None if header else schema.fieldNames(), sep, encoding, mode)
+        elif not header:
             names = T.StructType([T.StructField(f.name, T.StringType()) for f in schema.fields])
             raw = reader.schema(names).csv(files)
         else:
@@ -127,20 +136,50 @@ def scan_csv(
         if not lenient and not {f.name for f in schema.fields} <= held:
             raise ValueError(f"columns {sorted({f.name for f in schema.fields} - held)} are not in the header")
         out = [value(f, f.name in held) for f in schema.fields]
-        origin = F.col("_metadata.file_path" if full_path else "_metadata.file_name")
+        if multi_line:
+            origin = F.col(_FILE) if full_path else F.url_decode(F.element_at(F.split(F.col(_FILE), "/"), -1))
+        else:
+            origin = F.col("_metadata.file_path" if full_path else "_metadata.file_name")
         return raw.select(*out, *([origin.alias(with_file)] if with_file else []))
 
     if not (align and header):
         return scan(paths)
     groups: dict[str, list[str]] = {}
     for file, line in sorted(headers(spark, paths, encoding).items()):
-        groups.setdefault(line, []).append(file)
+        groups.setdefault(line, []).append(unquote(file))
     parts = [scan(files, lenient=True) for files in groups.values()]
     if not parts:
         return scan(paths)
     return reduce(DataFrame.unionByName, parts)
 
 
+_FILE = "the file of a record"
+
+
+def _multi_line(spark: SparkSession, files: list[str], names: list[str] | None, sep: str, encoding: str, mode: str) -> DataFrame:
+    """Columns as text, by the header's names unless given, and the record's file."""
+    splits = count_quotes(spark, files)
+    headed = names is None
+    if headed:
+        # the head of one file; the others' headers are checked against it
+        names = spark.read.option("header", True).option("multiLine", True).option("sep", sep).option("escape", '"') \
+            .option("encoding", encoding).csv(unquote(splits.files[0])).columns if splits.files else []
+    # a NULL in every field but the record's own: texts that mean missing are told later
+    options = {"sep": sep, "quote": '"', "escape": '"', "mode": mode, "nullValue": "\u0000"}
+    fields = T.StructType([T.StructField(n, T.StringType()) for n in names])
+    records = quoted_records(spark, files, splits)
+    text = F.decode("record", encoding) if encoding.upper() not in ("UTF-8", "UTF8") else F.col("record").cast("string")
+    text = F.when(F.col("first"), F.regexp_replace(text, "^\ufeff", "")).otherwise(text)
+    parsed = records.select("file", "first", F.from_csv(text, fields.toDDL() if names else "none string", options).alias("row"))
+    if headed:
+        same = F.lit(True)
+        for n in names:
+            same = same & (F.col("row").getField(n).eqNullSafe(F.lit(n)))
+        parsed = parsed.where(F.when(F.col("first") & ~same, F.raise_error(F.concat(F.lit("the header differs: "), "file")).cast("boolean"))
+                              .otherwise(~F.col("first")))
+    return parsed.select(F.col("file").alias(_FILE), *[F.col("row").getField(n).alias(n) for n in names])
+
+
 def geojson_schema(properties: T.StructType) -> T.StructType:
     """FeatureCollection schema; ``geometry`` is kept as raw JSON text."""
     feature = T.StructType([
