@@ -168,3 +168,10 @@ def test_nan_is_missing_for_fill_and_na_sum(spark):
     assert _one(spark, [(nan,), (None,), (2.0,)], "x double", V.fill("x")) == [0.0, 0.0, 2.0]
     df = spark.createDataFrame([(1.0,), (nan,), (None,)], "x double")
     assert df.agg(V.na_sum("x")).first()[0] == 1.0
+
+
+def test_encode_repair_decides_by_value(spark):
+    broken = lambda t: t.encode().decode("latin-1")
+    texts = ["é", "été à Noël", "plain", "", None, "10 €", "ÿ", "…", "a\nß"]
+    data = [(t,) for t in texts] + [(None if t is None else broken(t),) for t in texts]
+    assert _one(spark, data, "s string", V.encode_repair("s")) == texts * 2

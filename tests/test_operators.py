@@ -219,3 +219,14 @@ def test_joins_match_missing_keys_by_default(spark):
     right = spark.createDataFrame([(None, 10), ("a", 20)], "k string, y int")
     assert {tuple(r) for r in O.with_comparator(left, right, "k").collect()} == {(None, 1, 10), ("a", 2, 20)}
     assert {tuple(r) for r in O.with_comparator(left, right, "k", na_matches="never").collect()} == {(None, 1, None), ("a", 2, 20)}
+
+
+def test_pivot_map(spark):
+    df = spark.createDataFrame([(1, "B", 1.0), (1, "A", None), (2, "A", 3.0), (3, None, 4.0)], "d int, reg string, r double")
+    wide = O.pivot_map(df, ["d"], "reg", "r")
+    assert {r.d: list(r.cells.items()) for r in wide.collect()} == {1: [("A", None), ("B", 1.0)], 2: [("A", 3.0)], 3: []}
+    assert sorted(map(tuple, O.unpivot_map(wide, names_to="reg", values_to="r").collect()), key=str) == sorted([(1, "A", None), (1, "B", 1.0), (2, "A", 3.0)], key=str)
+    many = spark.range(30_000).select((F.col("id") % 2).alias("d"), F.concat(F.lit("c"), "id").alias("reg"), F.col("id").alias("r"))
+    assert sorted(r.n for r in O.pivot_map(many, ["d"], "reg", "r").select(F.size("cells").alias("n")).collect()) == [15_000, 15_000]
+    with pytest.raises(Exception, match="several values"):
+        O.pivot_map(df.union(spark.createDataFrame([(1, "A", 9.0)], df.schema)), ["d"], "reg", "r").collect()

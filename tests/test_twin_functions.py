@@ -62,6 +62,7 @@ def test_classify_twin(spark, xs, closed):
                           # at most 15 significant digits, any magnitude
                           st.tuples(st.integers(-10**15 + 1, 10**15 - 1), st.integers(-25, 25))
                           .map(lambda t: float(f"{t[0]}e{t[1]}")),
+                          st.floats(min_value=-1e30, max_value=1e30),
                           st.sampled_from([float("nan"), float("inf"), 1e5, 1e-4, 1e-3])),
                 min_size=1, max_size=25))
 def test_number_text_twin(spark, xs):

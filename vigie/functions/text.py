@@ -58,10 +58,23 @@ def substring_between(c: Column | str, first: int, last: int) -> Column:
     return F.substring(col(c).cast("string"), first, last - first + 1)
 
 
-def encode_repair(c: Column | str, wrong: str = "ISO-8859-1", right: str = "UTF-8") -> Column:
-    """Undo text that was decoded with the wrong charset.
+# What a one-byte charset can have decoded to.
+ONE_BYTE = {"ISO-8859-1": r"^[\x00-\xFF]*$", "US-ASCII": r"^[\x00-\x7F]*$"}
+
 
-    Re-encode with the charset it was wrongly read as, decode with the right one.
-    Normal pipelines decode at the scan instead (``scan_csv(encoding=...)``).
+def encode_repair(c: Column | str, wrong: str = "ISO-8859-1", right: str = "UTF-8") -> Column:
+    """Undo text that was decoded with the wrong charset, value by value.
+
+    A text is repaired where its re-encoded bytes are a text of the right
+    charset: one that was read correctly keeps its characters, since accents
+    alone are no valid UTF-8, and so does one with characters that the wrong
+    charset does not have. (Text that spells out the wrong reading, such as
+    ``Ã©`` meant as such, cannot be told from it.) Normal pipelines decode at
+    the scan instead (``scan_csv(encoding=...)``).
     """
-    return F.decode(F.encode(col(c), wrong), right)
+    text = col(c)
+    if wrong.upper() not in ONE_BYTE or right.upper() != "UTF-8":
+        raise ValueError("encode_repair undoes UTF-8 that was read as ISO-8859-1 or US-ASCII")
+    raw = F.encode(text, wrong)
+    return (F.when(text.isNull() | ~text.rlike(f"(?s){ONE_BYTE[wrong.upper()]}"), text)
+            .when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, right)).otherwise(text))

@@ -6,6 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def pivot_wide(
@@ -44,6 +45,29 @@ def pivot_wide(
     return cells
 
 
+def pivot_map(df: DataFrame, id_cols: Sequence[str], names_from: str, values_from: str, out: str = "cells") -> DataFrame:
+    """``pivot_wider`` over whatever labels the data hold, any number of them.
+
+    One row per id with its cells as a map from label to value, in the labels'
+    order; the labels are found in the same pass, so neither a list nor
+    ``spark.sql.pivotMaxValues`` bounds them, and the schema stays the same. A
+    cell that would receive two rows raises (Q19). A NULL label has no cell.
+    """
+    label = F.col(f"`{names_from}`").alias("label")
+    cells = F.sort_array(F.collect_list(F.when(F.col(f"`{names_from}`").isNotNull(), F.struct(label, F.col(f"`{values_from}`").alias("value")))))
+    rows = df.groupBy(*id_cols).agg(cells.alias(out))
+    labels = F.col(f"`{out}`.label")
+    twice = F.raise_error(F.lit(f"pivot_map: several values for one cell of {values_from}"))
+    sound = F.when(F.size(F.array_distinct(labels)) == F.size(labels), F.map_from_entries(F.col(f"`{out}`")))
+    return rows.withColumn(out, sound.otherwise(twice.cast(T.MapType(df.schema[names_from].dataType, df.schema[values_from].dataType))))
+
+
+def unpivot_map(df: DataFrame, cells: str = "cells", names_to: str = "name", values_to: str = "value") -> DataFrame:
+    """``pivot_map`` back to one row per cell; an id without cells has no row."""
+    others = [F.col(f"`{c}`") for c in df.columns if c != cells]
+    return df.select(*others, F.explode(F.col(f"`{cells}`")).alias(names_to, values_to))
+
+
 def unpivot_long(
     df: DataFrame,
     id_cols: Sequence[str],

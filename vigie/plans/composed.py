@@ -162,7 +162,8 @@ def er_rate(visits: DataFrame, geo: DataFrame, n_days: int = 7, cuts: Sequence[f
          .withColumn("nbre_pass_tot", fill("nbre_pass_tot", 0))
     v = trailing_days(v, "date_de_passage", n_days)
     s = grouped_sums(v, ["dep"], ["nbre_pass_corona", "nbre_pass_tot"])
-    s = s.withColumn("taux_pass", round_even(safe_ratio("nbre_pass_corona", "nbre_pass_tot") * F.lit(100.0)))
+    s = s.withColumn("taux_pass", safe_ratio("nbre_pass_corona", "nbre_pass_tot") * F.lit(100.0))
+    s = s.withColumn("taux_pass", round_even("taux_pass"))
     s = s.withColumn("statut_passages", classify("taux_pass", cuts, closed="right"))
     return on_geography(s, _drawn_areas(geo), "dep", "insee_dep", how="left")
 
@@ -195,7 +196,8 @@ def icu_saturation(hosp: DataFrame, capacity: DataFrame, geo: DataFrame, n_days:
     s = fixed_window_mean(h, ["dep"], "rea", n_days, "rea_7jrs")
     s = join_on(s, assert_unique(capacity, ["dep"], "department in the capacity table"), ["dep"], "left", "na")
     s = with_group_totals(s, ["reg"], {"rea_7jrs": strict_sum("rea_7jrs"), "lits": strict_sum("lits")})
-    s = s.withColumn("taux_occup_reg", round_even(r_divide("rea_7jrs", "lits") * F.lit(100.0)))
+    s = s.withColumn("taux_occup_reg", r_divide("rea_7jrs", "lits") * F.lit(100.0))
+    s = s.withColumn("taux_occup_reg", round_even("taux_occup_reg"))
     s = s.withColumn("statut_rea", classify("taux_occup_reg", cuts, closed="right"))
     return on_geography(s, _drawn_areas(geo), "dep", "insee_dep", how="left")
 
@@ -205,7 +207,7 @@ def icu_saturation(hosp: DataFrame, capacity: DataFrame, geo: DataFrame, n_days:
 def year_variation(deaths: DataFrame, geo: DataFrame, new: str, old: str, digits: int = 1) -> DataFrame:
     """Percent change between two years at the last date, on every polygon."""
     d = latest(keep_present(deaths, new), "date").select("dep", "date", new, old)
-    d = d.withColumn("taux_variation", round_even(pct_change(new, old), digits))
+    d = d.withColumn("taux_variation", pct_change(new, old)).withColumn("taux_variation", round_even("taux_variation", digits))
     return on_geography(d, geo, "dep", "insee_dep", ["insee_dep", "insee_reg", "nom_dep", "geometry"])
 
 
@@ -267,7 +269,7 @@ def age_share_by_day(cells: DataFrame, groups: Sequence[str], workbook: str = "a
     blocks = join_block_header(body, header, "date", "date")
     labels = cell_range(wb, label_rows, (1, 1), ["groupe_age"], sheet=sheet)
     long = bind_by_row(blocks, labels).select(
-        "workbook", "date", "groupe_age", round_even(F.col("value").try_cast("double"), digits).alias("part"))
+        "workbook", "date", "groupe_age", F.col("value").try_cast("double").alias("part")).withColumn("part", round_even("part", digits))
     wide = pivot_wide(long, ["workbook", "date"], "groupe_age", "part", groups)
     return _sorted(wide, sort, "workbook", "date").withColumn("date", day_month("date"))
 
@@ -287,7 +289,7 @@ def age_share_transposed(cells: DataFrame, groups: Sequence[str], workbook: str
     blocks = join_block_header(body, header, "date", "text")
     labels = cell_range(wb, label_rows, (1, 1), ["groupe_age"], sheet=sheet)
     long = bind_by_row(blocks, labels).select(
-        "groupe_age", "date", round_even(F.col("value").try_cast("double"), digits).alias("part"))
+        "groupe_age", "date", F.col("value").try_cast("double").alias("part")).withColumn("part", round_even("part", digits))
     by_group = pivot_wide(long, ["groupe_age"], "date", "part", None)
     return transpose(by_group, "groupe_age", "date", groups)
 

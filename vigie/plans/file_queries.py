@@ -84,6 +84,17 @@ def file_hospital_single(spark: SparkSession, d: str) -> DataFrame:
     return scan_csv(spark, path, table.schema, mode="FAILFAST", na=NA_ONLY)
 
 
+def file_texts_repaired(spark: SparkSession, d: str) -> DataFrame:
+    """UTF-8 files, half of them read as Latin-1, put together and repaired value by value."""
+    texts = S.table(spark, d, "documents").select("doc_id", "text")
+    parts = []
+    for wrong, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        path = _folder(spark, f"texts{wrong}")
+        sink_csv(texts.where(F.pmod("doc_id", F.lit(2)) == wrong), path)
+        parts.append(scan_csv(spark, path, texts.schema, multi_line=True, mode="FAILFAST", na=NA_ONLY, encoding=encoding))
+    return parts[0].unionByName(parts[1]).select("doc_id", encode_repair("text").alias("text"))
+
+
 def file_features(spark: SparkSession, d: str) -> DataFrame:
     """One FeatureCollection document."""
     return _through_geojson(spark, Q.deaths_variation(spark, d), True)
@@ -164,7 +175,7 @@ def older_sheet_by_name(spark: SparkSession, d: str) -> DataFrame:
 
 FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        file_texts_multiline, file_hospital_single, file_capacity, file_regional_unquoted, file_history_quoted, file_series_bom, file_commentary_latin1,
+        file_texts_multiline, file_texts_repaired, file_hospital_single, file_capacity, file_regional_unquoted, file_history_quoted, file_series_bom, file_commentary_latin1,
         file_commentary_repaired, file_features, file_feature_lines, file_drops_by_name, file_listing, unnested_days,
         shares_with_date, older_sheet_by_index, older_sheet_by_name)
 }

@@ -504,3 +504,9 @@ ORACLE_SQL.update({
     "older_sheet_by_name": _older("03"),
 })
 ORACLE_SQL["file_hospital_single"] = ORACLE_SQL["hospital_table_numbered"]
+ORACLE_SQL.update({
+    "file_texts_repaired": "SELECT doc_id, text FROM documents",
+    "areas_wide": _with(DEP) + f"""SELECT extract_date, count(*) AS areas, string_agg(libelle_dep || '=' || {number_text('tx_pos')}, ';' ORDER BY libelle_dep) AS cells
+        FROM dep WHERE tx_pos IS NOT NULL GROUP BY extract_date""",
+    "areas_long": _with(DEP) + "SELECT extract_date, libelle_dep, tx_pos FROM dep WHERE tx_pos IS NOT NULL",
+})

@@ -13,12 +13,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.missing import na_sum, strict_sum
-from ..functions.numbers import round_even, to_text
+from ..functions.numbers import number_text, round_even, to_text
 from ..operators.aggregates import peak
 from ..operators.columns import mutate_all, mutate_typed, select_at
 from ..operators.ordered import differences, with_row_number
 from ..operators.panel import decumulate, join_on, keep_present
-from ..operators.reshape import unpivot_long
+from ..operators.reshape import pivot_map, unpivot_long, unpivot_map
 from ..session import reuse
 from ..operators.cells import sheet_range
 from ..sinks.writers import geojson_feature, map_layer, parse_geojson_feature
@@ -300,6 +300,19 @@ def event_changes(spark: SparkSession, d: str) -> DataFrame:
     return differences(events, {"change": "value"}, ["ts", "event_id"], ties=False).drop("ts")
 
 
+def areas_wide(spark: SparkSession, d: str) -> DataFrame:
+    """One row per month with a cell per area that the feed holds, written out as ``area=value`` texts."""
+    wide = pivot_map(keep_present(_dep(spark, d), "tx_pos"), ["extract_date"], "libelle_dep", "tx_pos")
+    cells = F.transform(F.map_entries("cells"), lambda c: F.concat(c["key"], F.lit("="), number_text(c["value"])))
+    return wide.select("extract_date", F.size("cells").alias("areas"), F.array_join(cells, ";").alias("cells"))
+
+
+def areas_long(spark: SparkSession, d: str) -> DataFrame:
+    """R2: the cells of ``areas_wide`` back to one row per month and area."""
+    wide = pivot_map(keep_present(_dep(spark, d), "tx_pos"), ["extract_date"], "libelle_dep", "tx_pos")
+    return unpivot_map(wide, "cells", "libelle_dep", "tx_pos")
+
+
 ROUNDED_DIGITS = (0, 1, 2)
 
 
@@ -343,5 +356,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "hospital_table_numbered": hospital_table_numbered,
     "orders_numbered": orders_numbered,
     "event_changes": event_changes,
+    "areas_wide": areas_wide,
+    "areas_long": areas_long,
     "prices_rounded": prices_rounded,
 }

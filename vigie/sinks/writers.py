@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, DataFrameWriter
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.numbers import number_text
+from ..functions.numbers import with_number_texts
 from .single import commit_file
 
 BOM = "﻿"
@@ -24,10 +24,12 @@ def _lines(df: DataFrame, sep: str, quote_text: bool, na: str, r_numbers: bool =
     quoted (doubled inner quotes) when ``quote_text``, otherwise refused if they
     contain a separator, quote or newline."""
     texts, guards = [], []
-    for f in df.schema.fields:
+    fields = df.schema.fields
+    df = with_number_texts(df) if r_numbers else df
+    for f in fields:
         v = F.col(f"`{f.name}`").cast("string")
         if r_numbers and isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            v = number_text(F.col(f"`{f.name}`"))
+            pass
         elif isinstance(f.dataType, T.StringType) and quote_text:
             v = F.concat(F.lit('"'), F.replace(v, F.lit('"'), F.lit('""')), F.lit('"'))
         elif not quote_text:
@@ -82,9 +84,7 @@ def sink_csv(
     if quote != "minimal":
         out = _lines(out, sep, quote_text=(quote == "all"), na=na, r_numbers=r_numbers)
     elif r_numbers:
-        out = out.select(*[
-            number_text(F.col(f"`{f.name}`")).alias(f.name) if isinstance(f.dataType, (T.DoubleType, T.FloatType))
-            else F.col(f"`{f.name}`") for f in out.schema.fields])
+        out = with_number_texts(out)
 
     def writer(frame: DataFrame, header: bool) -> DataFrameWriter:
         w = (frame.write.option("header", header).option("encoding", encoding)

@@ -41,9 +41,24 @@ AGE_BAND = 5                # lineitem quantity band width = one "age group"
 AGE_BANDS = 10
 
 
+# Declared schemas of the driver tables: nothing is inferred, so that building a plan starts no job.
+TABLES = {
+    "region": "r_regionkey int, r_name string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "supplier": "s_suppkey bigint, s_name string, s_nationkey int, s_acctbal double",
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, o_orderdate timestamp_ntz, "
+              "o_orderpriority string",
+    "lineitem": "l_orderkey bigint, l_partkey bigint, l_suppkey bigint, l_linenumber int, l_quantity double, l_extendedprice double, "
+                "l_discount double, l_tax double, l_returnflag string, l_linestatus string, l_shipdate timestamp_ntz",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
 def _dep_code(nk: Column) -> Column:
@@ -138,7 +153,7 @@ def indicators_department(spark: SparkSession, sf_dir: str, cells: DataFrame | N
     by_month = Window.partitionBy("rk").orderBy(F.year("extract_date") * 12 + F.month("extract_date"))
     n_reg = F.sum("n").over(by_month.rangeBetween(0, 0))
     n_prev = F.sum("n").over(by_month.rangeBetween(-1, -1))
-    m = with_geo.withColumn("R", round_even(n_reg / n_prev, 2))
+    m = with_geo.withColumn("R", n_reg / n_prev).withColumn("R", round_even("R", 2))
     out = m.select(
         "extract_date",
         _dep_code(F.col("nk")).alias("departement"),
