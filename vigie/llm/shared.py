@@ -60,5 +60,18 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def numbered(df: DataFrame, name: str) -> DataFrame:
+    """``df`` with a number of each row as ``name``, the same every time the result is read.
+
+    Ids that repeat or are missing cannot tell rows apart; a row's place can,
+    as long as each reading finds the rows in the same order. A scan of files
+    does; behind a shuffle the order may depend on the columns asked for, so
+    such a table is written first.
+    """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    out = df.withColumn(name, F.monotonically_increasing_id())
+    return cut(out) if "Exchange" in plan else out
+
+
 def salt(key: Column, salts: int) -> Column:
     return F.pmod(F.xxhash64(key), F.lit(salts)).cast("int")

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from .anchors import runs
 from .ragged import prefix_hash, substring_hash, texts
-from .shared import cut
+from .shared import cut, numbered
 
 WINDOW = 200
 GRAM = 32
@@ -245,16 +245,18 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Strings are judged on the input, over all rows and within each, as UTF-8
     bytes; they never cross rows. A window may be at most 255 bytes longer than
     the gram; beyond that a ValueError is raised. NULL is the empty text; texts shorter than
-    the window stay whole. Rows that repeat id and text lose all that a window
+    the window stay whole. Rows are told apart by their place in the table, not
+    by their ids, which may repeat or be missing. Rows that repeat a text lose all that a window
     covers, as copies do. Other columns are ignored, whatever their names. An
     empty table gives no rows.
     """
     if window - gram > MOST_BEYOND_GRAM:
         raise ValueError(f"a window of {window} bytes needs a gram of at least {window - MOST_BEYOND_GRAM}, not {gram}")
     tag = F.pmod(F.xxhash64(F.col(text_col)), F.lit(1 << 16)).cast("int")
-    docs = df.select(F.col(id_col).alias("id"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text"))
+    own_type = df.schema[id_col].dataType.simpleString()
+    docs = numbered(df.select(F.col(id_col).alias("own"), tag.alias("tag"), F.col(text_col).cast("binary").alias("text")), "id")
     id_type = docs.schema["id"].dataType.simpleString()
-    samples = docs.mapInArrow(sampler(window, gram), f"name long, context long, id {id_type}, place long")
+    samples = docs.select("id", "tag", "text").mapInArrow(sampler(window, gram), f"name long, context long, id {id_type}, place long")
     names = cut(samples.groupBy("name").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("name"))
     repeated = cut(samples.join(names, "name"))
     contexts = cut(repeated.groupBy("name", "context").agg(
@@ -277,6 +279,6 @@ def suffix_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     partly = hits.groupBy("id", place_tag.alias("tag")).agg(F.collect_list(F.struct("place", "hits")).alias("opened"))
     known = places.withColumnsRenamed({"id": "pid", "tag": "ptag"}).join(
         partly.withColumnsRenamed({"id": "oid", "tag": "otag"}), F.col("pid").eqNullSafe(F.col("oid")) & (F.col("ptag") == F.col("otag")), "left")
-    rows = docs.join(known, docs["id"].eqNullSafe(F.col("pid")) & (docs["tag"] == F.col("ptag")), "left").select("id", "text", "places", "opened")
-    out = rows.mapInArrow(remover(window, keep_text), f"id {id_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    rows = docs.join(known, docs["id"].eqNullSafe(F.col("pid")) & (docs["tag"] == F.col("ptag")), "left").select("own", "text", "places", "opened")
+    out = rows.mapInArrow(remover(window, keep_text), f"id {own_type}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     return out.withColumnRenamed("id", id_col) if keep_text else out.drop("kept").withColumnRenamed("id", id_col)
