@@ -31,7 +31,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import NON_ALNUM, ascii_lower
+from .shared import NON_ALNUM, ascii_lower, numbered
 
 # Phrase -> label.
 PHRASES = {
@@ -173,13 +173,13 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     or, with ``wrapped``, some window of a template's length in words; both label lists are distinct, sorted and comma-joined, empty without any.
     ``score`` is 1 where a phrase stands, else the best share of a template
     that such a block holds (at least ``threshold``), else 0. NULL counts as the
-    empty text. Rows that repeat an id are reported each, with the template
-    labels of all of them. Other columns are ignored, whatever their names.
+    empty text. Rows that repeat an id, or have none, are judged each on its
+    own, told apart by their place in the table. Other columns are ignored, whatever their names.
     """
     phrases = PHRASES if phrases is None else phrases
-    spaced = words_of(F.coalesce(F.col(text_col), F.lit("")))
     any_phrase = "|".join(sorted(phrases, key=len, reverse=True))
-    rows = df.select(F.col(id_col).alias("id"), spaced.alias("w"))
+    own = numbered(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "place")
+    rows = own.select("place", "id", words_of(F.coalesce(F.col("text"), F.lit(""))).alias("w"))
     # Places are searched only in texts that hold a phrase at all.
     has = F.rlike("w", F.lit(f" (?:{any_phrase})(?= )"))
     first = F.when(has, spaces(F.regexp_extract("w", rf"(?s)^(.*?) (?:{any_phrase}) ", 1)))
@@ -187,17 +187,17 @@ def license_scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     labels = F.array_distinct(F.array_compact(F.array(*[
         F.when(F.contains("w", F.lit(f" {p} ")), F.lit(label)) for p, label in sorted(phrases.items())])))
     base = rows.select(
-        "id",
+        "place", "id",
         F.greatest(spaces(F.col("w")) - 1, F.lit(0)).cast("long").alias("n_words"),
         F.when(has, F.regexp_count("w", F.lit(f" (?:{any_phrase})(?= )"))).otherwise(0).cast("long").alias("n_base"),
         first.cast("long").alias("first_word"),
         last.cast("long").alias("last_word"),
         F.when(has, labels).otherwise(F.array().cast("array<string>")).alias("base"),
     )
-    met = license_blocks(df, id_col, text_col, templates, threshold, wrapped).groupBy(F.col(id_col).alias("met_id")).agg(
+    met = license_blocks(own, "place", "text", templates, threshold, wrapped).groupBy(F.col("place").alias("met_id")).agg(
         F.collect_set("label").alias("met"), F.max("share").alias("share"))  # as many labels as there are templates, at most
     none = F.array().cast("array<string>")
-    return base.join(met, F.col("id").eqNullSafe(F.col("met_id")), "left").select(
+    return base.join(met, F.col("place") == F.col("met_id"), "left").select(
         F.col("id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
         F.array_join(F.array_sort("base"), ",").alias("base_labels"),
         F.array_join(F.array_sort(F.array_union("base", F.coalesce("met", none))), ",").alias("labels"),
