@@ -183,7 +183,11 @@ def held_out(id_col: str, fold: int = FOLD, remainder: int = HELD_OUT):
 
 def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", order: int = ORDER,
           train_rows: int = TRAIN_ROWS) -> dict:
-    """Learn each language's context tree from at most ``train_rows`` of its texts outside the held-out fold."""
+    """Learn each language's context tree from at most ``train_rows`` of its texts outside the held-out fold.
+
+    Texts are drawn by a hash of id and text, so that ids that repeat neither
+    fill the sample nor empty it; rows that repeat both count once.
+    """
     known = df.select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).where(
         F.col("lang").isNotNull() & F.col("id").isNotNull() & ~held_out("id"))
     # A sample of the ids by hash, about four times as many as needed, then the first ones of each language.
@@ -191,11 +195,11 @@ def train(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_co
     part = F.lit(0.0)
     for lang, n in sizes.items():
         part = F.when(F.col("lang") == lang, F.lit(min(1.0, (4 * train_rows + 100) / n))).otherwise(part)
-    h = F.pmod(F.xxhash64(F.lit(SEED), "id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    order_in = Window.partitionBy("lang").orderBy("h", "id")
-    chosen = known.withColumn("h", h).where(F.col("h") < part).select("lang", "h", "id").withColumn("place", F.row_number().over(order_in)).where(
-        F.col("place") <= train_rows).select("id", "lang").distinct()
-    sample = known.withColumn("h", h).where(F.col("h") < part).drop("h").join(F.broadcast(chosen), ["id", "lang"])
+    h = F.xxhash64(F.lit(SEED), "id", "text")
+    drawn = known.withColumn("h", h).where(F.pmod("h", F.lit(1 << 30)) / F.lit(float(1 << 30)) < part)
+    order_in = Window.partitionBy("lang").orderBy("h")  # some four times the sample
+    chosen = drawn.select("lang", "h").distinct().withColumn("place", F.row_number().over(order_in)).where(F.col("place") <= train_rows).drop("place")
+    sample = drawn.join(F.broadcast(chosen), ["lang", "h"]).groupBy("lang", "h").agg(F.first("text").alias("text"))
     counts = (
         sample.select("lang", "text").mapInArrow(counter(order), "lang string, length long, gram long, n long")
         .groupBy("lang", "length", "gram").agg(F.sum("n").alias("n")).toArrow().to_pandas()
@@ -212,15 +216,15 @@ def identify(df: DataFrame, model: dict, carry: list[str], text_col: str = "text
     text of a model without languages.
     """
     letters = F.coalesce(F.rlike(F.col(text_col), F.lit(r"\p{L}")), F.lit(False))
-    rows = df.select(F.struct(*carry, letters.alias("__letters")).alias("row"), F.col(text_col).alias("text"))
+    rows = df.select(F.struct(F.struct(*carry).alias("own"), letters.alias("letters")).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("bits", T.ArrayType(T.DoubleType()))])
     found = rows.mapInArrow(predictor(df.sparkSession.sparkContext.broadcast(model)), schema)
     least = F.array_min("bits")
     best = F.element_at(F.array(*[F.lit(x) for x in model["langs"]]), F.array_position("bits", least).cast("int")) if model["langs"] else F.lit(None)
     weight = F.aggregate(F.transform("bits", lambda b: F.pow(F.lit(2.0), least - b)), F.lit(0.0), lambda a, b: a + b)
-    known = F.col("row")["__letters"] & F.lit(bool(model["langs"]))
+    known = F.col("row.letters") & F.lit(bool(model["langs"]))
     return found.select(
-        *[F.col("row")[c].alias(c) for c in carry],
+        *[F.col("row.own")[c].alias(c) for c in carry],
         F.when(known, best).otherwise(F.lit("und")).alias("lang_pred"),
         F.when(known, 1.0 / weight).otherwise(F.lit(0.0)).alias("score"),
         "bits",
