@@ -166,12 +166,12 @@ def contamination(df: DataFrame, benchmark: DataFrame, carry: list[str], text_co
     spark = df.sparkSession
     sets = [spark.sparkContext.broadcast(block) for block in blocks(benchmark, item_col, item_text_col, window, block_words, null_items)]
     # the text's hash keeps repeated ids of different texts apart when blocks are merged; spans are cut from the text itself
-    body = [F.col(text_col).alias("__body")] if keep_text and len(sets) > 1 else []
-    rows = df.select(F.struct(*carry, F.xxhash64(text_col).alias("__text"), *body).alias("row"), F.col(text_col).alias("text"))
+    body = [F.col(text_col).alias("body")] if keep_text and len(sets) > 1 else []
+    rows = df.select(F.struct(F.struct(*carry).alias("own"), F.xxhash64(text_col).alias("hash"), *body).alias("row"), F.col(text_col).alias("text"))
     schema = T.StructType([rows.schema["row"], *T.StructType.fromDDL(FOUND).fields])
     scans = [rows.mapInArrow(scanner(block, keep_text and not body), schema) for block in sets]
     if len(scans) == 1:
-        return scans[0].withColumn("row", F.col("row").dropFields("__text"))
+        return scans[0].withColumn("row", F.col("row.own"))
     every = scans[0]
     for scan in scans[1:]:
         every = every.unionAll(scan)
@@ -180,8 +180,8 @@ def contamination(df: DataFrame, benchmark: DataFrame, carry: list[str], text_co
         F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         (F.count(F.lit(1)) / len(scans)).cast("int").alias("copies"),
     )
-    kept_text = F.col("row")["__body"] if body else F.lit(None).cast("string")
-    out = together.select(F.col("row").dropFields("__text", *["__body"] * len(body)).alias("row"), "n_words", merge_spans(F.col("spans")).alias("spans"), "items",
+    kept_text = F.col("row.body") if body else F.lit(None).cast("string")
+    out = together.select(F.col("row.own").alias("row"), "n_words", merge_spans(F.col("spans")).alias("spans"), "items",
                           kept_text.alias("kept_text"), F.explode(F.sequence(F.lit(1), "copies"))).drop("col")
     return out.mapInArrow(span_cutter, out.schema) if body else out
 
@@ -215,5 +215,4 @@ def remove_documents(df: DataFrame, benchmark: DataFrame, **options) -> DataFram
 def remove_spans(df: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
     """All rows of ``df``, their texts without the benchmark's spans."""
     found = contamination(df, benchmark, df.columns, text_col=text_col, keep_text=True, **options)
-    return found.select("row.*", F.coalesce("kept_text", F.col("row")[text_col]).alias("__kept")).select(
-        *[F.col("__kept").alias(c) if c == text_col else F.col(c) for c in df.columns])
+    return found.select(*[F.coalesce("kept_text", F.col("row")[c]).alias(c) if c == text_col else F.col("row")[c].alias(c) for c in df.columns])
