@@ -123,22 +123,25 @@ def targets(sizes: DataFrame) -> DataFrame:
     )
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED) -> DataFrame:
-    """One row per input row: ``id_col``, size, source_size, target, taken, copies.
+def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", seed: int = SEED,
+        row_col: str | None = None) -> DataFrame:
+    """One row per input row: ``id_col``, size, source_size, target, taken, copies (and ``row``, the value of ``row_col``).
 
     ``size`` counts the words of the text (NULL: 0), ``copies`` says how often
     the mix takes the row (0, 1 or 2) and ``taken`` is their words. Rows
     without words are never taken twice and add none. The choice depends on the
     seed and the ids only, so reruns agree; among rows that repeat an id of the
-    same source and length it does not matter which is chosen. An empty table
+    same source and length it does not matter which is chosen. ``row_col``
+    names a column that tells rows apart; missing ids are then spread by it. An empty table
     gives no rows. Other columns are ignored, whatever their names.
     """
+    row = F.lit(None).cast("long") if row_col is None else F.col(row_col)
     rows = cut(df.select(
-        F.col(id_col).alias("id"),
+        F.col(id_col).alias("id"), row.alias("row"),
         F.col(source_col).alias("source"),
         F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("null")).alias("skey"),
         F.coalesce(F.regexp_count(F.col(text_col), F.lit(SPACE_WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(F.lit(seed), F.col(id_col)).alias("h"),
+        F.when(F.col(id_col).isNull(), F.xxhash64(F.lit(seed), row)).otherwise(F.xxhash64(F.lit(seed), F.col(id_col))).alias("h"),
     ).withColumn("cell", F.pmod(F.col("h"), F.lit(CELLS)).cast("int")))
     cells = rows.groupBy("skey", "size", "cell").agg(F.count(F.lit(1)).alias("n"))
     by_source = targets(rows.groupBy("source", "skey").agg(F.sum("size").alias("source_size")))
@@ -161,9 +164,9 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
         .select("skey", "size", "cell", "source_size", "target", "base",
                 (F.coalesce("quota", F.lit(0)) - F.col("before")).alias("open"))
     )
-    rank = F.row_number().over(Window.partitionBy("skey", "size", "cell").orderBy("h", "id"))
+    rank = F.row_number().over(Window.partitionBy("skey", "size", "cell").orderBy("h", "id", "row"))
     copies = F.col("base") + F.when(F.col("rank") <= F.col("open"), 1).otherwise(0)
     return rows.withColumn("rank", rank).join(taken_of_cell, ["skey", "size", "cell"]).select(
         F.col("id").alias(id_col), "size", "source_size", F.col("target").cast("double").alias("target"),
-        (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"),
+        (copies * F.col("size")).cast("long").alias("taken"), copies.cast("int").alias("copies"), *(["row"] if row_col else []),
     )
