@@ -100,16 +100,21 @@ def file_features(spark: SparkSession, d: str) -> DataFrame:
     return _through_geojson(spark, Q.deaths_variation(spark, d), True)
 
 
+def file_features_split(spark: SparkSession, d: str) -> DataFrame:
+    """The supplied map layer's FeatureCollection read split by split."""
+    return _through_geojson(spark, Q.latest_class_geo(spark, d), True, split=True)
+
+
 def file_feature_lines(spark: SparkSession, d: str) -> DataFrame:
     """One feature per line, split over files."""
     return _through_geojson(spark, Q.deaths_variation(spark, d), False)
 
 
-def _through_geojson(spark, layer: DataFrame, collection: bool) -> DataFrame:
+def _through_geojson(spark, layer: DataFrame, collection: bool, split: bool = False) -> DataFrame:
     path = _folder(spark, "layer")
     sink_geojson(layer, path, collection=collection)
     properties = T.StructType([f for f in layer.schema.fields if f.name != "geometry"])
-    return scan_geojson(spark, path, properties, line_delimited=not collection)
+    return scan_geojson(spark, path, properties, line_delimited=not collection, split=split).select(layer.columns)
 
 
 def _drops(spark, d) -> tuple[str, int]:
@@ -176,6 +181,6 @@ def older_sheet_by_name(spark: SparkSession, d: str) -> DataFrame:
 FILE_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         file_texts_multiline, file_texts_repaired, file_hospital_single, file_capacity, file_regional_unquoted, file_history_quoted, file_series_bom, file_commentary_latin1,
-        file_commentary_repaired, file_features, file_feature_lines, file_drops_by_name, file_listing, unnested_days,
+        file_commentary_repaired, file_features, file_features_split, file_feature_lines, file_drops_by_name, file_listing, unnested_days,
         shares_with_date, older_sheet_by_index, older_sheet_by_name)
 }

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .features import feature_texts
 from .quoted import count_quotes, quoted_records
 
 SEPARATORS = (",", ";", "\t", "|")
@@ -194,12 +195,19 @@ def geojson_schema(properties: T.StructType) -> T.StructType:
 
 
 def scan_geojson(spark: SparkSession, path: str | Sequence[str], properties: T.StructType,
-                 line_delimited: bool = False) -> DataFrame:
+                 line_delimited: bool = False, split: bool = False) -> DataFrame:
     """One row per feature: typed properties as columns plus ``geometry`` text.
 
-    ``line_delimited=False`` reads FeatureCollection documents (one per file);
+    ``line_delimited=False`` reads FeatureCollection documents, each in one
+    task, or with ``split`` in as many as it has splits, which takes a pass more
+    over the files and needs documents with line breaks;
     ``True`` reads one Feature per line, which splits across tasks.
     """
+    if split and not line_delimited:
+        feature = geojson_schema(properties)["features"].dataType.elementType
+        texts = feature_texts(spark, [path] if isinstance(path, str) else list(path))
+        parsed = texts.select(F.from_json("feature", feature).alias("f")).where("f.type = 'Feature'")
+        return parsed.select("f.properties.*", "f.geometry")
     if line_delimited:
         feature = geojson_schema(properties)["features"].dataType.elementType
         df = spark.read.schema(feature).json(path)

@@ -23,6 +23,7 @@ from ..functions.numbers import round_even
 from ..functions.text import pad_left
 from ..plans.composed import CAPACITY_RECODE
 from ..session import reuse
+from .bounds import largest
 
 # Overseas department codes used by the hospital, indicator and
 # geography feeds.
@@ -56,9 +57,13 @@ TABLES = {
 }
 
 
+def path_of(sf_dir: str, name: str) -> str:
+    return f"{sf_dir.rstrip('/')}/{name}.parquet"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table."""
-    return spark.read.schema(TABLES[name]).parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spark.read.schema(TABLES[name]).parquet(path_of(sf_dir, name))
 
 
 def _dep_code(nk: Column) -> Column:
@@ -103,12 +108,12 @@ def orders_month_nation(spark: SparkSession, sf_dir: str, since=None) -> DataFra
 
 def last_order(spark: SparkSession, sf_dir: str):
     """The latest order date (one value), None for an empty table."""
-    return table(spark, sf_dir, "orders").agg(F.max("o_orderdate")).first()[0]
+    return largest(spark, path_of(sf_dir, "orders"), TABLES["orders"], "o_orderdate")
 
 
 def last_event(spark: SparkSession, sf_dir: str):
     """The latest event time (one value), None for an empty table."""
-    return table(spark, sf_dir, "events").agg(F.max("ts")).first()[0]
+    return largest(spark, path_of(sf_dir, "events"), TABLES["events"], "ts")
 
 
 def _measures() -> list[Column]:
