@@ -11,10 +11,16 @@
 3. Posting lists are merged without writing out all pairs of a list: in each of
    ``ROUNDS`` rounds every member of a list meets one pivot; the collisions of
    that pair are counted over the whole signatures, and pairs with enough are
-   confirmed on the full shingle sets. Texts already in one component need not
+   confirmed on the full shingle sets. In the first round the pivot is the most
+   central member, whose coordinate values are the most common ones: in a group
+   of near copies that is a text with few changes of its own, which most others
+   are linked to directly. Texts already in one component need not
    meet, so lists within one component are skipped. The lists that still hold
    several components then have all their possible links across components found
    by an exact prefix join on the full sets (``across``), so that none is lost.
+   Its pairs pass a bitmap filter within the join: the parities of a set's
+   hashes in ``BITS`` cells differ between two sets in no more cells than the
+   sets differ in elements, so a pair that differs in too many cells is no link.
 4. Components are found on the confirmed links.
 
 With 64 coordinates and at least 38 matches, a pair of similarity 0.8 or more
@@ -40,6 +46,7 @@ COORDINATES = 64
 MATCHES = 38
 ROUNDS = 2
 MEETINGS = 8
+BITS = 1024
 SEED = 20261203
 
 
@@ -101,29 +108,38 @@ def signer(n: int, coordinates: int, seed: int):
 
 
 def set_maker(n: int):
-    """mapInArrow function: (id, text) to (id, distinct shingle hashes)."""
+    """mapInArrow function: (id, text) to (id, distinct shingle hashes, their parities in ``BITS`` cells)."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
+            sets, marks = [], []
             for _, _, hashes, at in slices_of(batch, n):
-                sets += [np.unique(hashes[a:b]).view(np.int64) for a, b in zip(at[:-1], at[1:], strict=True)]
+                for a, b in zip(at[:-1], at[1:], strict=True):
+                    own = np.unique(hashes[a:b])
+                    sets.append(own.view(np.int64))
+                    odd = np.bincount((mix64(own) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+                    marks.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
             offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int32)
             values = np.concatenate(sets) if sets else np.zeros(0, dtype=np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values))], names=["id", "shingles"])
+                [batch.column(0), pa.ListArray.from_arrays(pa.array(offsets), pa.array(values)),
+                 pa.ListArray.from_arrays(pa.array(np.arange(len(marks) + 1, dtype=np.int32) * (BITS // 64)),
+                                          pa.array(np.concatenate(marks) if marks else np.zeros(0, dtype=np.int64)))],
+                names=["id", "shingles", "marks"])
 
     return make
 
 
 def posted(tokens: DataFrame, prefix: int, coordinates: int) -> DataFrame:
-    """(token, id) of the shared pairs among each text's ``prefix`` rarest ones."""
+    """(token, id, weight) of the shared pairs among each text's ``prefix`` rarest ones; the weight says how common its pairs are."""
     counts = tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
     shared = cut(tokens.join(counts, "token"))
     # Pairs of its own come first in a text's order, then shared ones by their count.
     order = Window.partitionBy("id").orderBy("n", "token")  # at most COORDINATES rows
     own = F.lit(coordinates) - F.count(F.lit(1)).over(Window.partitionBy("id"))
-    return shared.withColumn("place", own + F.row_number().over(order)).where(F.col("place") <= prefix).select("token", "id")
+    weight = F.sum(F.log2("n")).over(Window.partitionBy("id"))
+    return shared.withColumn("place", own + F.row_number().over(order)).withColumn("weight", weight).where(F.col("place") <= prefix).select(
+        "token", "id", "weight")
 
 
 def confirmed(pairs: DataFrame, known: DataFrame, matches: int, threshold: int) -> DataFrame:
@@ -139,12 +155,14 @@ def confirmed(pairs: DataFrame, known: DataFrame, matches: int, threshold: int)
 
 def pivots(members: DataFrame, turn: int) -> DataFrame:
     """One pair per member of each list that holds several components: with the list's pivot, or,
-    for members of the pivot's own component, with a member of another one. Lists choose their
+    for members of the pivot's own component, with a member of another one. In the first turn the
+    pivot is the most central member; later lists choose their
     pivots by hash, so a text that is in many lists meets different others, ``MEETINGS`` of them
     in a round; the rest is not lost but left to ``across``."""
     rank = F.xxhash64(F.lit(turn), "token", "id")
+    first = -F.col("weight") if turn == 0 else F.lit(0.0)
     lists = members.groupBy("token").agg(
-        F.min(F.struct(rank.alias("rank"), "id", "component")).alias("pivot"),
+        F.min(F.struct(first.alias("first"), rank.alias("rank"), "id", "component")).alias("pivot"),
         F.min(F.struct("component", "id")).alias("low"), F.max(F.struct("component", "id")).alias("high"),
     ).where("low.component <> high.component")
     other = F.when(F.col("pivot.component") == F.col("low.component"), F.col("high.id")).otherwise(F.col("low.id"))
@@ -161,6 +179,8 @@ def across(members: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
     rarest first, a text shares one of its first n - ceil(n * threshold) + 1 with
     every text it is linked to; sizes and the places of the common shingle must
     leave room for the overlap. Shingles of one text alone only take up places.
+    What all that lets pass within a group of near copies, whose members share
+    most shingles, the parities of the sets hold back inside the join.
     """
     spread = members.groupBy("token").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
     texts_ = cut(members.join(spread, "token").select("id", "component").distinct())
@@ -171,11 +191,17 @@ def across(members: DataFrame, known: DataFrame, threshold: int) -> DataFrame:
     place = F.col("n") - F.count(F.lit(1)).over(inside) + F.row_number().over(inside.orderBy("times", "shingle"))
     kept = F.ceil(F.col("n") * threshold / F.lit(100.0))
     posts = cut(shared.withColumn("place", place).where(F.col("place") <= F.col("n") - kept + 1).select("shingle", "id", "component", "n", "place"))
-    theirs = posts.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place")])
+    mixed = posts.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("shingle")
+    posts = cut(posts.join(mixed, "shingle").join(known.select("id", "marks"), "id"))
+    theirs = posts.select("shingle", *[F.col(c).alias(f"{c}2") for c in ("id", "component", "n", "place", "marks")])
+    unlike = F.lit(0)
+    for k in range(BITS // 64):
+        unlike = unlike + F.bit_count(F.col("marks")[k].bitwiseXOR(F.col("marks2")[k]))
+    like = unlike * (100 + threshold) <= (F.col("n") + F.col("n2")) * (100 - threshold)
     overlap = F.ceil((F.col("n") + F.col("n2")) * threshold / F.lit(100.0 + threshold) - 1e-9)
     room = 1 + F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2"))
     sizes = 100 * F.least("n", "n2") >= threshold * F.greatest("n", "n2")
-    return posts.join(theirs, "shingle").where((F.col("component") < F.col("component2")) & sizes & (room >= overlap)).select("id", F.col("id2").alias("partner"))
+    return posts.join(theirs, "shingle").where((F.col("component") < F.col("component2")) & sizes & (room >= overlap) & like).select("id", F.col("id2").alias("partner"))
 
 
 def links(posts: DataFrame, known: DataFrame, matches: int, threshold: int, rounds: int) -> DataFrame | None:
@@ -221,7 +247,7 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     tokens = signatures.select("id", F.explode("signature").alias("token"))
     posts = cut(posted(tokens, coordinates - matches + 1, coordinates))
     nodes = posts.select("id").distinct()
-    sets = rows.join(nodes, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(set_maker(shingle), "id long, shingles array<long>")
+    sets = rows.join(nodes, "id", "left_semi").dropDuplicates(["id"]).mapInArrow(set_maker(shingle), "id long, shingles array<long>, marks array<long>")
     known = cut(sets.join(signatures.join(nodes, "id", "left_semi"), "id"))
     found = links(posts, known, matches, threshold, rounds)
     linked = classes.withColumn("component", F.col("rep"))
