@@ -16,7 +16,7 @@ from vigie.llm.mixing import mix
 from vigie.llm.near_dedup import near_dedup
 from vigie.llm.quality import keep_good
 from vigie.llm.sharding import shard
-from vigie.llm.shared import cut, table
+from vigie.llm.shared import cut, numbered, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -28,10 +28,20 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     return keep_good(docs, table(spark, sf_dir, "labels"))
 
 
+def _numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number of each row, which repeated and missing ids cannot stand for, and that column's name."""
+    name = "_".join(["row", *docs.columns])  # no column has this name
+    return numbered(docs, name), name
+
+
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group stays; rows without an id stay."""
-    dropped = near_dedup(docs, shingle=SHINGLE).where(~F.col("kept")).select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(docs.columns)
+    """One document of each near-duplicate group stays: the one with the smallest id (a missing id is the largest)."""
+    rows, number = _numbered(docs)
+    groups = near_dedup(rows, id_col=number, shingle=SHINGLE).select(number, "component_id")
+    ids = rows.select(number, "doc_id")
+    order = F.struct(F.col("doc_id").isNull(), F.col("doc_id"), F.col(number).alias("number"))
+    stays = groups.join(ids, number).groupBy("component_id").agg(F.min(order).alias("first")).select(F.col("first.number").alias(number))
+    return rows.join(stays, number, "left_semi").select(docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,10 +50,13 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix takes it; rows that repeat an id are taken alike."""
-    taken = mix(docs).groupBy(F.col("doc_id").alias("taken_id")).agg(F.max("copies").alias("copies")).where("copies > 0")
-    every = docs.join(taken, F.col("doc_id").eqNullSafe(F.col("taken_id")))
-    return every.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("copy_number")).select(docs.columns)
+    """Every row as often as the mix takes it."""
+    rows, number = _numbered(docs)
+    copies = "_".join(["copies", number])
+    taken = mix(rows, row_col=number).where("copies > 0").select(F.col("row").alias(number), F.col("copies").alias(copies))
+    every = rows.join(taken, number)
+    again = F.explode(F.sequence(F.lit(1), F.col(f"`{copies}`"))).alias("_".join(["copy", number]))
+    return every.select(*docs.columns, again).select(docs.columns)
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
