@@ -101,8 +101,8 @@ def file_features(spark: SparkSession, d: str) -> DataFrame:
 
 
 def file_features_split(spark: SparkSession, d: str) -> DataFrame:
-    """The supplied map layer's FeatureCollection read split by split."""
-    return _through_geojson(spark, Q.latest_class_geo(spark, d), True, split=True)
+    """One FeatureCollection document, read split by split."""
+    return _through_geojson(spark, Q.deaths_variation(spark, d), True, split=True)
 
 
 def file_feature_lines(spark: SparkSession, d: str) -> DataFrame:

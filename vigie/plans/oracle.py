@@ -510,4 +510,4 @@ ORACLE_SQL.update({
         FROM dep WHERE tx_pos IS NOT NULL GROUP BY extract_date""",
     "areas_long": _with(DEP) + "SELECT extract_date, libelle_dep, tx_pos FROM dep WHERE tx_pos IS NOT NULL",
 })
-ORACLE_SQL["file_features_split"] = ORACLE_SQL["latest_class_geo"]
+ORACLE_SQL["file_features_split"] = ORACLE_SQL["geojson_features"]
