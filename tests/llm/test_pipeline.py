@@ -15,7 +15,7 @@ from .test_pairs import brute_components, shingle_sets
 def test_registration():
     import __spark_entry__ as E
 
-    names = [f"op{n}_" for n in range(1, 11)]
+    names = [f"op{n}_" for n in range(1, 14)]
     assert all(sum(q.startswith(n) for q in QUERIES) == 1 for n in names)
     assert {*QUERIES, "pipeline"} <= set(E.queries()) and set(ORACLE_SQL) <= set(E.oracle_sql())
     assert 4 <= len(P.STAGES) <= 5
