@@ -60,7 +60,7 @@ def test_age_share_by_day_many_workbooks(spark):
     # 11.05 and 88.95 are stored a little above their texts
     assert [tuple(r) for r in out.collect()] == [("w1", "05/04", 11.1, 89.0), ("w1", "06/04", 12.3, 87.7)]
     w2 = P.age_share_by_day(_age_workbook(spark), ["0-59", "60+"], workbook="w2", label_rows=(8, 9))
-    assert rows(w2, "date", "0-59") == [("05/04", 11.0), ("06/04", 22.3)]
+    assert rows(w2, "date", "0-59") == [("05/04", 11.1), ("06/04", 22.3)]
 
 
 def test_age_share_latest(spark):
